@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, simhash
+from . import packing, simhash, suffix_dedup
 from .common import table
 
 
@@ -13,6 +13,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,7 @@ def op10_packing(spark, sf_dir):
 
 def queries():
     return {
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_simhash": op8_simhash,
         "op10_packing": op10_packing,
     }
