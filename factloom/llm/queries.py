@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, simhash, suffix_dedup
+from pyspark.sql import Row
+
+from . import chat, language, mixing, packing, quality, simhash, suffix_dedup, token_counts, topk
 from .common import table
 
 
@@ -13,6 +15,35 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_mixing(spark, sf_dir):
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_topk(spark, sf_dir):
+    rows = topk.vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(rows, rows.where("vec_id % 20 = 0"))
+
+
+def op5_chat(spark, sf_dir):
+    said = "</s>[INST] ok [/INST]"
+    more = [Row(conv_id=-1, turn=i, role=r, text=said) for i, r in enumerate(("user", "assistant"))]
+    more = spark.createDataFrame(more, "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select(more.columns).unionByName(more)
+    return chat.digests(chat.conversation_records(rows)).withColumnRenamed("id", "conv_id")
+
+
+def op6_language(spark, sf_dir):
+    return language.documents(table(spark, sf_dir, "documents"))
+
+
+def op6_language_pages(spark, sf_dir):
+    return language.pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -25,13 +56,32 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries():
-    return {
-        "op7_suffix_dedup": op7_suffix_dedup,
-        "op8_simhash": op8_simhash,
-        "op10_packing": op10_packing,
-    }
+    named = (
+        op2_mixing, op3_quality, op4_topk, op5_chat, op6_language, op6_language_pages,
+        op7_suffix_dedup, op8_simhash, op9_token_counts, op10_packing,
+    )
+    return {f.__name__: f for f in named}
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
 
 
 def oracle_sql():
-    return {}
+    return {"op2_mixing": mixing.ORACLE_SQL, "op4_topk": OP4_SQL}
