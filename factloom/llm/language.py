@@ -116,7 +116,7 @@ def parent_of(host: Column) -> Column:
 def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """rows has id, text, declared and host. Returns for each of them (id, declared, host, lang,
     posterior, text_lang, keep). keep is false where the best class is UNKNOWN or below ACCEPT.
-    Null or empty text: host and declaration decide alone, and keep is false. A null or empty
+    Null, empty or white-space text: host and declaration decide alone, and keep is false. A null or empty
     declaration is no evidence; a null host has the overall prior; ties fall to the name that comes
     first; repeated rows stay; an empty table gives no rows."""
     langs, table = model
@@ -125,7 +125,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
         F.col("id").cast("long").alias("id"),
         F.coalesce(F.lower("declared"), F.lit("")).alias("declared"),
         F.coalesce(F.lower("host"), F.lit("")).alias("host"),
-        (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0).alias("has_text"),
+        F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)).alias("has_text"),
         "text",
     )
     schema = "id long, declared string, host string, has_text boolean, ll array<double>"
