@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Row
 
-from . import chat, language, mixing, packing, quality, simhash, suffix_dedup, token_counts, topk
+from . import chat, images, language, mixing, packing, quality, simhash, suffix_dedup, token_counts, topk
 from .common import table
 
 
@@ -15,6 +15,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_image_copies(spark, sf_dir):
+    return images.copies(images.pictures(table(spark, sf_dir, "embeddings")))
+
+
 def op2_mixing(spark, sf_dir):
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op9_token_counts(spark, sf_dir):
 
 def queries():
     named = (
-        op2_mixing, op3_quality, op4_topk, op5_chat, op6_language, op6_language_pages,
+        op1_image_copies, op2_mixing, op3_quality, op4_topk, op5_chat, op6_language, op6_language_pages,
         op7_suffix_dedup, op8_simhash, op9_token_counts, op10_packing,
     )
     return {f.__name__: f for f in named}
