@@ -1,15 +1,16 @@
 """All queries of the fact engine, gathered from the modules that define them."""
 
-FLAGSHIP = "slice_findings"
+from __future__ import annotations
 
+from factloom.plans import core, relational
 
-def _modules():
-    return []
+FLAGSHIP = "slice_findings"
+MODULES = (core, relational)
 
 
 def queries() -> dict:
-    return {k: v for m in _modules() for k, v in m.QUERIES.items()}
+    return {k: v for m in MODULES for k, v in m.plan.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in _modules() for k, v in m.ORACLE.items()}
+    return {k: v for m in MODULES for k, v in m.plan.oracle.items()}
