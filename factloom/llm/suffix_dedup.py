@@ -8,13 +8,17 @@ before the next, longer rank:
 1. Ranks at the first length, of sampled positions only. Which position of a window is sampled
    depends on the window's bytes alone, so a string of the threshold's length has its sample in
    each place where it stands. A sample whose rank no other document has ends there.
-2. Ranks at the threshold, as pairs at a growing offset, of the positions whose window's sample
-   is left. A position goes if a smaller document holds its rank.
+2. Ranks of what is left over all windows that hold the sample. A smaller document with the same
+   rank covers them all at once, and the sample ends there.
+3. The first documents of those ranks, sorted by their rank at the first length once more: what is
+   now unique to one document ends.
+4. Ranks at the threshold, as pairs at an offset, of each position whose window's sample is left.
+   A position goes if a smaller document holds its rank.
 
 Before each sort the mapper settles what it can see among its own rows and sends one document's
 rows for each rank, so a string that stands in every document gives no more rows than there are
 map tasks. Documents that are whole copies of a smaller one are found by digest and leave the work
-before the second sort. Matches never cross documents. Ranks are 64 bits: the chance of one false
+after the first sort. Matches never cross documents. Ranks are 64 bits: the chance of one false
 match among n distinct strings is about n * n / 2**65.
 """
 
@@ -26,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, stored, text_chunks
+from .common import discard, mixed, stored, text_chunks
 
 THRESHOLD = 50
 FLUSH = 1_500_000
@@ -99,7 +103,7 @@ def _sort_rows(keys, docs, kinds, *more):
     import pyarrow as pa
 
     cols = [pa.array(keys.view(np.int64)), pa.array(docs), pa.array(kinds), *map(pa.array, more)]
-    return pa.RecordBatch.from_arrays(cols, names=["key", "doc_id", "kind", "pos"][: len(cols)])
+    return pa.RecordBatch.from_arrays(cols, names=["key", "doc_id", "kind", "pos", "rank"][: len(cols)])
 
 
 SETTLED, OPEN, SHOWN = 1, 0, 2
@@ -114,19 +118,22 @@ def _by_rank(rank, doc):
     return order, rank, doc, at, np.minimum.reduceat(doc, at)[group], np.maximum.reduceat(doc, at)[group]
 
 
+def _shown(ranks, docs):
+    """Rows that tell which ranks more than one document has. A rank of two documents here is
+    settled for both: their rows go under keys of their own, and one of them is shown under the
+    rank for other mappers' rows."""
+    _, rank, doc, at, low, high = _by_rank(np.concatenate(ranks), np.concatenate(docs))
+    known = low < high
+    head = np.zeros(len(rank), bool)
+    head[at] = True
+    kind = np.where(known, np.where(head, SHOWN, SETTLED), OPEN).astype(np.int8)
+    keep = known | head
+    key = np.where(kind == SETTLED, rank ^ mixed(doc.astype(np.uint64)), rank)
+    return _sort_rows(key[keep], doc[keep], kind[keep])
+
+
 def _first_rows(threshold: int):
-    """Rows for the first sort. A rank of two documents here is settled for both: their rows go
-    under keys of their own, and one of them is shown under the rank for other mappers' rows."""
-
-    def flush(ranks, docs):
-        _, rank, doc, at, low, high = _by_rank(np.concatenate(ranks), np.concatenate(docs))
-        known = low < high
-        head = np.zeros(len(rank), bool)
-        head[at] = True
-        kind = np.where(known, np.where(head, SHOWN, SETTLED), OPEN).astype(np.int8)
-        keep = known | head
-        key = np.where(kind == SETTLED, rank ^ mixed(doc.astype(np.uint64)), rank)
-        return _sort_rows(key[keep], doc[keep], kind[keep])
+    """Rows for the first sort, from (doc_id, text)."""
 
     def run(batches):
         powers, first = _Powers(), lengths(threshold)[0]
@@ -142,14 +149,28 @@ def _first_rows(threshold: int):
                 docs.append(ids[i + np.searchsorted(offsets, where, "right") - 1])
                 held += len(where)
                 if held > FLUSH:
-                    yield flush(ranks, docs)
+                    yield _shown(ranks, docs)
                     ranks, docs, held = [], [], 0
         if held:
-            yield flush(ranks, docs)
+            yield _shown(ranks, docs)
 
     return run
 
 
+def _third_rows(batches):
+    """Rows for the third sort, from (doc_id, rank)."""
+    ranks, docs, held = [], [], 0
+    for batch in batches:
+        docs.append(batch.column(0).to_numpy())
+        ranks.append(batch.column(1).to_numpy().view(np.uint64))
+        held += batch.num_rows
+        if held > FLUSH:
+            yield _shown(ranks, docs)
+            ranks, docs, held = [], [], 0
+    if held:
+        yield _shown(ranks, docs)
+
+
 def _whole_groups(batches):
     """Sorted rows as arrays, cut only between keys."""
     import pyarrow as pa
@@ -190,47 +211,95 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(rank.view(np.int64))], names=["doc_id", "rank"])
 
 
+def _chosen(batches, threshold: int):
+    """From (doc_id, text, ranks that are shared): for each run of texts its ids, its ranks, its
+    starts' samples and which of them have a shared rank."""
+    powers, (first, _, _) = _Powers(), lengths(threshold)
+    for batch in batches:
+        ids, shared = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+        for i, offsets, data in text_chunks(batch.column(1), 1 << 20):
+            r = Ranks(offsets, data, powers, threshold)
+            own = shared.slice(i, len(offsets) - 1)
+            # Which document has which rank: both in one number, told apart well enough to choose
+            # candidates; a false one only costs a row.
+            flat = own.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            index = np.repeat(np.arange(len(own)), own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            tag = lambda d: mixed(d.astype(np.uint64) + np.uint64(1))
+            have = np.unique(flat ^ tag(index))
+            sample = r.samples()
+            want = r.at(first, sample) ^ tag(r.doc)
+            spot = np.minimum(np.searchsorted(have, want), max(len(have) - 1, 0))
+            yield ids[i : i + len(own)], r, sample, have[spot] == want if len(have) else np.zeros(len(want), bool)
+
+
+def _settle(rank, doc, place):
+    """(order, key, kind): what a smaller document of this mapper covers is settled, under a key of
+    its own; the smallest document's rows go under their rank."""
+    order, rank, doc, _, low, _ = _by_rank(rank, doc)
+    gone = doc > low
+    key = np.where(gone, mixed(doc.astype(np.uint64)) ^ mixed(place[order].astype(np.uint64)), rank)
+    return order, doc, key, np.where(gone, SETTLED, OPEN).astype(np.int8)
+
+
 def _second_rows(threshold: int):
-    """Rows for the second sort: (doc_id, text, ranks that are shared). A position that a smaller
-    document of this mapper covers is settled; those of the smallest go under their rank."""
+    """Rows for the second sort: samples with the rank of all their windows together."""
+    first, width, _ = lengths(threshold)
 
-    def flush(ranks, docs, places):
-        order, rank, doc, _, low, _ = _by_rank(np.concatenate(ranks), np.concatenate(docs))
-        place = np.concatenate(places)[order]
-        gone = doc > low
-        key = np.where(gone, mixed(doc.astype(np.uint64)) ^ mixed(place.astype(np.uint64)), rank)
-        return _sort_rows(key, doc, np.where(gone, SETTLED, OPEN).astype(np.int8), place.astype(np.int32))
+    def flush(parts):
+        rank, doc, place, short = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, doc, key, kind = _settle(rank, doc, place)
+        return _sort_rows(key, doc, kind, place[order].astype(np.int32), short[order].view(np.int64))
 
     def run(batches):
-        powers, (first, _, _) = _Powers(), lengths(threshold)
-        half = -(-threshold // 2)
-        ranks, docs, places, held = [], [], [], 0
-        for batch in batches:
-            ids, shared = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
-            for i, offsets, data in text_chunks(batch.column(1), 1 << 20):
-                r = Ranks(offsets, data, powers, threshold)
-                own = shared.slice(i, len(offsets) - 1)
-                # Which document has which rank: both in one number, told apart well enough to
-                # choose candidates; a false one only costs a row.
-                flat = own.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                index = np.repeat(np.arange(len(own)), own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                tag = lambda d: mixed(d.astype(np.uint64) + np.uint64(1))
-                have = np.unique(flat ^ tag(index))
-                sample = r.samples()
-                want = r.at(first, sample) ^ tag(r.doc)
-                spot = np.minimum(np.searchsorted(have, want), max(len(have) - 1, 0))
-                at = r.starts[have[spot] == want] if len(have) else r.starts[:0]
-                index = np.searchsorted(offsets, at, "right") - 1
-                pair = r.at(half, at) * np.uint64(_BASE) + r.at(half, at + threshold - half)
-                ranks.append(mixed(pair))
-                docs.append(ids[i + index])
-                places.append(at - offsets[index])
-                held += len(at)
-                if held > FLUSH:
-                    yield flush(ranks, docs, places)
-                    ranks, docs, places, held = [], [], [], 0
+        parts, held = [], 0
+        for ids, r, sample, ok in _chosen(batches, threshold):
+            at = np.unique(sample[ok])
+            index = np.searchsorted(r.offsets, at, "right") - 1
+            low = np.maximum(r.offsets[index], at - width + 1)
+            high = np.minimum(r.offsets[index + 1], at + threshold)
+            rank = (r.sums[high] - r.sums[low]) * r.down[low] + mixed((at - low).astype(np.uint64) << np.uint64(32) | (high - low).astype(np.uint64))
+            parts.append((mixed(rank), ids[index], at - r.offsets[index], r.at(first, at)))
+            held += len(at)
+            if held > FLUSH:
+                yield flush(parts)
+                parts, held = [], 0
         if held:
-            yield flush(ranks, docs, places)
+            yield flush(parts)
+
+    return run
+
+
+def _wide(batches):
+    """(doc_id, pos, rank): rank is null where a smaller document covers the sample's windows."""
+    import pyarrow as pa
+
+    for key, doc, kind, pos, rank in _whole_groups(batches):
+        low, _ = _low_high(key, doc, kind)
+        gone = (kind == SETTLED) | (doc > low)
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(pos), pa.array(rank, mask=gone)], names=["doc_id", "pos", "rank"])
+
+
+def _fourth_rows(threshold: int):
+    """Rows for the fourth sort: positions with their rank at the threshold."""
+    half = -(-threshold // 2)
+
+    def flush(parts):
+        rank, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, doc, key, kind = _settle(rank, doc, place)
+        return _sort_rows(key, doc, kind, place[order].astype(np.int32))
+
+    def run(batches):
+        parts, held = [], 0
+        for ids, r, _, ok in _chosen(batches, threshold):
+            at, index = r.starts[ok], r.doc[ok]
+            pair = r.at(half, at) * np.uint64(_BASE) + r.at(half, at + threshold - half)
+            parts.append((mixed(pair), ids[index], at - r.offsets[index]))
+            held += len(at)
+            if held > FLUSH:
+                yield flush(parts)
+                parts, held = [], 0
+        if held:
+            yield flush(parts)
 
     return run
 
@@ -245,7 +314,33 @@ def _covered(batches):
         yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(pos[keep])], names=["doc_id", "pos"])
 
 
-def _apply(threshold: int):
+def _spans(place: np.ndarray, n: int, threshold: int) -> list[list[int]]:
+    """[start, end) of the maximal runs that go, from what covered() says of a text of n bytes."""
+    wide = ~place[place < 0]
+    low = np.concatenate([place[place >= 0], np.maximum(wide - lengths(threshold)[1] + 1, 0)])
+    high = np.concatenate([place[place >= 0] + threshold, np.minimum(wide + threshold, n)])
+    order = np.argsort(low, kind="stable")
+    low, high = low[order], np.maximum.accumulate(high[order])
+    new = np.flatnonzero(np.r_[True, low[1:] > high[:-1]])
+    return np.c_[low[new], high[np.r_[new[1:] - 1, len(low) - 1]]].tolist()
+
+
+def _cut(text: str | None, place, copy: bool, threshold: int):
+    """(bytes, what is left of them, spans) of one text."""
+    data = (text or "").encode()
+    n = len(data)
+    spans: list[list[int]] = []
+    if copy and n >= threshold:
+        spans = [[0, n]]
+    elif place.is_valid and len(place):
+        spans = _spans(place.values.to_numpy(zero_copy_only=False).astype(np.int64), n, threshold)
+    if not spans:
+        return data, data, spans
+    ends = [0, *(e for _, e in spans)]
+    return data, b"".join(data[a:b] for a, b in zip(ends, [*(s for s, _ in spans), n], strict=True)), spans
+
+
+def _digests(threshold: int):
     def run(batches):
         import pyarrow as pa
 
@@ -253,22 +348,8 @@ def _apply(threshold: int):
             out: list[tuple] = []
             ids, texts, places, copies = (batch.column(i) for i in range(4))
             for doc, text, place, copy in zip(ids.to_pylist(), texts, places, copies.to_pylist(), strict=True):
-                data = (text.as_py() or "").encode()
-                n = len(data)
-                spans: list[list[int]] = []
-                if copy and n >= threshold:
-                    spans = [[0, n]]
-                elif place.is_valid:
-                    at = np.unique(place.values.to_numpy(zero_copy_only=False).astype(np.int64))
-                    if len(at):
-                        new = np.flatnonzero(np.r_[True, np.diff(at) > threshold])
-                        spans = np.c_[at[new], at[np.r_[new[1:] - 1, len(at) - 1]] + threshold].tolist()
-                if spans:
-                    ends = [0, *(e for _, e in spans)]
-                    kept = b"".join(data[a:b] for a, b in zip(ends, [*(s for s, _ in spans), n], strict=True))
-                else:
-                    kept = data
-                out.append((doc, n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), spans))
+                data, kept, spans = _cut(text.as_py(), place, copy, threshold)
+                out.append((doc, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), spans))
             cols = list(zip(*out, strict=True)) or [[]] * 6
             types = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.list_(pa.int64()))]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
@@ -277,60 +358,79 @@ def _apply(threshold: int):
     return run
 
 
-def _cut(batches):
-    """Texts without their spans. A character that is cut in part goes as a whole."""
-    import pyarrow as pa
+def _kept_texts(threshold: int):
+    def run(batches):
+        import pyarrow as pa
 
-    for batch in batches:
-        texts, spans = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-        out = []
-        for text, own in zip(texts, spans, strict=True):
-            text, own = text.as_py(), own.as_py()
-            if own:
-                data = text.encode()
-                ends = [0, *(e for _, e in own)]
-                text = b"".join(data[a:b] for a, b in zip(ends, [*(s for s, _ in own), len(data)], strict=True)).decode(errors="ignore")
-            out.append(text)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.string())], names=[*batch.schema.names[:-2], "text"])
-
-
-def covered_starts(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Two stored tables: copies (doc_id of texts equal to a smaller document's), and starts
-    (doc_id, pos) of strings that also start in a smaller document, for the other documents."""
+        for batch in batches:
+            texts, places, copies = batch.columns[-3:]
+            out = []
+            for text, place, copy in zip(texts, places, copies.to_pylist(), strict=True):
+                text = text.as_py()
+                data, kept, _ = _cut(text, place, copy, threshold)
+                out.append(text if len(kept) == len(data) else kept.decode(errors="ignore"))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(out, pa.string())], names=[*batch.schema.names[:-3], "text"])
+
+    return run
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key")
+
+
+def _with_ranks(docs: DataFrame, ranks: DataFrame) -> DataFrame:
+    return docs.join(ranks.groupBy("doc_id").agg(F.collect_set("rank").alias("ranks")), "doc_id")
+
+
+def covered(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Two stored tables: copies (doc_id of texts equal to a smaller document's), and, for the
+    other documents, (doc_id, pos) of strings that also start in a smaller document. A pos below
+    zero, -1 - s, says it of all strings that hold the sample at s."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     digest = docs.select("doc_id", F.xxhash64("text").alias("d1"), F.xxhash64("text", F.lit(1)).alias("d2"))
     firsts = digest.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     firsts = firsts.where("first < last").select("d1", "d2", "first")
     copies = stored(digest.join(firsts, ["d1", "d2"]).where("doc_id > first").select("doc_id").distinct(), "copies")
 
-    rows = docs.mapInArrow(_first_rows(threshold), "key long, doc_id long, kind byte")
-    sorted_ = rows.repartition("key").sortWithinPartitions("key")
-    shared = stored(sorted_.mapInArrow(_shared, "doc_id long, rank long"), "shared")
+    rows, open_ = "key long, doc_id long, kind byte", "doc_id long, rank long"
+    one = _sorted(docs.mapInArrow(_first_rows(threshold), rows)).mapInArrow(_shared, open_)
+    one = stored(one.join(copies, "doc_id", "left_anti"), "shared")
 
-    own = shared.join(copies, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_set("rank").alias("ranks"))
-    rows = docs.join(own, "doc_id").mapInArrow(
-        _second_rows(threshold), "key long, doc_id long, kind byte, pos int"
-    )
-    sorted_ = rows.repartition("key").sortWithinPartitions("key")
-    return copies, stored(sorted_.mapInArrow(_covered, "doc_id long, pos int"), "covered")
+    two = _with_ranks(docs, one).mapInArrow(_second_rows(threshold), f"{rows}, pos int, rank long")
+    two = stored(_sorted(two).mapInArrow(_wide, "doc_id long, pos int, rank long"), "wide")
+    discard(one)
+
+    left = two.where("rank is not null").select("doc_id", "rank")
+    three = stored(_sorted(left.mapInArrow(_third_rows, rows)).mapInArrow(_shared, open_), "shared-still")
+
+    four = _with_ranks(docs, three).mapInArrow(_fourth_rows(threshold), f"{rows}, pos int")
+    four = _sorted(four).mapInArrow(_covered, "doc_id long, pos int")
+    wide = two.where("rank is null").select("doc_id", (-1 - F.col("pos")).alias("pos"))
+    four = stored(four.unionByName(wide), "covered")
+    discard(two, three)
+    return copies, four
+
+
+def _judged(docs: DataFrame, threshold: int) -> DataFrame:
+    """docs, text last, with what covered() says of each row: _places and _copy."""
+    copies, places = covered(docs, threshold)
+    places = places.groupBy("doc_id").agg(F.collect_list("pos").alias("_places"))
+    marks = copies.withColumn("_copy", F.lit(True))
+    joined = docs.join(places, "doc_id", "left").join(marks, "doc_id", "left")
+    rest = [c for c in docs.columns if c != "text"]
+    return joined.select(*rest, "text", "_places", F.coalesce("_copy", F.lit(False)).alias("_copy"))
 
 
 def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """One row for each row of docs: (doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans).
     Texts are UTF-8 bytes, null is empty. A byte goes if a string of threshold bytes over it also
-    starts in a document of smaller doc_id, as the input has it; rows of one doc_id never remove
-    each other's bytes. spans are [start, end) of the maximal removed runs. Shorter and empty texts
-    stay; an empty table gives no rows; other columns are ignored."""
-    copies, starts = covered_starts(docs, threshold)
-    starts = starts.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
-    joined = (
-        docs.select(F.col("doc_id").cast("long"), "text")
-        .join(starts, "doc_id", "left")
-        .join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
-        .select("doc_id", "text", "places", F.coalesce("copy", F.lit(False)).alias("copy"))
-    )
-    return joined.mapInArrow(
-        _apply(threshold),
+    starts in a document of smaller doc_id, as the input has it; rows of one doc_id, which are
+    taken to be one document come again, never remove each other's bytes. spans are [start, end)
+    of the maximal removed runs. Shorter and empty texts stay; an empty table gives no rows; other
+    columns are ignored."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _judged(docs, threshold).mapInArrow(
+        _digests(threshold),
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string,"
         " spans array<array<long>>",
     )
@@ -339,11 +439,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 def without_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """docs with the repeated bytes taken out of text and n_chars set anew, all rows and columns
     kept. A character of which a byte goes is taken out whole; null texts stay null."""
-    spans = stored(remove_repeats(docs, threshold).where("n_removed > 0").select("doc_id", "spans"), "spans")
-    spans = spans.dropDuplicates(["doc_id"])
-    plain = docs.join(spans.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
     rest = [c for c in docs.columns if c != "text"]
-    joined = docs.join(spans, "doc_id").select(*rest, docs["text"], "spans")
-    schema = docs.select(*rest, "text").schema
-    cut = joined.mapInArrow(_cut, schema).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return plain.unionByName(cut.select(docs.columns))
+    cut = _judged(docs, threshold).mapInArrow(_kept_texts(threshold), docs.select(*rest, "text").schema)
+    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return cut.withColumn("n_chars", n_chars).select(docs.columns)
