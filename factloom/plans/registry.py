@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from factloom.plans import core, relational
+from factloom.plans import core, relational, rules
 
 FLAGSHIP = "slice_findings"
-MODULES = (core, relational)
+MODULES = (core, relational, rules)
 
 
 def queries() -> dict:
