@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from factloom.plans import core, relational, rules
+from factloom.plans import core, history, logs, relational, resources, rules
 
 FLAGSHIP = "slice_findings"
-MODULES = (core, relational, rules)
+MODULES = (core, relational, rules, history, logs, resources)
 
 
 def queries() -> dict:
