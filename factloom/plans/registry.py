@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from factloom.plans import core, history, logs, relational, resources, rules
+from factloom.plans import core, domains, history, logs, relational, resources, rules
 
 FLAGSHIP = "slice_findings"
-MODULES = (core, relational, rules, history, logs, resources)
+MODULES = (core, relational, rules, history, logs, resources, domains)
 
 
 def queries() -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import functions as F
 
 from factloom.model import severity_name, severity_rank, view
@@ -343,3 +345,20 @@ REFS = "SELECT CAST(l_suppkey AS STRING) AS node, CASE WHEN l_tax > 0.04 THEN l_
   SELECT r.node, domain, refs, coalesce(declared, 0) AS declared, coalesce(implicit, 0) AS implicit FROM r LEFT JOIN d ON r.node = d.node""")
 def r8_blast_radius(spark, sf):
     return g.blast_radius(view(spark, sf, NEEDS), view(spark, sf, REFS))
+
+
+@plan(f"{E} SELECT fact_id, value FROM e WHERE kind = 'click' AND value > 40")
+def i1_incremental(spark, sf):
+    """The facts arrive as two halves; what the stream has appended is the query over all."""
+    import uuid
+
+    from factloom.streaming.incremental import start
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='factloom-')}"
+    at = f"{base}/incremental-{uuid.uuid4().hex}"
+    facts = events(spark, sf)
+    spec = q.QuerySpec(scan="click", filters=[("value", ">", 40)], project=["fact_id", "value"])
+    for half in (0, 1):
+        facts.where(F.col("fact_id") % 2 == half).write.mode("append").parquet(f"{at}/facts")
+        start(spark, spec, f"{at}/facts", facts.schema, f"{at}/out", f"{at}/state").awaitTermination()
+    return spark.read.schema("fact_id long, value double").parquet(f"{at}/out")
