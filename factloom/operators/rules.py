@@ -130,12 +130,36 @@ def evaluate(rule: Rule, facts: DataFrame) -> DataFrame:
     return _finding(df, rule, F.col("a_fact_id").cast("string"), F.concat(F.array("a_fact_id"), F.col("_e")), F.array("a_subject"))
 
 
+def evaluate_facts(rules: list[Rule], facts: DataFrame) -> DataFrame:
+    """The findings of rules of kind fact, all of them in one pass: each fact is tried against the
+    rules of its kind."""
+    own = facts.where(F.col("kind").isin(sorted({k for r in rules for k in r.inputs})))
+    tried = [
+        F.when(
+            F.col("kind").isin(*r.inputs) & F.expr(r.where),
+            F.struct(
+                F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"),
+                rendered(own, r.title or r.id).alias("title"), default_confidence(F.lit(r.category)).alias("confidence"),
+                F.array(*map(F.lit, r.tags)).cast("array<string>").alias("tags"), F.lit(r.version).alias("rule_version"),
+            ),
+        )
+        for r in rules
+    ]
+    hit = own.select("fact_id", "subject", F.explode(F.array_compact(F.array(*tried))).alias("r"))
+    return hit.select(
+        F.concat_ws(":", "r.rule_id", "fact_id").alias("finding_id"), "r.rule_id", "r.severity", "r.category", "r.title", "r.confidence",
+        F.array("fact_id").alias("evidence"), resolved(F.array("subject")).alias("affects"), "r.tags", "r.rule_version",
+    )
+
+
 def run_pack(rules: list[Rule], facts: DataFrame) -> DataFrame:
     """All findings of a pack, legacy rules capped."""
-    out = None
-    for r in rules:
-        one = evaluate(r, facts)
-        out = one if out is None else out.unionByName(one)
+    plain = [r for r in rules if r.kind == "fact"]
+    found = [evaluate_facts(plain, facts)] if plain else []
+    found += [evaluate(r, facts) for r in rules if r.kind != "fact"]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
     return legacy_capped(out)
 
 
