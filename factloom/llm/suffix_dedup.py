@@ -62,10 +62,17 @@ class Ranks:
         up, self.down = powers.upto(self.n + 1)
         self.sums = np.zeros(self.n + 1, np.uint64)
         np.cumsum(_TABLE[data] * up[: self.n], out=self.sums[1:])
-        room = np.maximum(np.diff(offsets) - threshold + 1, 0)
-        #: Where a string of the threshold's length starts, and its document's index.
-        self.doc = np.repeat(np.arange(len(room)), room)
-        self.starts = np.arange(len(self.doc)) + np.repeat(offsets[:-1] - (np.cumsum(room) - room), room)
+        #: Where a string of the threshold's length starts.
+        fits = np.ones(self.n, bool)
+        for end in offsets[1:].tolist():
+            fits[max(end - threshold + 1, 0) : end] = False
+        for i in np.flatnonzero(np.diff(offsets) < threshold).tolist():
+            fits[offsets[i] : offsets[i + 1]] = False
+        self.starts = np.flatnonzero(fits)
+
+    def doc(self, where: np.ndarray) -> np.ndarray:
+        """The indices of the documents of some positions."""
+        return np.searchsorted(self.offsets, where, "right") - 1
 
     def at(self, length: int, where: np.ndarray | None = None) -> np.ndarray:
         if where is None:
@@ -78,14 +85,17 @@ class Ranks:
         first, width, few = lengths(self.threshold)
         if not len(self.starts):
             return self.starts
-        least = (self.at(few) & np.uint64(0xFFFFFFFF00000000)) | np.arange(self.n + 1 - few, dtype=np.uint64)
+        least = (self.sums[few:] - self.sums[: self.n + 1 - few]) * self.down[: self.n + 1 - few]
+        least *= np.uint64(0xC4CEB9FE1A85EC53)
+        least &= np.uint64(0xFFFFFFFF00000000)
+        least |= np.arange(self.n + 1 - few, dtype=np.uint64)
         span, done = self.threshold - few + 1, 1
         while done < span:
             step = min(done, span - done)
             least = np.minimum(least[:-step], least[step:])
             done += step
-        place = (least[self.starts] & np.uint64(0xFFFFFFFF)).astype(np.int64) - self.starts
-        return self.starts + place % width
+        place = (least[self.starts] & np.uint64(0xFFFFFFFF)).view(np.int64) - self.starts
+        return self.starts + (np.arange(span) % width)[place]
 
 
 def lengths(threshold: int) -> tuple[int, int, int]:
@@ -110,7 +120,7 @@ SETTLED, OPEN, SHOWN = 1, 0, 2
 
 
 def _by_rank(rank, doc):
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     rank, doc = rank[order], doc[order]
     new = np.r_[True, rank[1:] != rank[:-1]]
     at = np.flatnonzero(new)
@@ -122,14 +132,22 @@ def _shown(ranks, docs):
     """Rows that tell which ranks more than one document has. A rank of two documents here is
     settled for both: their rows go under keys of their own, and one of them is shown under the
     rank for other mappers' rows."""
-    _, rank, doc, at, low, high = _by_rank(np.concatenate(ranks), np.concatenate(docs))
+    rank, doc = np.concatenate(ranks), np.concatenate(docs)
+    order = np.argsort(rank)
+    rank, doc = rank[order], doc[order]
+    new = np.r_[True, rank[1:] != rank[:-1]]
+    many = ~(new & np.r_[new[1:], True])
+    alone = _sort_rows(rank[~many], doc[~many], np.zeros(len(rank) - many.sum(), np.int8))
+    if not many.any():
+        return [alone]
+    _, rank, doc, at, low, high = _by_rank(rank[many], doc[many])
     known = low < high
     head = np.zeros(len(rank), bool)
     head[at] = True
     kind = np.where(known, np.where(head, SHOWN, SETTLED), OPEN).astype(np.int8)
     keep = known | head
     key = np.where(kind == SETTLED, rank ^ mixed(doc.astype(np.uint64)), rank)
-    return _sort_rows(key[keep], doc[keep], kind[keep])
+    return [alone, _sort_rows(key[keep], doc[keep], kind[keep])]
 
 
 def _first_rows(threshold: int):
@@ -140,19 +158,19 @@ def _first_rows(threshold: int):
         ranks, docs, held = [], [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, offsets, data in text_chunks(batch.column(1), 1 << 20):
+            for i, offsets, data in text_chunks(batch.column(1), 1 << 18):
                 r = Ranks(offsets, data, powers, threshold)
                 hit = np.zeros(r.n + 1, bool)
                 hit[r.samples()] = True
                 where = np.flatnonzero(hit)
                 ranks.append(r.at(first, where))
-                docs.append(ids[i + np.searchsorted(offsets, where, "right") - 1])
+                docs.append(ids[i + r.doc(where)])
                 held += len(where)
                 if held > FLUSH:
-                    yield _shown(ranks, docs)
+                    yield from _shown(ranks, docs)
                     ranks, docs, held = [], [], 0
         if held:
-            yield _shown(ranks, docs)
+            yield from _shown(ranks, docs)
 
     return run
 
@@ -165,10 +183,10 @@ def _third_rows(batches):
         ranks.append(batch.column(1).to_numpy().view(np.uint64))
         held += batch.num_rows
         if held > FLUSH:
-            yield _shown(ranks, docs)
+            yield from _shown(ranks, docs)
             ranks, docs, held = [], [], 0
     if held:
-        yield _shown(ranks, docs)
+        yield from _shown(ranks, docs)
 
 
 def _whole_groups(batches):
@@ -217,7 +235,7 @@ def _chosen(batches, threshold: int):
     powers, (first, _, _) = _Powers(), lengths(threshold)
     for batch in batches:
         ids, shared = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
-        for i, offsets, data in text_chunks(batch.column(1), 1 << 20):
+        for i, offsets, data in text_chunks(batch.column(1), 1 << 18):
             r = Ranks(offsets, data, powers, threshold)
             own = shared.slice(i, len(offsets) - 1)
             # Which document has which rank: both in one number, told apart well enough to choose
@@ -227,9 +245,12 @@ def _chosen(batches, threshold: int):
             tag = lambda d: mixed(d.astype(np.uint64) + np.uint64(1))
             have = np.unique(flat ^ tag(index))
             sample = r.samples()
-            want = r.at(first, sample) ^ tag(r.doc)
+            # Neighbouring starts share their sample.
+            head = np.flatnonzero(np.r_[True, sample[1:] != sample[:-1]][: len(sample)])
+            want = r.at(first, sample[head]) ^ tag(r.doc(sample[head]))
             spot = np.minimum(np.searchsorted(have, want), max(len(have) - 1, 0))
-            yield ids[i : i + len(own)], r, sample, have[spot] == want if len(have) else np.zeros(len(want), bool)
+            ok = have[spot] == want if len(have) else np.zeros(len(want), bool)
+            yield ids[i : i + len(own)], r, sample, np.repeat(ok, np.diff(np.r_[head, len(sample)]))
 
 
 def _settle(rank, doc, place):
@@ -254,7 +275,7 @@ def _second_rows(threshold: int):
         parts, held = [], 0
         for ids, r, sample, ok in _chosen(batches, threshold):
             at = np.unique(sample[ok])
-            index = np.searchsorted(r.offsets, at, "right") - 1
+            index = r.doc(at)
             low = np.maximum(r.offsets[index], at - width + 1)
             high = np.minimum(r.offsets[index + 1], at + threshold)
             rank = (r.sums[high] - r.sums[low]) * r.down[low] + mixed((at - low).astype(np.uint64) << np.uint64(32) | (high - low).astype(np.uint64))
@@ -291,7 +312,8 @@ def _fourth_rows(threshold: int):
     def run(batches):
         parts, held = [], 0
         for ids, r, _, ok in _chosen(batches, threshold):
-            at, index = r.starts[ok], r.doc[ok]
+            at = r.starts[ok]
+            index = r.doc(at)
             pair = r.at(half, at) * np.uint64(_BASE) + r.at(half, at + threshold - half)
             parts.append((mixed(pair), ids[index], at - r.offsets[index]))
             held += len(at)
