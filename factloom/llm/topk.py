@@ -36,27 +36,27 @@ class Lists:
     def top(self, query: np.ndarray, own: int, k: int, depths: np.ndarray, bounds: np.ndarray):
         """Ids and scores of the k best of this block but own; also how many were scored."""
         n = len(self.ids)
-        seen = np.zeros(n, bool)
+        seen, had = np.zeros(n, bool), np.zeros(n, bool)
         up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
-        met, scores, at = np.zeros(0, np.int64), np.zeros(0, self.rows.dtype), 0
+        met, scores, at, best = np.zeros(0, np.int64), np.zeros(0, self.rows.dtype), 0, -np.inf
         for depth, bound in zip(depths.tolist(), bounds, strict=True):
-            new = np.zeros(n, bool)
-            new[self.order[at:depth, up]] = True
-            new[self.order[n - depth : n - at, down]] = True
-            new &= ~seen
+            seen[self.order[at:depth, up]] = True
+            seen[self.order[n - depth : n - at, down]] = True
             if depth == n:
-                new = ~seen  # a query of zeros has no list
-            seen |= new
-            fresh = np.flatnonzero(new)
-            met = np.concatenate([met, fresh])
-            scores = np.concatenate([scores, self.rows[fresh] @ query])
-            at = depth
-            ok = self.ids[met] != own
-            if ok.sum() >= k and bound < np.partition(scores[ok], -k)[-k]:
+                seen[:] = True  # a query of zeros has no list
+            fresh = np.flatnonzero(seen & ~had)
+            # Many at once are scored in one sweep over the rows that the block holds anyway.
+            own_scores = (self.rows @ query)[fresh] if 2 * len(fresh) > n else self.rows[fresh] @ query
+            fine = self.ids[fresh] != own
+            met, scores = np.concatenate([met, fresh[fine]]), np.concatenate([scores, own_scores[fine]])
+            at, had = depth, seen.copy()
+            if len(met) >= k:
+                best = np.partition(scores, -k)[-k]
+                met, scores = met[scores >= best], scores[scores >= best]
+            if bound < best or had.all():
                 break
-        met, scores = met[ok], scores[ok]
-        best = np.lexsort((self.ids[met], -scores))[:k]
-        return self.ids[met[best]], scores[best], len(met)
+        order = np.lexsort((self.ids[met], -scores))[:k]
+        return self.ids[met[order]], scores[order], int(had.sum())
 
 
 def whole_rows(column, dims: int) -> np.ndarray:
@@ -80,7 +80,7 @@ def _meet(k: int):
         kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
         lists = Lists(left["vec_id"].to_numpy(), rows.astype(kind))
         queries, n = queries.astype(kind), len(left)
-        depths = np.unique(np.minimum(n, [n] + [k << s for s in range(n.bit_length())]))
+        depths = np.unique(np.minimum(n, [n] + [k << 2 * s for s in range(n.bit_length())]))
         bounds = lists.bounds(queries, depths)
         out = []
         for i, own in enumerate(right["vec_id"].tolist()):
