@@ -1,12 +1,14 @@
 """Each registered query against its SQL in DuckDB, over the smallest tables."""
 
+import os
+
 import duckdb
 import pytest
 
 from factloom.model import TABLES
 from factloom.plans import registry
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("FACTLOOM_SF", "/root/testdata/sf0.001")
 ORACLE, QUERIES = registry.oracle_sql(), registry.queries()
 
 
