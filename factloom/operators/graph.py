@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -103,3 +104,30 @@ def blast_radius(edges: DataFrame, references: DataFrame) -> DataFrame:
     )
     by = references.groupBy("node", F.coalesce("domain", F.lit("resource")).alias("domain")).agg(F.count(F.lit(1)).alias("refs"))
     return by.join(d, "node", "left").select("node", "domain", "refs", F.coalesce("declared", F.lit(0)).alias("declared"), F.coalesce("implicit", F.lit(0)).alias("implicit"))
+
+
+def evidence_links(mods: DataFrame, dependencies: DataFrame, nested: DataFrame, runtime: DataFrame, owned: DataFrame) -> DataFrame:
+    """(link, source, target, ordinal, fact_id), without repeats. mods: (fact_id, file, id);
+    dependencies: (fact_id, file, id, dep), tied to the mod of the same file, or to the only one of
+    that id; nested: (fact_id, file, inner); runtime: (fact_id, event, throwable); owned: (fact_id,
+    id, method). Mods of one file are numbered from 0."""
+    cols = ("link", "source", "target", "ordinal", "fact_id")
+    number = F.row_number().over(W.partitionBy("file").orderBy("fact_id")) - 1
+    contains = mods.select(F.lit("contains").alias("link"), F.col("file").alias("source"), F.col("id").alias("target"), number.alias("ordinal"), "fact_id")
+    here = mods.select("file", "id").distinct()
+    only = here.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select("id", F.lit(True).alias("_only"))
+    same = here.withColumn("_same", F.lit(True))
+    tied = dependencies.join(same, ["file", "id"], "left").join(only, "id", "left").where("_same or _only")
+    plain = lambda df, link, a, b: df.select(F.lit(link).alias("link"), F.col(a).alias("source"), F.col(b).alias("target"), F.lit(0).alias("ordinal"), "fact_id")
+    out = contains.unionByName(plain(tied, "declares", "id", "dep")).unionByName(plain(nested, "embeds", "file", "inner"))
+    out = out.unionByName(plain(runtime, "observed-in", "throwable", "event")).unionByName(plain(owned, "owns", "id", "method"))
+    return out.select(*cols).where("source is not null and target is not null").distinct()
+
+
+def evidence_paths(evidence: DataFrame, links: DataFrame, most: int = 256) -> DataFrame:
+    """(finding_id, link, source, target, n_links, truncated): the links whose fact a finding
+    cites, the first `most` of them."""
+    met = evidence.select("finding_id", "fact_id").distinct().join(links, "fact_id")
+    order = W.partitionBy("finding_id").orderBy("link", "source", "target", "ordinal", "fact_id")
+    met = met.withColumns({"_r": F.row_number().over(order), "n_links": F.count(F.lit(1)).over(W.partitionBy("finding_id"))})
+    return met.where(F.col("_r") <= most).select("finding_id", "link", "source", "target", "n_links", (F.col("n_links") > most).alias("truncated"))

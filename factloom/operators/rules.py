@@ -57,6 +57,12 @@ def rendered(df: DataFrame, template: str) -> Column:
     return F.concat(*cols) if cols else F.lit("")
 
 
+def with_settings(text: str, settings: dict) -> str:
+    """Rule text with {settings.name} as SQL literals."""
+    quote = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(x, str) else str(x)
+    return re.sub(r"\{settings\.([\w.]+)\}", lambda m: quote(settings[m[1]]), text)
+
+
 def resolved(affects: Column) -> Column:
     """What a template left unresolved names no component."""
     return F.filter(affects, lambda a: a.isNotNull() & ~F.contains(a, F.lit("{")))

@@ -3,6 +3,9 @@ attributes are value and the number in props."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from factloom.model import compared, literal, value, view
@@ -154,3 +157,35 @@ def a17_alert_rows(spark, sf):
     facts = o.select(F.col("o_orderkey").alias("fact_id"), F.lit("orders").alias("source_locator"), F.lit(None).cast("int").alias("source_line"))
     out = alert_rows(findings, evidence, facts)
     return out.select(F.col("finding_id").alias("rule_instance"), "rule_id", "level", F.size("locations").alias("n_locations"))
+
+
+def scratch(spark, name):
+    """A new folder that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='factloom-')}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+@plan(f"""WITH e AS ({EVENTS}) SELECT run_id, fact_id, kind, subject FROM e""")
+def a15_snapshot(spark, sf):
+    from factloom.sources.packages import read_snapshot, write_snapshot
+
+    facts, path = fact_tables(spark, sf)[0], scratch(spark, "snapshot")
+    write_snapshot(facts, path)
+    return read_snapshot(spark, path, facts.schema).select("run_id", "fact_id", "kind", "subject")
+
+
+@plan(f"""WITH e AS ({EVENTS}) SELECT run_id AS run, 'hot_method' AS kind, 'c' || subject AS subject, kind AS method, value AS number FROM e WHERE kind = 'click'
+  UNION ALL SELECT run_id, 'hot_mod', subject, NULL, value FROM e WHERE kind = 'view' UNION ALL SELECT run_id, 'tick_spike', CAST(fact_id AS STRING), NULL, CAST(k AS DOUBLE) FROM e WHERE kind = 'purchase' AND k IS NOT NULL""")
+def a18_profiles(spark, sf):
+    """Each run's events as one profile report, and that read as facts."""
+    from factloom.sources.packages import read_profiles
+
+    c, path = F.col, scratch(spark, "profiles")
+    some = lambda on, *cols: F.array_compact(F.collect_list(F.when(on, F.struct(*cols))))
+    reports = view(spark, sf, EVENTS).groupBy(c("run_id").alias("run")).agg(
+        some(c("kind") == "click", F.concat(F.lit("c"), "subject").alias("class"), c("kind").alias("method"), c("value").alias("percent")).alias("methods"),
+        some(c("kind") == "view", c("subject").alias("id"), c("value").alias("percent")).alias("mods"),
+        some((c("kind") == "purchase") & c("k").isNotNull(), c("fact_id").alias("tick"), c("k").alias("ms")).alias("spikes"),
+    )
+    reports.write.json(path)
+    return read_profiles(spark, path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.model import view
 from factloom.operators import findings as fi
+from factloom.operators import graph as g
 from factloom.operators import rules as ru
 from factloom.plans.base import Plans
 from factloom.plans.relational import SEVERE
@@ -279,3 +280,52 @@ def f27_explain(spark, sf):
     df = raw(spark, sf)
     f = view(spark, sf, "SELECT event_id AS fact_id, event_type AS kind FROM events")
     return fi.explained(df.select("finding_id", "rule_id").distinct(), df.select("finding_id", "fact_id"), f, "click:7").select("finding_id", "rule_id", "fact_id", "kind")
+
+
+def _rows_of(spark, sf, kind, *cols):
+    return facts(spark, sf).where(F.col("kind") == kind).select("fact_id", *cols)
+
+
+def links(spark, sf):
+    c = F.col
+    return g.evidence_links(
+        _rows_of(spark, sf, "mod", "file", c("subject").alias("id")),
+        _rows_of(spark, sf, "mod_relationship", "file", c("subject").alias("id"), c("related").alias("dep")),
+        _rows_of(spark, sf, "coremod", "file", c("archive").alias("inner")),
+        _rows_of(spark, sf, "log_signal", c("subject").alias("event"), c("detail").alias("throwable")),
+        _rows_of(spark, sf, "mixin_overlap", c("subject").alias("id"), c("path").alias("method")),
+    )
+
+
+_LINKS = f"""WITH f AS ({FACTS}), m AS (SELECT * FROM f WHERE kind = 'mod'), sole AS (SELECT subject FROM (SELECT DISTINCT file, subject FROM m) x GROUP BY subject HAVING count(*) = 1),
+  l AS (SELECT 'contains' AS link, file AS source, subject AS target, CAST(row_number() OVER (PARTITION BY file ORDER BY fact_id) - 1 AS INTEGER) AS ordinal, fact_id FROM m
+  UNION SELECT 'declares', subject, related, 0, fact_id FROM f WHERE kind = 'mod_relationship' AND ((file, subject) IN (SELECT file, subject FROM m) OR subject IN (SELECT subject FROM sole))
+  UNION SELECT 'embeds', file, archive, 0, fact_id FROM f WHERE kind = 'coremod' UNION SELECT 'observed-in', detail, subject, 0, fact_id FROM f WHERE kind = 'log_signal'
+  UNION SELECT 'owns', subject, path, 0, fact_id FROM f WHERE kind = 'mixin_overlap')"""
+
+
+@plan(_LINKS + " SELECT link, source, target, ordinal, fact_id FROM l")
+def r10_evidence_links(spark, sf):
+    return links(spark, sf)
+
+
+@plan(_LINKS + """, e AS (SELECT 'x' || CAST(fact_id % 3 AS STRING) AS finding_id, fact_id FROM f WHERE kind IN ('mod', 'coremod', 'log_signal')),
+  r AS (SELECT finding_id, link, source, target, row_number() OVER (PARTITION BY finding_id ORDER BY link, source, target, ordinal, l.fact_id) AS r, count(*) OVER (PARTITION BY finding_id) AS n_links FROM e JOIN l ON e.fact_id = l.fact_id)
+  SELECT finding_id, link, source, target, n_links, n_links > 40 AS truncated FROM r WHERE r <= 40""")
+def r11_evidence_paths(spark, sf):
+    cited = facts(spark, sf).where("kind in ('mod', 'coremod', 'log_signal')")
+    cited = cited.select(F.concat(F.lit("x"), (F.col("fact_id") % 3).cast("string")).alias("finding_id"), "fact_id")
+    return g.evidence_paths(cited, links(spark, sf), 40)
+
+
+@plan(f"WITH f AS ({FACTS}) SELECT fact_id FROM f WHERE kind = 'sbom' AND trust_score < 60 AND (loader IN ('fabric', 'forge') OR loader IS NULL)")
+def b10_rule_expression(spark, sf):
+    """Rule text with a setting in its place."""
+    text = "kind = 'sbom' and trust_score < {settings.trust} and (loader in ('fabric', 'forge') or loader is null)"
+    return facts(spark, sf).where(F.expr(ru.with_settings(text, {"trust": 60}))).select("fact_id")
+
+
+@plan(f"WITH f AS ({FACTS}) SELECT fact_id, coalesce(file, '?') AS archive, trust_score AS score FROM f WHERE kind = 'plugin'")
+def b11_alias_fallback(spark, sf):
+    df = _rows_of(spark, sf, "plugin", "file", "trust_score").withColumnRenamed("trust_score", "score")
+    return df.select("fact_id", F.coalesce(ru.attribute(df, "archive"), F.lit("?")).alias("archive"), ru.attribute(df, "trust_score").cast("long").alias("score"))
