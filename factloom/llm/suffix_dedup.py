@@ -79,6 +79,11 @@ class Ranks:
             return mixed((self.sums[length:] - self.sums[: self.n + 1 - length]) * self.down[: self.n + 1 - length])
         return mixed((self.sums[where + length] - self.sums[where]) * self.down[where])
 
+    def pairs(self, where: np.ndarray) -> np.ndarray:
+        """Ranks at the threshold, each of the rank there and the one at an offset."""
+        half = -(-self.threshold // 2)
+        return mixed(self.at(half, where) * np.uint64(_BASE) + self.at(half, where + self.threshold - half))
+
     def samples(self) -> np.ndarray:
         """For each start, the position in its window that is sampled: the leftmost smallest hash
         of a few bytes, modulo the number of places where the first length fits."""
@@ -117,6 +122,8 @@ def _sort_rows(keys, docs, kinds, *more):
 
 
 SETTLED, OPEN, SHOWN = 1, 0, 2
+#: In a place: the document has the rank elsewhere too.
+MANY = 1 << 30
 
 
 def _by_rank(rank, doc):
@@ -254,12 +261,19 @@ def _chosen(batches, threshold: int):
 
 
 def _settle(rank, doc, place):
-    """(order, key, kind): what a smaller document of this mapper covers is settled, under a key of
-    its own; the smallest document's rows go under their rank."""
+    """(order, doc, key, kind, place) of the rows to send. What a smaller document of this mapper
+    covers is settled, under a key of its own; the smallest document's rows go under their rank,
+    and if it has a rank several times, one row, marked MANY in its place, stands for all."""
     order, rank, doc, _, low, _ = _by_rank(rank, doc)
-    gone = doc > low
-    key = np.where(gone, mixed(doc.astype(np.uint64)) ^ mixed(place[order].astype(np.uint64)), rank)
-    return order, doc, key, np.where(gone, SETTLED, OPEN).astype(np.int8)
+    gone, place = doc > low, place[order]
+    key = np.where(gone, mixed(doc.astype(np.uint64)) ^ mixed(place.astype(np.uint64)), rank)
+    open_ = np.flatnonzero(~gone)
+    head = np.r_[True, rank[open_][1:] != rank[open_][:-1]][: len(open_)]
+    keep = gone.copy()
+    keep[open_[head]] = True
+    place[open_[head & ~np.r_[head[1:], True][: len(head)]]] |= MANY
+    kind = np.where(gone, SETTLED, OPEN).astype(np.int8)
+    return order[keep], doc[keep], key[keep], kind[keep], place[keep].astype(np.int32)
 
 
 def _second_rows(threshold: int):
@@ -268,8 +282,8 @@ def _second_rows(threshold: int):
 
     def flush(parts):
         rank, doc, place, short = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order, doc, key, kind = _settle(rank, doc, place)
-        return _sort_rows(key, doc, kind, place[order].astype(np.int32), short[order].view(np.int64))
+        order, doc, key, kind, place = _settle(rank, doc, place)
+        return _sort_rows(key, doc, kind, place, short[order].view(np.int64))
 
     def run(batches):
         parts, held = [], 0
@@ -302,20 +316,18 @@ def _wide(batches):
 
 def _fourth_rows(threshold: int):
     """Rows for the fourth sort: positions with their rank at the threshold."""
-    half = -(-threshold // 2)
 
     def flush(parts):
         rank, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order, doc, key, kind = _settle(rank, doc, place)
-        return _sort_rows(key, doc, kind, place[order].astype(np.int32))
+        _, doc, key, kind, place = _settle(rank, doc, place)
+        return _sort_rows(key, doc, kind, place)
 
     def run(batches):
         parts, held = [], 0
         for ids, r, _, ok in _chosen(batches, threshold):
             at = r.starts[ok]
             index = r.doc(at)
-            pair = r.at(half, at) * np.uint64(_BASE) + r.at(half, at + threshold - half)
-            parts.append((mixed(pair), ids[index], at - r.offsets[index]))
+            parts.append((r.pairs(at), ids[index], at - r.offsets[index]))
             held += len(at)
             if held > FLUSH:
                 yield flush(parts)
@@ -336,18 +348,28 @@ def _covered(batches):
         yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(pos[keep])], names=["doc_id", "pos"])
 
 
-def _spans(place: np.ndarray, n: int, threshold: int) -> list[list[int]]:
-    """[start, end) of the maximal runs that go, from what covered() says of a text of n bytes."""
-    wide = ~place[place < 0]
-    low = np.concatenate([place[place >= 0], np.maximum(wide - lengths(threshold)[1] + 1, 0)])
-    high = np.concatenate([place[place >= 0] + threshold, np.minimum(wide + threshold, n)])
+def _spans(place: np.ndarray, data: bytes, threshold: int, powers: _Powers) -> list[list[int]]:
+    """[start, end) of the maximal runs that go, from what covered() says of a text."""
+    n, width = len(data), lengths(threshold)[1]
+    wide = place < 0
+    at = np.where(wide, ~place, place)
+    many, at = at & MANY > 0, at & ~MANY
+    low, high = np.where(wide, np.maximum(at - width + 1, 0), at), np.minimum(at + threshold, n)
+    if many.any():
+        # What covers one place of a rank covers all places that have it.
+        r = Ranks(np.array([0, n]), np.frombuffer(data, np.uint8), powers, threshold)
+        known = np.zeros(n + 1, bool)
+        for a, b in zip(low[many].tolist(), high[many].tolist(), strict=True):
+            known[a : b - threshold + 1] = True
+        more = r.starts[np.isin(r.pairs(r.starts), r.pairs(np.flatnonzero(known)))]
+        low, high = np.concatenate([low, more]), np.concatenate([high, more + threshold])
     order = np.argsort(low, kind="stable")
     low, high = low[order], np.maximum.accumulate(high[order])
     new = np.flatnonzero(np.r_[True, low[1:] > high[:-1]])
     return np.c_[low[new], high[np.r_[new[1:] - 1, len(low) - 1]]].tolist()
 
 
-def _cut(text: str | None, place, copy: bool, threshold: int):
+def _cut(text: str | None, place, copy: bool, threshold: int, powers: _Powers):
     """(bytes, what is left of them, spans) of one text."""
     data = (text or "").encode()
     n = len(data)
@@ -355,7 +377,7 @@ def _cut(text: str | None, place, copy: bool, threshold: int):
     if copy and n >= threshold:
         spans = [[0, n]]
     elif place.is_valid and len(place):
-        spans = _spans(place.values.to_numpy(zero_copy_only=False).astype(np.int64), n, threshold)
+        spans = _spans(place.values.to_numpy(zero_copy_only=False).astype(np.int64), data, threshold, powers)
     if not spans:
         return data, data, spans
     ends = [0, *(e for _, e in spans)]
@@ -366,11 +388,12 @@ def _digests(threshold: int):
     def run(batches):
         import pyarrow as pa
 
+        powers = _Powers()
         for batch in batches:
             out: list[tuple] = []
             ids, texts, places, copies = (batch.column(i) for i in range(4))
             for doc, text, place, copy in zip(ids.to_pylist(), texts, places, copies.to_pylist(), strict=True):
-                data, kept, spans = _cut(text.as_py(), place, copy, threshold)
+                data, kept, spans = _cut(text.as_py(), place, copy, threshold, powers)
                 out.append((doc, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), spans))
             cols = list(zip(*out, strict=True)) or [[]] * 6
             types = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.list_(pa.int64()))]
@@ -384,12 +407,13 @@ def _kept_texts(threshold: int):
     def run(batches):
         import pyarrow as pa
 
+        powers = _Powers()
         for batch in batches:
             texts, places, copies = batch.columns[-3:]
             out = []
             for text, place, copy in zip(texts, places, copies.to_pylist(), strict=True):
                 text = text.as_py()
-                data, kept, _ = _cut(text, place, copy, threshold)
+                data, kept, _ = _cut(text, place, copy, threshold, powers)
                 out.append(text if len(kept) == len(data) else kept.decode(errors="ignore"))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(out, pa.string())], names=[*batch.schema.names[:-3], "text"])
 
@@ -407,7 +431,8 @@ def _with_ranks(docs: DataFrame, ranks: DataFrame) -> DataFrame:
 def covered(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Two stored tables: copies (doc_id of texts equal to a smaller document's), and, for the
     other documents, (doc_id, pos) of strings that also start in a smaller document. A pos below
-    zero, -1 - s, says it of all strings that hold the sample at s."""
+    zero, -1 - s, says it of all strings that hold the sample at s; one with MANY set, of all
+    strings equal to those."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     digest = docs.select("doc_id", F.xxhash64("text").alias("d1"), F.xxhash64("text", F.lit(1)).alias("d2"))
     firsts = digest.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
