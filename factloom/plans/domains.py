@@ -45,14 +45,14 @@ def d2_missing(spark, sf):
     return d.missing(*v(spark, sf, DECLARED, PROVIDERS), ["platform"], plausible)
 
 
-@plan()
+#: Each range's meaning for versions of three numbers, spelt out for the engine without it.
+FITS = """CASE range WHEN '*' THEN true WHEN '>=1.2.0' THEN version >= '1.2.0' WHEN '[1.0,2.0)' THEN version >= '1.0.0' AND version < '2.0.0' WHEN '=2.0.0' THEN version = '2.0.0' WHEN '^1.1' THEN version >= '1.1.0' AND version < '2.0.0' END"""
+MET = f"SELECT d.*, p.provider, p.version, {FITS} AS fits FROM ({DECLARED}) d JOIN ({PROVIDERS}) p ON d.dep = p.id"
+@plan(f"SELECT id, dep, version, range, fits FROM ({MET}) m")
 def d3_version_in_range(spark, sf):
     return with_in_range(v(spark, sf, DECLARED).join(v(spark, sf, PROVIDERS).select(F.col("id").alias("dep"), "version"), "dep")).select("id", "dep", "version", "range", "fits")
 
 
-#: Each range's meaning for versions of three numbers, spelt out for the engine without it.
-FITS = """CASE range WHEN '*' THEN true WHEN '>=1.2.0' THEN version >= '1.2.0' WHEN '[1.0,2.0)' THEN version >= '1.0.0' AND version < '2.0.0' WHEN '=2.0.0' THEN version = '2.0.0' WHEN '^1.1' THEN version >= '1.1.0' AND version < '2.0.0' END"""
-MET = f"SELECT d.*, p.provider, p.version, {FITS} AS fits FROM ({DECLARED}) d JOIN ({PROVIDERS}) p ON d.dep = p.id"
 _VERSION = f"""SELECT id, dep, provider, version, kind, CASE kind WHEN 'wrong-version' THEN CASE WHEN mandatory THEN 'error' ELSE 'warn' END WHEN 'incompatible' THEN CASE WHEN fits IS NULL THEN 'warn' ELSE 'error' END ELSE 'warn' END AS severity, provider <> dep AS via_alias
   FROM (SELECT *, CASE WHEN relation = 'requires' AND fits = false THEN 'wrong-version' WHEN relation = 'breaks' AND coalesce(fits, true) THEN 'incompatible' WHEN relation = 'discourages' AND coalesce(fits, true) THEN 'discouraged' END AS kind FROM ({MET}) m) x WHERE kind IS NOT NULL"""
 
