@@ -32,7 +32,7 @@ class Mapping:
     turns: tuple[tuple[str, str], ...] = ()
 
 
-#: Role names of the layouts that have their own.
+#: Role names of the layouts that have a field of their own for them.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 MAPPINGS = (
@@ -77,7 +77,8 @@ def _turns(m: Mapping, record: Column) -> Column:
         each = [F.struct(F.lit(r).alias("role"), text_of(record, p).alias("text")) for r, p in m.turns]
         raw = F.filter(F.array(*each), lambda t: t["text"].isNotNull())
     names = F.create_map(*(F.lit(x) for kv in ROLES.items() for x in kv))
-    role = lambda t: F.coalesce(names[t["role"]], t["role"], F.lit(""))
+    own = lambda t: names[t["role"]] if m.role != "role" else F.lit(None)
+    role = lambda t: F.coalesce(own(t), t["role"], F.lit(""))
     return F.transform(raw, lambda t: F.struct(role(t).alias("role"), t["text"].alias("text")))
 
 
@@ -170,3 +171,18 @@ def digests(records: DataFrame) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+_TURNS = """SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'"""
+#: The digests of op5's rows in SQL: each escape adds one character.
+ORACLE_SQL = f"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM ({_TURNS}) c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = '{LOSS_ROLE}' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = '{LOSS_ROLE}'), '')) AS loss_sha256,
+  CAST(sum({len(TURN + TEXT + END)} + length(role) + length(text)
+    + len(regexp_extract_all(role || chr(0) || text, '\\\\|<\\||</?s>|\\[/?INST\\]'))) AS BIGINT) AS formatted_chars
+FROM r GROUP BY conv_id
+"""

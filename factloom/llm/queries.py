@@ -88,4 +88,4 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def oracle_sql():
-    return {"op2_mixing": mixing.ORACLE_SQL, "op4_topk": OP4_SQL}
+    return {"op2_mixing": mixing.ORACLE_SQL, "op4_topk": OP4_SQL, "op5_chat": chat.ORACLE_SQL}
