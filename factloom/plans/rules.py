@@ -33,8 +33,8 @@ def _case(expr: str, names) -> str:
 #: An environment for one fact in a few hundred only; everything else by the order's key.
 FACTS = f"""SELECT fact_id, CASE WHEN kind = 'environment' AND fact_id % 400 <> 3 THEN 'mod' ELSE kind END AS kind, subject, file, archive,
   related, type, loader, side, identity_certainty, class, domain, detail, hot_path, status, active_for_instance, failure_class, trust_score, path FROM (
-  SELECT o_orderkey AS fact_id, {_case(f"o_orderkey % {len(_KINDS)}", _KINDS)} AS kind, 's' || CAST(o_custkey % 50 AS STRING) AS subject,
-  'f' || CAST(o_orderkey % 13 AS STRING) || '.jar' AS file, 's' || CAST(o_orderkey % 50 AS STRING) AS archive, 's' || CAST(o_orderkey % 49 AS STRING) AS related,
+  SELECT o_orderkey AS fact_id, {_case(f"o_orderkey % {len(_KINDS)}", _KINDS)} AS kind, 's' || CAST(o_custkey % 5000 AS STRING) AS subject,
+  'f' || CAST(o_orderkey % 13 AS STRING) || '.jar' AS file, 's' || CAST(o_orderkey % 5000 AS STRING) AS archive, 's' || CAST(o_orderkey % 4999 AS STRING) AS related,
   CASE WHEN o_orderstatus = 'F' THEN 'known_incompatible' ELSE 'suggests' END AS type,
   CASE o_custkey % 4 WHEN 0 THEN 'fabric' WHEN 1 THEN 'forge' WHEN 2 THEN 'other' END AS loader,
   CASE o_custkey % 3 WHEN 0 THEN 'client' WHEN 1 THEN 'server' ELSE 'both' END AS side,
