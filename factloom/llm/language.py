@@ -11,13 +11,16 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import small, stored, text_chunks
 
 BITS = 16
-#: At most so many documents, those of the smallest hash, train the text model.
+#: So many documents, those of the smallest hash, train the text model.
 TRAIN_ROWS = 4_000
+#: And at least so many of each language that has them.
+LANGUAGE_ROWS = 20
 #: Share of a trigram's log likelihood that counts, and the most it may add up to.
 TEMPER, LIMIT = 0.2, 40.0
 UNKNOWN = "und"
@@ -60,12 +63,24 @@ def _counts(langs: list[str]):
 
 
 def train(docs: DataFrame, max_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Language names, UNKNOWN last, and log likelihoods (trigram, language), from the lang column
-    of at most max_rows documents. Null languages are left out."""
+    """Language names, UNKNOWN last, and log likelihoods (trigram, language). The names are all of
+    the lang column; the texts those of the max_rows documents of the smallest hash, and of each
+    language's own first LANGUAGE_ROWS or, if that is more, an even part of max_rows. Null languages
+    are left out."""
     rank = F.xxhash64("doc_id", F.lit(11))
-    sample = docs.where(F.col("lang").isNotNull()).select("doc_id", "lang", rank.alias("rank"))
-    sample = stored(sample.orderBy("rank", "doc_id", "lang").limit(max_rows).select("doc_id", "lang").distinct(), "sample")
-    langs = sorted(r.lang for r in sample.select("lang").distinct().collect())
+    known = docs.where(F.col("lang").isNotNull()).select("doc_id", "lang", rank.alias("rank"))
+    seen = stored(known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.min("rank").alias("first")), "languages")
+    langs = sorted(r.lang for r in seen.select("lang").collect())
+    quota = max(LANGUAGE_ROWS, max_rows // max(len(langs), 1))
+    # Ranks up to the bound hold about twice the quota and 100 rows, so no window has all of a language.
+    share = (2 * quota + 100) / F.col("rows")
+    bound = F.when(share < 1, (F.least(share, F.lit(0.999)) * 2.0**64 - 2.0**63).cast("long")).otherwise(F.lit(2**63 - 1))
+    bounds = seen.select("lang", F.greatest("first", bound).alias("bound"))
+    near = known.join(F.broadcast(bounds), "lang").where("rank <= bound").select("doc_id", "lang", "rank").distinct()
+    place = F.row_number().over(W.partitionBy("lang").orderBy("rank", "doc_id"))
+    each = near.withColumn("place", place).where(F.col("place") <= quota).select("doc_id", "lang")
+    sample = known.orderBy("rank", "doc_id", "lang").limit(max_rows).select("doc_id", "lang")
+    sample = stored(sample.unionByName(each).distinct(), "sample")
     table = np.full((len(langs) + 1, 1 << BITS), -BITS * np.log(2), np.float64)
     if langs:
         texts = docs.select("doc_id", "text", "lang").join(F.broadcast(sample), ["doc_id", "lang"]).select("text", "lang")

@@ -34,3 +34,14 @@ def test_rows_nulls_and_empty_tables(docs, empty):
     assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in docs.select("doc_id").collect())
     assert {r.doc_id for r in got if not r.keep} >= {200, 201, 202}
     assert language.documents(empty).count() == 0
+
+
+def test_a_language_outside_the_smallest_hashes_has_a_model(spark):
+    """Three documents among 3,000, trained on 100."""
+    docs = spark.range(3000).selectExpr("id as doc_id", "case when id in (7, 1234, 2500) then 'xx' when id % 2 = 0 then 'en' else 'de' end as lang")
+    docs = docs.selectExpr("*", "repeat(case lang when 'xx' then 'qzu wkx jqv ' when 'en' then 'the other thing ' else 'eine schoene sache ' end, 20) as text", "concat(lang, '.example') as source")
+    langs, _ = language.train(docs, 100)
+    assert langs == ["de", "en", "xx", language.UNKNOWN]
+    rows = docs.where("doc_id < 20 or lang = 'xx'").selectExpr("doc_id as id", "text", "cast(null as string) as declared", "source as host")
+    got = {r.id: r for r in language.identify(rows, language.train(docs, 100)).collect()}
+    assert all(got[i].lang == "xx" and got[i].keep for i in (7, 1234, 2500)) and got[0].lang == "en"
