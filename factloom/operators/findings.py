@@ -63,10 +63,18 @@ def caveated(findings: DataFrame, scripted: DataFrame, partial: bool) -> DataFra
 
 
 def writer_clusters(findings: DataFrame, least: int = 3) -> DataFrame:
-    """Override findings with the same set of writers, if there are enough: (writer_key, n, members)."""
-    key = F.array_join(F.sort_array("writers"), "+")
-    g = findings.groupBy(key.alias("writer_key")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("finding_id")).alias("members"))
-    return g.where(F.col("n") >= least)
+    """Override findings with the same set of writers, if there are enough: (writer_key, n)."""
+    return findings.groupBy(writer_key().alias("writer_key")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
+def writer_key() -> Column:
+    return F.array_join(F.sort_array("writers"), "+")
+
+
+def writer_members(findings: DataFrame, least: int = 3) -> DataFrame:
+    """The findings of writer_clusters(), one a row: (writer_key, finding_id)."""
+    rows = findings.select(writer_key().alias("writer_key"), "finding_id")
+    return rows.join(writer_clusters(findings, least).select("writer_key"), "writer_key", "left_semi")
 
 
 def families(findings: DataFrame, shown: int = 3) -> DataFrame:
@@ -78,12 +86,19 @@ def families(findings: DataFrame, shown: int = 3) -> DataFrame:
     )
 
 
+def fix_id() -> Column:
+    return F.sha2(F.concat_ws("\x1f", "action", "target", "text"), 256)
+
+
 def recommendations(fixes: DataFrame) -> DataFrame:
-    """fixes: (finding_id, action, target, text, evidence). Equal advice once, with its findings."""
-    key = F.sha2(F.concat_ws("\x1f", "action", "target", "text"), 256)
-    return fixes.groupBy(key.alias("fix_id"), "action", "target", "text").agg(
-        F.array_sort(F.collect_set("finding_id")).alias("findings"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence")
-    )
+    """fixes: (finding_id, action, target, text, evidence). Equal advice once, with the number of
+    its findings."""
+    return fixes.groupBy(fix_id().alias("fix_id"), "action", "target", "text").agg(F.countDistinct("finding_id").alias("n"))
+
+
+def recommended(fixes: DataFrame) -> DataFrame:
+    """The findings of each advice and their evidence, one a row: (fix_id, finding_id, evidence)."""
+    return fixes.select(fix_id().alias("fix_id"), "finding_id", F.explode_outer("evidence").alias("evidence")).distinct()
 
 
 def combined_coverage(states: DataFrame, key: str) -> DataFrame:

@@ -209,7 +209,7 @@ FIXES = "SELECT CAST(o_orderkey AS STRING) AS finding_id, o_orderstatus AS actio
 @plan(f"SELECT action, target, text, CAST(count(DISTINCT finding_id) AS INT) AS n, sha256(action || chr(31) || target || chr(31) || text) AS fix_id FROM ({FIXES}) f GROUP BY action, target, text")
 def f20_recommendations(spark, sf):
     rows = view(spark, sf, FIXES).withColumn("evidence", F.array("fact_id"))
-    return fi.recommendations(rows).select("action", "target", "text", F.size("findings").alias("n"), "fix_id")
+    return fi.recommendations(rows).select("action", "target", "text", F.col("n").cast("int").alias("n"), "fix_id")
 
 
 ASSESS = "SELECT o_orderkey AS finding_id, CASE o_orderstatus WHEN 'F' THEN 'fatal' WHEN 'O' THEN 'error' ELSE 'note' END AS severity, (6 + o_custkey % 5) / CAST(10 AS DOUBLE) AS confidence, o_custkey % 2 = 0 AS proof, o_custkey % 7 = 0 AS downgraded FROM orders"
