@@ -1,15 +1,20 @@
 """Token counts without tokens: best segmentation into vocabulary pieces by a Viterbi pass that
 carries only the best score and its piece count.
 
-Pieces are matched by an Aho-Corasick automaton. A piece holds the space mark only as its first
-sign, so no piece spans two words and each word is segmented alone; a word's count is kept for its
-next use. Ties follow the unigram tokenizer: of equal scores the segment that starts first, the
-longest, stays. A character without a piece costs the lowest score less a fixed penalty and counts
-as its UTF-8 bytes (byte fallback).
+Pieces are matched by an Aho-Corasick automaton. A text is cut before each run of space marks that
+follows another sign, where no piece of the vocabulary spans the cut, so that what stands between
+two cuts is segmented alone and its count kept for its next use; a vocabulary with a piece that
+does span such a place has its texts segmented whole. The pass keeps as many positions as the
+longest piece has signs. Ties follow the unigram tokenizer: of equal scores the segment that starts
+first, the longest, stays. A character without a piece costs the lowest score less a fixed penalty
+and counts as its UTF-8 bytes (byte fallback).
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 
 from .common import worker_cache
@@ -18,21 +23,26 @@ SPACE = "▁"
 #: Fixed value: the unigram tokenizer's cost of an unknown character beyond the lowest score.
 UNKNOWN_PENALTY = 10.0
 CACHED_WORDS = 1_000_000
+#: Longer words are counted each time.
+CACHED_LENGTH = 64
+#: A text's words are listed for about so many characters at a time.
+LISTED = 1 << 20
+
+_CUT = re.compile(f"(?<=[^{SPACE}]){SPACE}")
+_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
-    """(piece, score) of a sentencepiece model's ordinary pieces. Pieces with the space mark after
-    another sign are left out: they are runs of spaces, which count one by one here."""
+    """(piece, score) of a sentencepiece model's ordinary pieces, all of them."""
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = [i for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
-    pieces = [(m.id_to_piece(i), m.get_score(i)) for i in ids]
-    return [(p, s) for p, s in pieces if SPACE not in p[1:]]
+    return [(m.id_to_piece(i), m.get_score(i)) for i in ids]
 
 
 class Counter(dict):
-    """Word, space mark first, to its number of pieces."""
+    """Word, with the run of space marks before it, to its number of pieces."""
 
     def __init__(self, pieces: list[tuple[str, float]]):
         import ahocorasick
@@ -43,44 +53,62 @@ class Counter(dict):
             self.automaton.add_word(p, (len(p), s))
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
+        self.longest = max(len(p) for p, _ in pieces)
+        self.cuts = not any(_CUT.search(p) for p, _ in pieces)
 
     def __missing__(self, word: str) -> int:
-        n = len(word)
-        # Where a match ends, the automaton gives the longest first: starts in rising order.
-        score, count, at = [0.0] + [None] * n, [0] * (n + 1), 0
-        single = False
-
-        def unknown(end: int) -> None:
-            s = score[end - 1] + self.unknown
-            if score[end] is None or s > score[end]:
-                score[end], count[end] = s, count[end - 1] + len(word[end - 1].encode(errors="replace"))
-
-        for last, (length, own) in self.automaton.iter(word):
-            end = last + 1
+        n, m = len(word), self.longest + 1
+        # Position i has place i % m: nothing reaches further back than the longest piece.
+        score: list[float | None] = [0.0] + [None] * self.longest
+        count, at, single = [0] * m, 0, False
+
+        def go_to(end: int) -> None:
+            """Ends the positions before end: one that no piece of one sign reaches may be reached
+            by an unknown sign."""
+            nonlocal at, single
             while at < end:
                 if at and not single:
-                    unknown(at)
+                    last = (at - 1) % m
+                    s = score[last] + self.unknown
+                    if score[at % m] is None or s > score[at % m]:
+                        score[at % m], count[at % m] = s, count[last] + len(word[at - 1].encode(errors="replace"))
                 at, single = at + 1, False
-            s = score[end - length] + own
-            if score[end] is None or s > score[end]:
-                score[end], count[end] = s, count[end - length] + 1
+                score[at % m] = None
+
+        # Where matches end, the automaton gives the longest first: starts in rising order.
+        for last, (length, own) in self.automaton.iter(word):
+            end = last + 1
+            if at < end:
+                go_to(end)
+            s = score[(end - length) % m] + own
+            if score[end % m] is None or s > score[end % m]:
+                score[end % m], count[end % m] = s, count[(end - length) % m] + 1
             single = single or length == 1
-        while at <= n:
-            if at and not single:
-                unknown(at)
-            at, single = at + 1, False
-        self[word] = count[n]
-        return count[n]
+        go_to(n + 1)
+        if n <= CACHED_LENGTH:
+            self[word] = count[n % m]
+        return count[n % m]
+
+    def words(self, text: str) -> Iterator[list[str]]:
+        """The parts of a text that are segmented alone, a list at a time."""
+        if not self.cuts:
+            yield [text]
+            return
+        at = 0
+        while at < len(text):
+            cut = _CUT.search(text, at + LISTED)
+            end = cut.start() if cut else len(text)
+            yield _WORD.findall(text, at, end)
+            at = end
 
     def count(self, text: str) -> int:
         if not text:
             return 0
         if len(self) > CACHED_WORDS:
             self.clear()
-        words = text.replace(SPACE, " ").split(" ")
-        if not words[0]:
-            del words[0]
-        return sum([self[SPACE + w] for w in words])
+        text = text.replace(" ", SPACE)
+        text = text if text[0] == SPACE else SPACE + text
+        return sum(self[w] for words in self.words(text) for w in words)
 
 
 def _counted(path: str):
