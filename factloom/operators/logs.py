@@ -6,15 +6,76 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Signals with their patterns, most specific first.
+#: Signals, how bad each is, and the pattern that an event's text has.
 SIGNALS = (
-    ("out-of-memory", r"(?i)java\.lang\.OutOfMemoryError|out of memory"),
-    ("port-in-use", r"(?i)address already in use|failed to bind to port"),
-    ("missing-dependency", r"(?i)requires .* which is missing|missing or unsupported mandatory dependencies"),
-    ("class-not-found", r"ClassNotFoundException|NoClassDefFoundError"),
-    ("no-such-method", r"NoSuchMethodError|NoSuchFieldError"),
-    ("watchdog", r"(?i)a single server tick took|considering it to be crashed"),
-    ("exception", r"\b[A-Za-z_$.]*(?:Exception|Error)\b"),
+    ("MixinApplyError", "error", r"(?i)(InvalidMixinException|Mixin apply failed|mixin transformation .* failed)"),
+    ("NoClassDefFound", "error", r"NoClassDefFoundError"),
+    ("ClassNotFound", "error", r"ClassNotFoundException"),
+    ("MissingDependency", "error", r"(?i)(requires .* which is missing|Missing or unsupported mandatory dependencies|requires version)"),
+    ("ModLoadingFailure", "error", r"(?i)(Failed to load mod\b|ModResolutionException|Could not execute entrypoint)"),
+    ("OutOfMemory", "fatal", r"OutOfMemoryError"),
+    ("StackOverflow", "error", r"StackOverflowError"),
+    ("JvmCrash", "fatal", r"(A fatal error has been detected by the Java Runtime|SIGSEGV|EXCEPTION_ACCESS_VIOLATION)"),
+    ("PortInUse", "error", r"(?i)(Address already in use|FAILED TO BIND TO PORT)"),
+    ("DatapackValidationError", "warn", r"(?i)(Couldn't load .* datapack|Failed to load datapacks|Error while loading data pack)"),
+    ("RegistryFreezeError", "error", r"(?i)(Registry is already frozen|Trying to access unbound|registry freeze)"),
+    ("SodiumConflict", "error", r"(?i)(Sodium has already been installed|duplicate Sodium|Rubidium is installed|Embeddium.*Sodium)"),
+    ("IrisShaderError", "error", r"(?i)(Iris.*Sodium|Sodium is required for Iris|shader pack failed|Iris encountered an error)"),
+    ("LithiumConflict", "warn", r"(?i)(Lithium|CaffeineConfig|Radium).*(mixin|conflict|incompatible)"),
+    ("CreateError", "error", r"(?i)(Unable to launch Create|Flywheel.*(error|exception)|(?:Create|Registrate|contraption).*(failed|exception))"),
+    ("NeoForgeLoadError", "error", r"(?i)(ModLoadingException|Loading errors encountered|Failed to create mod instance)"),
+    ("ResourceModelFailure", "warn", r"(?i)(Failed to load model\b|Unable to bake model\b)"),
+    ("ResourceBlockstateFailure", "warn", r"(?i)(Failed to load blockstate\b|Exception loading blockstate\b)"),
+    ("NativeWindowError", "error", r"(?i)(GLFW error|GL error off-thread|OpenGL error)"),
+)
+#: Of several signals the one of the highest rank stays, 50 where none is given.
+SPECIFICITY = {
+    "OutOfMemory": 100, "JvmCrash": 100, "MixinApplyError": 90, "NativeWindowError": 90, "ResourceModelFailure": 80, "ResourceBlockstateFailure": 80,
+    "NeoForgeLoadError": 70, "ModLoadingFailure": 70, "ClassNotFound": 60, "NoClassDefFound": 60,
+}
+#: Failure categories with their patterns, the most telling first.
+CATEGORIES = (
+    ("mixin-apply-error", r"(?i)(InvalidMixinException|MixinTransformerError|Mixin apply failed|mixin transformation .* failed)"),
+    ("performance-regression", r"(?i)(Can't keep up|can.t keep up|Running \d+ms behind|MSPT|server overloaded|tick took \d+)"),
+    ("missing-dependency", r"(?i)(requires .* which is missing|Missing or unsupported mandatory dependencies|requires version)"),
+    ("mod-loading-failure", r"(?i)(Failed to load mod|ModResolutionException|Could not execute entrypoint)"),
+    ("class-not-found", r"(NoClassDefFoundError|ClassNotFoundException)"),
+    ("registry-freeze-error", r"(?i)(Registry is already frozen|Trying to access unbound|registry freeze)"),
+    ("datapack-validation-error", r"(?i)(Couldn't load .* datapack|Failed to load datapacks|Error while loading data pack)"),
+    ("port-in-use", r"(?i)(Address already in use|FAILED TO BIND TO PORT)"),
+    ("out-of-memory", r"OutOfMemoryError"),
+    ("stack-overflow", r"StackOverflowError"),
+    ("jvm-crash", r"(A fatal error has been detected by the Java Runtime|SIGSEGV|EXCEPTION_ACCESS_VIOLATION)"),
+)
+#: Whom a line of a category names, and in which group of the pattern.
+SUBJECTS = (
+    ("mixin-apply-error", r"(?i)(?:InvalidMixinException|Mixin apply failed|mixin transformation).*?(net\.[a-zA-Z0-9_$.]+)", 1),
+    ("mixin-apply-error", r"(?i)@Mixin.*?target.*?([a-z][a-zA-Z0-9_/$.]+)", 1),
+    ("mixin-apply-error", "(?i)Mod\\s+[\u201e\u201c\"']?([^\u201e\u201c\"'\\s:]+).*InvalidMixinException", 1),
+    ("missing-dependency", r"(?i)Mod\s+([a-zA-Z0-9_-]+)\s+requires\s+([a-zA-Z0-9_-]+)", 1),
+    ("mod-loading-failure", r"(?i)Failed to load mod\s+([a-zA-Z0-9_-]+)", 1),
+    ("mod-loading-failure", r"(?i)Could not execute entrypoint.*?\b([a-zA-Z0-9_-]+)\b", 1),
+    ("class-not-found", r"(?:NoClassDefFoundError|ClassNotFoundException):\s*([a-zA-Z0-9_$/]+)", 1),
+    ("registry-freeze-error", r"(?i)(Registry is already frozen|Trying to access unbound).*?([a-z][a-zA-Z0-9_/$.]+)", 2),
+    ("performance-regression", r"(?i)(?:MSPT|tick).*?(net\.[a-zA-Z0-9_$.]+)", 1),
+    ("performance-regression", r"(?i)mod\s+([a-zA-Z0-9_-]+).*(?:can't keep up|can.t keep up|mspt)", 1),
+)
+#: What a script engine's line says is gone: engine, kind, how, and the id's pattern.
+REMOVALS = (
+    ("crafttweaker", "item", "recipe-output-removed", r"(?i)removing all recipes\b[^<]*<item:([a-z0-9_.-]+:[a-z0-9_./-]+)>"),
+    ("crafttweaker", "item", "item-removed", r"(?i)(?:hiding|removing) item\b[^<]*<item:([a-z0-9_.-]+:[a-z0-9_./-]+)>"),
+    ("crafttweaker", "recipe", "recipe-removed", r"(?i)removing recipe\b[^a-z0-9]*(?:<?recipe:)?([a-z0-9_.-]+:[a-z0-9_./-]+)>?"),
+    ("crafttweaker", "tag", "tag-removed", r"(?i)(?:removing|clearing)\b[^<]*<tag:([a-z0-9_.-]+:[a-z0-9_./-]+)>"),
+    ("crafttweaker", "loot_table", "loot-table-removed", r"(?i)(?:removing|replacing)\b[^<]*<loot_table:([a-z0-9_.-]+:[a-z0-9_./-]+)>"),
+    ("groovyscript", "recipe", "recipe-removed", r"""(?i)\[groovyscript\][^\n]*?\brecipe\b[^\n]*?['"]([a-z0-9_.-]+:[a-z0-9_./-]+)['"]"""),
+    ("kubejs", "recipe", "recipe-removed", r"""(?i)remov(?:e|ed|ing)\b[^\n]*?\brecipe\b[^\n]*?['"]([a-z0-9_.-]+:[a-z0-9_./-]+)['"]"""),
+    ("kubejs", "item", "item-removed", r"""(?i)remov(?:e|ed|ing)\b[^\n]*?\bitem\b[^\n]*?['"]([a-z0-9_.-]+:[a-z0-9_./-]+)['"]"""),
+    ("kubejs", "tag", "tag-removed", r"""(?i)(?:remov(?:e|ed|ing)|clear(?:ed|ing)?)\b[^\n]*?\btag\b[^\n]*?['"](#?[a-z0-9_.-]+:[a-z0-9_./-]+)['"]"""),
+    ("kubejs", "loot_table", "loot-table-removed", r"""(?i)remov(?:e|ed|ing)\b[^\n]*?\bloot(?:\s*table)?\b[^\n]*?['"]([a-z0-9_.-]+:[a-z0-9_./-]+)['"]"""),
+    ("groovyscript", "item", "item-removed", r"""(?i)remov(?:e|ed|ing)\b[^\n]*?\bitem\b[^\n]*?['"]([a-z0-9_.-]+:[a-z0-9_./-]+)['"]"""),
+    ("groovyscript", "tag", "tag-removed", r"""(?i)(?:remov(?:e|ed|ing)|clear(?:ed|ing)?)\b[^\n]*?\btag\b[^\n]*?['"]([a-z0-9_.-]+:[a-z0-9_./-]+)['"]"""),
+    ("rhino", "recipe", "recipe-removed", r"""(?i)remov(?:e|ed|ing)\s+recipe\s+['"]([a-z0-9_.-]+:[a-z0-9_./-]+)['"]"""),
+    ("rhino", "item", "item-removed", r"""(?i)remov(?:e|ed|ing)\s+item\s+['"]([a-z0-9_.-]+:[a-z0-9_./-]+)['"]"""),
 )
 HEADER = r"^\[[^\]]*\] ?\[[^\]/]*/(TRACE|DEBUG|INFO|WARN|ERROR|FATAL)\]"
 CONTINUED = r"^(\s+|\tat |at |Caused by:|Suppressed:|\.\.\. \d+ more)"
@@ -41,16 +102,21 @@ def assembled(lines: DataFrame) -> DataFrame:
     return df.withColumn("event", event).drop("_h", "_c", "_e", "_b", "_after_blank", "_sure")
 
 
-def signal(text: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for name, pattern in reversed(SIGNALS):
+#: Signals in the order in which one is taken: by rank, of equal ranks the later one.
+BY_RANK = tuple(sorted(SIGNALS, key=lambda s: (SPECIFICITY.get(s[0], 50), SIGNALS.index(s)), reverse=True))
+
+
+def signal(text: Column, has_exception: Column | None = None) -> Column:
+    """The signal of an event's text, null if it has none; an event with an exception has one."""
+    out = F.lit(None).cast("string") if has_exception is None else F.when(has_exception, "RuntimeException")
+    for name, _, pattern in reversed(BY_RANK):
         out = F.when(text.rlike(pattern), name).otherwise(out)
     return out
 
 
-def every_signal(text: Column) -> Column:
-    """All that match, most specific first."""
-    return F.array_compact(F.array(*(F.when(text.rlike(p), n) for n, p in SIGNALS)))
+def failure_classes(text: Column) -> Column:
+    """All categories that match, the most telling first."""
+    return F.array_compact(F.array(*(F.when(text.rlike(p), n) for n, p in CATEGORIES)))
 
 
 def normalised(message: Column) -> Column:
@@ -81,10 +147,20 @@ def frames(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(FRAME), 1), lambda c: c)
 
 
-def frame_kind(cls: Column, own: tuple[str, ...] = ("net.game.",), framework: tuple[str, ...] = ("org.loader.", "org.mixin.")) -> Column:
-    starts = lambda ps: sum((F.startswith(cls, F.lit(p)).cast("int") for p in ps[1:]), F.startswith(cls, F.lit(ps[0])).cast("int")) > 0
-    jdk = ("java.", "javax.", "jdk.", "sun.", "com.sun.")
-    return F.when(starts(jdk), "jdk").when(starts(own), "game").when(starts(framework), "framework").otherwise("library")
+#: Who a frame's class belongs to, by how its name begins.
+FRAME_KINDS = (
+    ("jdk", ("java.", "javax.", "jdk.", "sun.")),
+    ("minecraft", ("net.minecraft.", "com.mojang.")),
+    ("framework", ("net.minecraftforge.", "net.neoforged.", "net.fabricmc.", "org.spongepowered.")),
+)
+
+
+def frame_kind(cls: Column) -> Column:
+    out = F.lit("mod-or-library")
+    for kind, prefixes in reversed(FRAME_KINDS):
+        for p in prefixes:
+            out = F.when(F.startswith(cls, F.lit(p)), kind).otherwise(out)
+    return out
 
 
 def mention_score(base: Column, position: Column) -> Column:
@@ -103,11 +179,16 @@ def terminality(df: DataFrame) -> Column:
     )
 
 
+#: What ends a process.
+TERMINAL = ("crash", "fatal", "watchdog", "loader-abort", "stopped")
+
+
 def relevance(has_exception: Column, terminal: Column, level: Column) -> Column:
     """(label, score) of an event for a crash."""
     label = (
-        F.when(terminal == "background", "background").when(terminal.isin("crash", "fatal", "watchdog", "loader-abort") & has_exception, "causal")
-        .when(has_exception | level.isin("ERROR", "FATAL"), "contributing").otherwise("unknown")
+        F.when(has_exception & F.coalesce(terminal.isin(*TERMINAL), F.lit(False)), "causal")
+        .when(has_exception & F.coalesce(terminal == "unknown", F.lit(False)), "unknown")
+        .when(level.isin("ERROR", "FATAL") & ~F.coalesce(terminal.isin("recovered", "background"), F.lit(False)), "contributing").otherwise("background")
     )
     score = F.when(label == "causal", 100).when(label == "contributing", 65).when(label == "unknown", 40).otherwise(15)
     return F.struct(label.alias("label"), score.alias("score"))
@@ -138,11 +219,45 @@ def collapsed_path(rows: DataFrame, key: str, at: str, name: str) -> DataFrame:
     return kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, name))), lambda x: x[name]), " > ").alias("path"))
 
 
-def attributed(lines: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
-    """(source, category, subject) that patterns with one group name, each once."""
-    def named(category: str, pattern: str) -> Column:
-        subjects = F.regexp_extract_all("text", F.lit(pattern), 1)
-        return F.transform(subjects, lambda s: F.struct(F.lit(category).alias("category"), F.lower(F.trim(s)).alias("subject")))
+def subject_name(raw: Column) -> Column:
+    """A subject as it is joined on: class paths with dots, ids in lower case."""
+    x = F.regexp_replace(F.trim(raw), r"(\.class)+$", "")
+    kept = F.contains(x, F.lit(".")) & x.rlike("^[a-z]")
+    return F.when(F.contains(x, F.lit("/")), F.replace(x, F.lit("/"), F.lit("."))).when(kept, x).otherwise(F.lower(x))
+
+
+def attributed(lines: DataFrame) -> DataFrame:
+    """(source, category, subject) of the lines that name whom their failure concerns, each once."""
+    category = F.get(failure_classes(F.col("text")), F.lit(0))
+    found = F.array(*(F.when(category == c, F.nullif(subject_name(F.regexp_extract("text", p, g)), F.lit(""))) for c, p, g in SUBJECTS))
+    rows = lines.select("source", category.alias("category"), F.explode(F.array_compact(found)).alias("subject"))
+    return rows.distinct()
+
+
+def removals(lines: DataFrame) -> DataFrame:
+    """(source, line_no, engine, kind, via, id): what each line of a script log removes, by the
+    first marker that fits."""
+    each = [
+        F.when(F.col("text").rlike(p), F.struct(F.lit(e).alias("engine"), F.lit(k).alias("kind"), F.lit(v).alias("via"), F.lower(F.regexp_extract("text", p, 1)).alias("id")))
+        for e, k, v, p in REMOVALS
+    ]
+    first = F.get(F.array_compact(F.array(*each)), F.lit(0))
+    return lines.select("source", "line_no", first.alias("r")).where("r is not null").select("source", "line_no", "r.*")
+
+
+def occurrence(text: Column, source: Column, ordinal: Column, event: Column) -> Column:
+    """An id of one event of one log."""
+    short = lambda c: F.substring(F.sha2(c, 256), 1, 12)
+    return F.concat_ws(":", short(text), short(source), ordinal, event)
+
+
+def later(flag: Column, by: list[str], order: str) -> Column:
+    """Whether a later row of the same log has the flag."""
+    ahead = W.partitionBy(*by).orderBy(order).rowsBetween(1, W.unboundedFollowing)
+    return F.coalesce(F.max(flag.cast("int")).over(ahead), F.lit(0)) > 0
+
 
-    found = [named(c, p) for c, p in patterns]
-    return lines.select("source", F.explode(F.concat(*found)).alias("x")).select("source", "x.*").distinct()
+def runs(rows: DataFrame, keys: list[str], at: str, name: str) -> DataFrame:
+    """Rows at which the name changes, in the order of at."""
+    last = F.lag(name).over(W.partitionBy(*keys).orderBy(at))
+    return rows.select("*", last.alias("before")).where(F.col("before").isNull() | (F.col("before") != F.col(name))).drop("before")

@@ -63,23 +63,45 @@ def clusters(sites: DataFrame, failures: DataFrame) -> DataFrame:
     name = F.element_at(F.array(*map(F.lit, _WORST)), F.col("_w") + 1)
     out = low.join(worst, "target").join(bad, "target", "left").withColumn("failures", F.coalesce("failures", F.lit(0)))
     kind = F.when(F.col("failures") > 0, "confirmed").when(F.col("_w") == len(_WORST) - 1, "conflict").otherwise("overlap")
-    return out.select("target", "failures", name.alias("worst"), "confidence", kind.alias("kind")).orderBy(F.desc("failures"), "target")
+    return out.select("target", "failures", name.alias("worst"), "confidence", kind.alias("kind"))
+
+
+#: How much a kind of injection weighs.
+IMPACT_WEIGHTS = {
+    "method-replace": 25, "call-replace": 20, "entry-hook": 15, "exit-hook": 12, "local-mutation": 10, "data-mutation": 10, "constant-mutation": 8,
+}
+#: What a target's subsystem adds to the reach.
+SUBSYSTEMS = {"networking": 6, "class-loading": 6, "serialization": 6, "rendering": 4, "server-tick": 4, "persistence": 4}
+
+
+def looked_up(c: Column, table: dict, default: int) -> Column:
+    out = F.lit(default)
+    for k, n in table.items():
+        out = F.when(c == k, n).otherwise(out)
+    return out
 
 
 def risk_score() -> Column:
-    """Of an overlap row with overwrite, method_conflict, hot, skew, reflection, hard_capture,
-    inherited, gated, disjoint (booleans) and effects, mods, edges, unresolved (numbers)."""
+    """Of an overlap row with overwrite, method_conflict, returns, advanced, hot, loader, skew,
+    reflection, hard_capture, priority, inherited, complex, gated (booleans), injection and
+    subsystem (names, null where there are none), and effects, mods, edges, unresolved (numbers)."""
     flag = lambda c, n: F.when(F.col(c), n).otherwise(0)
-    impact = F.least(F.lit(40), F.when(F.col("overwrite"), 40).when(F.col("method_conflict"), 24).otherwise(8))
-    blast = F.least(F.lit(30), flag("hot", 18) + F.least(3 * F.col("effects"), F.lit(6)) + F.least(3 * (F.col("mods") - 1), F.lit(9)) + F.least(2 * F.col("edges"), F.lit(6)))
-    fragility = F.least(F.lit(30), flag("skew", 14) + flag("reflection", 8) + flag("hard_capture", 8) + flag("inherited", 5))
-    certainty = F.greatest(F.lit(20), 100 - F.least(25 * F.col("unresolved"), F.lit(60)) - flag("disjoint", 20) - flag("gated", 25))
-    raw = 0.5 * F.least(F.lit(100.0), 2.5 * impact) + 0.3 * blast / 30 * 100 + 0.2 * fragility / 30 * 100
+    weight = F.when(F.col("injection").isNotNull(), F.least(F.lit(16), looked_up(F.col("injection"), IMPACT_WEIGHTS, 5))).otherwise(0)
+    impact = F.when(F.col("overwrite"), 40).when(F.col("method_conflict"), 24).otherwise(8) + weight + flag("returns", 8) + flag("advanced", 6)
+    impact = F.least(F.lit(40), impact)
+    hot = F.when(F.col("hot"), 18 + F.least(3 * F.col("effects"), F.lit(6))).otherwise(0)
+    reach = hot + F.least(3 * (F.col("mods") - 1), F.lit(9)) + F.least(2 * F.col("edges"), F.lit(6)) + flag("loader", 8) + looked_up(F.col("subsystem"), SUBSYSTEMS, 0)
+    blast = F.least(F.lit(30), reach)
+    fragility = F.least(F.lit(30), flag("skew", 14) + flag("reflection", 8) + flag("hard_capture", 8) + flag("priority", 6) + flag("inherited", 5) + flag("complex", 4))
+    disjoint = ~F.col("method_conflict") & ~F.col("overwrite")
+    certainty = F.greatest(F.lit(20), 100 - F.least(25 * F.col("unresolved"), F.lit(60)) - F.when(disjoint, 20).otherwise(0) - flag("gated", 25))
+    raw = 0.5 * F.floor(2.5 * impact + 0.5) + 0.3 * blast / 30 * 100 + 0.2 * fragility / 30 * 100
     return F.floor(certainty / 100 * raw + 0.5).cast("int")
 
 
-def floored(score: Column, failed: Column, terminal: Column) -> Column:
-    return F.when(failed & terminal, F.greatest(score, F.lit(90))).when(failed, F.greatest(score, F.lit(55))).otherwise(score)
+def floored(score: Column, failed: Column, confirmed: Column) -> Column:
+    """A target's failure to apply is certain: it floors the score."""
+    return F.when(failed, F.greatest(score, F.when(confirmed, 90).otherwise(55))).otherwise(score)
 
 
 def complexity(mods: DataFrame) -> DataFrame:
@@ -99,8 +121,20 @@ def bloat(mods: DataFrame) -> DataFrame:
     return mods.where("inert > 0").select("mod", points.cast("int").alias("bloat"))
 
 
-def recommended_severity(failed: Column, confirmed: Column, complete: Column, impact: Column) -> Column:
-    return F.when(failed, F.when(confirmed & complete, "error").when(confirmed, "warn").otherwise("note")).when(impact >= 30, "warn").when(impact >= 15, "note").otherwise("info")
+#: How far a claim is confirmed, and how bad a failure is that is confirmed so far.
+FAILURE_SEVERITY = {
+    "runtime-confirmed": "error", "static-exact": "error", "static-descriptor-aware": "warn", "static-name-only": "warn",
+    "heuristic-site": "note", "heuristic-class": "note", "heuristic-mod": "info", "unchecked": "info",
+}
+
+
+def recommended_severity(failure: Column, confirmation: Column, conclusive: Column, impact: Column) -> Column:
+    """A failure by how it is confirmed, an exact one under incomplete coverage a warning only;
+    anything else by its impact of 0 to 100."""
+    out = F.lit("info")
+    for k, s in FAILURE_SEVERITY.items():
+        out = F.when(confirmation == k, F.when(~conclusive, "warn").otherwise(s) if k == "static-exact" else s).otherwise(out)
+    return F.when(failure, out).when(impact >= 80, "warn").when(impact >= 40, "note").otherwise("info")
 
 
 def confirmed(sites: DataFrame, failures: DataFrame) -> DataFrame:

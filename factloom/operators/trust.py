@@ -44,7 +44,10 @@ def confidence() -> Column:
     """Of a rollup row."""
     n = F.col("structural") + F.col("corroborated")
     spread = F.when(F.col("scanned") > 0, F.least(F.lit(1.0), F.col("affected") / F.col("scanned"))).otherwise(0.0)
-    raw = 0.55 + 0.14 * F.col("structural") / F.greatest(n, F.lit(1)) + 0.05 * F.col("strength") + 0.12 * spread - F.when(F.col("structural") == 0, 0.1).otherwise(0.0)
+    strong = F.when(F.col("strength") == 2, 0.12).when(F.col("strength") == 1, 0.06).otherwise(0.0)
+    lonely = F.when((F.col("affected") == 1) & (F.col("scanned") > 64), 0.05).otherwise(0.0)
+    inferred = 0.1 * F.col("corroborated") / F.greatest(n, F.lit(1)) + F.when((F.col("structural") == 0) & (F.col("corroborated") > 0), 0.08).otherwise(0.0)
+    raw = 0.55 + 0.14 * F.col("structural") / F.greatest(n, F.lit(1)) + strong + 0.12 * spread - lonely - inferred
     return F.greatest(F.lit(0.35), F.least(F.lit(0.98), raw))
 
 
@@ -98,3 +101,13 @@ def lock_digest(rows: DataFrame, keys: list[str]) -> DataFrame:
     hashed = rows.select(*keys, line.alias("_line"))
     schema = StructType([*hashed.schema.fields[:-1], StructField("digest", StringType())])
     return hashed.repartition(*keys).sortWithinPartitions(*keys, "_line").mapInArrow(_digested, schema)
+
+
+def capability_counts(signals: DataFrame) -> DataFrame:
+    """(archive, signal, n): detections of each capability."""
+    return signals.groupBy("archive", "signal").agg(F.count(F.lit(1)).alias("n"))
+
+
+def provenance_gaps(archives: DataFrame) -> DataFrame:
+    """(archive, rule_id): archives without an id, and without a signature those that have one."""
+    return archives.where("not has_id or not has_signature").select("archive", F.when(~F.col("has_id"), "unknown-source").otherwise("unsigned-jar").alias("rule_id"))

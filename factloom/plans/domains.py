@@ -169,7 +169,7 @@ def r9_update_impact(spark, sf):
 # Trust --------------------------------------------------------------------------------------
 
 SIGNALS = """SELECT 'a' || CAST(l_suppkey AS STRING) || '-' || CAST(l_partkey % 5 AS STRING) AS archive, CASE l_linenumber WHEN 1 THEN 'socket' WHEN 2 THEN 'process_spawn' WHEN 3 THEN 'reflection' WHEN 4 THEN 'unsafe' ELSE 'exit' END AS signal,
-  l_returnflag = 'R' AS structural, CASE l_returnflag WHEN 'A' THEN 'reference' WHEN 'N' THEN 'call' ELSE 'reachable' END AS strength, CAST(l_quantity AS INT) AS affected, 50 AS scanned FROM lineitem WHERE l_orderkey % 30 = 0"""
+  l_returnflag = 'R' AS structural, CASE l_returnflag WHEN 'A' THEN 'reference' WHEN 'N' THEN 'call' ELSE 'reachable' END AS strength, CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE CAST(l_quantity AS INT) END AS affected, CAST(l_partkey % 4 AS INT) * 30 AS scanned FROM lineitem"""
 _STR = "CASE strength WHEN 'reachable' THEN 2 WHEN 'call' THEN 1 ELSE 0 END"
 _COLL = f"SELECT archive, signal, bool_or(structural) AS structural, max({_STR}) AS strength, max(affected) AS affected, max(scanned) AS scanned FROM ({SIGNALS}) s GROUP BY archive, signal"
 _ROLL = f"SELECT archive, string_agg(signal, ',' ORDER BY signal) AS signals, max(strength) AS strength, max(affected) AS affected, max(scanned) AS scanned, count(*) FILTER (WHERE structural) AS structural, count(*) FILTER (WHERE NOT structural) AS corroborated, bool_or(signal IN ('process_spawn', 'unsafe')) AS risky, count(*) AS n FROM ({_COLL}) c GROUP BY archive"
@@ -186,7 +186,7 @@ def x2_emission(spark, sf):
     return t.emitted(t.rollup(v(spark, sf, SIGNALS))).select("archive", "severity")
 
 
-@plan(f"SELECT archive, round(greatest(0.35, least(0.98, 0.55 + CAST(0.14 AS DOUBLE) * structural / n + 0.05 * strength + 0.12 * least(1.0, affected / 50.0) - CASE WHEN structural = 0 THEN 0.1 ELSE 0 END)), 6) AS confidence FROM ({_ROLL}) r")
+@plan(f"SELECT archive, round(greatest(0.35, least(0.98, CAST(0.55 AS DOUBLE) + CAST(0.14 AS DOUBLE) * structural / n + CASE strength WHEN 2 THEN CAST(0.12 AS DOUBLE) WHEN 1 THEN 0.06 ELSE 0 END + CASE WHEN scanned > 0 THEN CAST(0.12 AS DOUBLE) * least(1.0, affected / CAST(scanned AS DOUBLE)) ELSE 0 END - CASE WHEN affected = 1 AND scanned > 64 THEN CAST(0.05 AS DOUBLE) ELSE 0 END - CAST(0.1 AS DOUBLE) * corroborated / n - CASE WHEN structural = 0 THEN CAST(0.08 AS DOUBLE) ELSE 0 END)), 6) AS confidence FROM ({_ROLL}) r")
 def x3_confidence(spark, sf):
     return t.rollup(v(spark, sf, SIGNALS)).select("archive", F.round(t.confidence(), 6).alias("confidence"))
 
@@ -217,12 +217,12 @@ def x7_low_trust(spark, sf):
 
 @plan(f"SELECT archive, signal, count(*) AS n FROM ({SIGNALS}) s GROUP BY archive, signal")
 def x8_capability_rollup(spark, sf):
-    return v(spark, sf, SIGNALS).groupBy("archive", "signal").agg(F.count(F.lit(1)).alias("n"))
+    return t.capability_counts(v(spark, sf, SIGNALS))
 
 
-@plan(f"SELECT archive, CASE WHEN NOT has_id THEN 'unknown-source' ELSE 'unsigned' END AS rule_id FROM ({TRUST}) t WHERE NOT has_id OR NOT has_signature")
+@plan(f"SELECT archive, CASE WHEN NOT has_id THEN 'unknown-source' ELSE 'unsigned-jar' END AS rule_id FROM ({TRUST}) t WHERE NOT has_id OR NOT has_signature")
 def x9_provenance(spark, sf):
-    return v(spark, sf, TRUST).where("not has_id or not has_signature").select("archive", F.when(~F.col("has_id"), "unknown-source").otherwise("unsigned").alias("rule_id"))
+    return t.provenance_gaps(v(spark, sf, TRUST))
 
 
 @plan("WITH l AS (SELECT o_orderstatus, sha256(CAST(o_orderkey AS STRING) || chr(31) || o_orderpriority || chr(31) || CAST(o_custkey AS STRING)) AS h FROM orders) SELECT o_orderstatus, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM l GROUP BY o_orderstatus")
@@ -289,16 +289,22 @@ def o7_risk_clusters(spark, sf):
     return o.clusters(s.withColumnRenamed("operation", "kind"), s.where("confidence > 47"))
 
 
-SCORED = "SELECT p_partkey AS id, p_size % 5 = 0 AS overwrite, p_size % 3 = 0 AS method_conflict, p_size % 2 = 0 AS hot, p_partkey % 2 = 0 AS skew, p_partkey % 3 = 0 AS reflection, p_partkey % 5 = 0 AS hard_capture, p_partkey % 7 = 0 AS inherited, p_partkey % 11 = 0 AS gated, p_partkey % 13 = 0 AS disjoint, p_size % 4 AS effects, 2 + p_size % 4 AS mods, p_size % 3 AS edges, p_size % 4 AS unresolved FROM part"
-_I = "least(40, CASE WHEN overwrite THEN 40 WHEN method_conflict THEN 24 ELSE 8 END)"
-_B = "least(30, CASE WHEN hot THEN 18 ELSE 0 END + least(3 * effects, 6) + least(3 * (mods - 1), 9) + least(2 * edges, 6))"
-_FR = "least(30, CASE WHEN skew THEN 14 ELSE 0 END + CASE WHEN reflection THEN 8 ELSE 0 END + CASE WHEN hard_capture THEN 8 ELSE 0 END + CASE WHEN inherited THEN 5 ELSE 0 END)"
-_CE = "greatest(20, 100 - least(25 * unresolved, 60) - CASE WHEN disjoint THEN 20 ELSE 0 END - CASE WHEN gated THEN 25 ELSE 0 END)"
+SCORED = """SELECT p_partkey AS id, p_size % 5 = 0 AS overwrite, p_size % 3 = 0 AS method_conflict, p_size % 2 = 0 AS hot, p_partkey % 2 = 0 AS skew, p_partkey % 3 = 0 AS reflection, p_partkey % 5 = 0 AS hard_capture, p_partkey % 7 = 0 AS inherited,
+  p_partkey % 11 = 0 AS gated, p_size % 7 = 0 AS returns, p_size % 11 = 0 AS advanced, p_partkey % 13 = 0 AS loader, p_partkey % 4 = 0 AS priority, p_partkey % 9 = 0 AS complex,
+  CASE p_size % 9 WHEN 0 THEN 'method-replace' WHEN 1 THEN 'call-replace' WHEN 2 THEN 'entry-hook' WHEN 3 THEN 'exit-hook' WHEN 4 THEN 'local-mutation' WHEN 5 THEN 'data-mutation' WHEN 6 THEN 'constant-mutation' WHEN 7 THEN 'other' END AS injection,
+  CASE p_partkey % 8 WHEN 0 THEN 'networking' WHEN 1 THEN 'class-loading' WHEN 2 THEN 'serialization' WHEN 3 THEN 'rendering' WHEN 4 THEN 'server-tick' WHEN 5 THEN 'persistence' WHEN 6 THEN 'other' END AS subsystem,
+  p_size % 4 AS effects, 1 + p_size % 5 AS mods, p_size % 3 AS edges, p_size % 4 AS unresolved, p_partkey % 17 = 0 AS failed, p_size % 2 = 1 AS confirmed FROM part"""
+_I = "least(40, CASE WHEN overwrite THEN 40 WHEN method_conflict THEN 24 ELSE 8 END + CASE WHEN injection IS NULL THEN 0 ELSE least(16, CASE injection WHEN 'method-replace' THEN 25 WHEN 'call-replace' THEN 20 WHEN 'entry-hook' THEN 15 WHEN 'exit-hook' THEN 12 WHEN 'local-mutation' THEN 10 WHEN 'data-mutation' THEN 10 WHEN 'constant-mutation' THEN 8 ELSE 5 END) END + CASE WHEN returns THEN 8 ELSE 0 END + CASE WHEN advanced THEN 6 ELSE 0 END)"
+_B = "least(30, CASE WHEN hot THEN 18 + least(3 * effects, 6) ELSE 0 END + least(3 * (mods - 1), 9) + least(2 * edges, 6) + CASE WHEN loader THEN 8 ELSE 0 END + CASE WHEN subsystem IN ('networking', 'class-loading', 'serialization') THEN 6 WHEN subsystem IN ('rendering', 'server-tick', 'persistence') THEN 4 ELSE 0 END)"
+_FR = "least(30, CASE WHEN skew THEN 14 ELSE 0 END + CASE WHEN reflection THEN 8 ELSE 0 END + CASE WHEN hard_capture THEN 8 ELSE 0 END + CASE WHEN priority THEN 6 ELSE 0 END + CASE WHEN inherited THEN 5 ELSE 0 END + CASE WHEN complex THEN 4 ELSE 0 END)"
+_CE = "greatest(20, 100 - least(25 * unresolved, 60) - CASE WHEN NOT method_conflict AND NOT overwrite THEN 20 ELSE 0 END - CASE WHEN gated THEN 25 ELSE 0 END)"
+_RISK = f"CAST(floor(CAST({_CE} AS DOUBLE) / 100 * (CAST(0.5 AS DOUBLE) * floor(CAST(2.5 AS DOUBLE) * {_I} + CAST(0.5 AS DOUBLE)) + CAST(0.3 AS DOUBLE) * {_B} / 30 * 100 + CAST(0.2 AS DOUBLE) * {_FR} / 30 * 100) + CAST(0.5 AS DOUBLE)) AS INT)"
 
 
-@plan(f"SELECT id, CAST(floor(CAST({_CE} AS DOUBLE) / 100 * (CAST(0.5 AS DOUBLE) * least(100.0, 2.5 * {_I}) + CAST(0.3 AS DOUBLE) * {_B} / 30 * 100 + CAST(0.2 AS DOUBLE) * {_FR} / 30 * 100) + CAST(0.5 AS DOUBLE)) AS INT) AS score FROM ({SCORED}) s")
+@plan(f"SELECT id, {_RISK} AS score, CAST(CASE WHEN failed AND confirmed THEN greatest({_RISK}, 90) WHEN failed THEN greatest({_RISK}, 55) ELSE {_RISK} END AS INT) AS with_failures FROM ({SCORED}) s")
 def o8_risk_score(spark, sf):
-    return v(spark, sf, SCORED).select("id", o.risk_score().alias("score"))
+    score = v(spark, sf, SCORED).select("id", "failed", "confirmed", o.risk_score().alias("score"))
+    return score.select("id", "score", o.floored(F.col("score"), F.col("failed"), F.col("confirmed")).alias("with_failures"))
 
 
 COMPLEX = "SELECT 'm' || CAST(p_partkey AS STRING) AS mod, p_size * 3 AS peak, p_size % 9 AS classes, p_size AS targets, p_size * 2 AS sites, p_size % 7 AS conflicts, p_size % 2 = 0 AS hot, p_size % 6 AS inert, 6 AS total, p_size * 30 AS volume FROM part"
@@ -314,9 +320,14 @@ def o10_bloat(spark, sf):
     return o.bloat(v(spark, sf, COMPLEX))
 
 
-@plan(f"SELECT mod, CASE WHEN hot THEN CASE WHEN inert > 2 AND classes > 3 THEN 'error' WHEN inert > 2 THEN 'warn' ELSE 'note' END WHEN peak >= 30 THEN 'warn' WHEN peak >= 15 THEN 'note' ELSE 'info' END AS severity FROM ({COMPLEX}) c")
+CLAIMS = """SELECT p_partkey AS id, p_size % 3 > 0 AS failure, p_partkey % 2 = 0 AS conclusive, p_size * 2 AS impact, CASE p_size % 9 WHEN 0 THEN 'runtime-confirmed' WHEN 1 THEN 'static-exact' WHEN 2 THEN 'static-descriptor-aware' WHEN 3 THEN 'static-name-only'
+  WHEN 4 THEN 'heuristic-site' WHEN 5 THEN 'heuristic-class' WHEN 6 THEN 'heuristic-mod' ELSE 'unchecked' END AS confirmation FROM part"""
+
+
+@plan(f"""SELECT id, CASE WHEN failure THEN CASE WHEN confirmation = 'runtime-confirmed' OR confirmation = 'static-exact' AND conclusive THEN 'error' WHEN starts_with(confirmation, 'static-') THEN 'warn'
+  WHEN confirmation IN ('heuristic-site', 'heuristic-class') THEN 'note' ELSE 'info' END WHEN impact >= 80 THEN 'warn' WHEN impact >= 40 THEN 'note' ELSE 'info' END AS severity FROM ({CLAIMS}) c""")
 def o11_recommended_severity(spark, sf):
-    return v(spark, sf, COMPLEX).select("mod", o.recommended_severity(F.col("hot"), F.col("inert") > 2, F.col("classes") > 3, F.col("peak")).alias("severity"))
+    return v(spark, sf, CLAIMS).select("id", o.recommended_severity(F.col("failure"), F.col("confirmation"), F.col("conclusive"), F.col("impact")).alias("severity"))
 
 
 FAILED = f"SELECT CASE WHEN id % 2 = 0 THEN target ELSE regexp_extract(target, '[A-Z][0-9]+$', 0) END AS class, CASE WHEN id % 3 = 0 THEN site END AS point, side AS config FROM ({SITES}) s WHERE id % 17 = 0"
