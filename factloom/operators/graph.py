@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.sources.storage import shared_dir
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder that the session names; a temporary one if it names none."""
+    """A checkpoint in the shared folder."""
     spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-"))
+        sc.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
 
 
@@ -29,7 +29,7 @@ def closure(edges: DataFrame, source: str, target: str, max_depth: int | None =
     while (max_depth is None or depth < max_depth) and not new.isEmpty():
         further = new.join(hop, "t").select("f", F.col("_t").alias("t")).distinct()
         new = checkpointed(further.join(known, ["f", "t"], "left_anti"))
-        known = checkpointed(known.unionByName(new))
+        known = known.unionByName(new)  # each round's pairs are stored once
         depth += 1
     return known.select(F.col("f").alias(source), F.col("t").alias(target))
 
@@ -53,25 +53,38 @@ def slice_from(edges: DataFrame, roots: DataFrame, depth: int, most_nodes: int,
     return kept, cover.select("nodes", "edges", F.when(partial, "partial").otherwise("complete").alias("coverage"))
 
 
-def shortest_paths(edges: DataFrame, start: str, max_depth: int = 32) -> DataFrame:
+def shortest_paths(edges: DataFrame, start: str, max_depth: int | None = None) -> DataFrame:
     """(node, depth, path) of what start reaches; of equally short paths the smallest."""
     e = edges.select(F.col("f").cast("string"), F.col("t").cast("string")).where("f is not null and t is not null").distinct()
     spark = edges.sparkSession
     seen = front = spark.createDataFrame([(start, 0, [start])], "node string, depth int, path array<string>")
-    for d in range(1, max_depth + 1):
+    d = 0
+    while max_depth is None or d < max_depth:
+        d += 1
         further = front.withColumnRenamed("node", "f").join(e, "f")
         further = further.select(F.col("t").alias("node"), F.array_append("path", F.col("t")).alias("path"))
         further = further.groupBy("node").agg(F.min("path").alias("path")).join(seen.select("node"), "node", "left_anti")
         front = checkpointed(further.select("node", F.lit(d).alias("depth"), "path"))
         if front.isEmpty():
             break
-        seen = checkpointed(seen.unionByName(front))
+        seen = seen.unionByName(front)
     return seen.select("node", "depth", F.array_join("path", " > ").alias("path"))
 
 
+def _core(edges: DataFrame) -> DataFrame:
+    """What is left when nodes that nothing enters, or nothing leaves, are taken off until none is."""
+    e = edges.select(F.col("f").cast("string"), F.col("t").cast("string")).where("f is not null and t is not null").distinct()
+    e, before = checkpointed(e), None
+    while (n := e.count()) != before:
+        before = n
+        entered, left = e.select(F.col("t").alias("f")).distinct(), e.select(F.col("f").alias("t")).distinct()
+        e = checkpointed(e.join(entered, "f", "left_semi").join(left, "t", "left_semi"))
+    return e
+
+
 def on_cycles(edges: DataFrame) -> DataFrame:
     """(node, cycle): every node that reaches itself, and the smallest node of its cycles."""
-    c = closure(edges, "f", "t")
+    c = closure(_core(edges), "f", "t")
     own = c.where("f = t").select(F.col("f").alias("node"))
     back = c.select(F.col("t").alias("f"), F.col("f").alias("t"))
     both = c.join(back, ["f", "t"])

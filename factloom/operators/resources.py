@@ -19,12 +19,32 @@ def collisions(writes: DataFrame) -> DataFrame:
     return out.where("n_writes >= 2")
 
 
+#: Asset domains below data/ and assets/, by a folder of the path.
+DATA_DOMAINS = (("recipe", ("/recipe/", "/recipes/")), ("loot-table", ("/loot_table/", "/loot_tables/")), ("advancement", ("/advancement/", "/advancements/")))
+ASSET_DOMAINS = (
+    ("blockstate", "/blockstates/"), ("model", "/models/"), ("atlas", "/atlases/"), ("shader", "/shaders/"), ("font", "/font/"), ("particle", "/particles/"),
+)
+#: Documents of which one is kept, never a union.
+SINGLE = ("recipe", "loot-table", "advancement", "blockstate", "model", "font")
+ROOT = "pack.mcmeta"
+
+
+def is_json(path: Column) -> Column:
+    return path.endswith(".json") | (path == ROOT)
+
+
 def domain(path: Column) -> Column:
-    rules = (("lang", r"/lang/"), ("tag", r"/tags/"), ("recipe", r"/recipes?/"), ("shader", r"/shaders/"), ("font", r"/font/"), ("atlas", r"/atlases/"), ("sound", r"sounds\.json$"), ("texture", r"/textures/"))
-    out = F.lit("resource")
-    for name, p in reversed(rules):
-        out = F.when(path.rlike(p), name).otherwise(out)
-    return out
+    """What a path holds: JSON by its root and folder, other files by how telling they are."""
+    data, assets = path.startswith("data/"), path.startswith("assets/")
+    out = F.when(path == ROOT, "pack-mcmeta")
+    binary = F.when(path.contains("/shaders/"), "shader").when(path.contains("/font/"), "font").when(path.endswith(".ogg") | path.contains("/sounds/"), "sounds").otherwise("binary-asset")
+    out = out.when(~is_json(path), binary).when(data & path.contains("/tags/"), "tag").when(assets & path.contains("/lang/"), "lang")
+    for name, folders in DATA_DOMAINS:
+        out = out.when(data & (path.contains(folders[0]) | path.contains(folders[1])), name)
+    out = out.when(assets & path.endswith("/sounds.json"), "sounds")
+    for name, folder in ASSET_DOMAINS:
+        out = out.when(assets & path.contains(folder), name)
+    return out.otherwise("generic-json")
 
 
 def key_union(entries: DataFrame, conflict: str, shown: int = 6) -> DataFrame:
@@ -71,18 +91,24 @@ def cross_format(paths: DataFrame) -> DataFrame:
 
 def overlay_action(cls: Column) -> Column:
     return (
-        F.when(cls == "identical", "keep-any").when(cls.isin("safe-crdt-merge", "safe-json-object-merge", "lang-merge"), "merge")
+        F.when(cls == "identical", "keep-any").when(cls.isin("safe-crdt-merge", "safe-json-object-merge", "lang-json-merge", "lang-properties-merge"), "merge")
         .when(cls == "root-metadata", "generate-own").otherwise("pick-winner")
     )
 
 
-def collision_class(identical: Column, dom: Column, tag: Column, union: Column, path: Column) -> Column:
-    """The first that holds: identical, tag, language, root metadata, order dependent, object union,
-    binary, unsafe."""
+def collision_class(identical: Column, dom: Column, tag: Column, union: Column, parsed: Column, path: Column) -> Column:
+    """The class of a path that several write. tag: what its tag files make; union: of JSON objects,
+    conflict if a key has two values, json-merge-candidate if one is no object, else safe; parsed:
+    whether all writers' texts can be read. The first that holds: equal bytes, tags, languages, the
+    root description, JSON by its domain, other files."""
+    json = is_json(path) & parsed
+    text = path.startswith("assets/") & path.contains("/lang/") & parsed
+    merged = lambda conflict: F.when(union == "conflict", conflict).otherwise(union)
     return (
-        F.when(identical, "identical").when(dom == "tag", tag).when(dom == "lang", "lang-merge").when(path.rlike(r"^[^/]+$"), "root-metadata")
-        .when(dom.isin("atlas", "shader", "sound"), F.concat(F.lit("order-dependent-"), dom)).when(path.endswith(".json"), F.coalesce(union, F.lit("json-override")))
-        .when(path.rlike(r"\.(png|ogg|ttf)$"), "binary-override").otherwise("unsafe-replace")
+        F.when(identical, "identical").when(dom == "tag", tag).when(text & path.endswith(".json"), "lang-json-merge").when(text & path.endswith(".lang"), "lang-properties-merge")
+        .when(path == ROOT, "root-metadata").when(json & (dom == "atlas"), "order-dependent-atlas").when(json & (dom == "shader"), "order-dependent-shader")
+        .when(json & (dom == "sounds"), merged("order-dependent-sound-def")).when(json & dom.isin(*SINGLE), "json-override").when(json, merged("json-merge-candidate"))
+        .when(~is_json(path), "binary-override").otherwise("unsafe-replace")
     )
 
 

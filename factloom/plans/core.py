@@ -3,14 +3,13 @@ attributes are value and the number in props."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
 from factloom.model import compared, literal, value, view
 from factloom.operators import facts as op
 from factloom.plans.base import Plans
+from factloom.sources.storage import scratch
 
 plan = Plans()
 
@@ -126,6 +125,20 @@ def a11_first_duplicate(spark, sf):
     return op.first_facts(twice, "position").select("run_id", "fact_id", "kind")
 
 
+@plan(f"WITH e AS ({EVENTS}) SELECT run_id, fact_id, kind, subject FROM e")
+def a11_persisted_run(spark, sf):
+    """Runs written twice, the second time with other kinds, and one run a third time, read back."""
+    from factloom.operators.history import save_run
+
+    facts, path = fact_tables(spark, sf)[0].select("run_id", "fact_id", "kind", "subject"), scratch(spark, "runs")
+    runs = facts.select("run_id", F.lit(1).alias("version")).distinct()
+    one = facts.agg(F.min("run_id").alias("run_id"))
+    save_run({"runs": runs, "facts": facts.withColumn("kind", F.lit("first"))}, path)
+    save_run({"runs": runs, "facts": facts}, path)
+    save_run({"runs": runs.join(F.broadcast(one), "run_id"), "facts": facts.join(F.broadcast(one), "run_id")}, path)
+    return spark.read.schema(facts.schema).parquet(f"{path}/facts").select("run_id", "fact_id", "kind", "subject")
+
+
 @plan("""SELECT 'SPDXRef-Package-' || CAST(s_suppkey AS STRING) AS spdx_id, coalesce(s_name, CAST(s_suppkey AS STRING)) AS name,
   CASE WHEN s_nationkey % 3 = 0 THEN 'UNKNOWN' ELSE '1.' || CAST(s_nationkey AS STRING) END AS version,
   'pkg:loom/' || s_name || '@' || CASE WHEN s_nationkey % 3 = 0 THEN '' ELSE '1.' || CAST(s_nationkey AS STRING) END || '?archive=' || CAST(s_suppkey AS STRING) || '.jar' AS purl FROM supplier""")
@@ -159,12 +172,6 @@ def a17_alert_rows(spark, sf):
     return out.select(F.col("finding_id").alias("rule_instance"), "rule_id", "level", F.size("locations").alias("n_locations"))
 
 
-def scratch(spark, name):
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='factloom-')}"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 @plan(f"""WITH e AS ({EVENTS}) SELECT run_id, fact_id, kind, subject FROM e""")
 def a15_snapshot(spark, sf):
     from factloom.sources.packages import read_snapshot, write_snapshot

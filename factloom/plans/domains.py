@@ -22,10 +22,10 @@ plan = Plans()
 MODS = "SELECT 'm' || CAST(s_suppkey AS STRING) AS id, CAST(1 + s_nationkey % 3 AS STRING) || '.' || CAST(s_suppkey % 5 AS STRING) || '.0' AS version, 'f' || CAST(s_suppkey AS STRING) || '.jar' AS file FROM supplier WHERE s_suppkey % 4 <> 0"
 PROVIDED = "SELECT 'alias' || CAST(s_suppkey % 9 AS STRING) AS id, 'm' || CAST(s_suppkey AS STRING) AS provider, '2.0.0' AS version FROM supplier WHERE s_suppkey % 4 = 1"
 PROVIDERS = f"SELECT id, id AS provider, version FROM ({MODS}) m UNION SELECT id, provider, version FROM ({PROVIDED}) p"
-DECLARED = """SELECT DISTINCT 'm' || CAST(l_suppkey AS STRING) AS id, CASE WHEN l_partkey % 10 = 0 THEN 'platform' WHEN l_partkey % 7 = 0 THEN 'alias' || CAST(l_partkey % 12 AS STRING) ELSE 'm' || CAST(l_partkey % 15 AS STRING) END AS dep,
+DECLARED = """SELECT DISTINCT 'm' || CAST(l_suppkey AS STRING) AS id, CASE WHEN l_partkey % 10 = 0 THEN 'platform' WHEN l_partkey % 7 = 0 THEN 'alias' || CAST(l_partkey % 12 AS STRING) ELSE 'm' || CAST(l_partkey % 997 AS STRING) END AS dep,
   CASE l_linenumber WHEN 1 THEN '>=1.2.0' WHEN 2 THEN '[1.0,2.0)' WHEN 3 THEN '=2.0.0' WHEN 4 THEN 'weird' WHEN 5 THEN '^1.1' ELSE '*' END AS range, CASE l_linenumber WHEN 2 THEN 'maven' WHEN 4 THEN 'opaque' ELSE 'semver' END AS dialect,
-  CASE l_returnflag WHEN 'A' THEN 'breaks' WHEN 'N' THEN 'requires' ELSE 'discourages' END AS relation, l_linestatus = 'O' AS mandatory FROM lineitem WHERE l_orderkey % 9 = 0"""
-IMPLICIT = "SELECT DISTINCT 'm' || CAST(l_suppkey AS STRING) AS id, 'm' || CAST(l_partkey % 15 AS STRING) AS dep, CAST(NULL AS BOOLEAN) AS mandatory FROM lineitem WHERE l_orderkey % 13 = 0"
+  CASE l_returnflag WHEN 'A' THEN 'breaks' WHEN 'N' THEN 'requires' ELSE 'discourages' END AS relation, l_linestatus = 'O' AS mandatory FROM lineitem"""
+IMPLICIT = "SELECT DISTINCT 'm' || CAST(l_suppkey AS STRING) AS id, 'm' || CAST((l_partkey + l_linenumber) % 997 AS STRING) AS dep, CAST(NULL AS BOOLEAN) AS mandatory FROM lineitem"
 
 
 def v(spark, sf, *sqls):
@@ -88,7 +88,7 @@ def d9_loose_and_tight(spark, sf):
     return d.loose_and_tight(*v(spark, sf, DECLARED, PROVIDERS))
 
 
-USES = "SELECT DISTINCT 'm' || CAST(l_suppkey AS STRING) AS id, 'm' || CAST(l_partkey % 15 AS STRING) AS dep FROM lineitem WHERE l_orderkey % 21 = 0"
+USES = "SELECT DISTINCT 'm' || CAST(l_suppkey AS STRING) AS id, 'm' || CAST(l_partkey * 3 % 997 AS STRING) AS dep FROM lineitem"
 
 
 @plan(f"SELECT id, dep FROM ({DECLARED}) d WHERE mandatory AND relation = 'requires' AND dep IN (SELECT id FROM ({MODS}) m) AND (id, dep) NOT IN (SELECT id, dep FROM ({IMPLICIT}) i) AND (id, dep) NOT IN (SELECT id, dep FROM ({USES}) u)")
@@ -98,8 +98,8 @@ def d10_unused(spark, sf):
 
 
 REFS = """SELECT 'w' || CAST(l_suppkey % 20 AS STRING) AS writer, 'ns' || CAST(l_partkey % 23 AS STRING) AS namespace, l_linestatus = 'O' AS required, l_returnflag = 'R' AS hard, l_tax > 0.05 AS conditional,
-  'p' || CAST(l_partkey AS STRING) AS path, CASE l_linenumber % 2 WHEN 0 THEN 'item' ELSE 'block' END AS kind, 'n' || CAST(l_suppkey % 9 AS STRING) AS name FROM lineitem WHERE l_orderkey % 6 = 0"""
-OWNERS = "SELECT DISTINCT 'w' || CAST(l_suppkey % 20 AS STRING) AS writer, 'ns' || CAST(l_partkey % 11 AS STRING) AS namespace FROM lineitem WHERE l_orderkey % 50 = 0"
+  'p' || CAST(l_partkey AS STRING) AS path, CASE l_linenumber % 2 WHEN 0 THEN 'item' ELSE 'block' END AS kind, 'n' || CAST(l_partkey AS STRING) || '_' || CAST(l_suppkey % 3 AS STRING) AS name FROM lineitem"""
+OWNERS = "SELECT DISTINCT 'w' || CAST(s_suppkey % 20 AS STRING) AS writer, 'ns' || CAST(s_suppkey % 20 % 11 AS STRING) AS namespace FROM supplier"
 _STATE = f"""SELECT namespace, CASE WHEN namespace IN (SELECT namespace FROM ({OWNERS}) o) THEN 'present' WHEN namespace = 'ns12' THEN 'via-alias' WHEN namespace = 'ns13' THEN 'builtin' WHEN namespace = 'ns14' THEN 'common' WHEN bool_or(required) THEN 'required-missing' ELSE 'optional-missing' END AS state FROM ({REFS}) r GROUP BY namespace"""
 
 
@@ -158,7 +158,7 @@ def d17_environment(spark, sf):
     return d.environment(v(spark, sf, VOTES))
 
 
-BUMPS = "SELECT DISTINCT 'm' || CAST(s_suppkey % 15 AS STRING) AS dep, '1.1.0' AS old, '2.0.0' AS new FROM supplier"
+BUMPS = "SELECT DISTINCT 'm' || CAST(s_suppkey AS STRING) AS dep, '1.1.0' AS old, '2.0.0' AS new FROM supplier"
 
 
 @plan(f"""SELECT id, dep, CASE WHEN range = 'weird' THEN 'undecidable' WHEN range IN ('[1.0,2.0)', '^1.1') THEN 'breaks' WHEN range IN ('>=1.2.0', '=2.0.0') THEN 'fixed' ELSE 'same' END AS effect FROM ({DECLARED}) d WHERE dep IN (SELECT dep FROM ({BUMPS}) b)""")
@@ -233,9 +233,9 @@ def x10_lock_digest(spark, sf):
 
 # Overlaps -----------------------------------------------------------------------------------
 
-SITES = """SELECT (l_orderkey * 100000 + l_partkey) * 10 + l_linenumber AS id, 'm' || CAST(l_suppkey AS STRING) AS mod, 'pkg' || CAST(l_partkey % 4 AS STRING) || '.T' || CAST(l_partkey % 300 AS STRING) AS target, 'f' || CAST(l_linenumber % 3 AS STRING) AS method, 's' || CAST(l_partkey % 2 AS STRING) AS site,
+SITES = """SELECT (l_orderkey * 100000 + l_partkey) * 10 + l_linenumber AS id, 'm' || CAST(l_suppkey AS STRING) AS mod, 'pkg' || CAST(l_partkey % 4 AS STRING) || '.T' || CAST(l_partkey AS STRING) AS target, 'f' || CAST(l_linenumber % 3 AS STRING) AS method, 's' || CAST(l_partkey % 2 AS STRING) AS site,
   CASE l_linenumber WHEN 1 THEN 'replace' WHEN 2 THEN 'wrap' WHEN 3 THEN 'transform' WHEN 4 THEN 'guard' ELSE 'observe' END AS operation, CASE l_returnflag WHEN 'A' THEN 'client' WHEN 'R' THEN 'server' ELSE 'both' END AS side,
-  l_tax > 0.06 AS hot, CAST(l_quantity AS INT) AS confidence, CAST(l_quantity AS INT) % 3 AS priority, CAST(l_suppkey % 3 AS STRING) AS descriptor FROM lineitem WHERE l_orderkey % 12 = 0"""
+  l_tax > 0.06 AS hot, CAST(l_quantity AS INT) AS confidence, CAST(l_quantity AS INT) % 3 AS priority, CAST(l_suppkey % 3 AS STRING) AS descriptor FROM lineitem"""
 
 
 def sites(spark, sf):
@@ -330,7 +330,7 @@ def o11_recommended_severity(spark, sf):
     return v(spark, sf, CLAIMS).select("id", o.recommended_severity(F.col("failure"), F.col("confirmation"), F.col("conclusive"), F.col("impact")).alias("severity"))
 
 
-FAILED = f"SELECT CASE WHEN id % 2 = 0 THEN target ELSE regexp_extract(target, '[A-Z][0-9]+$', 0) END AS class, CASE WHEN id % 3 = 0 THEN site END AS point, side AS config FROM ({SITES}) s WHERE id % 17 = 0"
+FAILED = f"SELECT CASE WHEN id % 2 = 0 THEN target ELSE regexp_extract(target, '[A-Z][0-9]+$', 0) END AS class, CASE WHEN id % 3 = 0 THEN site END AS point, side AS config FROM ({SITES}) s WHERE confidence > 47"
 
 
 @plan(f"WITH s AS ({SITES}), f AS ({FAILED}) SELECT s.id, coalesce(bool_or(s.side = f.config), false) AS strong FROM s JOIN f ON (f.class = s.target OR f.class = split_part(s.target, '.', 2)) AND (f.point IS NULL OR f.point = s.site) GROUP BY s.id")
@@ -378,7 +378,7 @@ def p3_spikes_and_mentions(spark, sf):
     return p.spikes_and_mentions(s, m, i.select(F.col("id").alias("mod")))
 
 
-METHODS = "SELECT p_partkey AS id, 'pkg' || CAST(p_partkey % 4 AS STRING) || '.T' || CAST(p_partkey % 300 AS STRING) AS class, 'f' || CAST(p_size % 3 AS STRING) AS method, CAST(p_size % 12 AS DOUBLE) AS percent FROM part WHERE p_partkey % 3 = 0"
+METHODS = "SELECT p_partkey AS id, 'pkg' || CAST(p_partkey % 4 AS STRING) || '.T' || CAST(p_partkey AS STRING) AS class, 'f' || CAST(p_size % 3 AS STRING) AS method, CAST(p_size % 12 AS DOUBLE) AS percent FROM part"
 
 
 @plan(f"""WITH h AS (SELECT * FROM ({METHODS}) m WHERE percent >= 5), s AS ({SITES}), m AS (SELECT h.id AS left_id, s.id AS right_id, operation, CASE WHEN h.class = s.target AND h.method = s.method THEN 'method' WHEN h.class = s.target THEN 'class' ELSE 'simple' END AS quality FROM h JOIN s ON split_part(h.class, '.', 2) = split_part(s.target, '.', 2))
@@ -408,7 +408,7 @@ def p7_hot_mods_by_category(spark, sf):
     return p.hot_mods_by_category(*v(spark, sf, HOT, SHIPPED))
 
 
-EXCERPTS = f"SELECT id AS excerpt_id, 'slow call in ' || CASE id % 3 WHEN 0 THEN target || '.' || method WHEN 1 THEN target ELSE split_part(target, '.', 2) END || ' again' AS text FROM ({SITES}) s WHERE id % 5 = 0"
+EXCERPTS = f"SELECT id AS excerpt_id, 'slow call in ' || CASE id % 3 WHEN 0 THEN target || '.' || method WHEN 1 THEN target ELSE split_part(target, '.', 2) END || ' again' AS text FROM ({SITES}) s"
 
 
 @plan(f"""WITH h AS (SELECT *, split_part(class, '.', 2) AS simple FROM ({METHODS}) m WHERE percent >= 5), e AS (SELECT *, string_split_regex(text, '[^\\w$]+') AS words FROM ({EXCERPTS}) e)

@@ -12,12 +12,18 @@ from factloom.plans.base import Plans
 plan = Plans()
 
 WRITES = "SELECT lang || '/' || CAST(n_chars % 60 AS STRING) || '.json' AS path, source AS writer, text AS content FROM documents"
-PATHS = """SELECT CASE l_linenumber WHEN 1 THEN 'a/lang/' WHEN 2 THEN 'a/tags/' WHEN 3 THEN 'b/recipes/' WHEN 4 THEN 'b/shaders/' WHEN 5 THEN 'c/textures/' WHEN 6 THEN 'c/font/' ELSE '' END
-  || 'p' || CAST(l_partkey % 25 AS STRING) || CASE l_suppkey % 3 WHEN 0 THEN '.json' WHEN 1 THEN '.png' ELSE '.lang' END AS path, 'w' || CAST(l_suppkey % 6 AS STRING) AS writer, l_orderkey AS position,
-  l_returnflag AS flag, 'k' || CAST(l_quantity AS STRING) AS k0, CAST(l_suppkey % 4 AS STRING) AS value, l_quantity FROM lineitem WHERE l_orderkey % 5 = 0"""
+PATHS = """SELECT CASE l_linenumber + CASE WHEN l_quantity > 25 THEN 7 ELSE 0 END WHEN 1 THEN 'assets/a/lang/' WHEN 2 THEN 'data/a/tags/items/' WHEN 3 THEN 'data/b/recipes/' WHEN 4 THEN 'assets/b/shaders/' WHEN 5 THEN 'assets/c/textures/' WHEN 6 THEN 'assets/c/font/'
+  WHEN 7 THEN 'assets/c/atlases/' WHEN 8 THEN 'data/b/loot_table/' WHEN 9 THEN 'data/b/advancements/' WHEN 10 THEN 'assets/c/blockstates/' WHEN 11 THEN 'assets/c/models/item/' WHEN 12 THEN 'assets/c/particles/' WHEN 13 THEN 'assets/e' ELSE '' END
+  || CASE WHEN l_quantity > 25 AND l_linenumber = 6 THEN CAST(l_suppkey AS STRING) || '/sounds.json' WHEN l_quantity > 25 AND l_linenumber = 7 THEN 'pack.mcmeta' ELSE 'p' || CAST(l_suppkey AS STRING) || CASE l_partkey % 3 WHEN 0 THEN '.json' WHEN 1 THEN '.png' ELSE '.lang' END END AS path,
+  'w' || CAST(l_orderkey % 6 AS STRING) AS writer, l_orderkey AS position, l_returnflag AS flag, 'k' || CAST(l_quantity AS STRING) AS k0, CASE WHEN l_suppkey % 5 = 0 THEN '1' ELSE CAST(l_orderkey % 4 AS STRING) END AS value, l_quantity, l_suppkey % 11 <> 3 AS parsed FROM lineitem"""
 #: One entry for each path, writer and key.
 ENTRIES = f"SELECT path, writer, 'k' || CAST(CAST(l_quantity AS BIGINT) % 8 AS STRING) AS key, min(value) AS value, min(position) AS position FROM ({PATHS}) p GROUP BY 1, 2, 3"
-DOMAIN = "CASE WHEN regexp_matches(path, '/lang/') THEN 'lang' WHEN regexp_matches(path, '/tags/') THEN 'tag' WHEN regexp_matches(path, '/recipes?/') THEN 'recipe' WHEN regexp_matches(path, '/shaders/') THEN 'shader' WHEN regexp_matches(path, '/font/') THEN 'font' WHEN regexp_matches(path, '/textures/') THEN 'texture' ELSE 'resource' END"
+JSON = "(path LIKE '%.json' OR path = 'pack.mcmeta')"
+DOMAIN = f"""CASE WHEN path = 'pack.mcmeta' THEN 'pack-mcmeta' WHEN NOT {JSON} THEN CASE WHEN contains(path, '/shaders/') THEN 'shader' WHEN contains(path, '/font/') THEN 'font' WHEN path LIKE '%.ogg' OR contains(path, '/sounds/') THEN 'sounds' ELSE 'binary-asset' END
+  WHEN starts_with(path, 'data/') THEN CASE WHEN contains(path, '/tags/') THEN 'tag' WHEN contains(path, '/recipe/') OR contains(path, '/recipes/') THEN 'recipe' WHEN contains(path, '/loot_table/') OR contains(path, '/loot_tables/') THEN 'loot-table'
+    WHEN contains(path, '/advancement/') OR contains(path, '/advancements/') THEN 'advancement' ELSE 'generic-json' END
+  WHEN starts_with(path, 'assets/') THEN CASE WHEN contains(path, '/lang/') THEN 'lang' WHEN path LIKE '%/sounds.json' THEN 'sounds' WHEN contains(path, '/blockstates/') THEN 'blockstate' WHEN contains(path, '/models/') THEN 'model' WHEN contains(path, '/atlases/') THEN 'atlas'
+    WHEN contains(path, '/shaders/') THEN 'shader' WHEN contains(path, '/font/') THEN 'font' WHEN contains(path, '/particles/') THEN 'particle' ELSE 'generic-json' END ELSE 'generic-json' END"""
 
 
 def entries(spark, sf):
@@ -39,16 +45,19 @@ _TAGC = "CASE WHEN bool_or(NOT valid) THEN 'tag-invalid' WHEN bool_or(replace) T
 _UNION = f"SELECT path, count(*) FILTER (WHERE v > 1) AS n, string_agg(key, ', ' ORDER BY key) FILTER (WHERE v > 1 AND rk <= 3) AS first, count(*) FILTER (WHERE v > 1) - 3 AS more FROM (SELECT *, row_number() OVER (PARTITION BY path, v > 1 ORDER BY key) AS rk FROM (SELECT path, key, count(DISTINCT value) AS v FROM ({ENTRIES}) e GROUP BY path, key) x) y GROUP BY path"
 
 
-@plan(f"""WITH d AS (SELECT path, {DOMAIN} AS domain, count(DISTINCT value) = 1 AS identical FROM ({PATHS}) p GROUP BY 1, 2), t AS (SELECT path, {_TAGC} AS tag FROM ({TAGS}) x GROUP BY path), u AS ({_UNION})
-  SELECT d.path, CASE WHEN identical THEN 'identical' WHEN domain = 'tag' THEN tag WHEN domain = 'lang' THEN 'lang-merge' WHEN NOT contains(d.path, '/') THEN 'root-metadata' WHEN domain IN ('atlas', 'shader', 'sound') THEN 'order-dependent-' || domain
-  WHEN d.path LIKE '%.json' THEN CASE WHEN n > 0 THEN 'json-override' ELSE 'safe-json-object-merge' END WHEN d.path LIKE '%.png' THEN 'binary-override' ELSE 'unsafe-replace' END AS class FROM d JOIN t ON d.path = t.path JOIN u ON d.path = u.path""")
+@plan(f"""WITH d AS (SELECT path, {DOMAIN} AS domain, count(DISTINCT value) = 1 AS identical, bool_and(parsed) AS parsed FROM ({PATHS}) p GROUP BY 1, 2), t AS (SELECT path, {_TAGC} AS tag FROM ({TAGS}) x GROUP BY path), u AS ({_UNION})
+  SELECT d.path, CASE WHEN identical THEN 'identical' WHEN domain = 'tag' THEN tag WHEN parsed AND starts_with(d.path, 'assets/') AND contains(d.path, '/lang/') AND d.path LIKE '%.json' THEN 'lang-json-merge'
+    WHEN parsed AND starts_with(d.path, 'assets/') AND contains(d.path, '/lang/') AND d.path LIKE '%.lang' THEN 'lang-properties-merge' WHEN d.path = 'pack.mcmeta' THEN 'root-metadata' WHEN d.path NOT LIKE '%.json' THEN 'binary-override' WHEN NOT parsed THEN 'unsafe-replace'
+    WHEN domain IN ('atlas', 'shader') THEN 'order-dependent-' || domain WHEN domain IN ('recipe', 'loot-table', 'advancement', 'blockstate', 'model', 'font') THEN 'json-override'
+    WHEN n = 0 THEN 'safe-json-object-merge' WHEN domain = 'sounds' THEN 'order-dependent-sound-def' ELSE 'json-merge-candidate' END AS class FROM d JOIN t ON d.path = t.path JOIN u ON d.path = u.path""")
 def c3_collision_class(spark, sf):
     p = view(spark, sf, PATHS)
-    same = p.groupBy("path").agg((F.countDistinct("value") == 1).alias("identical"))
+    same = p.groupBy("path").agg((F.countDistinct("value") == 1).alias("identical"), F.bool_and("parsed").alias("parsed"))
     tags = r.tag_class(view(spark, sf, TAGS)).withColumnRenamed("class", "tag")
-    union = r.key_union(entries(spark, sf).withColumn("object", F.lit(True)), "json-override").select("path", F.col("class").alias("u"))
+    union = r.key_union(entries(spark, sf).withColumn("object", F.lit(True)), "conflict").select("path", F.col("class").alias("u"))
     df = same.join(tags, "path").join(union, "path")
-    return df.select("path", r.collision_class(F.col("identical"), r.domain(F.col("path")), F.col("tag"), F.col("u"), F.col("path")).alias("class"))
+    cls = r.collision_class(F.col("identical"), r.domain(F.col("path")), F.col("tag"), F.col("u"), F.col("parsed"), F.col("path"))
+    return df.select("path", cls.alias("class"))
 
 
 @plan(f"SELECT path, CASE WHEN n > 0 THEN 'json-override' ELSE 'safe-json-object-merge' END AS class, n AS n_conflicts, CASE WHEN more > 0 THEN first || ' (+' || CAST(more AS STRING) || ' more)' ELSE first END AS conflicts FROM ({_UNION}) u")
