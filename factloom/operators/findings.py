@@ -175,3 +175,18 @@ def explained(findings: DataFrame, evidence: DataFrame, facts: DataFrame, findin
     """One finding's evidence with the facts and where they come from."""
     one = findings.where(F.col("finding_id") == finding_id).select("finding_id", "rule_id")
     return one.join(evidence, "finding_id").join(facts, "fact_id")
+
+
+def evidence_summary(evidence: DataFrame, facts: DataFrame) -> DataFrame:
+    """(finding_id, fact_id, kind, path, writers, classification, detail): what is worth showing of
+    each cited fact. The path is the fact's own, else its subject; who wrote it is its list of
+    writers, else, if it has a path of its own, its subject. facts: (fact_id, kind, subject, path,
+    writers, class, detail)."""
+    subject = F.nullif(F.col("subject"), F.lit(""))
+    writers = F.coalesce(F.filter(F.transform(F.split("writers", ","), lambda w: F.trim(w)), lambda w: w != ""), F.array().cast("array<string>"))
+    alone = (F.size(writers) == 0) & F.col("path").isNotNull() & subject.isNotNull()
+    shown = facts.select(
+        "fact_id", "kind", F.coalesce("path", subject).alias("path"), F.when(alone, F.array(subject)).otherwise(writers).alias("writers"),
+        F.col("class").alias("classification"), "detail",
+    )
+    return evidence.select("finding_id", "fact_id").distinct().join(shown, "fact_id")

@@ -17,13 +17,20 @@ ALIASES = {
     "trust_score": ("score",),
     "mod_id": ("id", "name"),
 }
-CONFIDENCE = {"security": 0.7, "resources": 0.85, "dependency": 0.9}
+#: A finding's confidence where its rule gives none.
+CONFIDENCE, USUAL = {"mixin": 0.7}, 0.9
+
+
+#: A side of so few facts is sent to all.
+FEW = 10_000
 
 
 @dataclass
 class Rule:
     """kind is fact, distinct, join, aggregate or correlation. where is SQL text over the fact's
-    columns (join and correlation: aliases a and b). {name} in title is a column."""
+    columns (join and correlation: aliases a and b). {name} in title and finding is a column;
+    finding is the id of what is found, by default the rule with its facts, so that equal findings
+    of several facts or runs meet. related is a kind whose facts of the finding's path say more."""
 
     id: str
     kind: str
@@ -33,6 +40,8 @@ class Rule:
     title: str = ""
     category: str = "general"
     column: str = ""
+    finding: str = ""
+    related: str = ""
     least: int = 2
     keys: tuple[str, ...] = ()
     having: str = "true"
@@ -69,7 +78,7 @@ def resolved(affects: Column) -> Column:
 
 
 def default_confidence(category: Column) -> Column:
-    c = F.lit(0.8)
+    c = F.lit(USUAL)
     for k, v in CONFIDENCE.items():
         c = F.when(category == k, v).otherwise(c)
     return c
@@ -90,7 +99,7 @@ def legacy_capped(findings: DataFrame) -> DataFrame:
 
 def _finding(df: DataFrame, rule: Rule, key: Column, evidence: Column, affects: Column) -> DataFrame:
     return df.select(
-        F.concat(F.lit(f"{rule.id}:"), key).alias("finding_id"),
+        (rendered(df, rule.finding) if rule.finding else F.concat(F.lit(f"{rule.id}:"), key)).alias("finding_id"),
         F.lit(rule.id).alias("rule_id"), F.lit(rule.severity).alias("severity"), F.lit(rule.category).alias("category"),
         rendered(df, rule.title or rule.id).alias("title"),
         default_confidence(F.lit(rule.category)).alias("confidence"),
@@ -126,6 +135,8 @@ def evaluate(rule: Rule, facts: DataFrame) -> DataFrame:
     b = facts.where(F.col("kind").isin(*rest))
     pick = lambda df, s: df.select(*(F.col(c).alias(f"{s}_{c}") for c in df.columns))
     cond = re.sub(r"\b([ab])\.(\w+)", r"\1_\2", rule.where)
+    # Without an equality every pair is tried, which is fair only if one side is a handful.
+    b = F.broadcast(b) if b.limit(FEW + 1).count() <= FEW else b
     met = pick(a, "a").join(pick(b, "b"), F.expr(cond))
     if rule.kind == "join":
         return _finding(met, rule, F.concat_ws("-", "a_fact_id", "b_fact_id"), F.array("a_fact_id", "b_fact_id"), F.array("a_subject"))
@@ -144,7 +155,7 @@ def evaluate_facts(rules: list[Rule], facts: DataFrame) -> DataFrame:
         F.when(
             F.col("kind").isin(*r.inputs) & F.expr(r.where),
             F.struct(
-                F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"),
+                (rendered(own, r.finding) if r.finding else F.concat_ws(":", F.lit(r.id), "fact_id")).alias("finding_id"), F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"),
                 rendered(own, r.title or r.id).alias("title"), default_confidence(F.lit(r.category)).alias("confidence"),
                 F.array(*map(F.lit, r.tags)).cast("array<string>").alias("tags"), F.lit(r.version).alias("rule_version"),
             ),
@@ -153,7 +164,7 @@ def evaluate_facts(rules: list[Rule], facts: DataFrame) -> DataFrame:
     ]
     hit = own.select("fact_id", "subject", F.explode(F.array_compact(F.array(*tried))).alias("r"))
     return hit.select(
-        F.concat_ws(":", "r.rule_id", "fact_id").alias("finding_id"), "r.rule_id", "r.severity", "r.category", "r.title", "r.confidence",
+        "r.finding_id", "r.rule_id", "r.severity", "r.category", "r.title", "r.confidence",
         F.array("fact_id").alias("evidence"), resolved(F.array("subject")).alias("affects"), "r.tags", "r.rule_version",
     )
 
@@ -177,6 +188,17 @@ def with_related(findings: DataFrame, related: DataFrame, key: str = "subject",
     return own.unionByName(of.select("finding_id", "fact_id", F.lit(relation).alias("relation"))).distinct()
 
 
+def pack_evidence(rules: list[Rule], facts: DataFrame, findings: DataFrame) -> DataFrame:
+    """(finding_id, fact_id, relation, weight), each once: the facts that a pack's findings cite,
+    and the related facts of rules that ask for them, by the path that the finding is about."""
+    own = findings.select("finding_id", F.explode("evidence").alias("fact_id"), F.lit("supports").alias("relation"), F.lit(1.0).alias("weight"))
+    spark = facts.sparkSession
+    asks = spark.createDataFrame([(r.id, r.related) for r in rules if r.related], "rule_id string, kind string")
+    about = findings.join(F.broadcast(asks), "rule_id").select("finding_id", "kind", F.explode("affects").alias("path")).distinct()
+    more = about.join(facts.select("kind", "path", "fact_id"), ["kind", "path"])
+    return own.unionByName(more.select("finding_id", "fact_id", F.lit("conflicts_with").alias("relation"), F.lit(0.8).alias("weight"))).distinct()
+
+
 def trace(rules: list[Rule], facts: DataFrame, findings: DataFrame) -> DataFrame:
     """(rule_id, n_in, n_out): facts of a rule's kinds and findings it made."""
     spark = facts.sparkSession
@@ -186,36 +208,56 @@ def trace(rules: list[Rule], facts: DataFrame, findings: DataFrame) -> DataFrame
     return n_in.join(n_out, "rule_id", "left").select("rule_id", "n_in", F.coalesce("n_out", F.lit(0)).alias("n_out"))
 
 
-_COLLISION = "resource_collision"
-#: What each core rule reads, when it holds and how bad that is.
+_COLLISION, _CONFLICT = "resource_collision", "resource-conflict:{attr:class}:{subject}"
+_LOADERS = "('fabric', 'quilt', 'forge', 'neoforge')"
+_CAPABLE = ("uses_process_spawn", "uses_unsafe", "uses_dynamic_class_definition", "uses_script_engine")
+
+
+def _resource(id_: str, severity: str, where: str, related: str = "") -> Rule:
+    return Rule(id_, "fact", (_COLLISION,), severity, where, "{subject} is written by several", "resource", finding=_CONFLICT, related=related)
+
+
+#: Each core rule's id, what it reads, when it holds, how bad that is, its category
+#: and the id of what it finds.
 CORE = [
-    Rule("duplicate-id", "distinct", ("mod", "plugin"), "error", column="file", title="{group} is shipped by {values}"),
-    Rule("known-incompatible", "join", ("mod_relationship", "mod"), "error", "a.related = b.subject and a.type = 'known_incompatible' and a.subject < a.related and a.archive <> b.file"),
+    Rule("duplicate-id", "distinct", ("mod", "plugin"), "error", category="metadata", column="file", finding="duplicate-id:{group}", title="{group} is shipped by {values}"),
+    Rule("known-incompatible-mods", "join", ("mod_relationship", "mod"), "error",
+         "a.related = b.subject and a.type = 'known_incompatible' and a.subject < a.related and a.archive <> b.file", category="metadata", finding="known-incompatible:{a.subject}->{a.related}"),
     Rule("loader-mismatch", "join", ("mod", "environment"), "error",
-         "(a.identity_certainty is null or a.identity_certainty <> 'undecidable') and a.loader in ('fabric', 'quilt', 'forge', 'neoforge') and b.loader in ('fabric', 'quilt', 'forge', 'neoforge') and a.loader <> b.loader"),
-    Rule("client-on-server", "join", ("mod_side", "environment"), "warn", "a.side = 'client' and b.side = 'server'"),
-    Rule("server-on-client", "join", ("mod_side", "environment"), "note", "a.side = 'server' and b.side = 'client'"),
-    *(Rule(f"conflict-{c}", "fact", (_COLLISION,), s, f"class = '{c}'", "{path} is written by several", "resources")
-      for c, s in (("safe-crdt-merge", "note"), ("json-merge-candidate", "warn"), ("unsafe-replace", "warn"), ("tag-replace-order-dependent", "warn"),
-                   ("tag-mixed-required", "note"), ("tag-invalid", "warn"), ("json-override", "warn"), ("safe-json-object-merge", "note"), ("root-metadata", "info"),
-                   ("order-dependent-atlas", "warn"), ("order-dependent-sound-def", "warn"), ("order-dependent-shader", "warn"), ("classification-unavailable", "warn"))),
-    Rule("conflict-binary-functional", "fact", (_COLLISION,), "warn", "class = 'binary-override' and domain = 'shader'", category="resources"),
-    Rule("conflict-binary-font", "fact", (_COLLISION,), "warn", "class = 'binary-override' and domain = 'font'", category="resources"),
-    Rule("conflict-binary-cosmetic", "fact", (_COLLISION,), "note", "class = 'binary-override'", category="resources"),
-    Rule("platform-tag-replaced", "fact", ("security_suspect_modification",), "warn", "detail = 'platform_tag_replace'", category="security"),
-    Rule("platform-recipe-disabled", "fact", ("security_suspect_modification",), "note", "detail = 'platform_recipe_disabled'", category="security"),
-    Rule("overlap-hot", "fact", ("mixin_overlap",), "note", "hot_path"),
-    Rule("overlap", "fact", ("mixin_overlap",), "note", "not hot_path"),
-    Rule("overwrite-hot", "fact", ("high_risk_overwrite",), "warn", "hot_path"),
-    Rule("overwrite", "fact", ("high_risk_overwrite",), "warn", "not hot_path"),
-    Rule("unknown-source", "fact", ("unknown_source",), "warn", category="security"),
-    Rule("unsigned", "fact", ("signature_status",), "note", "status = 'unsigned'", category="security"),
-    Rule("scan-incomplete", "fact", ("scan_truncated",), "warn"),
-    Rule("invalid-metadata", "fact", ("invalid_metadata",), "error", "active_for_instance"),
-    Rule("corrupt", "fact", ("unparseable_archive",), "warn", "failure_class = 'corrupt'"),
-    Rule("low-trust-capability", "correlation", ("sbom", "uses_process_spawn", "uses_unsafe", "uses_dynamic_class_definition", "uses_script_engine"), "warn",
-         "a.subject = b.archive and a.trust_score < 60", "{a_subject} can {capabilities}", "security"),
-    Rule("coremod-present", "fact", ("coremod",), "note"),
+         f"a.subject is not null and (a.identity_certainty is null or a.identity_certainty <> 'undecidable') and a.loader in {_LOADERS} and b.loader in {_LOADERS} and a.loader <> b.loader",
+         category="loader", finding="loader-mismatch:{a.subject}"),
+    Rule("side-mismatch-client-on-server", "join", ("mod_side", "environment"), "warn", "a.side = 'client' and b.side = 'server'", category="loader", finding="side-mismatch:{a.subject}"),
+    Rule("side-mismatch-server-on-client", "join", ("mod_side", "environment"), "note", "a.side = 'server' and b.side = 'client'", category="loader", finding="side-mismatch:{a.subject}"),
+    _resource("resource-conflict-safe-crdt-merge", "note", "class = 'safe-crdt-merge'", "resource_writer"),
+    _resource("resource-conflict-json-merge", "warn", "class = 'json-merge-candidate'", "resource_writer"),
+    _resource("resource-conflict-unsafe-replace", "warn", "class = 'unsafe-replace'", "resource_writer"),
+    _resource("resource-conflict-tag-replace", "warn", "class = 'tag-replace-order-dependent'", "resource_writer"),
+    _resource("resource-conflict-tag-mixed-required", "note", "class = 'tag-mixed-required'", "resource_writer"),
+    _resource("resource-conflict-tag-invalid", "warn", "class = 'tag-invalid'", "resource_writer"),
+    _resource("resource-conflict-json-override", "warn", "class = 'json-override'", "resource_writer"),
+    _resource("resource-conflict-safe-json-object-merge", "note", "class = 'safe-json-object-merge'"),
+    _resource("resource-conflict-root-metadata", "info", "class = 'root-metadata'"),
+    _resource("resource-conflict-order-dependent-atlas", "warn", "class = 'order-dependent-atlas'"),
+    _resource("resource-conflict-order-dependent-sound-def", "warn", "class = 'order-dependent-sound-def'"),
+    _resource("resource-conflict-order-dependent-shader", "warn", "class = 'order-dependent-shader'"),
+    _resource("resource-conflict-binary-override-functional", "warn", "class = 'binary-override' and domain = 'shader'"),
+    _resource("resource-conflict-binary-override-font", "warn", "class = 'binary-override' and domain = 'font'"),
+    _resource("resource-conflict-binary-override-cosmetic", "note", "class = 'binary-override'"),
+    _resource("resource-conflict-classification-unavailable", "warn", "class = 'classification-unavailable'"),
+    Rule("tag-replace-platform", "fact", ("security_suspect_modification",), "warn", "detail = 'platform_tag_replace'", category="resource", finding="tag-replace-platform:{subject}"),
+    Rule("recipe-disabled-platform", "fact", ("security_suspect_modification",), "note", "detail = 'platform_recipe_disabled'", category="resource", finding="recipe-disabled-platform:{subject}"),
+    Rule("mixin-overlap-hot", "fact", ("mixin_overlap",), "note", "hot_path", category="mixin", finding="mixin-overlap:{subject}"),
+    Rule("mixin-overlap", "fact", ("mixin_overlap",), "note", "not hot_path", category="mixin", finding="mixin-overlap:{subject}"),
+    Rule("mixin-overwrite-hot", "fact", ("high_risk_overwrite",), "warn", "hot_path", category="mixin", finding="mixin-overwrite:{subject}->{attr:target}"),
+    Rule("mixin-overwrite", "fact", ("high_risk_overwrite",), "warn", "not hot_path", category="mixin", finding="mixin-overwrite:{subject}->{attr:target}"),
+    Rule("unknown-source", "fact", ("unknown_source",), "warn", category="security", finding="unknown-source:{subject}"),
+    Rule("unsigned-jar", "fact", ("signature_status",), "note", "status = 'unsigned'", category="security", finding="artifact-signature-status:unsigned:{subject}"),
+    Rule("scan-incomplete", "fact", ("scan_truncated",), "warn", category="runtime", finding="scan-incomplete:{attr:layer}:{subject}"),
+    Rule("invalid-active-metadata", "fact", ("invalid_metadata",), "error", "active_for_instance", category="metadata", finding="invalid-active-metadata:{subject}"),
+    Rule("corrupt-jar", "fact", ("unparseable_archive",), "warn", "failure_class = 'corrupt'", category="metadata", finding="corrupt-jar:{subject}"),
+    Rule("sbom-security-correlation", "correlation", ("sbom", *_CAPABLE), "warn", "a.subject = b.archive and a.trust_score < 60", "{a_subject} can {capabilities}", "security",
+         finding="low-trust-capability:{a.subject}"),
+    Rule("forge-coremod-present", "fact", ("coremod",), "note", category="mixin", finding="coremod:{subject}:{attr:name}"),
 ]
 
 

@@ -333,7 +333,7 @@ def o11_recommended_severity(spark, sf):
 FAILED = f"SELECT CASE WHEN id % 2 = 0 THEN target ELSE regexp_extract(target, '[A-Z][0-9]+$', 0) END AS class, CASE WHEN id % 3 = 0 THEN site END AS point, side AS config FROM ({SITES}) s WHERE confidence > 47"
 
 
-@plan(f"WITH s AS ({SITES}), f AS ({FAILED}) SELECT s.id, coalesce(bool_or(s.side = f.config), false) AS strong FROM s JOIN f ON (f.class = s.target OR f.class = split_part(s.target, '.', 2)) AND (f.point IS NULL OR f.point = s.site) GROUP BY s.id")
+@plan(f"WITH s AS ({SITES}), f AS ({FAILED}) SELECT s.id, coalesce(bool_or(s.side = f.config), false) AS strong FROM s JOIN f ON list_last(string_split(f.class, '.')) = split_part(s.target, '.', 2) AND (f.class = s.target OR NOT contains(f.class, '.')) AND (f.point IS NULL OR f.point = s.site) GROUP BY s.id")
 def o12_confirmed_sites(spark, sf):
     s = sites(spark, sf).select("id", F.col("target").alias("class"), F.col("site").alias("point"), F.col("side").alias("config"))
     return o.confirmed(s, v(spark, sf, FAILED))

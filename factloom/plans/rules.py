@@ -3,6 +3,8 @@ kind with the attributes that its rules read."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from factloom.model import view
@@ -15,7 +17,7 @@ from factloom.plans.relational import SEVERE
 plan = Plans()
 
 _KINDS = (
-    "mod", "plugin", "mod_relationship", "environment", "mod_side", "resource_collision", "security_suspect_modification",
+    "mod", "plugin", "mod_relationship", "resource_writer", "mod_side", "resource_collision", "security_suspect_modification",
     "mixin_overlap", "high_risk_overwrite", "unknown_source", "signature_status", "scan_truncated", "invalid_metadata",
     "unparseable_archive", "sbom", "uses_process_spawn", "uses_unsafe", "uses_script_engine", "coremod", "log_signal",
 )
@@ -30,10 +32,9 @@ def _case(expr: str, names) -> str:
     return f"CASE {expr} " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names)) + " END"
 
 
-#: An environment for one fact in a few hundred only; everything else by the order's key.
-FACTS = f"""SELECT fact_id, CASE WHEN kind = 'environment' AND fact_id % 400 <> 3 THEN 'mod' ELSE kind END AS kind, subject, file, archive,
-  related, type, loader, side, identity_certainty, class, domain, detail, hot_path, status, active_for_instance, failure_class, trust_score, path FROM (
-  SELECT o_orderkey AS fact_id, {_case(f"o_orderkey % {len(_KINDS)}", _KINDS)} AS kind, 's' || CAST(o_custkey % 5000 AS STRING) AS subject,
+#: A fact for each order, and an environment for each region.
+FACTS = f"""SELECT fact_id, kind, subject, file, archive, related, type, loader, side, identity_certainty, class, domain, detail, hot_path, status, active_for_instance, failure_class, trust_score, path, target, layer, name, writers FROM (
+  SELECT o_orderkey AS fact_id, {_case(f"o_orderkey % {len(_KINDS)}", _KINDS)} AS kind, CASE WHEN o_orderkey % 20 BETWEEN 3 AND 5 THEN 'data/' || CAST(o_custkey % 30 AS STRING) || '.json' ELSE 's' || CAST(o_custkey % 5000 AS STRING) END AS subject,
   'f' || CAST(o_orderkey % 13 AS STRING) || '.jar' AS file, 's' || CAST(o_orderkey % 5000 AS STRING) AS archive, 's' || CAST(o_orderkey % 4999 AS STRING) AS related,
   CASE WHEN o_orderstatus = 'F' THEN 'known_incompatible' ELSE 'suggests' END AS type,
   CASE o_custkey % 4 WHEN 0 THEN 'fabric' WHEN 1 THEN 'forge' WHEN 2 THEN 'other' END AS loader,
@@ -44,25 +45,37 @@ FACTS = f"""SELECT fact_id, CASE WHEN kind = 'environment' AND fact_id % 400 <>
   CASE o_custkey % 3 WHEN 0 THEN 'platform_tag_replace' WHEN 1 THEN 'platform_recipe_disabled' ELSE 'oom' END AS detail,
   o_custkey % 2 = 0 AS hot_path, CASE WHEN o_custkey % 2 = 0 THEN 'unsigned' ELSE 'signed' END AS status, o_custkey % 3 = 0 AS active_for_instance,
   CASE WHEN o_custkey % 2 = 0 THEN 'corrupt' ELSE 'unsupported' END AS failure_class, o_custkey % 100 AS trust_score,
-  'data/' || CAST(o_custkey % 30 AS STRING) || '.json' AS path FROM orders) o"""
+  'data/' || CAST(o_custkey % 30 AS STRING) || '.json' AS path,
+  'T' || CAST(o_custkey % 9 AS STRING) AS target, CASE WHEN o_orderstatus = 'F' THEN 'resources' ELSE 'code' END AS layer, 'n' || CAST(o_custkey % 4 AS STRING) AS name,
+  CASE o_custkey % 3 WHEN 0 THEN 'w' || CAST(o_custkey % 5 AS STRING) || ', w9' WHEN 1 THEN '' END AS writers FROM orders) o
+  UNION ALL SELECT -1 - r_regionkey, 'environment', 'env' || CAST(r_regionkey AS STRING), NULL, NULL, NULL, NULL, CASE r_regionkey WHEN 0 THEN 'fabric' WHEN 1 THEN 'forge' WHEN 2 THEN 'other' WHEN 3 THEN 'quilt' END,
+  CASE WHEN r_regionkey < 2 THEN 'client' ELSE 'server' END, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM region"""
 
 
 def facts(spark, sf):
     return view(spark, sf, FACTS)
 
 
+def _id_of(r: ru.Rule) -> str:
+    """A finding's id in SQL, from its rule's template."""
+    parts = re.findall(r"\{(?:attr:)?([a-z_.]+)\}|([^{}]+)", r.finding)
+    alias = "a." if r.kind == "correlation" else ""
+    name = lambda c: "subject" if c == "group" else c if "." in c else alias + c
+    return " || ".join(f"CAST({name(c)} AS STRING)" if c else f"'{text}'" for c, text in parts)
+
+
 def _sql_of(r: ru.Rule) -> str:
     kinds = ", ".join(f"'{k}'" for k in r.inputs)
-    out = f"SELECT '{r.id}:' || {{}} AS finding_id, '{r.id}' AS rule_id, '{r.severity}' AS severity, {{}} AS n_evidence"
+    out = f"SELECT {_id_of(r)} AS finding_id, '{r.id}' AS rule_id, '{r.severity}' AS severity, {{}} AS n_evidence"
     if r.kind == "fact":
-        return out.format("CAST(fact_id AS STRING)", "CAST(1 AS INT)") + f" FROM f WHERE kind IN ({kinds}) AND ({r.where})"
+        return out.format("CAST(1 AS INT)") + f" FROM f WHERE kind IN ({kinds}) AND ({r.where})"
     if r.kind == "distinct":
-        return out.format("subject", "CAST(count(DISTINCT fact_id) AS INT)") + f" FROM f WHERE kind IN ({kinds}) GROUP BY subject HAVING count(DISTINCT {r.column}) >= {r.least}"
+        return out.format("CAST(count(DISTINCT fact_id) AS INT)") + f" FROM f WHERE kind IN ({kinds}) GROUP BY subject HAVING count(DISTINCT {r.column}) >= {r.least}"
     first, rest = r.inputs[0], ", ".join(f"'{k}'" for k in r.inputs[1:])
     pairs = f" FROM f a JOIN f b ON b.kind IN ({rest}) AND ({r.where}) WHERE a.kind = '{first}'"
     if r.kind == "join":
-        return out.format("CAST(a.fact_id AS STRING) || '-' || CAST(b.fact_id AS STRING)", "CAST(2 AS INT)") + pairs
-    return out.format("CAST(a.fact_id AS STRING)", "CAST(1 + count(DISTINCT b.fact_id) AS INT)") + pairs + " GROUP BY a.fact_id"
+        return out.format("CAST(2 AS INT)") + pairs
+    return out.format("CAST(1 + count(DISTINCT b.fact_id) AS INT)") + pairs + " GROUP BY a.fact_id, a.subject"
 
 
 def _flat(df):
@@ -81,9 +94,23 @@ def _single(name, rule):
 
 
 _by = {r.id: r for r in ru.CORE}
-for _name, _id in (("f1_fact_rule", "unsigned"), ("f2_distinct_rule", "duplicate-id"), ("f3_join_rule", "known-incompatible"), ("f5_correlation_rule", "low-trust-capability"), ("j9_anchor_correlation", "low-trust-capability")):
+for _name, _id in (("f1_fact_rule", "unsigned-jar"), ("f2_distinct_rule", "duplicate-id"), ("f3_join_rule", "known-incompatible-mods"), ("f5_correlation_rule", "sbom-security-correlation")):
     _single(_name, _by[_id])
 
+_single("j9_anchor_correlation", ru.Rule("watched-archive", "correlation", ("mod", "coremod", "log_signal", "scan_truncated"), "note",
+                                         "a.subject = b.archive and a.loader = 'other'", "{a_subject} has {capabilities}", finding="watched:{a.subject}"))
+
+_RELATED = ", ".join(f"'{r.id}'" for r in ru.CORE if r.related)
+_CITED = "SELECT DISTINCT finding_id, fact_id, 'supports' AS relation, CAST(1.0 AS DOUBLE) AS weight FROM c UNION SELECT c.finding_id, w.fact_id, 'conflicts_with', CAST(0.8 AS DOUBLE) FROM c JOIN f w ON w.kind = 'resource_writer' AND w.path = c.subject"
+_CONFLICTS = [r for r in ru.CORE if r.inputs == ("resource_collision",)]
+
+
+@plan(f"WITH f AS ({FACTS}), c AS (SELECT finding_id, fact_id, subject FROM ({' UNION ALL '.join(f'SELECT {_id_of(r)} AS finding_id, fact_id, subject FROM f WHERE kind = {chr(39)}resource_collision{chr(39)} AND ({r.where})' for r in _CONFLICTS if r.related)}) x) {_CITED}")
+def f12_pack_evidence(spark, sf):
+    rules, f = [r for r in _CONFLICTS if r.related], facts(spark, sf)
+    return ru.pack_evidence(rules, f, ru.run_pack(rules, f)).select("finding_id", "fact_id", "relation", F.col("weight").cast("double").alias("weight"))
+
+
 AGG = ru.Rule("crowded", "aggregate", ("mod", "plugin"), "note", keys=("subject", "loader"), column="file", least=2, having="count >= 3", title="{subject} on {loader}: {distinct}")
 
 
@@ -111,16 +138,16 @@ def f8_legacy_cap(spark, sf):
     return out.select(F.col("evidence")[0].alias("fact_id"), "severity", "confidence", F.array_join("tags", ",").alias("tags"))
 
 
-@plan(f"WITH f AS ({FACTS}) SELECT fact_id, CAST(CASE domain WHEN 'shader' THEN 0.7 WHEN 'font' THEN 0.85 ELSE 0.8 END AS DOUBLE) AS confidence FROM f WHERE kind = 'coremod'")
+@plan(f"WITH f AS ({FACTS}) SELECT fact_id, CAST(CASE domain WHEN 'shader' THEN 0.7 ELSE 0.9 END AS DOUBLE) AS confidence FROM f WHERE kind = 'coremod'")
 def f9_default_confidence(spark, sf):
-    category = F.when(F.col("domain") == "shader", "security").when(F.col("domain") == "font", "resources").otherwise("x")
+    category = F.when(F.col("domain") == "shader", "mixin").when(F.col("domain") == "font", "resource").otherwise("metadata")
     return facts(spark, sf).where("kind = 'coremod'").select("fact_id", ru.default_confidence(category).cast("double").alias("confidence"))
 
 
-@plan(f"""WITH f AS ({FACTS}) SELECT 'unsigned' AS rule_id, count(*) AS n_in, count(*) FILTER (WHERE status = 'unsigned') AS n_out FROM f WHERE kind = 'signature_status'
-  UNION ALL SELECT 'coremod-present', count(*), count(*) FROM f WHERE kind = 'coremod'""")
+@plan(f"""WITH f AS ({FACTS}) SELECT 'unsigned-jar' AS rule_id, count(*) AS n_in, count(*) FILTER (WHERE status = 'unsigned') AS n_out FROM f WHERE kind = 'signature_status'
+  UNION ALL SELECT 'forge-coremod-present', count(*), count(*) FROM f WHERE kind = 'coremod'""")
 def f11_trace(spark, sf):
-    rules, f = [_by["unsigned"], _by["coremod-present"]], facts(spark, sf)
+    rules, f = [_by["unsigned-jar"], _by["forge-coremod-present"]], facts(spark, sf)
     return ru.trace(rules, f, ru.run_pack(rules, f))
 
 
@@ -130,18 +157,23 @@ def f13_signal_rules(spark, sf):
     return out.select(F.col("evidence")[0].cast("string").alias("id"), "rule_id")
 
 
-@plan(f"""WITH f AS ({FACTS}) SELECT 'mixed-loaders' AS rule_id, string_agg(DISTINCT loader, ', ' ORDER BY loader) AS loaders FROM f
-  WHERE kind = 'mod' AND coalesce(identity_certainty, '') <> 'undecidable' AND loader IN ('fabric', 'forge') HAVING count(DISTINCT loader) >= 2""")
+@plan(f"""WITH f AS ({FACTS}), m AS (SELECT 'mixed-loaders' AS rule_id, string_agg(DISTINCT loader, ', ' ORDER BY loader) AS loaders FROM f
+  WHERE kind = 'mod' AND coalesce(identity_certainty, '') <> 'undecidable' AND loader IN ('fabric', 'forge') HAVING count(DISTINCT loader) >= 2),
+  e AS (SELECT side, bool_or(loader IN ('fabric', 'forge', 'quilt')) AS known FROM f WHERE kind = 'environment' AND coalesce(loader, '') NOT IN ('quilt') GROUP BY side)
+  SELECT side, rule_id, loaders FROM m, e WHERE NOT known""")
 def f14_mixed_loaders(spark, sf):
+    """Once with environments that name no loader, once with some that do."""
     df = facts(spark, sf)
-    return ru.mixed_loaders(df.where("kind = 'mod'"), df.where("kind = 'environment' and loader = 'none'"))
+    e = df.where("kind = 'environment' and coalesce(loader, '') <> 'quilt'")
+    each = [ru.mixed_loaders(df.where("kind = 'mod'"), e.where(F.col("side") == s)).withColumn("side", F.lit(s)) for s in ("client", "server")]
+    return each[0].unionByName(each[1]).select("side", "rule_id", "loaders")
 
 
-@plan(f"""WITH f AS ({FACTS}), p AS (SELECT 'unsigned:' || CAST(fact_id AS STRING) AS finding_id, fact_id, subject FROM f WHERE kind = 'signature_status' AND status = 'unsigned')
+@plan(f"""WITH f AS ({FACTS}), p AS (SELECT 'artifact-signature-status:unsigned:' || subject AS finding_id, fact_id, subject FROM f WHERE kind = 'signature_status' AND status = 'unsigned')
   SELECT finding_id, fact_id, 'supports' AS relation FROM p UNION SELECT p.finding_id, r.fact_id, 'context' FROM p JOIN f r ON r.kind = 'sbom' AND r.subject = p.subject""")
 def j10_related_evidence(spark, sf):
     df = facts(spark, sf)
-    return ru.with_related(ru.evaluate(_by["unsigned"], df), df.where("kind = 'sbom'"))
+    return ru.with_related(ru.evaluate(_by["unsigned-jar"], df), df.where("kind = 'sbom'"))
 
 
 #: Findings with sets: one for each event, under few ids.
@@ -254,10 +286,14 @@ def f24_identity(spark, sf):
     return fi.identities(c.select("finding_id", F.lit("late").alias("conclusion"), F.array("c_mktsegment").alias("affects")), o)
 
 
-@plan(f"WITH r AS ({RAW}), f AS ({FACTS}) SELECT r.finding_id, f.fact_id, f.kind, f.path FROM (SELECT DISTINCT finding_id, fact_id FROM r) r JOIN f ON r.fact_id = f.fact_id")
+SHOWN = f"SELECT fact_id, kind, subject, CASE WHEN o.hot_path THEN path END AS path, writers, class, detail FROM ({FACTS}) o"
+
+
+@plan(f"""WITH r AS (SELECT DISTINCT finding_id, fact_id FROM ({RAW}) r), f AS ({SHOWN})
+  SELECT finding_id, f.fact_id, kind, coalesce(path, subject) AS path, CASE WHEN coalesce(writers, '') <> '' THEN replace(writers, ' ', '') WHEN path IS NOT NULL THEN subject ELSE '' END AS writers, class AS classification, detail FROM r JOIN f ON r.fact_id = f.fact_id""")
 def f25_evidence_summary(spark, sf):
-    e = raw(spark, sf).select("finding_id", "fact_id").distinct()
-    return e.join(facts(spark, sf).select("fact_id", "kind", "path"), "fact_id")
+    out = fi.evidence_summary(raw(spark, sf), view(spark, sf, SHOWN))
+    return out.withColumn("writers", F.array_join("writers", ","))
 
 
 @plan(f"""WITH r AS (SELECT fact_id, severity, CASE fact_id % 4 WHEN 0 THEN 'safe-merge' WHEN 1 THEN 'root-metadata' WHEN 2 THEN 'detail' ELSE 'x' END AS tag FROM ({RAW}) s),
