@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.sources.storage import scratch
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -18,22 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("factloom.shared.dir", None)
-        if not base:
-            base = f"file://{tempfile.mkdtemp(prefix='factloom-')}"
-            spark.conf.set("factloom.shared.dir", base)
-    return base.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, lost executors lose
     nothing, and Spark may delete the shuffle files of the job that made it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -56,6 +45,14 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """name, or name with underscores after it, such that no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """A stored table as a broadcast side if it has at most max_rows rows, else as it is."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

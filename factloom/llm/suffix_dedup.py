@@ -17,9 +17,11 @@ before the next, longer rank:
 
 Before each sort the mapper settles what it can see among its own rows and sends one document's
 rows for each rank, so a string that stands in every document gives no more rows than there are
-map tasks. Documents that are whole copies of a smaller one are found by digest and leave the work
-after the first sort. Matches never cross documents. Ranks are 64 bits: the chance of one false
-match among n distinct strings is about n * n / 2**65.
+map tasks. Documents that are whole copies of a smaller one are found by SHA-256 and leave the work
+after the first sort. Matches never cross documents. Ranks of 64 bits only say what to compare: the
+rows of the first and third sort are a filter, which a false match makes longer, and before the
+second and fourth call a byte covered, the bytes themselves are compared, by the mapper among its own
+rows and by the reducer among those that it gets.
 """
 
 from __future__ import annotations
@@ -27,13 +29,24 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, mixed, stored, text_chunks
+from .common import discard, fresh, mixed, small, stored, text_chunks
 
 THRESHOLD = 50
 FLUSH = 1_500_000
+#: A mapper also sends its rows when the texts that they come from have so many bytes.
+HELD_BYTES = 1 << 25
+#: Rows whose bytes are compared at a time.
+COMPARED = 1 << 16
+#: Whole copies of one text beyond this number are marked without a shuffle by their digest.
+HOT_COPIES = 1_000
+#: Digests that so many documents have are broadcast up to this number.
+BROADCAST_ROWS = 100_000
+LAST = (1 << 63) - 1
+#: Documents without an id come after all others, in the order of their text's hash of so many bits.
+NAMELESS = 1 << 40
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = mixed(np.arange(1, 257, dtype=np.uint64))
 
@@ -58,7 +71,7 @@ class Ranks:
     """Ranks of the positions of some whole texts that stand one after another."""
 
     def __init__(self, offsets: np.ndarray, data: np.ndarray, powers: _Powers, threshold: int):
-        self.offsets, self.n, self.threshold = offsets, len(data), threshold
+        self.offsets, self.n, self.threshold, self.data = offsets, len(data), threshold, data
         up, self.down = powers.upto(self.n + 1)
         self.sums = np.zeros(self.n + 1, np.uint64)
         np.cumsum(_TABLE[data] * up[: self.n], out=self.sums[1:])
@@ -117,8 +130,9 @@ def lengths(threshold: int) -> tuple[int, int, int]:
 def _sort_rows(keys, docs, kinds, *more):
     import pyarrow as pa
 
-    cols = [pa.array(keys.view(np.int64)), pa.array(docs), pa.array(kinds), *map(pa.array, more)]
-    return pa.RecordBatch.from_arrays(cols, names=["key", "doc_id", "kind", "pos", "rank"][: len(cols)])
+    more = [m if isinstance(m, pa.Array) else pa.array(m) for m in more]
+    cols = [pa.array(keys.view(np.int64)), pa.array(docs), pa.array(kinds), *more]
+    return pa.RecordBatch.from_arrays(cols, names=["key", "doc_id", "kind", "pos", "bytes", "rank"][: len(cols)])
 
 
 SETTLED, OPEN, SHOWN = 1, 0, 2
@@ -196,6 +210,20 @@ def _third_rows(batches):
         yield from _shown(ranks, docs)
 
 
+def _array_of(column):
+    """A column as an array; strings of bytes, which are empty or all of one length, as a matrix of
+    those that are not empty."""
+    import pyarrow as pa
+
+    if not pa.types.is_binary(column.type):
+        return column.to_numpy()
+    column = column.combine_chunks()
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    width = int(np.diff(offsets).max(initial=0)) or 1
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].reshape(-1, width) if data is not None else np.zeros((0, 1), np.uint8)
+
+
 def _whole_groups(batches):
     """Sorted rows as arrays, cut only between keys."""
     import pyarrow as pa
@@ -208,10 +236,10 @@ def _whole_groups(batches):
         key = rest["key"].to_numpy()
         last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
         if last:
-            yield [c.to_numpy() for c in rest.slice(0, last).columns]
+            yield [_array_of(c) for c in rest.slice(0, last).columns]
             rest = pa.table([c.combine_chunks() for c in rest.slice(last).columns], names=rest.column_names)
     if rest is not None and rest.num_rows:
-        yield [c.to_numpy() for c in rest.columns]
+        yield [_array_of(c) for c in rest.columns]
 
 
 def _low_high(key, doc, kind):
@@ -224,6 +252,34 @@ def _low_high(key, doc, kind):
     return low[group], high[group]
 
 
+def _same(left, right, a, b) -> np.ndarray:
+    """Whether rows a of left equal rows b of right, a few at a time."""
+    out = np.zeros(len(a), bool)
+    for i in range(0, len(a), COMPARED):
+        out[i : i + COMPARED] = (left(a[i : i + COMPARED]) == right(b[i : i + COMPARED])).all(1)
+    return out
+
+
+def _first_of_equals(key, doc, kind, text) -> np.ndarray:
+    """The smallest document of each row's key and bytes; text has the bytes of OPEN rows."""
+    low, high = _low_high(key, doc, kind)
+    rows = np.flatnonzero((kind == OPEN) & (low < high))
+    if not len(rows):
+        return low
+    index = np.cumsum(kind == OPEN) - 1
+    new = np.r_[True, key[rows][1:] != key[rows][:-1]]
+    head = rows[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    same = _same(text.__getitem__, text.__getitem__, index[rows], index[head])
+    for k in np.unique(key[rows[~same]]).tolist():
+        # One rank, different bytes: each string for itself.
+        own, least = rows[key[rows] == k], {}
+        for i in own.tolist():
+            b = text[index[i]].tobytes()
+            least[b] = min(least.get(b, LAST), int(doc[i]))
+        low[own] = [least[text[index[i]].tobytes()] for i in own.tolist()]
+    return low
+
+
 def _shared(batches):
     """(doc_id, rank) of the ranks that more than one document has."""
     import pyarrow as pa
@@ -260,46 +316,86 @@ def _chosen(batches, threshold: int):
             yield ids[i : i + len(own)], r, sample, np.repeat(ok, np.diff(np.r_[head, len(sample)]))
 
 
-def _settle(rank, doc, place):
+def _settle(rank, doc, place, text):
     """(order, doc, key, kind, place) of the rows to send. What a smaller document of this mapper
     covers is settled, under a key of its own; the smallest document's rows go under their rank,
-    and if it has a rank several times, one row, marked MANY in its place, stands for all."""
-    order, rank, doc, _, low, _ = _by_rank(rank, doc)
-    gone, place = doc > low, place[order]
+    and if it has a rank several times, one row, marked MANY in its place, stands for all. text
+    gives the bytes of some rows; rows of one rank whose bytes differ are all sent as they are."""
+    order, rank, doc, at, low, _ = _by_rank(rank, doc)
+    group = np.cumsum(np.r_[True, rank[1:] != rank[:-1]]) - 1
+    rows = np.flatnonzero(np.arange(len(rank)) != at[group])
+    mixed_up = np.zeros(len(at), bool)
+    mixed_up[group[rows[~_same(text, text, order[rows], order[at[group[rows]]])]]] = True
+    plain = ~mixed_up[group]
+    gone, place = (doc > low) & plain, place[order]
     key = np.where(gone, mixed(doc.astype(np.uint64)) ^ mixed(place.astype(np.uint64)), rank)
-    open_ = np.flatnonzero(~gone)
+    open_ = np.flatnonzero(~gone & plain)
     head = np.r_[True, rank[open_][1:] != rank[open_][:-1]][: len(open_)]
-    keep = gone.copy()
+    keep = gone | ~plain
     keep[open_[head]] = True
     place[open_[head & ~np.r_[head[1:], True][: len(head)]]] |= MANY
     kind = np.where(gone, SETTLED, OPEN).astype(np.int8)
     return order[keep], doc[keep], key[keep], kind[keep], place[keep].astype(np.int32)
 
 
+class _Rows:
+    """Rows of a mapper until it sends them, with the texts that their bytes are read from."""
+
+    def __init__(self, width: int):
+        self.width, self.parts, self.texts, self.rows, self.bytes = width, [], [], 0, 0
+
+    def add(self, data, low, size, *cols):
+        """cols: rank, document, place and others; the bytes of a row are size bytes from low."""
+        self.parts.append((*cols, low + self.bytes, size))
+        self.texts.append(np.array(data))
+        self.rows += len(low)
+        self.bytes += len(data)
+
+    def full(self) -> bool:
+        return self.rows > FLUSH or self.bytes > HELD_BYTES
+
+    def sent(self):
+        """The batch of rows to send."""
+        import pyarrow as pa
+
+        rank, doc, place, *more, low, size = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        data, span = np.concatenate(self.texts), np.arange(self.width)
+
+        def text(rows):
+            """Bytes of some rows, filled up with zeros, and how many there are."""
+            n = size[rows][:, None]
+            out = data[np.minimum(low[rows][:, None] + span, len(data) - 1)]
+            out[span >= n] = 0
+            return np.concatenate([out, n.astype("<u4").view(np.uint8)], 1)
+
+        order, doc, key, kind, place = _settle(rank, doc, place, text)
+        own = order[kind == OPEN]
+        held = np.concatenate([text(own[i : i + COMPARED]) for i in range(0, len(own), COMPARED)] or [text(own)])
+        ends = np.r_[0, np.cumsum(np.where(kind == OPEN, self.width + 4, 0))].astype(np.int32)
+        held = pa.Array.from_buffers(pa.binary(), len(kind), [None, pa.py_buffer(ends), pa.py_buffer(held)])
+        self.__init__(self.width)
+        return _sort_rows(key, doc, kind, place, held, *(m[order].view(np.int64) for m in more))
+
+
 def _second_rows(threshold: int):
     """Rows for the second sort: samples with the rank of all their windows together."""
     first, width, _ = lengths(threshold)
 
-    def flush(parts):
-        rank, doc, place, short = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order, doc, key, kind, place = _settle(rank, doc, place)
-        return _sort_rows(key, doc, kind, place, short[order].view(np.int64))
-
     def run(batches):
-        parts, held = [], 0
+        rows = _Rows(threshold + width - 1)
         for ids, r, sample, ok in _chosen(batches, threshold):
             at = np.unique(sample[ok])
             index = r.doc(at)
             low = np.maximum(r.offsets[index], at - width + 1)
             high = np.minimum(r.offsets[index + 1], at + threshold)
+            # Where the sample lies in its windows is part of the rank, and of the bytes by their number.
             rank = (r.sums[high] - r.sums[low]) * r.down[low] + mixed((at - low).astype(np.uint64) << np.uint64(32) | (high - low).astype(np.uint64))
-            parts.append((mixed(rank), ids[index], at - r.offsets[index], r.at(first, at)))
-            held += len(at)
-            if held > FLUSH:
-                yield flush(parts)
-                parts, held = [], 0
-        if held:
-            yield flush(parts)
+            if len(at):
+                rows.add(r.data, low, high - low + ((at - low) << 16), mixed(rank), ids[index], at - r.offsets[index], r.at(first, at))
+            if rows.full():
+                yield rows.sent()
+        if rows.rows:
+            yield rows.sent()
 
     return run
 
@@ -308,32 +404,25 @@ def _wide(batches):
     """(doc_id, pos, rank): rank is null where a smaller document covers the sample's windows."""
     import pyarrow as pa
 
-    for key, doc, kind, pos, rank in _whole_groups(batches):
-        low, _ = _low_high(key, doc, kind)
-        gone = (kind == SETTLED) | (doc > low)
+    for key, doc, kind, pos, text, rank in _whole_groups(batches):
+        gone = (kind == SETTLED) | (doc > _first_of_equals(key, doc, kind, text))
         yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(pos), pa.array(rank, mask=gone)], names=["doc_id", "pos", "rank"])
 
 
 def _fourth_rows(threshold: int):
     """Rows for the fourth sort: positions with their rank at the threshold."""
 
-    def flush(parts):
-        rank, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-        _, doc, key, kind, place = _settle(rank, doc, place)
-        return _sort_rows(key, doc, kind, place)
-
     def run(batches):
-        parts, held = [], 0
+        rows = _Rows(threshold)
         for ids, r, _, ok in _chosen(batches, threshold):
             at = r.starts[ok]
             index = r.doc(at)
-            parts.append((r.pairs(at), ids[index], at - r.offsets[index]))
-            held += len(at)
-            if held > FLUSH:
-                yield flush(parts)
-                parts, held = [], 0
-        if held:
-            yield flush(parts)
+            if len(at):
+                rows.add(r.data, at, np.full(len(at), threshold), r.pairs(at), ids[index], at - r.offsets[index])
+            if rows.full():
+                yield rows.sent()
+        if rows.rows:
+            yield rows.sent()
 
     return run
 
@@ -342,9 +431,8 @@ def _covered(batches):
     """(doc_id, pos) of the positions whose string stands in a smaller document."""
     import pyarrow as pa
 
-    for key, doc, kind, pos in _whole_groups(batches):
-        low, _ = _low_high(key, doc, kind)
-        keep = (kind == SETTLED) | (doc > low)
+    for key, doc, kind, pos, text in _whole_groups(batches):
+        keep = (kind == SETTLED) | (doc > _first_of_equals(key, doc, kind, text))
         yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(pos[keep])], names=["doc_id", "pos"])
 
 
@@ -356,12 +444,14 @@ def _spans(place: np.ndarray, data: bytes, threshold: int, powers: _Powers) -> l
     many, at = at & MANY > 0, at & ~MANY
     low, high = np.where(wide, np.maximum(at - width + 1, 0), at), np.minimum(at + threshold, n)
     if many.any():
-        # What covers one place of a rank covers all places that have it.
+        # What covers one place of a string covers all places that have it.
         r = Ranks(np.array([0, n]), np.frombuffer(data, np.uint8), powers, threshold)
         known = np.zeros(n + 1, bool)
         for a, b in zip(low[many].tolist(), high[many].tolist(), strict=True):
             known[a : b - threshold + 1] = True
+        strings = {data[a : a + threshold] for a in np.flatnonzero(known).tolist()}
         more = r.starts[np.isin(r.pairs(r.starts), r.pairs(np.flatnonzero(known)))]
+        more = np.array([a for a in more.tolist() if data[a : a + threshold] in strings], np.int64)
         low, high = np.concatenate([low, more]), np.concatenate([high, more + threshold])
     order = np.argsort(low, kind="stable")
     low, high = low[order], np.maximum.accumulate(high[order])
@@ -428,44 +518,62 @@ def _with_ranks(docs: DataFrame, ranks: DataFrame) -> DataFrame:
     return docs.join(ranks.groupBy("doc_id").agg(F.collect_set("rank").alias("ranks")), "doc_id")
 
 
+def _place_of(doc_id: str, text: str) -> Column:
+    """A document's place in the order of documents."""
+    own = F.lit(LAST) - F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(NAMELESS))
+    return F.coalesce(F.col(doc_id).cast("long"), own)
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """A stored table: doc_id of texts equal to a smaller document's. docs: (doc_id, text), no
+    nulls. Documents of a digest that many have are told by a broadcast of that digest."""
+    digest = stored(docs.select("doc_id", F.sha2("text", 256).alias("d")), "digests")
+    firsts = digest.groupBy("d").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    firsts = stored(firsts.where("first < last").select("d", "first", "n"), "first-copies")
+    hot = small(firsts.where(F.col("n") > HOT_COPIES).select("d", "first"), BROADCAST_ROWS)
+    cold = firsts.where(F.col("n") <= HOT_COPIES).select("d", "first")
+    met = digest.join(hot, "d").unionByName(digest.join(hot, "d", "left_anti").join(cold, "d"))
+    out = stored(met.where("doc_id > first").select("doc_id").distinct(), "copies")
+    discard(digest, firsts)
+    return out
+
+
 def covered(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Two stored tables: copies (doc_id of texts equal to a smaller document's), and, for the
-    other documents, (doc_id, pos) of strings that also start in a smaller document. A pos below
-    zero, -1 - s, says it of all strings that hold the sample at s; one with MANY set, of all
-    strings equal to those."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    digest = docs.select("doc_id", F.xxhash64("text").alias("d1"), F.xxhash64("text", F.lit(1)).alias("d2"))
-    firsts = digest.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    firsts = firsts.where("first < last").select("d1", "d2", "first")
-    copies = stored(digest.join(firsts, ["d1", "d2"]).where("doc_id > first").select("doc_id").distinct(), "copies")
+    """Two stored tables: copies(), and, for the other documents, (doc_id, pos) of strings that also
+    start in a smaller document. A pos below zero, -1 - s, says it of all strings that hold the
+    sample at s; one with MANY set, of all strings equal to those."""
+    docs = docs.select(_place_of("doc_id", "text").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = copies(docs)
 
     rows, open_ = "key long, doc_id long, kind byte", "doc_id long, rank long"
     one = _sorted(docs.mapInArrow(_first_rows(threshold), rows)).mapInArrow(_shared, open_)
-    one = stored(one.join(copies, "doc_id", "left_anti"), "shared")
+    one = stored(one.join(whole, "doc_id", "left_anti"), "shared")
 
-    two = _with_ranks(docs, one).mapInArrow(_second_rows(threshold), f"{rows}, pos int, rank long")
+    two = _with_ranks(docs, one).mapInArrow(_second_rows(threshold), f"{rows}, pos int, bytes binary, rank long")
     two = stored(_sorted(two).mapInArrow(_wide, "doc_id long, pos int, rank long"), "wide")
     discard(one)
 
     left = two.where("rank is not null").select("doc_id", "rank")
     three = stored(_sorted(left.mapInArrow(_third_rows, rows)).mapInArrow(_shared, open_), "shared-still")
 
-    four = _with_ranks(docs, three).mapInArrow(_fourth_rows(threshold), f"{rows}, pos int")
+    four = _with_ranks(docs, three).mapInArrow(_fourth_rows(threshold), f"{rows}, pos int, bytes binary")
     four = _sorted(four).mapInArrow(_covered, "doc_id long, pos int")
     wide = two.where("rank is null").select("doc_id", (-1 - F.col("pos")).alias("pos"))
     four = stored(four.unionByName(wide), "covered")
     discard(two, three)
-    return copies, four
+    return whole, four
 
 
 def _judged(docs: DataFrame, threshold: int) -> DataFrame:
-    """docs, text last, with what covered() says of each row: _places and _copy."""
-    copies, places = covered(docs, threshold)
-    places = places.groupBy("doc_id").agg(F.collect_list("pos").alias("_places"))
-    marks = copies.withColumn("_copy", F.lit(True))
-    joined = docs.join(places, "doc_id", "left").join(marks, "doc_id", "left")
-    rest = [c for c in docs.columns if c != "text"]
-    return joined.select(*rest, "text", "_places", F.coalesce("_copy", F.lit(False)).alias("_copy"))
+    """docs, text before two more columns, with what covered() says of each row: its places, and
+    whether it is a whole copy."""
+    whole, places = covered(docs, threshold)
+    key, found, copy = (fresh(c, docs.columns) for c in ("place", "places", "copy"))
+    places = places.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("pos").alias(found))
+    marks = whole.select(F.col("doc_id").alias(key), F.lit(True).alias(copy))
+    joined = docs.withColumn(key, _place_of("doc_id", "text")).join(places, key, "left").join(marks, key, "left")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return joined.select(*rest, "text", found, F.coalesce(copy, F.lit(False)).alias(copy))
 
 
 def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -474,7 +582,9 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     starts in a document of smaller doc_id, as the input has it; rows of one doc_id, which are
     taken to be one document come again, never remove each other's bytes. spans are [start, end)
     of the maximal removed runs. Shorter and empty texts stay; an empty table gives no rows; other
-    columns are ignored."""
+    columns are ignored. Rows without doc_id come
+    after all others, in the order of their texts' hashes. A text is read whole
+    by one task, with about forty times its size of memory, and has less than 1 GiB."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return _judged(docs, threshold).mapInArrow(
         _digests(threshold),
@@ -486,7 +596,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 def without_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """docs with the repeated bytes taken out of text and n_chars set anew, all rows and columns
     kept. A character of which a byte goes is taken out whole; null texts stay null."""
-    rest = [c for c in docs.columns if c != "text"]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     cut = _judged(docs, threshold).mapInArrow(_kept_texts(threshold), docs.select(*rest, "text").schema)
     n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return cut.withColumn("n_chars", n_chars).select(docs.columns)
+    return cut.withColumn("n_chars", n_chars).select(*(F.col(f"`{c}`") for c in docs.columns))
