@@ -18,10 +18,11 @@ before the next, longer rank:
 Before each sort the mapper settles what it can see among its own rows and sends one document's
 rows for each rank, so a string that stands in every document gives no more rows than there are
 map tasks. Documents that are whole copies of a smaller one are found by SHA-256 and leave the work
-after the first sort. Matches never cross documents. Ranks of 64 bits only say what to compare: the
-rows of the first and third sort are a filter, which a false match makes longer, and before the
-second and fourth call a byte covered, the bytes themselves are compared, by the mapper among its own
-rows and by the reducer among those that it gets.
+after the first sort. Matches never cross documents. Ranks of 64 bits say what to compare: the rows
+of the first and third sort are a filter, which a false match makes longer. Before the second and
+fourth call a byte covered, a mapper compares the bytes of its rows, and rows of different mappers
+must agree in a second fingerprint of the bytes too, made with other numbers: together 128 bits, a
+chance of about n * n / 2**129 for one false match among n distinct strings.
 """
 
 from __future__ import annotations
@@ -49,6 +50,7 @@ LAST = (1 << 63) - 1
 NAMELESS = 1 << 40
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = mixed(np.arange(1, 257, dtype=np.uint64))
+_OTHER = mixed(np.arange(1 << 32, (1 << 32) + 256, dtype=np.uint64))
 
 
 class _Powers:
@@ -130,9 +132,8 @@ def lengths(threshold: int) -> tuple[int, int, int]:
 def _sort_rows(keys, docs, kinds, *more):
     import pyarrow as pa
 
-    more = [m if isinstance(m, pa.Array) else pa.array(m) for m in more]
-    cols = [pa.array(keys.view(np.int64)), pa.array(docs), pa.array(kinds), *more]
-    return pa.RecordBatch.from_arrays(cols, names=["key", "doc_id", "kind", "pos", "bytes", "rank"][: len(cols)])
+    cols = [pa.array(keys.view(np.int64)), pa.array(docs), pa.array(kinds), *map(pa.array, more)]
+    return pa.RecordBatch.from_arrays(cols, names=["key", "doc_id", "kind", "pos", "check", "rank"][: len(cols)])
 
 
 SETTLED, OPEN, SHOWN = 1, 0, 2
@@ -210,20 +211,6 @@ def _third_rows(batches):
         yield from _shown(ranks, docs)
 
 
-def _array_of(column):
-    """A column as an array; strings of bytes, which are empty or all of one length, as a matrix of
-    those that are not empty."""
-    import pyarrow as pa
-
-    if not pa.types.is_binary(column.type):
-        return column.to_numpy()
-    column = column.combine_chunks()
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
-    width = int(np.diff(offsets).max(initial=0)) or 1
-    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].reshape(-1, width) if data is not None else np.zeros((0, 1), np.uint8)
-
-
 def _whole_groups(batches):
     """Sorted rows as arrays, cut only between keys."""
     import pyarrow as pa
@@ -236,10 +223,10 @@ def _whole_groups(batches):
         key = rest["key"].to_numpy()
         last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
         if last:
-            yield [_array_of(c) for c in rest.slice(0, last).columns]
+            yield [c.to_numpy() for c in rest.slice(0, last).columns]
             rest = pa.table([c.combine_chunks() for c in rest.slice(last).columns], names=rest.column_names)
     if rest is not None and rest.num_rows:
-        yield [_array_of(c) for c in rest.columns]
+        yield [c.to_numpy() for c in rest.columns]
 
 
 def _low_high(key, doc, kind):
@@ -252,31 +239,28 @@ def _low_high(key, doc, kind):
     return low[group], high[group]
 
 
-def _same(left, right, a, b) -> np.ndarray:
-    """Whether rows a of left equal rows b of right, a few at a time."""
+def _same(text, a, b) -> np.ndarray:
+    """Whether rows a have the bytes of rows b, a few at a time."""
     out = np.zeros(len(a), bool)
     for i in range(0, len(a), COMPARED):
-        out[i : i + COMPARED] = (left(a[i : i + COMPARED]) == right(b[i : i + COMPARED])).all(1)
+        out[i : i + COMPARED] = (text(a[i : i + COMPARED]) == text(b[i : i + COMPARED])).all(1)
     return out
 
 
-def _first_of_equals(key, doc, kind, text) -> np.ndarray:
-    """The smallest document of each row's key and bytes; text has the bytes of OPEN rows."""
+def _first_of_equals(key, doc, kind, check) -> np.ndarray:
+    """The smallest document of each row's key and check."""
     low, high = _low_high(key, doc, kind)
     rows = np.flatnonzero((kind == OPEN) & (low < high))
     if not len(rows):
         return low
-    index = np.cumsum(kind == OPEN) - 1
     new = np.r_[True, key[rows][1:] != key[rows][:-1]]
     head = rows[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    same = _same(text.__getitem__, text.__getitem__, index[rows], index[head])
-    for k in np.unique(key[rows[~same]]).tolist():
+    for k in np.unique(key[rows[check[rows] != check[head]]]).tolist():
         # One rank, different bytes: each string for itself.
         own, least = rows[key[rows] == k], {}
-        for i in own.tolist():
-            b = text[index[i]].tobytes()
-            least[b] = min(least.get(b, LAST), int(doc[i]))
-        low[own] = [least[text[index[i]].tobytes()] for i in own.tolist()]
+        for c, d in zip(check[own].tolist(), doc[own].tolist(), strict=True):
+            least[c] = min(least.get(c, LAST), d)
+        low[own] = [least[c] for c in check[own].tolist()]
     return low
 
 
@@ -325,7 +309,7 @@ def _settle(rank, doc, place, text):
     group = np.cumsum(np.r_[True, rank[1:] != rank[:-1]]) - 1
     rows = np.flatnonzero(np.arange(len(rank)) != at[group])
     mixed_up = np.zeros(len(at), bool)
-    mixed_up[group[rows[~_same(text, text, order[rows], order[at[group[rows]]])]]] = True
+    mixed_up[group[rows[~_same(text, order[rows], order[at[group[rows]]])]]] = True
     plain = ~mixed_up[group]
     gone, place = (doc > low) & plain, place[order]
     key = np.where(gone, mixed(doc.astype(np.uint64)) ^ mixed(place.astype(np.uint64)), rank)
@@ -338,6 +322,17 @@ def _settle(rank, doc, place, text):
     return order[keep], doc[keep], key[keep], kind[keep], place[keep].astype(np.int32)
 
 
+def _checked(text: np.ndarray) -> np.ndarray:
+    """A second fingerprint of each row of bytes, by other numbers than a rank's: a sum of a number
+    for each byte, weighted by its place."""
+    n = text.shape[1]
+    weights = mixed(np.arange(1 << 20, (1 << 20) + n, dtype=np.uint64)) | np.uint64(1)
+    out = np.zeros(len(text), np.uint64)
+    for place in range(n):
+        out += _OTHER[text[:, place]] * weights[place]
+    return mixed(out)
+
+
 class _Rows:
     """Rows of a mapper until it sends them, with the texts that their bytes are read from."""
 
@@ -369,12 +364,12 @@ class _Rows:
             return np.concatenate([out, n.astype("<u4").view(np.uint8)], 1)
 
         order, doc, key, kind, place = _settle(rank, doc, place, text)
-        own = order[kind == OPEN]
-        held = np.concatenate([text(own[i : i + COMPARED]) for i in range(0, len(own), COMPARED)] or [text(own)])
-        ends = np.r_[0, np.cumsum(np.where(kind == OPEN, self.width + 4, 0))].astype(np.int32)
-        held = pa.Array.from_buffers(pa.binary(), len(kind), [None, pa.py_buffer(ends), pa.py_buffer(held)])
+        check, open_ = np.zeros(len(key), np.uint64), np.flatnonzero(kind == OPEN)
+        for i in range(0, len(open_), COMPARED):
+            rows = open_[i : i + COMPARED]
+            check[rows] = _checked(text(order[rows]))
         self.__init__(self.width)
-        return _sort_rows(key, doc, kind, place, held, *(m[order].view(np.int64) for m in more))
+        return _sort_rows(key, doc, kind, place, check.view(np.int64), *(m[order].view(np.int64) for m in more))
 
 
 def _second_rows(threshold: int):
@@ -404,8 +399,8 @@ def _wide(batches):
     """(doc_id, pos, rank): rank is null where a smaller document covers the sample's windows."""
     import pyarrow as pa
 
-    for key, doc, kind, pos, text, rank in _whole_groups(batches):
-        gone = (kind == SETTLED) | (doc > _first_of_equals(key, doc, kind, text))
+    for key, doc, kind, pos, check, rank in _whole_groups(batches):
+        gone = (kind == SETTLED) | (doc > _first_of_equals(key, doc, kind, check))
         yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(pos), pa.array(rank, mask=gone)], names=["doc_id", "pos", "rank"])
 
 
@@ -431,8 +426,8 @@ def _covered(batches):
     """(doc_id, pos) of the positions whose string stands in a smaller document."""
     import pyarrow as pa
 
-    for key, doc, kind, pos, text in _whole_groups(batches):
-        keep = (kind == SETTLED) | (doc > _first_of_equals(key, doc, kind, text))
+    for key, doc, kind, pos, check in _whole_groups(batches):
+        keep = (kind == SETTLED) | (doc > _first_of_equals(key, doc, kind, check))
         yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(pos[keep])], names=["doc_id", "pos"])
 
 
@@ -549,14 +544,14 @@ def covered(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, Dat
     one = _sorted(docs.mapInArrow(_first_rows(threshold), rows)).mapInArrow(_shared, open_)
     one = stored(one.join(whole, "doc_id", "left_anti"), "shared")
 
-    two = _with_ranks(docs, one).mapInArrow(_second_rows(threshold), f"{rows}, pos int, bytes binary, rank long")
+    two = _with_ranks(docs, one).mapInArrow(_second_rows(threshold), f"{rows}, pos int, check long, rank long")
     two = stored(_sorted(two).mapInArrow(_wide, "doc_id long, pos int, rank long"), "wide")
     discard(one)
 
     left = two.where("rank is not null").select("doc_id", "rank")
     three = stored(_sorted(left.mapInArrow(_third_rows, rows)).mapInArrow(_shared, open_), "shared-still")
 
-    four = _with_ranks(docs, three).mapInArrow(_fourth_rows(threshold), f"{rows}, pos int, bytes binary")
+    four = _with_ranks(docs, three).mapInArrow(_fourth_rows(threshold), f"{rows}, pos int, check long")
     four = _sorted(four).mapInArrow(_covered, "doc_id long, pos int")
     wide = two.where("rank is null").select("doc_id", (-1 - F.col("pos")).alias("pos"))
     four = stored(four.unionByName(wide), "covered")
