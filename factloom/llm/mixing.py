@@ -26,6 +26,8 @@ BLOCK_TOKENS = 1 << 18
 STEPS = 24
 BITS_A_PASS = 4
 BROADCAST_ROWS = 5_000
+#: What mix() adds to a document.
+ADDED = ("mix_tokens", "mix_epoch", "mix_block", "mix_block_rank")
 
 
 def tokens_of(text: str = "text") -> Column:
@@ -108,13 +110,15 @@ def block_of(n: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long"), n)
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, added: bool = True, **options) -> DataFrame:
     """Rows of docs as often as the budget takes them, with their columns and mix_tokens, mix_epoch,
-    mix_block and mix_block_rank. A null source is the source "". Documents without tokens come
+    mix_block and mix_block_rank, which take the place of columns of these names; without added,
+    with their own columns alone. A null source is the source "". Documents without tokens come
     with every epoch of their block; sources without tokens, and an empty table, give no rows.
     Documents are taken in hash order until the next would pass the budget; ties fall to the
     smaller doc_id; repeated rows are documents of their own."""
-    own = docs.withColumn("mix_tokens", tokens_of()).withColumn("mix_source", source_of())
+    # The document is one column throughout, so that no name of it clashes.
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), "doc_id", tokens_of().alias("mix_tokens"), source_of().alias("mix_source"))
     rows = own.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_tokens").alias("tokens"))
     rows = stored(rows, "mix-rows")
     steps = plan(rows, **options).select(
@@ -128,7 +132,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     taken = own.join(small(steps.drop("mix_n"), BROADCAST_ROWS), ["mix_source", "mix_block"])
     order = W.partitionBy("mix_source", "mix_block", "mix_epoch").orderBy(_hash(F.col("doc_id"), F.col("mix_epoch")), "doc_id")
     part = taken.where("not mix_whole").withColumn("mix_so_far", F.sum("mix_tokens").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    out = [*docs.columns, "mix_tokens", "mix_epoch", "mix_block", "mix_block_rank"]
+    more = ADDED if added else ()
+    out = [*(F.col("d").getField(c).alias(c) for c in docs.columns if c not in more), *more]
     return taken.where("mix_whole").select(out).unionByName(part.where("mix_so_far <= mix_room").select(out))
 
 

@@ -163,7 +163,8 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def held_out(doc_id) -> F.Column:
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    """Whether a document's label is never learnt from; so are those without an id."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = TRAIN_ROWS) -> DataFrame:

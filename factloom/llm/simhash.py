@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, mixed, stored
 from .components import components
 
 SHINGLE = 4
@@ -25,14 +25,14 @@ CUTS = (0, 21, 42, 64)
 BLOCK = 20_000
 
 
-def _fingerprints(width: int):
+def _fingerprints(width: int, prints: int = 1):
     def run(batches):
         import pyarrow as pa
         import xxhash
 
         h = xxhash.xxh64_intdigest
         for batch in batches:
-            fps = np.zeros(batch.num_rows, np.uint64)
+            fps = np.zeros((batch.num_rows, prints), np.uint64)
             for i, text in enumerate(batch.column(1).to_pylist()):
                 words = text.encode().lower().split() if text else []
                 if not words:
@@ -45,12 +45,15 @@ def _fingerprints(width: int):
                     starts, ends = starts[: 1 - width], ends[width - 1 :]
                 else:
                     starts, ends = [0], [len(buf)]
-                counts, n = np.zeros(64, np.int64), len(starts)
+                counts, n = np.zeros((prints, 64), np.int64), len(starts)
                 for a in range(0, n, 8192):
                     part = np.array([h(buf[s:e], 42) for s, e in zip(starts[a : a + 8192], ends[a : a + 8192])], "<u8")
-                    counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-                fps[i] = np.packbits(2 * counts > n, bitorder="little").view("<u8")[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+                    for k in range(prints):
+                        own = mixed(part + np.uint64(k)) if k else part
+                        counts[k] += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+                fps[i] = np.packbits(2 * counts > n, axis=1, bitorder="little").view("<u8")[:, 0]
+            cols = [pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(prints)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "fp", *(f"fp{k}" for k in range(1, prints))])
 
     return run
 
@@ -188,3 +191,27 @@ def near_duplicates(docs: DataFrame, bit_max: int = MAX_BITS, width: int = SHING
         "component_id",
         "n_same",
     )
+
+
+def similar(docs: DataFrame, width: int = 5, bit_max: int = 5, prints: int = 3) -> DataFrame:
+    """One row for each row of docs: (doc_id, component_id). As near_duplicates(), by several
+    fingerprints of the same shingles, made of different hashes of them: documents link if one of
+    their fingerprints differs in at most bit_max bits, which finds more of the pairs whose shingles
+    are not nearly all equal. Every fingerprint's value is a node, and a document ties its own."""
+    schema = "doc_id long, fp long" + "".join(f", fp{k} long" for k in range(1, prints))
+    own = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints(width, prints), schema), "fingerprints")
+    names = ["fp", *(f"fp{k}" for k in range(1, prints))]
+    node = lambda k, c: F.xxhash64(F.lit(k), F.col(c))
+    edges = None
+    for k, name in enumerate(names):
+        values = stored(own.select(F.col(name).alias("fp")).distinct(), "nodes")
+        met = stored(links(values, bit_max).select(node(k, "a").alias("a"), node(k, "b").alias("b")), "links")
+        discard(values)
+        tied = own.select(node(0, "fp").alias("a"), node(k, name).alias("b")).distinct() if k else None
+        for more in (met, tied):
+            edges = more if edges is None else edges.unionByName(more) if more is not None else edges
+    comp = components(edges)
+    rooted = own.select("doc_id", node(0, "fp").alias("node")).join(comp, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    rooted = stored(rooted, "rooted")
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rooted.join(least, "root").select("doc_id", "component_id")

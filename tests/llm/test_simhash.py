@@ -1,3 +1,4 @@
+import random
 from itertools import combinations
 
 import numpy as np
@@ -67,3 +68,26 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}}
+
+
+def test_similar_finds_near_copies_by_several_fingerprints(spark):
+    """Documents link by any of three fingerprints; recall by the similarity of five-word shingles."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(5000)}"
+    rows = []
+    for i in range(120):
+        words = [word() for _ in range(300)]
+        other = list(words)
+        for _ in range(1 + i % 4):
+            other[rng.randrange(300)] = word()
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 240 and all(c // 2 == d // 2 for d, c in got.items())
+    found = [got[2 * i + 1] == 2 * i for i in range(120)]
+    assert sum(found[0::4]) >= 29 and sum(found) >= 90
+
+
+def test_similar_joins_all_that_near_duplicates_joins(docs):
+    one = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, 5, 5).collect()}
+    more = {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
+    assert set(more) == set(one) and all(more[d] == more[c] for d, c in one.items())

@@ -30,7 +30,8 @@ def brute(rows, k):
 
 
 @pytest.mark.parametrize("threshold", [50, 16, 33])
-def test_matches_brute_force(docs, threshold):
+def test_matches_brute_force(nameless, threshold):
+    docs = nameless
     got = suffix_dedup.remove_repeats(docs, threshold).drop("spans").collect()
     want = brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], threshold)
     assert sorted((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in got) == want
