@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import language, mixing, packing, simhash, suffix_dedup
-from factloom.llm.common import small, stored, table
+from factloom.llm.common import fresh, small, stored, table
 from factloom.llm.queries import tokenizer_path
 
 #: Ids to drop are broadcast up to so many, and joined by key beyond.
@@ -27,11 +27,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest document of each group of near duplicates, once if its row is repeated."""
-    near = simhash.near_duplicates(docs)
+    """Keeps the smallest document of each group of near duplicates, by fingerprints of five-word
+    shingles, once if its row is repeated."""
+    near = simhash.similar(docs)
     others = stored(near.where("doc_id <> component_id").select("doc_id").distinct(), "others")
-    kept = docs.join(others, "doc_id", "left_anti").withColumn("_digest", F.xxhash64("text"))
-    return kept.dropDuplicates(["doc_id", "_digest"]).select(docs.columns)
+    digest = fresh("digest", docs.columns)
+    kept = docs.join(others, "doc_id", "left_anti").withColumn(digest, F.xxhash64("text"))
+    return kept.dropDuplicates(["doc_id", digest]).drop(digest)
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each source's documents as often as its weight asks."""
-    return mixing.mix(docs).select(docs.columns)
+    return mixing.mix(docs, added=False)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
