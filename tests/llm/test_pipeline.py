@@ -19,7 +19,7 @@ def test_stages_take_effect_and_keep_columns(spark, docs, tmp_path):
             assert ids == [d for d in had if d in keep]
             assert not {200, 201, 202} & set(ids)
         elif name == "near duplicates":
-            first = {r.doc_id for r in simhash.near_duplicates(before).collect() if r.doc_id == r.component_id}
+            first = {r.doc_id for r in simhash.similar(before).collect() if r.doc_id == r.component_id}
             assert ids == sorted(first)
         elif name == "passages":
             assert ids == had
