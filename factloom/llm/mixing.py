@@ -4,7 +4,8 @@ The exponent is bisected to meet a target entropy and then, if a source would re
 raised to meet the repetition limit. Weights become token budgets, and each source's budget is
 filled by epochs, each a permutation of the source's blocks: whole epochs, then whole blocks of one
 more, then documents of the block in which the budget ends. Blocks are documents dealt by hash, of a
-bounded number of tokens, so no window spans a source's documents. DataFrame functions only.
+bounded number of tokens, and ranked within ranges of their hash, so no window spans a source's
+documents or blocks. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ BLOCK_TOKENS = 1 << 18
 STEPS = 24
 BITS_A_PASS = 4
 BROADCAST_ROWS = 5_000
+#: Hexadecimal digits of a block's hash that name its range: 4,096 ranges an epoch.
+RANGE_DIGITS = 3
 #: What mix() adds to a document.
 ADDED = ("mix_tokens", "mix_epoch", "mix_block", "mix_block_rank")
 
@@ -93,9 +96,18 @@ def plan(rows: DataFrame, entropy=ENTROPY, repeats=REPEATS, block_tokens=BLOCK_T
     blocks = rows.join(sources, "source").withColumn("block", block_of(F.col("n_blocks")))
     blocks = blocks.groupBy("source", "block", "n_blocks", "t", "budget").agg(F.sum("tokens").alias("bt"))
     epochs = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("budget div t") + 1)))
-    order = W.partitionBy("source", "epoch").orderBy(_hash(F.col("source"), F.col("block"), F.col("epoch")), "block")
-    epochs = epochs.withColumn("block_rank", F.row_number().over(order).cast("long"))
-    before = F.sum("bt").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("bt")
+    epochs = epochs.withColumn("h", _hash(F.col("source"), F.col("block"), F.col("epoch"))).withColumn("range", F.substring("h", 1, RANGE_DIGITS))
+    epochs = stored(epochs, "epochs")
+    # Ranges of the hash are summed first, so that no window spans the blocks of a source.
+    key = ["source", "epoch", "range"]
+    earlier = W.partitionBy("source", "epoch").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = epochs.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum("bt").alias("sum"))
+    ahead = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    ranges = ranges.select(*key, ahead("n").alias("n_ahead"), ahead("sum").alias("t_ahead"))
+    order = W.partitionBy(key).orderBy("h", "block")
+    epochs = epochs.join(ranges, key)
+    epochs = epochs.withColumn("block_rank", (F.col("n_ahead") + F.row_number().over(order)).cast("long"))
+    before = F.col("t_ahead") + F.sum("bt").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("bt")
     room = F.col("budget") - F.col("t") * (F.col("epoch") - 1) - before
     epochs = epochs.withColumn("room", room).where("room > 0")
     return epochs.select("source", "n_blocks", "block", "epoch", "block_rank", "bt", "room")
