@@ -23,6 +23,8 @@ MAX_BITS = 4
 CUTS = (0, 21, 42, 64)
 #: A larger bucket is dealt as pairs of blocks of about this many fingerprints.
 BLOCK = 20_000
+#: A task makes the signatures of at most about so many fingerprints.
+SIGNED = 200_000
 
 
 def _fingerprints(width: int, prints: int = 1):
@@ -153,7 +155,9 @@ def links(fps: DataFrame, bit_max: int = MAX_BITS, block: int = BLOCK) -> DataFr
     such pairs. fps: one row for each distinct fingerprint."""
     if bit_max > 2 * (len(CUTS) - 1) - 1:
         raise ValueError("the segments allow at most 5 differing bits")
-    sig = _signatures(fps)
+    # A stored table of fingerprints is a few files; their signatures are many times as much.
+    tasks = max(2 * fps.sparkSession.sparkContext.defaultParallelism, -(-fps.count() // SIGNED))
+    sig = _signatures(fps.repartition(tasks, "fp"))
     sizes = sig.groupBy("key").count().where(F.col("count") > block)
     hot = stored(sizes, "hot-buckets")
     if not hot.isEmpty():
