@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Row
 
-from . import chat, images, language, mixing, packing, quality, simhash, suffix_dedup, token_counts, topk
+from . import chat, images, language, mixing, packing, quality, rule_ledger, simhash, suffix_dedup, token_counts, topk
 from .common import table
 
 
@@ -64,10 +64,21 @@ def op9_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op11_rule_ledger(spark, sf_dir):
+    entries = rule_ledger.ledger(table(spark, sf_dir, "documents"))
+    return rule_ledger.judged(entries, rule_ledger.POLICIES[rule_ledger.CURRENT])
+
+
+def op11_rule_ablation(spark, sf_dir):
+    entries = rule_ledger.ledger(table(spark, sf_dir, "documents"))
+    return rule_ledger.ablation(entries, rule_ledger.POLICIES[rule_ledger.CURRENT])
+
+
 def queries():
     named = (
         op1_image_copies, op2_mixing, op3_quality, op4_topk, op5_chat, op6_language, op6_language_pages,
         op7_suffix_dedup, op8_simhash, op9_token_counts, op10_packing,
+        op11_rule_ledger, op11_rule_ablation,
     )
     return {f.__name__: f for f in named}
 
@@ -88,4 +99,6 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def oracle_sql():
-    return {"op2_mixing": mixing.ORACLE_SQL, "op4_topk": OP4_SQL, "op5_chat": chat.ORACLE_SQL}
+    policy = rule_ledger.POLICIES[rule_ledger.CURRENT]
+    own = {"op11_rule_ledger": rule_ledger.verdict_sql(policy), "op11_rule_ablation": rule_ledger.ablation_sql(policy)}
+    return own | {"op2_mixing": mixing.ORACLE_SQL, "op4_topk": OP4_SQL, "op5_chat": chat.ORACLE_SQL}
