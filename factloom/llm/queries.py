@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Row
 
-from . import chat, images, language, mixing, packing, quality, rule_ledger, simhash, suffix_dedup, token_counts, topk
+from . import chat, images, language, merkle, mixing, packing, quality, rule_ledger, simhash, suffix_dedup, token_counts, topk, vector_codes
 from .common import table
 
 
@@ -74,11 +74,19 @@ def op11_rule_ablation(spark, sf_dir):
     return rule_ledger.ablation(entries, rule_ledger.POLICIES[rule_ledger.CURRENT])
 
 
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered=merkle.lower_cased())
+
+
+def op13_vector_codes(spark, sf_dir):
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     named = (
         op1_image_copies, op2_mixing, op3_quality, op4_topk, op5_chat, op6_language, op6_language_pages,
         op7_suffix_dedup, op8_simhash, op9_token_counts, op10_packing,
-        op11_rule_ledger, op11_rule_ablation,
+        op11_rule_ledger, op11_rule_ablation, op12_merkle_manifest, op13_vector_codes,
     )
     return {f.__name__: f for f in named}
 
@@ -101,4 +109,5 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 def oracle_sql():
     policy = rule_ledger.POLICIES[rule_ledger.CURRENT]
     own = {"op11_rule_ledger": rule_ledger.verdict_sql(policy), "op11_rule_ablation": rule_ledger.ablation_sql(policy)}
+    own |= {"op12_merkle_manifest": merkle.ORACLE_SQL, "op13_vector_codes": vector_codes.ORACLE_SQL}
     return own | {"op2_mixing": mixing.ORACLE_SQL, "op4_topk": OP4_SQL, "op5_chat": chat.ORACLE_SQL}
