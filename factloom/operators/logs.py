@@ -83,23 +83,71 @@ EXCEPTION = r"^([A-Za-z_$][\w$]*(?:\.[\w$]+)*(?:Exception|Error|Throwable))(?::\
 FRAME = r"at ([\w$.]+)\.([\w$<>]+)\(([^)]*)\)"
 
 
-def assembled(lines: DataFrame) -> DataFrame:
+#: Lines of a log that one task scans together; what goes from range to range is a row for each.
+RANGE_LINES = 1 << 16
+
+
+def scanned(rows: DataFrame, order: list[str], level: Column, after_nothing: bool, range_lines: int = RANGE_LINES) -> DataFrame:
+    """rows with is_start, event, its number in the source, and level: that of a header, empty for
+    another row that surely starts an event. rows: source, line_no, what order names, and the flags
+    _blank, _header, _goes_on and _thrown, of which one holds at most. A header starts an event, so
+    does a row with no flag, and any row after a blank one, or, if after_nothing, at the log's
+    begin; _goes_on continues one, and _thrown one whose level is ERROR or FATAL.
+
+    A log is no window: ranges of its lines are scanned alone, leaving open what only earlier ranges
+    can tell; a row for each range says what it hands on; those rows are scanned, and what comes in
+    is put into the ranges."""
+    rows = rows.withColumn("_range", F.expr(f"line_no div {range_lines}"))
+    here = W.partitionBy("source", "_range").orderBy(*order)
+    rows = rows.withColumn("_after", F.lag("_blank").over(here))  # null: an earlier range tells
+    plain = ~F.col("_header") & ~F.col("_goes_on") & ~F.col("_thrown")
+    rows = rows.withColumn("_sure", ~F.col("_blank") & (F.col("_header") | plain | F.coalesce("_after", F.lit(False))))
+    rows = rows.withColumn("_open", F.col("_after").isNull() & ~F.col("_sure") & ~F.col("_blank"))
+    rows = rows.withColumn("_level", F.when(F.col("_sure"), F.when(F.col("_header"), level).otherwise("")))
+    rows = rows.withColumn("_near", F.last("_level", ignorenulls=True).over(here.rowsBetween(W.unboundedPreceding, -1)))
+    thrown = F.col("_thrown") & ~F.col("_sure")
+    rows = rows.withColumn("_starts", F.col("_sure") | (thrown & F.coalesce(~F.col("_near").isin("ERROR", "FATAL"), F.lit(False))))
+    rows = rows.withColumn("_pending", thrown & F.col("_near").isNull())  # starts one unless the level that comes in fails
+    at = F.struct(*order)
+    sums = rows.groupBy("source", "_range").agg(
+        F.max_by("_blank", at).alias("blank"), F.max_by("_level", F.when(F.col("_level").isNotNull(), at)).alias("level"), F.max("_open").alias("open"),
+        F.sum(F.col("_starts").cast("int")).alias("n"), F.sum((F.col("_pending") & ~F.col("_open")).cast("int")).alias("waiting"), F.max(F.col("_pending") & F.col("_open")).alias("first"),
+    )
+    ranges = W.partitionBy("source").orderBy("_range")
+    before = ranges.rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumn("_starts_first", F.col("open") & F.coalesce(F.lag("blank").over(ranges), F.lit(after_nothing)))
+    sums = sums.withColumn("_handed", F.coalesce("level", F.when(F.col("_starts_first"), "")))
+    sums = sums.withColumn("_came_fails", F.coalesce(F.last("_handed", ignorenulls=True).over(before).isin("ERROR", "FATAL"), F.lit(False)))
+    waiting = F.when(F.col("_starts_first"), F.col("waiting") + 1).when(F.col("_came_fails"), 0).otherwise(F.col("waiting") + F.col("first").cast("int"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum(F.col("n") + waiting).over(before), F.lit(0)))
+    rows = rows.join(sums.select("source", "_range", "_starts_first", "_came_fails", "_before"), ["source", "_range"])
+    first = F.col("_open") & F.col("_starts_first")
+    rows = rows.withColumn("is_start", F.col("_starts") | first | (F.col("_pending") & (F.col("_starts_first") | ~F.col("_came_fails"))))
+    rows = rows.withColumn("level", F.when(first, "").otherwise(F.col("_level")))
+    rows = rows.withColumn("event", F.col("_before") + F.sum(F.col("is_start").cast("int")).over(here.rowsBetween(W.unboundedPreceding, 0)))
+    return rows.drop("_range", "_after", "_sure", "_open", "_level", "_near", "_starts", "_pending", "_starts_first", "_came_fails", "_before")
+
+
+def nearest_before(rows: DataFrame, order: list[str], value: Column, name: str, range_lines: int = RANGE_LINES) -> DataFrame:
+    """rows of logs with the value of the nearest earlier row of the log that has one, as an as-of
+    join would give it: within ranges of lines, and from the last range that has one."""
+    rows = rows.withColumn("_v", value).withColumn("_range", F.expr(f"line_no div {range_lines}"))
+    ends = rows.groupBy("source", "_range").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_end"))
+    before = W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select("source", "_range", F.last("_end", ignorenulls=True).over(before).alias("_came"))
+    here = W.partitionBy("source", "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_here", F.last("_v", ignorenulls=True).over(here)).join(ends, ["source", "_range"])
+    return rows.withColumn(name, F.coalesce("_here", "_came")).drop("_v", "_range", "_here", "_came")
+
+
+def assembled(lines: DataFrame, range_lines: int = RANGE_LINES) -> DataFrame:
     """lines: (source, line_no, text). Adds level, is_start and event: its number within the
     source. A header starts an event; frames and causes continue it; an exception header continues
     only after an error; any other line, and whatever follows a blank line, starts one."""
-    by = W.partitionBy("source").orderBy("line_no")
-    level = F.regexp_extract("text", HEADER, 1)
-    df = lines.withColumns({
-        "_h": F.col("text").rlike(HEADER), "_c": F.col("text").rlike(CONTINUED), "_e": F.col("text").rlike(EXCEPTION), "_b": F.trim("text") == "",
-    }).withColumn("_after_blank", F.coalesce(F.lag("_b").over(by), F.lit(False)))
-    plain = ~F.col("_h") & ~F.col("_c") & ~F.col("_e") & ~F.col("_b")
-    sure = F.col("_h") | plain | (F.col("_after_blank") & ~F.col("_b"))
-    df = df.withColumn("_sure", sure).withColumn("level", F.when(F.col("_h"), level).when(F.col("_sure"), F.lit("")))
-    near = F.last("level", ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1))
-    start = F.col("_sure") | (F.col("_e") & ~F.coalesce(near.isin("ERROR", "FATAL"), F.lit(False)))
-    df = df.withColumn("is_start", start)
-    event = F.sum(F.col("is_start").cast("int")).over(by.rowsBetween(W.unboundedPreceding, 0))
-    return df.withColumn("event", event).drop("_h", "_c", "_e", "_b", "_after_blank", "_sure")
+    text = F.col("text")
+    rows = lines.withColumns({"_header": text.rlike(HEADER), "_goes_on": text.rlike(CONTINUED), "_thrown": text.rlike(EXCEPTION), "_blank": F.trim("text") == ""})
+    rows = scanned(rows, ["line_no"], F.regexp_extract("text", HEADER, 1), False, range_lines)
+    return rows.drop("_blank", "_header", "_goes_on", "_thrown")
 
 
 #: Signals in the order in which one is taken: by rank, of equal ranks the later one.
@@ -167,16 +215,17 @@ def mention_score(base: Column, position: Column) -> Column:
     return F.greatest(F.lit(0.4), base - 0.08 * position)
 
 
-def terminality(df: DataFrame) -> Column:
-    """df: source, ordinal, level, and flags background, watchdog, aborted, crash_report, recovery.
-    Only failures have one."""
-    later = lambda c: F.coalesce(F.max(F.col(c).cast("int")).over(W.partitionBy("source").orderBy("ordinal").rowsBetween(1, W.unboundedFollowing)), F.lit(0)) > 0
+def terminality(df: DataFrame) -> DataFrame:
+    """df with terminality. df: source, ordinal, level, and flags background, watchdog, aborted,
+    crash_report, recovery. Only failures have one."""
+    df = with_later(df, ["source"], "ordinal", crash_report="_report_later", recovery="_recovery_later")
     failure = F.col("level").isin("ERROR", "FATAL")
-    return F.when(
+    kind = F.when(
         failure,
         F.when(F.col("background"), "background").when(F.col("watchdog"), "watchdog").when(F.col("aborted"), "loader-abort")
-        .when(F.col("crash_report") | later("crash_report"), "crash").when(F.col("level") == "FATAL", "fatal").when(later("recovery"), "recovered").otherwise("unknown"),
+        .when(F.col("crash_report") | F.col("_report_later"), "crash").when(F.col("level") == "FATAL", "fatal").when(F.col("_recovery_later"), "recovered").otherwise("unknown"),
     )
+    return df.withColumn("terminality", kind).drop("_report_later", "_recovery_later")
 
 
 #: What ends a process.
@@ -203,15 +252,6 @@ def blame(frames_: DataFrame) -> DataFrame:
     return shared.join(sole, "crash", "left").select("crash", "blamed", F.when(F.col("blamed").isNull(), F.col("first_owners")).alias("ambiguous"))
 
 
-def incidents(anchors: DataFrame) -> DataFrame:
-    """anchors: (fuzzy, occurrence, depth, throwable, mods array). One row for each fingerprint:
-    occurrences, the deepest throwable (ties to the smallest occurrence), contributing mods."""
-    mods = F.array_sort(F.array_distinct(F.flatten(F.collect_list("mods"))))
-    return anchors.groupBy("fuzzy").agg(
-        F.countDistinct("occurrence").alias("n"), F.min_by("throwable", F.struct(-F.col("depth"), F.col("occurrence"))).alias("cause"), F.array_join(mods, ",").alias("contributors")
-    )
-
-
 def collapsed_path(rows: DataFrame, key: str, at: str, name: str) -> DataFrame:
     """Names in order with runs of one name said once."""
     last = F.lag(name).over(W.partitionBy(key).orderBy(at))
@@ -251,10 +291,14 @@ def occurrence(text: Column, source: Column, ordinal: Column, event: Column) ->
     return F.concat_ws(":", short(text), short(source), ordinal, event)
 
 
-def later(flag: Column, by: list[str], order: str) -> Column:
-    """Whether a later row of the same log has the flag."""
-    ahead = W.partitionBy(*by).orderBy(order).rowsBetween(1, W.unboundedFollowing)
-    return F.coalesce(F.max(flag.cast("int")).over(ahead), F.lit(0)) > 0
+def with_later(rows: DataFrame, by: list[str], order: str, **flags: str) -> DataFrame:
+    """rows with, for each flag column, whether a later row of the same log has it: the place of the
+    last such row is all that a log must tell its rows."""
+    last = rows.groupBy(*by).agg(*[F.max(F.when(F.col(f), F.col(order))).alias(f"_last_{i}") for i, f in enumerate(flags)])
+    out = rows.join(last, by, "left")
+    for i, name in enumerate(flags.values()):
+        out = out.withColumn(name, F.coalesce(F.col(f"_last_{i}") > F.col(order), F.lit(False))).drop(f"_last_{i}")
+    return out
 
 
 def runs(rows: DataFrame, keys: list[str], at: str, name: str) -> DataFrame:

@@ -109,13 +109,6 @@ def l4_strict_fingerprint(spark, sf):
 _FRAMES = r"at ([\w$.]+)\.([\w$<>]+)\(([^)]*)\)"
 
 
-@plan(WHOLE + f""", c AS (SELECT source, event, regexp_extract_all(text, '{_CHAIN}', 1) AS chain, regexp_extract_all(text, '{_FRAMES}', 1) AS frames, text FROM g)
-  SELECT source, event, sha256(list_last(string_split(chain[1], '.')) || chr(31) || {_NORM.format('text')} || chr(31) || array_to_string(frames, '|')) AS fuzzy FROM c WHERE len(chain) > 0""")
-def l5_fuzzy_fingerprint(spark, sf):
-    df = whole_events(spark, sf).withColumn("chain", lg.chain(F.col("text"))).where(F.size("chain") > 0)
-    return df.select("source", "event", lg.fuzzy_fingerprint(F.col("chain")[0], F.col("text"), lg.frames(F.col("text"))).alias("fuzzy"))
-
-
 @plan(WHOLE + " SELECT source, event, substr(sha256(text), 1, 12) || ':' || substr(sha256(source), 1, 12) || ':' || CAST(ordinal AS STRING) || ':' || CAST(event AS STRING) AS occurrence FROM g")
 def l6_occurrence(spark, sf):
     made = lg.occurrence(F.col("text"), F.col("source"), F.col("ordinal"), F.col("event"))
@@ -132,20 +125,13 @@ def l7_terminality(spark, sf):
         "level", "ordinal", "source", "event", "contains(text, 'tick') and event % 2 = 0 as background", "false as watchdog",
         "false as aborted", "contains(text, 'heap') as crash_report", "contains(text, 'ok') as recovery",
     )
-    return df.withColumn("terminality", lg.terminality(df)).select("source", "event", "terminality")
+    return lg.terminality(df).select("source", "event", "terminality")
 
 
 @plan(WHOLE + ", f AS (SELECT source, event, ordinal, contains(text, 'ok') AS recovery FROM g) SELECT source, event, coalesce(max(CAST(recovery AS INT)) OVER (PARTITION BY source ORDER BY ordinal ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) > 0 AS later FROM f")
 def w9_look_ahead(spark, sf):
-    ok = F.contains("text", F.lit("ok"))
-    return whole_events(spark, sf).select("source", "event", lg.later(ok, ["source"], "ordinal").alias("later"))
-
-
-@plan(WHOLE + f""", c AS (SELECT source, event, regexp_extract_all(text, '{_CHAIN}', 1) AS chain FROM g), u AS (SELECT source, event, len(chain) AS n, unnest(chain) AS throwable, unnest(range(len(chain))) AS i FROM c)
-  SELECT source, event, CAST(i AS INT) AS i, throwable, i = n - 1 AS deepest FROM u""")
-def l8_exception_chain(spark, sf):
-    df = whole_events(spark, sf).withColumn("chain", lg.chain(F.col("text"))).withColumn("n", F.size("chain"))
-    return df.select("source", "event", "n", F.posexplode("chain").alias("i", "throwable")).select("source", "event", "i", "throwable", (F.col("i") == F.col("n") - 1).alias("deepest"))
+    rows = whole_events(spark, sf).withColumn("ok", F.contains("text", F.lit("ok")))
+    return lg.with_later(rows, ["source"], "ordinal", ok="later").select("source", "event", "later")
 
 
 FRAMED = WHOLE + f", fr AS (SELECT source, event, unnest(regexp_extract_all(text, '{_FRAMES}', 1)) AS cls, unnest(range(len(regexp_extract_all(text, '{_FRAMES}', 1)))) AS i FROM g)"
@@ -188,14 +174,6 @@ def l12_mention_score(spark, sf):
     return lines(spark, sf).select("line_no", lg.mention_score(F.lit(0.92), F.col("line_no") % 10).cast("double").alias("score"))
 
 
-ANCHORS = "SELECT o_orderpriority || '/' || CAST(o_custkey % 30 AS STRING) AS fuzzy, o_orderkey AS occurrence, o_orderkey % 4 AS depth, 'T' || CAST(o_orderkey % 6 AS STRING) AS throwable, 'm' || CAST(o_custkey % 7 AS STRING) AS mod FROM orders WHERE o_orderstatus = 'F'"
-
-
-@plan(f"""WITH a AS ({ANCHORS}) SELECT fuzzy, count(DISTINCT occurrence) AS n, arg_min(throwable, (-depth) * 1000000000 + occurrence) AS cause, string_agg(DISTINCT mod, ',' ORDER BY mod) AS contributors FROM a GROUP BY fuzzy""")
-def l13_incidents(spark, sf):
-    return lg.incidents(view(spark, sf, ANCHORS).withColumn("mods", F.array("mod")))
-
-
 @plan(FRAMED + """, kk AS (SELECT source, event, i, cls, lag(cls) OVER (PARTITION BY source, event ORDER BY i) AS p FROM fr)
   SELECT source || '/' || CAST(event AS STRING) AS crash, string_agg(cls, ' > ' ORDER BY i) AS path FROM kk WHERE p IS NULL OR p <> cls GROUP BY 1""")
 def l14_ownership_path(spark, sf):
