@@ -108,54 +108,6 @@ def combined_coverage(states: DataFrame, key: str) -> DataFrame:
     return states.groupBy(key).agg(name.alias("state"))
 
 
-def assessed(findings: DataFrame, requirements: DataFrame, coverage: DataFrame) -> DataFrame:
-    """findings: (finding_id, severity, confidence, proof boolean, downgraded boolean).
-    requirements: (finding_id, region); coverage: (region, state). A region that isn't complete
-    blocks: an error becomes a warning, confidence at most 0.65, tagged; error and fatal also need
-    proof and a requirement at all. certainty follows confidence and proof, or is undecidable."""
-    met = requirements.join(coverage, "region", "left")
-    open_ = F.coalesce(F.col("state"), F.lit("unavailable")) != "complete"
-    flags = met.groupBy("finding_id").agg(
-        F.array_sort(F.collect_set(F.when(open_, F.col("region")))).alias("blockers"), F.count(F.lit(1)).alias("_n")
-    )
-    df = findings.join(flags, "finding_id", "left")
-    blockers = F.coalesce("blockers", F.array().cast("array<string>"))
-    severe = _rank() >= 3
-    ungrounded = severe & (~F.col("proof") | F.coalesce(F.col("_n"), F.lit(0)).eqNullSafe(0) | (F.col("confidence") < 0.9))
-    blocked = F.size(blockers) > 0
-    tier = F.when(F.col("proof") & (F.col("confidence") >= 0.9), "confirmed").when(F.col("confidence") >= 0.75, "likely").otherwise("possible")
-    stop = blocked | ungrounded
-    return df.select(
-        "finding_id",
-        F.when(stop & severe, "warn").otherwise(F.col("severity")).alias("severity"),
-        F.when(blocked, F.least("confidence", F.lit(0.65))).otherwise(F.col("confidence")).alias("confidence"),
-        F.when(blocked & ~F.col("downgraded"), "undecidable").otherwise(tier).alias("certainty"),
-        F.array_join(blockers, ",").alias("blockers"), (stop & severe).alias("why_not_error"),
-    )
-
-
-def reconciled(findings: DataFrame, contradictions: DataFrame) -> DataFrame:
-    """findings with the facts that contradict their conclusion: contradictions has (conclusion,
-    entity, fact_id)."""
-    met = findings.join(contradictions, ["conclusion", "entity"], "left")
-    out = met.groupBy("finding_id", "conclusion", "entity").agg(F.array_sort(F.collect_set("fact_id")).alias("against"))
-    return out.withColumn("invalidated", F.size("against") > 0)
-
-
-def identities(findings: DataFrame, evidence: DataFrame) -> DataFrame:
-    """semantic_id hashes the conclusion, its entities and what its evidence says; occurrence_id
-    adds where it stands. evidence: (finding_id, kind, subject, source)."""
-    tagged = lambda *cs: F.concat(*(F.concat(F.length(c).cast("string"), F.lit(":"), c) for c in cs))
-    e = evidence.groupBy("finding_id").agg(
-        F.array_join(F.array_sort(F.collect_set(tagged(F.col("kind"), F.col("subject")))), "|").alias("_s"),
-        F.array_join(F.array_sort(F.collect_set(tagged(F.col("source")))), "|").alias("_o"),
-    )
-    df = findings.join(e, "finding_id", "left")
-    semantic = F.sha2(F.concat_ws("\x1e", "conclusion", F.array_join(F.array_sort("affects"), "|"), F.coalesce("_s", F.lit(""))), 256)
-    df = df.withColumn("semantic_id", semantic)
-    return df.select("finding_id", "semantic_id", F.sha2(F.concat_ws("\x1e", "semantic_id", F.coalesce("_o", F.lit(""))), 256).alias("occurrence_id"))
-
-
 def visible(findings: DataFrame) -> DataFrame:
     """Safe merges are explained only and root metadata is for overlays, both info if below warn;
     detail notes are verbose."""

@@ -139,7 +139,7 @@ def field(tag: Column | str, value: Column) -> Column:
     return F.concat(size(tag, 8), tag.cast("binary"), size(value, 16), value.cast("binary"))
 
 
-def _joined(parts: Column) -> Column:
+def joined(parts: Column) -> Column:
     """Bytes of an array of bytes."""
     return F.unhex(F.array_join(F.transform(parts, F.hex), ""))
 
@@ -156,18 +156,18 @@ def semantic_fingerprint() -> Column:
     node = lambda n: F.concat(
         field(_name("throwable", n["index"], "type"), n["type"]), field(_name("throwable", n["index"], "message"), n["message"]),
         field(_name("throwable", n["index"], "cause"), F.when(n["cause"] >= 0, n["cause"])), field(_name("throwable", n["index"], "suppressed"), n["suppressed"]),
-        _joined(F.transform(n["frames"], lambda f, i: frame(n, f, i))),
+        joined(F.transform(n["frames"], lambda f, i: frame(n, f, i))),
     )
-    lines = _joined(F.transform("continuation", lambda x, i: field(_name("continuation", i), x)))
+    lines = joined(F.transform("continuation", lambda x, i: field(_name("continuation", i), x)))
     plain = F.concat(field("level", F.col("level")), field("logger", F.col("logger")), field("message", F.col("message")), lines)
-    body = F.when(F.size("chain") > 0, _joined(F.transform("chain", node))).otherwise(plain)
+    body = F.when(F.size("chain") > 0, joined(F.transform("chain", node))).otherwise(plain)
     return F.sha2(F.concat(field("schema", F.lit("runtime-semantic-v1")), body), 256)
 
 
 def fuzzy_fingerprint() -> Column:
     """Of an event: the deepest throwable's simple name, its message without numbers, and its frames'
     classes and methods; or the event's own message without numbers."""
-    frames = _joined(F.transform(F.col("deepest")["frames"], lambda f, i: F.concat(field(_name("frame", i, "class"), f["class"]), field(_name("frame", i, "method"), f["method"]))))
+    frames = joined(F.transform(F.col("deepest")["frames"], lambda f, i: F.concat(field(_name("frame", i, "class"), f["class"]), field(_name("frame", i, "method"), f["method"]))))
     family = F.substring_index(F.col("deepest")["type"], ".", -1)
     thrown = F.concat(field("exception-family", family), field("normalized-message", logs.normalised(F.coalesce(F.col("deepest")["message"], F.lit("")))), frames)
     plain = field("message", logs.normalised(F.col("message")))

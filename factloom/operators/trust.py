@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 #: Signals that are high-risk alone, and evidence strengths from weak to strong.
 HIGH_RISK = ("process_spawn", "unsafe", "dynamic_class", "script_engine")
@@ -72,35 +71,22 @@ def low_trust_capabilities(capabilities: DataFrame, trust: DataFrame, below: int
     return risky.where(score < below).groupBy("archive", score.alias("score")).agg(F.array_join(F.sort_array(F.collect_set("signal")), ",").alias("capabilities"))
 
 
-def _digested(batches):
-    """One digest for each run of equal keys; the last column is the hash."""
-    import hashlib
-
-    import pyarrow as pa
-
-    key, state, names = None, None, None
-    for batch in batches:
-        *cols, lines = (c.to_pylist() for c in batch.columns)
-        names, types, out = batch.schema.names[:-1], [f.type for f in batch.schema][:-1], []
-        for *now, line in zip(*cols, lines, strict=True):
-            if state is None or now != key:
-                if state is not None:
-                    out.append([*key, state.hexdigest()])
-                key, state = now, hashlib.sha256()
-            state.update(line.encode())
-        done = list(zip(*out, strict=True)) or [[]] * (len(names) + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(done, [*types, pa.string()], strict=True)], names=[*names, "digest"])
-    if state is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip([*key, state.hexdigest()], [*types, pa.string()], strict=True)], names=[*names, "digest"])
+def set_digest(rows: DataFrame, keys: list[str], line: Column) -> DataFrame:
+    """(keys, digest): a Merkle digest of each group's lines, whatever their order. Equal lines are
+    counted first; the lines of one of 65,536 ranges of their hashes give a digest, those of 256
+    wider ranges the next, those the group's. No task holds more than a range of a group."""
+    rows = rows.select(*keys, F.sha2(line, 256).alias("_h")).groupBy(*keys, "_h").agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.select(*keys, F.substring("_h", 1, 4).alias("_range"), F.concat_ws(":", "_h", F.col("_n").cast("string")).alias("_d"))
+    for width in (2, 0):
+        rows = rows.groupBy(*keys, "_range").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_d")), ""), 256).alias("_d"))
+        # The range is said with its digest, so that digests stand in the order of ranges.
+        rows = rows.select(*keys, F.substring("_range", 1, width).alias("_range"), F.concat_ws("=", "_range", "_d").alias("_d"))
+    return rows.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_d")), ""), 256).alias("digest"))
 
 
 def lock_digest(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One digest for each group of pinned rows, whatever their order: a hash of the sorted
-    hashes, fed one by one, so that a group is never in one row or in memory."""
-    line = F.sha2(F.concat_ws("\x1f", "id", "version", "file"), 256)
-    hashed = rows.select(*keys, line.alias("_line"))
-    schema = StructType([*hashed.schema.fields[:-1], StructField("digest", StringType())])
-    return hashed.repartition(*keys).sortWithinPartitions(*keys, "_line").mapInArrow(_digested, schema)
+    """One digest for each group of pinned rows, whatever their order."""
+    return set_digest(rows, keys, F.concat_ws("\x1f", "id", "version", "file"))
 
 
 def capability_counts(signals: DataFrame) -> DataFrame:

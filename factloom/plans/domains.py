@@ -225,7 +225,10 @@ def x9_provenance(spark, sf):
     return t.provenance_gaps(v(spark, sf, TRUST))
 
 
-@plan("WITH l AS (SELECT o_orderstatus, sha256(CAST(o_orderkey AS STRING) || chr(31) || o_orderpriority || chr(31) || CAST(o_custkey AS STRING)) AS h FROM orders) SELECT o_orderstatus, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM l GROUP BY o_orderstatus")
+@plan("""WITH l AS (SELECT o_orderstatus, h || ':' || count(*) AS d, substr(h, 1, 4) AS p FROM (SELECT o_orderstatus, sha256(CAST(o_orderkey AS STRING) || chr(31) || o_orderpriority || chr(31) || CAST(o_custkey AS STRING)) AS h FROM orders) GROUP BY o_orderstatus, h),
+  a AS (SELECT o_orderstatus, p || '=' || sha256(string_agg(d, '' ORDER BY d)) AS d, substr(p, 1, 2) AS p FROM l GROUP BY o_orderstatus, l.p),
+  b AS (SELECT o_orderstatus, p || '=' || sha256(string_agg(d, '' ORDER BY d)) AS d FROM a GROUP BY o_orderstatus, a.p)
+  SELECT o_orderstatus, sha256(string_agg(d, '' ORDER BY d)) AS digest FROM b GROUP BY o_orderstatus""")
 def x10_lock_digest(spark, sf):
     rows = v(spark, sf, "SELECT o_orderstatus, CAST(o_orderkey AS STRING) AS id, o_orderpriority AS version, CAST(o_custkey AS STRING) AS file FROM orders")
     return t.lock_digest(rows, ["o_orderstatus"])

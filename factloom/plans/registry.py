@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from factloom.plans import core, domains, history, logs, relational, resources, rules, traces
+from factloom.plans import coherence, core, domains, history, logs, relational, resources, rules, traces
 
 FLAGSHIP = "slice_findings"
-MODULES = (core, relational, rules, history, logs, traces, resources, domains)
+MODULES = (core, relational, rules, coherence, history, logs, traces, resources, domains)
 
 
 def queries() -> dict:

@@ -244,20 +244,6 @@ def f20_recommendations(spark, sf):
     return fi.recommendations(rows).select("action", "target", "text", F.col("n").cast("int").alias("n"), "fix_id")
 
 
-ASSESS = "SELECT o_orderkey AS finding_id, CASE o_orderstatus WHEN 'F' THEN 'fatal' WHEN 'O' THEN 'error' ELSE 'note' END AS severity, (6 + o_custkey % 5) / CAST(10 AS DOUBLE) AS confidence, o_custkey % 2 = 0 AS proof, o_custkey % 7 = 0 AS downgraded FROM orders"
-REQUIRE = "SELECT o_orderkey AS finding_id, 'r' || CAST(o_orderkey % 4 AS STRING) AS region FROM orders WHERE o_orderkey % 3 <> 0"
-
-
-@plan(f"""WITH a AS ({ASSESS}), q AS ({REQUIRE}), x AS (SELECT a.*, q.region, CASE WHEN q.region IS NULL OR q.region = 'r0' THEN '' ELSE q.region END AS blockers, severity IN ('fatal', 'error') AS severe FROM a LEFT JOIN q ON a.finding_id = q.finding_id),
-  y AS (SELECT *, blockers <> '' AS blocked, severe AND (NOT proof OR region IS NULL OR confidence < 0.9) AS ungrounded FROM x)
-  SELECT finding_id, CASE WHEN (blocked OR ungrounded) AND severe THEN 'warn' ELSE severity END AS severity, CASE WHEN blocked THEN least(confidence, 0.65) ELSE confidence END AS confidence,
-  CASE WHEN blocked AND NOT downgraded THEN 'undecidable' WHEN proof AND confidence >= 0.9 THEN 'confirmed' WHEN confidence >= 0.75 THEN 'likely' ELSE 'possible' END AS certainty,
-  blockers, (blocked OR ungrounded) AND severe AS why_not_error FROM y""")
-def f21_assessment(spark, sf):
-    cover = spark.createDataFrame([("r0", "complete"), ("r1", "partial"), ("r2", "unavailable")], "region string, state string")
-    return fi.assessed(view(spark, sf, ASSESS), view(spark, sf, REQUIRE), cover)
-
-
 @plan("""WITH s AS (SELECT o_custkey, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'complete' ELSE (CASE WHEN o_orderkey % 2 = 0 THEN 'partial' ELSE 'unavailable' END) END AS state FROM orders)
   SELECT o_custkey, CASE WHEN bool_or(state = 'unavailable') THEN 'unavailable' WHEN bool_or(state = 'partial') THEN 'partial' ELSE 'complete' END AS state FROM s GROUP BY o_custkey""")
 def f22_coverage(spark, sf):
@@ -265,27 +251,6 @@ def f22_coverage(spark, sf):
     return fi.combined_coverage(s, "o_custkey")
 
 
-CONCLUDE = "SELECT o_orderkey AS finding_id, CASE o_orderstatus WHEN 'F' THEN 'class-absent' ELSE 'unused' END AS conclusion, CAST(o_custkey AS STRING) AS entity FROM orders"
-AGAINST = "SELECT CASE WHEN user_id % 2 = 0 THEN 'class-absent' ELSE 'unused' END AS conclusion, CAST(user_id AS STRING) AS entity, event_id AS fact_id FROM events WHERE event_type = 'purchase'"
-
-
-@plan(f"SELECT c.finding_id, c.conclusion, c.entity, CAST(count(DISTINCT a.fact_id) AS INT) AS n, count(a.fact_id) > 0 AS invalidated FROM ({CONCLUDE}) c LEFT JOIN ({AGAINST}) a ON c.conclusion = a.conclusion AND c.entity = a.entity GROUP BY 1, 2, 3")
-def f23_reconciliation(spark, sf):
-    out = fi.reconciled(view(spark, sf, CONCLUDE), view(spark, sf, AGAINST))
-    return out.select("finding_id", "conclusion", "entity", F.size("against").alias("n"), "invalidated")
-
-
-@plan("""WITH e AS (SELECT o_custkey, string_agg(DISTINCT CAST(length(o_orderstatus) AS STRING) || ':' || o_orderstatus || CAST(length(o_orderpriority) AS STRING) || ':' || o_orderpriority, '|'
-    ORDER BY CAST(length(o_orderstatus) AS STRING) || ':' || o_orderstatus || CAST(length(o_orderpriority) AS STRING) || ':' || o_orderpriority) AS s,
-    string_agg(DISTINCT CAST(length(CAST(o_orderkey AS STRING)) AS STRING) || ':' || CAST(o_orderkey AS STRING), '|' ORDER BY CAST(length(CAST(o_orderkey AS STRING)) AS STRING) || ':' || CAST(o_orderkey AS STRING)) AS o FROM orders GROUP BY o_custkey),
-  i AS (SELECT o_custkey, sha256('late' || chr(30) || c_mktsegment || chr(30) || s) AS semantic_id, o FROM e JOIN customer ON o_custkey = c_custkey)
-  SELECT o_custkey AS finding_id, semantic_id, sha256(semantic_id || chr(30) || o) AS occurrence_id FROM i""")
-def f24_identity(spark, sf):
-    o = view(spark, sf, "SELECT o_custkey AS finding_id, o_orderstatus AS kind, o_orderpriority AS subject, CAST(o_orderkey AS STRING) AS source FROM orders")
-    c = view(spark, sf, "SELECT c_custkey AS finding_id, c_mktsegment FROM customer").join(o.select("finding_id"), "finding_id", "left_semi")
-    return fi.identities(c.select("finding_id", F.lit("late").alias("conclusion"), F.array("c_mktsegment").alias("affects")), o)
-
-
 SHOWN = f"SELECT fact_id, kind, subject, CASE WHEN o.hot_path THEN path END AS path, writers, class, detail FROM ({FACTS}) o"
 
 
