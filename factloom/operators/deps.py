@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.query import sample_of
+from factloom.operators.query import bounded_samples
 from factloom.operators.versions import shape, with_in_range
 
 
@@ -97,7 +97,7 @@ def implicit_edges(refs: DataFrame, owners: DataFrame) -> DataFrame:
 def implicit_missing(states: DataFrame, refs: DataFrame, shown: int = 3) -> DataFrame:
     """Missing required namespaces, each with its first users and how many more."""
     bad = states.where("state = 'required-missing'").select("namespace")
-    return refs.join(bad, "namespace").groupBy("namespace").agg(sample_of(F.col("writer"), shown).alias("writers"))
+    return bounded_samples(refs.join(bad, "namespace"), ["namespace"], "writer", shown, "writers").drop("n_values")
 
 
 def dangling(refs: DataFrame, definitions: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -112,7 +112,8 @@ def dangling_summary(rows: DataFrame, owners: DataFrame, shown: int = 6) -> Data
     """By writer, within its own namespaces or across."""
     own = owners.select("writer", "namespace").distinct().withColumn("_o", F.lit(True))
     side = F.when(F.col("_o"), "internal").otherwise("cross")
-    return rows.join(own, ["writer", "namespace"], "left").groupBy("writer", side.alias("side")).agg(F.countDistinct("path").alias("n"), sample_of(F.col("path"), shown).alias("sample"))
+    sided = rows.join(own, ["writer", "namespace"], "left").select("writer", side.alias("side"), "path")
+    return bounded_samples(sided, ["writer", "side"], "path", shown).withColumnRenamed("n_values", "n")
 
 
 def environment(votes: DataFrame) -> DataFrame:

@@ -76,6 +76,8 @@ def kind_view(facts: DataFrame, attrs: DataFrame, kind: str, keys: dict[str, str
     if not aggs:
         return own
     wanted = attrs.where(F.col("key").isin(list(keys)))
+    if "kind" in attrs.columns:  # laid out by kind: other kinds' files are not read
+        wanted = wanted.where(F.col("kind") == kind).drop("kind")
     return own.join(wanted, ["run_id", "fact_id"], "left").groupBy(*BASE).agg(*aggs)
 
 
@@ -127,3 +129,18 @@ def first_facts(facts: DataFrame, position: str) -> DataFrame:
 
 def contract_of(spark, rows: list[tuple[str, str, str]]) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, key string, type string")
+
+
+def write_facts(facts: DataFrame, attrs: DataFrame, name: str, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Writes both tables, as <name>_facts and <name>_attributes, by kind and, within a kind, in buckets
+    of (run_id, fact_id), and returns them. Attributes carry their fact's kind. A scan of some kinds
+    reads their folders alone; facts meet their attributes, and attributes are gathered by fact,
+    where they lie, without a shuffle."""
+    keys = ["run_id", "fact_id"]
+    out = []
+    for df, part in ((facts, "facts"), (attrs.join(facts.select(*keys, "kind").distinct(), keys), "attributes")):
+        table = f"{name}_{part}"
+        writer = df.repartition(buckets, *keys).write.mode("overwrite").format("parquet").partitionBy("kind")
+        writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+        out.append(df.sparkSession.table(table).select(df.columns))
+    return out[0], out[1]

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.model import severity_name, severity_rank
+from factloom.model import col_or_null, severity_name, severity_rank
+from factloom.operators.query import bounded_samples
 
 
 def _rank(name: str = "severity") -> Column:
@@ -79,11 +80,9 @@ def writer_members(findings: DataFrame, least: int = 3) -> DataFrame:
 
 def families(findings: DataFrame, shown: int = 3) -> DataFrame:
     """Findings by id without its instance tail: worst severity, count, sample."""
-    fam = F.regexp_extract("finding_id", r"^(.*?)(?::[^:]*)?$", 1)
-    return findings.groupBy(fam.alias("family")).agg(
-        severity_name(F.max(_rank())).alias("worst"), F.count(F.lit(1)).alias("n"),
-        F.array_join(F.slice(F.array_sort(F.collect_set("finding_id")), 1, shown), ", ").alias("sample"),
-    )
+    rows = findings.withColumn("family", F.regexp_extract("finding_id", r"^(.*?)(?::[^:]*)?$", 1))
+    worst = rows.groupBy("family").agg(severity_name(F.max(_rank())).alias("worst"), F.count(F.lit(1)).alias("n"))
+    return worst.join(bounded_samples(rows, ["family"], "finding_id", shown).drop("n_values"), "family")
 
 
 def fix_id() -> Column:
@@ -109,14 +108,13 @@ def combined_coverage(states: DataFrame, key: str) -> DataFrame:
 
 
 def visible(findings: DataFrame) -> DataFrame:
-    """Safe merges are explained only and root metadata is for overlays, both info if below warn;
-    detail notes are verbose."""
-    has = lambda t: F.array_contains("tags", t)
-    low = _rank() < 2
-    view = F.when(has("safe-merge"), "explain-only").when(has("root-metadata"), "overlay-only").when(has("detail") & (F.col("severity") == "note"), "verbose").otherwise("default")
-    return findings.withColumn("visibility", view).withColumn(
-        "severity", F.when((has("safe-merge") | has("root-metadata")) & low, "info").otherwise(F.col("severity"))
-    )
+    """Proven merges are explained only and root metadata is for overlays, both info if below warn;
+    sites of mixins are verbose if at most a note. Others keep the visibility that they have."""
+    has = lambda *t: F.arrays_overlap("tags", F.array(*map(F.lit, t)))
+    own = F.coalesce("visibility", F.lit("default")) if "visibility" in findings.columns else F.lit("default")
+    merge, root = has("safe-merge", "safe-crdt-merge"), has("root-metadata")
+    view = F.when(merge, "explain-only").when(root, "overlay-only").when(has("mixin-detail") & (_rank() < 2), "verbose").otherwise(own)
+    return findings.withColumns({"visibility": view, "severity": F.when((merge | root) & (_rank() < 2), "info").otherwise(F.col("severity"))})
 
 
 def severity_totals(findings: DataFrame) -> DataFrame:
@@ -129,16 +127,21 @@ def explained(findings: DataFrame, evidence: DataFrame, facts: DataFrame, findin
     return one.join(evidence, "finding_id").join(facts, "fact_id")
 
 
+#: Of a cited fact, what is shown as it is.
+SALIENT = ("diff_kind", "detail", "reason", "occurrence_id", "semantic_fingerprint")
+
+
 def evidence_summary(evidence: DataFrame, facts: DataFrame) -> DataFrame:
-    """(finding_id, fact_id, kind, path, writers, classification, detail): what is worth showing of
+    """(finding_id, fact_id, kind, path, writers, classification, SALIENT): what is worth showing of
     each cited fact. The path is the fact's own, else its subject; who wrote it is its list of
-    writers, else, if it has a path of its own, its subject. facts: (fact_id, kind, subject, path,
-    writers, class, detail)."""
+    writers, else of archives, else, if it has a path of its own, its subject. facts: (fact_id, kind,
+    subject, path, writers, class), and archives and SALIENT if they have them."""
     subject = F.nullif(F.col("subject"), F.lit(""))
-    writers = F.coalesce(F.filter(F.transform(F.split("writers", ","), lambda w: F.trim(w)), lambda w: w != ""), F.array().cast("array<string>"))
+    named = F.coalesce("writers", col_or_null(facts, "archives"))
+    writers = F.coalesce(F.filter(F.transform(F.split(named, ","), lambda w: F.trim(w)), lambda w: w != ""), F.array().cast("array<string>"))
     alone = (F.size(writers) == 0) & F.col("path").isNotNull() & subject.isNotNull()
     shown = facts.select(
         "fact_id", "kind", F.coalesce("path", subject).alias("path"), F.when(alone, F.array(subject)).otherwise(writers).alias("writers"),
-        F.col("class").alias("classification"), "detail",
+        F.col("class").alias("classification"), *[col_or_null(facts, c).alias(c) for c in SALIENT],
     )
     return evidence.select("finding_id", "fact_id").distinct().join(shown, "fact_id")

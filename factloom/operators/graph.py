@@ -71,24 +71,93 @@ def shortest_paths(edges: DataFrame, start: str, max_depth: int | None = None) -
     return seen.select("node", "depth", F.array_join("path", " > ").alias("path"))
 
 
-def _core(edges: DataFrame) -> DataFrame:
-    """What is left when nodes that nothing enters, or nothing leaves, are taken off until none is."""
+def _trimmed(e: DataFrame) -> DataFrame:
+    """Edges without those from nodes that nothing enters, or into nodes that nothing leaves."""
+    entered, left = e.select(F.col("t").alias("f")).distinct(), e.select(F.col("f").alias("t")).distinct()
+    return e.join(entered, "f", "left_semi").join(left, "t", "left_semi")
+
+
+def _contracted(e: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
+    """(edges, arrivals) after nodes with a single way out went into the node that it leads to: of
+    such nodes in a row those whose hash is larger than both neighbours', a third of a long row.
+    arrivals: (u, v, w) for each edge u to v where v went into w; the edge is now u to w."""
+    h = lambda c: F.xxhash64(c, F.lit(salt))
+    single = e.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("w")).where("n = 1").select(F.col("f").alias("v"), "w")
+    before = single.groupBy(F.col("w").alias("v")).agg(F.max(h("v")).alias("_b"))
+    move = single.where(h("v") > h("w")).join(before, "v", "left").where(F.col("_b").isNull() | (h("v") > F.col("_b"))).select("v", "w")
+    met = checkpointed(e.join(move.withColumnRenamed("v", "t"), "t", "left"))
+    arrivals = met.where("w is not null").select(F.col("f").alias("u"), F.col("t").alias("v"), "w")
+    kept = met.join(arrivals.select(F.col("v").alias("f")).distinct(), "f", "left_anti")
+    return kept.select("f", F.coalesce("w", "t").alias("t")).where("f <> t").distinct(), arrivals
+
+
+def _coloured(e: DataFrame) -> DataFrame:
+    """(node, component) of nodes whose component has an edge within it. Each node takes the greatest
+    label of what reaches it; a component of a label is what reaches back to the label's own node;
+    found nodes go, edges between labels too, and the rest is labelled anew."""
+    found = None
+    while not e.isEmpty():
+        label = checkpointed(e.select(F.explode(F.array("f", "t")).alias("node")).distinct().withColumn("label", F.col("node")))
+        while True:
+            better = e.join(label.withColumnRenamed("node", "f"), "f").groupBy(F.col("t").alias("node")).agg(F.max("label").alias("_l"))
+            new = checkpointed(label.join(better, "node", "left").select("node", F.greatest("label", "_l").alias("label"), (F.col("_l") > F.col("label")).alias("moved")))
+            label = new.select("node", "label")
+            if new.where("moved").isEmpty():
+                break
+        within = e.join(label.select(F.col("node").alias("f"), F.col("label").alias("a")), "f").join(label.select(F.col("node").alias("t"), F.col("label").alias("b")), "t")
+        within = checkpointed(within.where("a = b").select("f", "t", F.col("a").alias("label")))
+        back = front = checkpointed(label.where("node = label").select("node", "label"))
+        while not front.isEmpty():
+            more = front.withColumnRenamed("node", "t").join(within, ["t", "label"]).select(F.col("f").alias("node"), "label").distinct()
+            front = checkpointed(more.join(back, ["node", "label"], "left_anti"))
+            back = back.unionByName(front)
+        one = back.select("node", F.col("label").alias("component"))
+        found = one if found is None else found.unionByName(one)
+        rest = within.join(back.select(F.col("node").alias("f")), "f", "left_anti").join(back.select(F.col("node").alias("t")), "t", "left_anti")
+        e = checkpointed(_trimmed(rest.select("f", "t")))
+    return found if found is not None else e.select(F.col("f").alias("node"), F.col("t").alias("component"))
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component): every node on a cycle and the smallest node of its strongly connected
+    component. Nodes that can be on no cycle are trimmed, rows of nodes with one way out, or one way
+    in, are contracted by a third a round, so a long ring takes rounds as its length's logarithm, and
+    what is left is coloured. Contracted nodes then come back, last ones first: such a node belongs
+    to the component of the one it went into if an edge comes to it from there. Each round stores
+    edges, never pairs of what reaches what."""
     e = edges.select(F.col("f").cast("string"), F.col("t").cast("string")).where("f is not null and t is not null").distinct()
-    e, before = checkpointed(e), None
-    while (n := e.count()) != before:
-        before = n
-        entered, left = e.select(F.col("t").alias("f")).distinct(), e.select(F.col("f").alias("t")).distinct()
-        e = checkpointed(e.join(entered, "f", "left_semi").join(left, "t", "left_semi"))
-    return e
+    e = checkpointed(e)
+    own = e.where("f = t").select(F.col("f").alias("node"))
+    e = checkpointed(_trimmed(e.where("f <> t")))
+    log, salt, idle, n = [], 0, 0, e.count()
+    while n and idle < 4:
+        flip = salt % 2 == 1  # every other round contracts along the ways in
+        along = e.select(F.col("t").alias("f"), F.col("f").alias("t")) if flip else e
+        along, arrivals = _contracted(along, salt)
+        e = checkpointed(_trimmed(along.select(F.col("t").alias("f"), F.col("f").alias("t")) if flip else along))
+        log.append(arrivals)
+        before, n = n, e.count()
+        idle = idle + 1 if n > 0.98 * before else 0
+        salt += 1
+    known = checkpointed(_coloured(e))
+    for arrivals in reversed(log):
+        # What isn't known is a component by itself.
+        of = lambda c, name: known.select(F.col("node").alias(c), F.col("component").alias(name))
+        met = arrivals.join(of("u", "_u"), "u", "left").join(of("w", "_w"), "w", "left")
+        joins = met.where(F.coalesce("_u", "u") == F.coalesce("_w", "w")).groupBy("v").agg(F.min(F.coalesce("_w", "w")).alias("component"), F.min("w").alias("w"))
+        joins = checkpointed(joins)
+        first = joins.select(F.col("w").alias("node"), "component").distinct().join(known.select("node"), "node", "left_anti")
+        known = checkpointed(known.unionByName(joins.select(F.col("v").alias("node"), "component")).unionByName(first))
+    alone = own.join(known.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
+    every = known.unionByName(alone)
+    least = every.groupBy("component").agg(F.min("node").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    loops = own.withColumn("_loop", F.lit(True))
+    return every.join(least, "component").join(loops, "node", "left").where("_n > 1 or _loop").select("node", F.col("_least").alias("component"))
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
     """(node, cycle): every node that reaches itself, and the smallest node of its cycles."""
-    c = closure(_core(edges), "f", "t")
-    own = c.where("f = t").select(F.col("f").alias("node"))
-    back = c.select(F.col("t").alias("f"), F.col("f").alias("t"))
-    both = c.join(back, ["f", "t"])
-    return own.join(both.withColumnRenamed("f", "node"), "node").groupBy("node").agg(F.min("t").alias("cycle"))
+    return strong_components(edges).withColumnRenamed("component", "cycle")
 
 
 def mutual(edges: DataFrame) -> DataFrame:

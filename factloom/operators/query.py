@@ -191,9 +191,19 @@ def consensus(votes: DataFrame, keys: list[str], choice: str, least: int = 2) ->
     return top.where(F.col("_n") == 1).where(F.col("votes") >= least).drop("_n")
 
 
-def sample_of(c: Column, n: int, more: str = "(+%d more)") -> Column:
-    """The first n of a set, and how many it has beyond."""
-    every = F.sort_array(F.collect_set(c))
-    shown = F.array_join(F.slice(every, 1, n), ", ")
+def bounded_samples(rows: DataFrame, keys: list[str], column: str, n: int, name: str = "sample", more: str = "(+%d more)") -> DataFrame:
+    """(keys, name, n_values): the first n of each group's different values, joined, and how many it
+    has beyond; nulls are no values, and groups without one have no row. Of a group no more than n
+    values leave a task, and the others are counted where they lie."""
+    values = rows.select(*keys, F.col(column).alias("_v")).where("_v is not null").distinct()
+    first = W.partitionBy(*keys).orderBy("_v")
+    top = values.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= n)
+    shown = top.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("_v")), ", ").alias("_shown"))
+    counts = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_values")).withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & shown[k].eqNullSafe(counts[f"_{k}"])
     head, tail = more.split("%d")
-    return F.when(F.size(every) > n, F.concat(shown, F.lit(" " + head), (F.size(every) - n).cast("string"), F.lit(tail))).otherwise(shown)
+    beyond = F.concat(F.col("_shown"), F.lit(" " + head), (F.col("n_values") - n).cast("string"), F.lit(tail))
+    text = F.when(F.col("n_values") > n, beyond).otherwise(F.col("_shown"))
+    return shown.join(counts, same).select(*keys, text.alias(name), "n_values")

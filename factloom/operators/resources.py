@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.operators.query import sample_of
+from factloom.operators.query import bounded_samples
 
 
 def collisions(writes: DataFrame) -> DataFrame:
@@ -47,13 +47,36 @@ def domain(path: Column) -> Column:
     return out.otherwise("generic-json")
 
 
+#: What the folder after the namespace holds, below data and below assets.
+DATA_REGISTRIES = {
+    "tags": "tag", "recipe": "recipe", "recipes": "recipe", "loot_table": "loot-table", "loot_tables": "loot-table", "advancement": "advancement", "advancements": "advancement",
+    "predicate": "predicate", "predicates": "predicate", "item_modifier": "item-modifier", "item_modifiers": "item-modifier",
+}
+ASSET_REGISTRIES = {"blockstate": "blockstate", "blockstates": "blockstate", "model": "model", "models": "model", "atlas": "atlas", "atlases": "atlas"}
+
+
+def semantic_domain(path: Column) -> Column:
+    """What kind of document a path is, by its extension and the folder right after its namespace: an
+    advancement about recipes is an advancement. The semantic diff goes by it, the collision class
+    by domain()."""
+    ends, registry = path.endswith, F.coalesce(F.get(F.split(path, "/"), F.lit(2)), F.lit(""))
+    structure = path.startswith("data/") & (path.contains("/structures/") | path.contains("/structure/"))
+    out = F.when((path == ROOT) | ends("/" + ROOT), "pack-mcmeta").when(ends(".mcfunction"), "mcfunction")
+    out = out.when(path.contains("/lang/") & (ends(".json") | ends(".lang")), "lang").when(ends(".lang"), "properties")
+    out = out.when(ends(".nbt") | ends(".snbt"), F.when(structure, "structure").otherwise("binary-asset")).when(~ends(".json"), "binary-asset")
+    for root, names in (("data/", DATA_REGISTRIES), ("assets/", ASSET_REGISTRIES)):
+        for folder, kind in names.items():
+            out = out.when(path.startswith(root) & (registry == folder), kind)
+    return out.otherwise("generic-json")
+
+
 def key_union(entries: DataFrame, conflict: str, shown: int = 6) -> DataFrame:
     """entries: (path, writer, object boolean, key, value), one for each key, or one with a null
     key for a document that is no object. Disjoint or equal keys are safe; the first conflicting
     keys are listed."""
     kinds = entries.groupBy("path").agg(F.bool_and("object").alias("_o"))
     per = entries.where("key is not null").groupBy("path", "key").agg(F.countDistinct("value").alias("_v"))
-    bad = per.where("_v > 1").groupBy("path").agg(sample_of(F.col("key"), shown).alias("conflicts"), F.count(F.lit(1)).alias("n_conflicts"))
+    bad = bounded_samples(per.where("_v > 1"), ["path"], "key", shown, "conflicts").withColumnRenamed("n_values", "n_conflicts")
     cls = F.when(~F.col("_o"), "json-merge-candidate").when(F.col("n_conflicts") > 0, conflict).otherwise("safe-json-object-merge")
     return kinds.join(bad, "path", "left").select("path", cls.alias("class"), F.coalesce("n_conflicts", F.lit(0)).alias("n_conflicts"), "conflicts")
 

@@ -30,7 +30,8 @@ class Rule:
     """kind is fact, distinct, join, aggregate or correlation. where is SQL text over the fact's
     columns (join and correlation: aliases a and b). {name} in title and finding is a column;
     finding is the id of what is found, by default the rule with its facts, so that equal findings
-    of several facts or runs meet. related is a kind whose facts of the finding's path say more."""
+    of several facts or runs meet. related is a kind whose facts of the finding's path say more.
+    affects are templates of the components concerned, by default the fact's subject."""
 
     id: str
     kind: str
@@ -47,6 +48,8 @@ class Rule:
     having: str = "true"
     tags: tuple[str, ...] = field(default_factory=tuple)
     version: int = 3
+    affects: tuple[str, ...] = ()
+    visibility: str = "default"
 
 
 def attribute(df: DataFrame, name: str) -> Column:
@@ -103,8 +106,8 @@ def _finding(df: DataFrame, rule: Rule, key: Column, evidence: Column, affects:
         F.lit(rule.id).alias("rule_id"), F.lit(rule.severity).alias("severity"), F.lit(rule.category).alias("category"),
         rendered(df, rule.title or rule.id).alias("title"),
         default_confidence(F.lit(rule.category)).alias("confidence"),
-        evidence.alias("evidence"), resolved(affects).alias("affects"),
-        F.array(*map(F.lit, rule.tags)).cast("array<string>").alias("tags"), F.lit(rule.version).alias("rule_version"),
+        evidence.alias("evidence"), resolved(F.array(*[rendered(df, a) for a in rule.affects]) if rule.affects else affects).alias("affects"),
+        F.array(*map(F.lit, rule.tags)).cast("array<string>").alias("tags"), F.lit(rule.version).alias("rule_version"), F.lit(rule.visibility).alias("visibility"),
     )
 
 
@@ -157,15 +160,16 @@ def evaluate_facts(rules: list[Rule], facts: DataFrame) -> DataFrame:
             F.struct(
                 (rendered(own, r.finding) if r.finding else F.concat_ws(":", F.lit(r.id), "fact_id")).alias("finding_id"), F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"),
                 rendered(own, r.title or r.id).alias("title"), default_confidence(F.lit(r.category)).alias("confidence"),
-                F.array(*map(F.lit, r.tags)).cast("array<string>").alias("tags"), F.lit(r.version).alias("rule_version"),
+                F.array(*map(F.lit, r.tags)).cast("array<string>").alias("tags"), F.lit(r.version).alias("rule_version"), F.lit(r.visibility).alias("visibility"),
+                resolved(F.array(*[rendered(own, a) for a in r.affects] or ["subject"])).alias("affects"),
             ),
         )
         for r in rules
     ]
-    hit = own.select("fact_id", "subject", F.explode(F.array_compact(F.array(*tried))).alias("r"))
+    hit = own.select("fact_id", F.explode(F.array_compact(F.array(*tried))).alias("r"))
     return hit.select(
         "r.finding_id", "r.rule_id", "r.severity", "r.category", "r.title", "r.confidence",
-        F.array("fact_id").alias("evidence"), resolved(F.array("subject")).alias("affects"), "r.tags", "r.rule_version",
+        F.array("fact_id").alias("evidence"), "r.affects", "r.tags", "r.rule_version", "r.visibility",
     )
 
 
@@ -213,29 +217,31 @@ _LOADERS = "('fabric', 'quilt', 'forge', 'neoforge')"
 _CAPABLE = ("uses_process_spawn", "uses_unsafe", "uses_dynamic_class_definition", "uses_script_engine")
 
 
-def _resource(id_: str, severity: str, where: str, related: str = "") -> Rule:
-    return Rule(id_, "fact", (_COLLISION,), severity, where, "{subject} is written by several", "resource", finding=_CONFLICT, related=related)
+def _resource(id_: str, severity: str, where: str, related: str = "", tags: tuple[str, ...] = ()) -> Rule:
+    """A rule of one class of collision; the class is a tag."""
+    tags = ("resource", *(tags or (where.split("'")[1],)))
+    return Rule(id_, "fact", (_COLLISION,), severity, where, "{subject} is written by several", "resource", finding=_CONFLICT, related=related, tags=tags)
 
 
-#: Each core rule's id, what it reads, when it holds, how bad that is, its category
-#: and the id of what it finds.
+#: Each core rule's id, what it reads, when it holds, how bad that is, its category,
+#: the id of what it finds, whom that concerns, its tags and how far it is shown.
 CORE = [
-    Rule("duplicate-id", "distinct", ("mod", "plugin"), "error", category="metadata", column="file", finding="duplicate-id:{group}", title="{group} is shipped by {values}"),
+    Rule("duplicate-id", "distinct", ("mod", "plugin"), "error", category="metadata", column="file", finding="duplicate-id:{group}", title="{group} is shipped by {values}", tags=("metadata", "duplicate")),
     Rule("known-incompatible-mods", "join", ("mod_relationship", "mod"), "error",
-         "a.related = b.subject and a.type = 'known_incompatible' and a.subject < a.related and a.archive <> b.file", category="metadata", finding="known-incompatible:{a.subject}->{a.related}"),
+         "a.related = b.subject and a.type = 'known_incompatible' and a.subject < a.related and a.archive <> b.file", category="metadata", finding="known-incompatible:{a.subject}->{a.related}", tags=("incompatible", "relationship"), affects=("{a.subject}", "{a.related}")),
     Rule("loader-mismatch", "join", ("mod", "environment"), "error",
          f"a.subject is not null and (a.identity_certainty is null or a.identity_certainty <> 'undecidable') and a.loader in {_LOADERS} and b.loader in {_LOADERS} and a.loader <> b.loader",
-         category="loader", finding="loader-mismatch:{a.subject}"),
-    Rule("side-mismatch-client-on-server", "join", ("mod_side", "environment"), "warn", "a.side = 'client' and b.side = 'server'", category="loader", finding="side-mismatch:{a.subject}"),
-    Rule("side-mismatch-server-on-client", "join", ("mod_side", "environment"), "note", "a.side = 'server' and b.side = 'client'", category="loader", finding="side-mismatch:{a.subject}"),
-    _resource("resource-conflict-safe-crdt-merge", "note", "class = 'safe-crdt-merge'", "resource_writer"),
+         category="loader", finding="loader-mismatch:{a.subject}", tags=("loader", "mismatch")),
+    Rule("side-mismatch-client-on-server", "join", ("mod_side", "environment"), "warn", "a.side = 'client' and b.side = 'server'", category="loader", finding="side-mismatch:{a.subject}", tags=("side",)),
+    Rule("side-mismatch-server-on-client", "join", ("mod_side", "environment"), "note", "a.side = 'server' and b.side = 'client'", category="loader", finding="side-mismatch:{a.subject}", tags=("side",)),
+    _resource("resource-conflict-safe-crdt-merge", "note", "class = 'safe-crdt-merge'", "resource_writer", ("safe-crdt-merge", "safe-merge")),
     _resource("resource-conflict-json-merge", "warn", "class = 'json-merge-candidate'", "resource_writer"),
     _resource("resource-conflict-unsafe-replace", "warn", "class = 'unsafe-replace'", "resource_writer"),
     _resource("resource-conflict-tag-replace", "warn", "class = 'tag-replace-order-dependent'", "resource_writer"),
     _resource("resource-conflict-tag-mixed-required", "note", "class = 'tag-mixed-required'", "resource_writer"),
     _resource("resource-conflict-tag-invalid", "warn", "class = 'tag-invalid'", "resource_writer"),
     _resource("resource-conflict-json-override", "warn", "class = 'json-override'", "resource_writer"),
-    _resource("resource-conflict-safe-json-object-merge", "note", "class = 'safe-json-object-merge'"),
+    _resource("resource-conflict-safe-json-object-merge", "note", "class = 'safe-json-object-merge'", tags=("safe-json-object-merge", "safe-merge")),
     _resource("resource-conflict-root-metadata", "info", "class = 'root-metadata'"),
     _resource("resource-conflict-order-dependent-atlas", "warn", "class = 'order-dependent-atlas'"),
     _resource("resource-conflict-order-dependent-sound-def", "warn", "class = 'order-dependent-sound-def'"),
@@ -243,21 +249,21 @@ CORE = [
     _resource("resource-conflict-binary-override-functional", "warn", "class = 'binary-override' and domain = 'shader'"),
     _resource("resource-conflict-binary-override-font", "warn", "class = 'binary-override' and domain = 'font'"),
     _resource("resource-conflict-binary-override-cosmetic", "note", "class = 'binary-override'"),
-    _resource("resource-conflict-classification-unavailable", "warn", "class = 'classification-unavailable'"),
-    Rule("tag-replace-platform", "fact", ("security_suspect_modification",), "warn", "detail = 'platform_tag_replace'", category="resource", finding="tag-replace-platform:{subject}"),
-    Rule("recipe-disabled-platform", "fact", ("security_suspect_modification",), "note", "detail = 'platform_recipe_disabled'", category="resource", finding="recipe-disabled-platform:{subject}"),
-    Rule("mixin-overlap-hot", "fact", ("mixin_overlap",), "note", "hot_path", category="mixin", finding="mixin-overlap:{subject}"),
-    Rule("mixin-overlap", "fact", ("mixin_overlap",), "note", "not hot_path", category="mixin", finding="mixin-overlap:{subject}"),
-    Rule("mixin-overwrite-hot", "fact", ("high_risk_overwrite",), "warn", "hot_path", category="mixin", finding="mixin-overwrite:{subject}->{attr:target}"),
-    Rule("mixin-overwrite", "fact", ("high_risk_overwrite",), "warn", "not hot_path", category="mixin", finding="mixin-overwrite:{subject}->{attr:target}"),
-    Rule("unknown-source", "fact", ("unknown_source",), "warn", category="security", finding="unknown-source:{subject}"),
-    Rule("unsigned-jar", "fact", ("signature_status",), "note", "status = 'unsigned'", category="security", finding="artifact-signature-status:unsigned:{subject}"),
-    Rule("scan-incomplete", "fact", ("scan_truncated",), "warn", category="runtime", finding="scan-incomplete:{attr:layer}:{subject}"),
-    Rule("invalid-active-metadata", "fact", ("invalid_metadata",), "error", "active_for_instance", category="metadata", finding="invalid-active-metadata:{subject}"),
-    Rule("corrupt-jar", "fact", ("unparseable_archive",), "warn", "failure_class = 'corrupt'", category="metadata", finding="corrupt-jar:{subject}"),
+    _resource("resource-conflict-classification-unavailable", "warn", "class = 'classification-unavailable'", tags=("collision-observed", "classification-unavailable", "incomplete")),
+    Rule("tag-replace-platform", "fact", ("security_suspect_modification",), "warn", "detail = 'platform_tag_replace'", category="resource", finding="tag-replace-platform:{subject}", tags=("resource", "tag", "replace", "semantic-override")),
+    Rule("recipe-disabled-platform", "fact", ("security_suspect_modification",), "note", "detail = 'platform_recipe_disabled'", category="resource", finding="recipe-disabled-platform:{subject}", tags=("resource", "recipe", "disabled")),
+    Rule("mixin-overlap-hot", "fact", ("mixin_overlap",), "note", "hot_path", category="mixin", finding="mixin-overlap:{subject}", tags=("mixin", "overlap"), visibility="verbose"),
+    Rule("mixin-overlap", "fact", ("mixin_overlap",), "note", "not hot_path", category="mixin", finding="mixin-overlap:{subject}", tags=("mixin", "overlap"), visibility="verbose"),
+    Rule("mixin-overwrite-hot", "fact", ("high_risk_overwrite",), "warn", "hot_path", category="mixin", finding="mixin-overwrite:{subject}->{attr:target}", tags=("mixin", "overwrite")),
+    Rule("mixin-overwrite", "fact", ("high_risk_overwrite",), "warn", "not hot_path", category="mixin", finding="mixin-overwrite:{subject}->{attr:target}", tags=("mixin", "overwrite")),
+    Rule("unknown-source", "fact", ("unknown_source",), "warn", category="security", finding="unknown-source:{subject}", tags=("sbom", "provenance")),
+    Rule("unsigned-jar", "fact", ("signature_status",), "note", "status = 'unsigned'", category="security", finding="artifact-signature-status:unsigned:{subject}", tags=("sbom", "signature"), visibility="explain-only"),
+    Rule("scan-incomplete", "fact", ("scan_truncated",), "warn", category="runtime", finding="scan-incomplete:{attr:layer}:{subject}", tags=("scan", "incomplete")),
+    Rule("invalid-active-metadata", "fact", ("invalid_metadata",), "error", "active_for_instance", category="metadata", finding="invalid-active-metadata:{subject}", tags=("metadata", "descriptor")),
+    Rule("corrupt-jar", "fact", ("unparseable_archive",), "warn", "failure_class = 'corrupt'", category="metadata", finding="corrupt-jar:{subject}", tags=("metadata", "corrupt")),
     Rule("sbom-security-correlation", "correlation", ("sbom", *_CAPABLE), "warn", "a.subject = b.archive and a.trust_score < 60", "{a_subject} can {capabilities}", "security",
-         finding="low-trust-capability:{a.subject}"),
-    Rule("forge-coremod-present", "fact", ("coremod",), "note", category="mixin", finding="coremod:{subject}:{attr:name}"),
+         finding="low-trust-capability:{a.subject}", tags=("sbom", "security", "correlation")),
+    Rule("forge-coremod-present", "fact", ("coremod",), "note", category="mixin", finding="coremod:{subject}:{attr:name}", tags=("coremod", "forge", "bytecode")),
 ]
 
 

@@ -3,6 +3,8 @@ attributes are value and the number in props."""
 
 from __future__ import annotations
 
+import uuid
+
 
 from pyspark.sql import functions as F
 
@@ -74,6 +76,17 @@ def a3_kind_view(spark, sf):
     return events_view(spark, sf).select("run_id", "fact_id", "subject", "value", "k")
 
 
+@plan(f"WITH e AS ({EVENTS}) SELECT fact_id, CAST(-1 AS BIGINT) AS surplus, CAST(NULL AS DOUBLE) AS value FROM e WHERE fact_id % 50 = 3 AND value IS NOT NULL UNION ALL SELECT fact_id, 1, value FROM e WHERE fact_id % 50 = 3 AND value IS NOT NULL")
+def a4_seeded_loss(spark, sf):
+    """A store that loses some facts' values: each shows as a row too many and one too few."""
+    before = view(spark, sf, EVENTS).select("run_id", "fact_id", "kind", "value", "k")
+    facts, attrs = fact_tables(spark, sf)
+    kept = attrs.where("not (fact_id % 50 = 3 and key = 'value')")
+    a = F.col("attributes")
+    after = op.reassemble(facts, kept).select("run_id", "fact_id", "kind", a["value"]["val_float"].alias("value"), a["k"]["val_int"].alias("k"))
+    return op.round_trip_losses(before, after).select("fact_id", "surplus", "value")
+
+
 @plan("SELECT CAST(NULL AS BIGINT) AS fact_id, CAST(NULL AS BIGINT) AS surplus WHERE 1 = 0")
 def a4_round_trip(spark, sf):
     before = view(spark, sf, EVENTS).select("run_id", "fact_id", "kind", "value", "k")
@@ -102,6 +115,13 @@ def a7_demanded_kinds(spark, sf):
     return op.demanded(fact_tables(spark, sf)[0], ["purchase", "view"]).select("fact_id", "kind")
 
 
+@plan(f"WITH e AS ({EVENTS}) SELECT run_id, fact_id, subject, value, k FROM e WHERE kind = 'purchase'")
+def a7_kind_layout(spark, sf):
+    """The same view as a3, from tables laid out by kind."""
+    tables = op.write_facts(*fact_tables(spark, sf), f"laid_out_{uuid.uuid4().hex}", 8)
+    return op.kind_view(*tables, "purchase", {"value": "float", "k": "int"}).select("run_id", "fact_id", "subject", "value", "k")
+
+
 @plan(f"WITH e AS ({EVENTS}) SELECT fact_id, kind, subject FROM e WHERE subject = '7' AND kind = 'click'")
 def a8_lookup(spark, sf):
     return op.lookup(fact_tables(spark, sf)[0], "7", "click").select("fact_id", "kind", "subject")

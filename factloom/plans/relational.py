@@ -213,9 +213,9 @@ def g6_set_union(spark, sf):
 
 
 @plan("""SELECT s_nationkey, CASE WHEN count(*) > 2 THEN string_agg(s_name, ', ' ORDER BY s_name) FILTER (WHERE r <= 2) || ' (+' || CAST(count(*) - 2 AS STRING) || ' more)'
-  ELSE string_agg(s_name, ', ' ORDER BY s_name) END AS names FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) AS r FROM supplier) s GROUP BY s_nationkey""")
+  ELSE string_agg(s_name, ', ' ORDER BY s_name) END AS names FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) AS r FROM (SELECT DISTINCT s_nationkey, s_name FROM supplier) u) s GROUP BY s_nationkey""")
 def g7_bounded_sample(spark, sf):
-    return view(spark, sf, "SELECT s_nationkey, s_name FROM supplier").groupBy("s_nationkey").agg(q.sample_of(F.col("s_name"), 2).alias("names"))
+    return q.bounded_samples(view(spark, sf, "SELECT s_nationkey, s_name FROM supplier"), ["s_nationkey"], "s_name", 2, "names").drop("n_values")
 
 
 @plan(f"{E} SELECT kind, CAST(floor(value / 10) AS BIGINT) AS bucket, count(*) AS n FROM e WHERE value IS NOT NULL GROUP BY 1, 2")

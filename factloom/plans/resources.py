@@ -105,6 +105,19 @@ def c11_domain(spark, sf):
     return view(spark, sf, PATHS).select("path", r.domain(F.col("path")).alias("domain")).distinct()
 
 
+_FOLDERS = ("tags", "recipe", "recipes", "loot_tables", "advancements", "advancement", "predicate", "item_modifiers", "structures", "lang", "blockstates", "models", "atlases", "textures", "custom")
+_ENDS = (".json", ".json", ".json", ".json", ".mcfunction", ".nbt", ".snbt", ".lang", ".png", "/pack.mcmeta", ".json")
+DOCUMENTS = "SELECT DISTINCT CASE l_linenumber % 3 WHEN 0 THEN 'data/' WHEN 1 THEN 'assets/' ELSE 'other/' END || 'ns' || CAST(l_suppkey % 4 AS STRING) || '/' || CASE l_partkey % 15 " + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(_FOLDERS)) + " END || CASE l_orderkey % 3 WHEN 0 THEN '/recipes' WHEN 1 THEN '/structure' ELSE '' END || '/d' || CAST(l_suppkey % 9 AS STRING) || CASE l_orderkey % 11 " + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(_ENDS)) + " END AS path FROM lineitem"
+_DATA, _ASSETS = ("CASE string_split(path, '/')[3] " + " ".join(f"WHEN '{f}' THEN '{k}'" for f, k in names.items()) + " ELSE 'generic-json' END" for names in (r.DATA_REGISTRIES, r.ASSET_REGISTRIES))
+
+
+@plan(f"""SELECT path, CASE WHEN regexp_matches(path, '(^|/)pack\\.mcmeta$') THEN 'pack-mcmeta' WHEN path LIKE '%.mcfunction' THEN 'mcfunction' WHEN path LIKE '%/lang/%' AND regexp_matches(path, '\\.(json|lang)$') THEN 'lang' WHEN path LIKE '%.lang' THEN 'properties'
+  WHEN regexp_matches(path, '\\.s?nbt$') THEN CASE WHEN regexp_matches(path, '^data/.*/structures?/') THEN 'structure' ELSE 'binary-asset' END WHEN path NOT LIKE '%.json' THEN 'binary-asset'
+  WHEN starts_with(path, 'data/') THEN {_DATA} WHEN starts_with(path, 'assets/') THEN {_ASSETS} ELSE 'generic-json' END AS domain FROM ({DOCUMENTS}) p""")
+def c11_semantic_domain(spark, sf):
+    return view(spark, sf, DOCUMENTS).select("path", r.semantic_domain(F.col("path")).alias("domain"))
+
+
 @plan(f"""SELECT path, count(DISTINCT writer) AS writers, CASE WHEN count(DISTINCT flag) > 1 THEN 'flag' WHEN count(DISTINCT value) > 1 THEN 'value' ELSE 'other' END AS kind
   FROM ({PATHS}) p GROUP BY path HAVING count(DISTINCT writer) >= 2 AND count(DISTINCT flag || value) >= 2""")
 def c12_semantic_diff(spark, sf):

@@ -66,7 +66,9 @@ def _id_of(r: ru.Rule) -> str:
 
 def _sql_of(r: ru.Rule) -> str:
     kinds = ", ".join(f"'{k}'" for k in r.inputs)
-    out = f"SELECT {_id_of(r)} AS finding_id, '{r.id}' AS rule_id, '{r.severity}' AS severity, {{}} AS n_evidence"
+    who = "a.subject" if r.kind in ("join", "correlation") else "subject"
+    who = "concat_ws(',', a.subject, a.related)" if r.affects else f"coalesce({who}, '')"
+    out = f"SELECT {_id_of(r)} AS finding_id, '{r.id}' AS rule_id, '{r.severity}' AS severity, '{','.join(r.tags)}' AS tags, '{r.visibility}' AS visibility, {who} AS affects, {{}} AS n_evidence"
     if r.kind == "fact":
         return out.format("CAST(1 AS INT)") + f" FROM f WHERE kind IN ({kinds}) AND ({r.where})"
     if r.kind == "distinct":
@@ -79,7 +81,8 @@ def _sql_of(r: ru.Rule) -> str:
 
 
 def _flat(df):
-    return df.select("finding_id", "rule_id", "severity", F.size("evidence").alias("n_evidence"))
+    joined = [F.array_join(c, ",").alias(c) for c in ("tags", "affects")]
+    return df.select("finding_id", "rule_id", "severity", "visibility", *joined, F.size("evidence").alias("n_evidence"))
 
 
 @plan(f"WITH f AS ({FACTS}) " + " UNION ALL ".join(_sql_of(r) for r in ru.CORE))
@@ -87,6 +90,15 @@ def f12_core_pack(spark, sf):
     return _flat(ru.run_pack(ru.CORE, facts(spark, sf)))
 
 
+@plan(f"""WITH f AS ({FACTS}), r AS ({" UNION ALL ".join(_sql_of(r) for r in ru.CORE)}), v AS (SELECT rule_id, CASE WHEN contains(tags, 'safe-merge') THEN 'explain-only' WHEN contains(tags, 'root-metadata') THEN 'overlay-only' ELSE visibility END AS visibility,
+    CASE WHEN (contains(tags, 'safe-merge') OR contains(tags, 'root-metadata')) AND severity IN ('note', 'info') THEN 'info' ELSE severity END AS severity FROM r)
+  SELECT rule_id, visibility, severity, count(*) AS n FROM v GROUP BY 1, 2, 3""")
+def f12_pack_policy(spark, sf):
+    """The visibility policy over the pack's own findings."""
+    out = fi.visible(ru.run_pack(ru.CORE, facts(spark, sf)))
+    return out.groupBy("rule_id", "visibility", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _single(name, rule):
     @plan(f"WITH f AS ({FACTS}) " + _sql_of(rule), name)
     def query(spark, sf):
@@ -230,9 +242,11 @@ def f18_writer_clusters(spark, sf):
     return fi.writer_clusters(rows).select("writer_key", "n")
 
 
-@plan(f"WITH r AS ({RAW}) SELECT rule_id AS family, {_N.format(f'max({_R})')} AS worst, count(*) AS n FROM r GROUP BY rule_id")
+@plan(f"""WITH r AS ({RAW}), d AS (SELECT rule_id, finding_id, row_number() OVER (PARTITION BY rule_id ORDER BY finding_id) AS k, count(*) OVER (PARTITION BY rule_id) AS c FROM (SELECT DISTINCT rule_id, finding_id FROM r) x),
+  s AS (SELECT rule_id, string_agg(finding_id, ', ' ORDER BY finding_id) || CASE WHEN max(c) > 3 THEN ' (+' || (max(c) - 3) || ' more)' ELSE '' END AS sample FROM d WHERE k <= 3 GROUP BY rule_id)
+  SELECT rule_id AS family, {_N.format(f'max({_R})')} AS worst, count(*) AS n, max(sample) AS sample FROM r JOIN s USING (rule_id) GROUP BY rule_id""")
 def f19_families(spark, sf):
-    return fi.families(raw(spark, sf)).select("family", "worst", "n")
+    return fi.families(raw(spark, sf)).select("family", "worst", "n", "sample")
 
 
 FIXES = "SELECT CAST(o_orderkey AS STRING) AS finding_id, o_orderstatus AS action, CAST(o_custkey % 10 AS STRING) AS target, o_orderpriority AS text, o_orderkey AS fact_id FROM orders"
@@ -251,22 +265,22 @@ def f22_coverage(spark, sf):
     return fi.combined_coverage(s, "o_custkey")
 
 
-SHOWN = f"SELECT fact_id, kind, subject, CASE WHEN o.hot_path THEN path END AS path, writers, class, detail FROM ({FACTS}) o"
+SHOWN = f"SELECT fact_id, kind, CASE WHEN fact_id % 13 = 0 THEN '' ELSE subject END AS subject, CASE WHEN o.hot_path THEN path END AS path, CASE WHEN layer = 'code' THEN writers END AS writers, CASE WHEN fact_id % 3 = 0 THEN file || ', ' || archive END AS archives, class, detail, name AS diff_kind, status AS reason, target AS occurrence_id, domain AS semantic_fingerprint FROM ({FACTS}) o"
 
 
-@plan(f"""WITH r AS (SELECT DISTINCT finding_id, fact_id FROM ({RAW}) r), f AS ({SHOWN})
-  SELECT finding_id, f.fact_id, kind, coalesce(path, subject) AS path, CASE WHEN coalesce(writers, '') <> '' THEN replace(writers, ' ', '') WHEN path IS NOT NULL THEN subject ELSE '' END AS writers, class AS classification, detail FROM r JOIN f ON r.fact_id = f.fact_id""")
+@plan(f"""WITH r AS (SELECT DISTINCT finding_id, fact_id FROM ({RAW}) r), f AS ({SHOWN}), w AS (SELECT *, replace(coalesce(writers, archives, ''), ' ', '') AS ws, nullif(subject, '') AS s FROM f)
+  SELECT finding_id, w.fact_id, kind, coalesce(path, s) AS path, CASE WHEN ws <> '' THEN ws WHEN path IS NOT NULL THEN coalesce(s, '') ELSE '' END AS writers, class AS classification, {", ".join(fi.SALIENT)} FROM r JOIN w ON r.fact_id = w.fact_id""")
 def f25_evidence_summary(spark, sf):
     out = fi.evidence_summary(raw(spark, sf), view(spark, sf, SHOWN))
     return out.withColumn("writers", F.array_join("writers", ","))
 
 
-@plan(f"""WITH r AS (SELECT fact_id, severity, CASE fact_id % 4 WHEN 0 THEN 'safe-merge' WHEN 1 THEN 'root-metadata' WHEN 2 THEN 'detail' ELSE 'x' END AS tag FROM ({RAW}) s),
-  v AS (SELECT CASE WHEN tag = 'safe-merge' THEN 'explain-only' WHEN tag = 'root-metadata' THEN 'overlay-only' WHEN tag = 'detail' AND severity = 'note' THEN 'verbose' ELSE 'default' END AS visibility,
-  CASE WHEN tag IN ('safe-merge', 'root-metadata') AND severity IN ('note', 'info') THEN 'info' ELSE severity END AS severity FROM r)
+@plan(f"""WITH r AS (SELECT fact_id, severity, CASE fact_id % 5 WHEN 0 THEN 'safe-merge' WHEN 1 THEN 'root-metadata' WHEN 2 THEN 'mixin-detail' WHEN 3 THEN 'safe-crdt-merge' ELSE 'x' END AS tag FROM ({RAW}) s),
+  v AS (SELECT CASE WHEN tag IN ('safe-merge', 'safe-crdt-merge') THEN 'explain-only' WHEN tag = 'root-metadata' THEN 'overlay-only' WHEN tag = 'mixin-detail' AND severity IN ('note', 'info') THEN 'verbose' ELSE 'default' END AS visibility,
+  CASE WHEN tag IN ('safe-merge', 'safe-crdt-merge', 'root-metadata') AND severity IN ('note', 'info') THEN 'info' ELSE severity END AS severity FROM r)
   SELECT visibility, severity, count(*) AS n FROM v GROUP BY 1, 2""")
 def f26_visibility(spark, sf):
-    tag = F.when(F.col("fact_id") % 4 == 0, "safe-merge").when(F.col("fact_id") % 4 == 1, "root-metadata").when(F.col("fact_id") % 4 == 2, "detail").otherwise("x")
+    tag = F.element_at(F.array(*map(F.lit, ("safe-merge", "root-metadata", "mixin-detail", "safe-crdt-merge", "x"))), (F.col("fact_id") % 5 + 1).cast("int"))
     df = raw(spark, sf).withColumn("tags", F.array(tag))
     return fi.visible(df).groupBy("visibility", "severity").agg(F.count(F.lit(1)).alias("n"))
 

@@ -1,5 +1,7 @@
 """Comparison, null and grouping rules on literal rows, and round trips on random ones."""
 
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -10,7 +12,8 @@ from factloom.operators import facts as fa
 from factloom.operators import graph as g
 from factloom.operators import query as q
 from factloom.operators.history import window_hours
-from factloom.operators.versions import in_range
+from factloom.operators.versions import with_in_range
+from tests.version_oracle import in_range
 
 
 @pytest.fixture(scope="module")
@@ -85,8 +88,31 @@ def test_facts_round_trip(spark, data):
         ("what", ">=1", "semver", None), ("1.0", "odd!", "semver", None), ("abc", "abc", "opaque", True), ("abc", "abd", "opaque", None), (None, ">=1", "semver", None), ("1", None, "semver", True),
     ],
 )
-def test_versions(version, range_, dialect, want):
+def test_versions(spark, version, range_, dialect, want):
     assert in_range(version, range_, dialect) is want
+    row = spark.createDataFrame([(version, range_, dialect)], "version string, range string, dialect string")
+    assert with_in_range(row).first().fits is want
+
+
+def test_key_intervals_are_the_ranges(spark):
+    """All pairs of odd and usual versions and ranges, against judging each pair by itself."""
+    rng = random.Random(7)
+    number = lambda: ".".join(str(rng.choice([0, 1, 2, 10, 3])) for _ in range(rng.randint(1, 5)))
+    tails = ["", "", "", "-rc1", "-beta.2", "-1", "-alpha-3", "+build", "a", ".x", "-SNAPSHOT+7"]
+    version = lambda: rng.choice(["", "", "v", " "]) + number() + rng.choice(tails)
+    versions = [version() for _ in range(150)] + [None, "", "what", "1.x", "v", "*", "1..2"]
+    term = lambda: rng.choice(["", "^", "~", ">=", "<=", "<", ">", "=", ">= "]) + version() + rng.choice(["", "", ".x", ".*"])
+    semver = lambda: " || ".join(" ".join(term() for _ in range(rng.randint(0, 3))) for _ in range(rng.randint(1, 3)))
+    end = lambda: rng.choice(["", version(), version(), "odd"])
+    maven = lambda: ",".join(rng.choice("[(") + rng.choice([end(), f"{end()},{end()}", f"{end()}, {end()}"]) + rng.choice("])") for _ in range(rng.randint(1, 3)))
+    ranges = [(semver(), "semver") for _ in range(150)] + [(maven(), "maven") for _ in range(150)] + [(version(), d) for d in ("maven", "opaque", None) for _ in range(20)]
+    ranges += [(None, "semver"), ("*", "maven"), (" ", None), ("any", "opaque"), ("odd!", "semver"), ("*", "semver")]
+    df = spark.createDataFrame([(v,) for v in versions], "version string").crossJoin(spark.createDataFrame(ranges, "range string, dialect string"))
+    got = with_in_range(df).collect()
+    assert len(got) == len(versions) * len(ranges)
+    for r in got:
+        assert r.fits is in_range(r.version, r.range, r.dialect), r
+    assert {r.fits for r in got} == {True, False, None}
 
 
 def test_windows():
