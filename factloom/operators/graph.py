@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.sources.storage import shared_dir
+from factloom.sources.storage import scratch
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder."""
+    """df as a table written to the shared folder: its lineage ends there, it is computed once, where
+    a checkpoint would compute it twice, and many small parts come back as few."""
     spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    path = scratch(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def closure(edges: DataFrame, source: str, target: str, max_depth: int | None = None) -> DataFrame:

@@ -43,6 +43,7 @@ def test_tiny_sides_are_broadcast_and_others_are_not_forced(spark):
 
 
 def test_a_kind_is_read_from_its_folder_and_gathered_without_a_shuffle(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     rows = spark.range(400).selectExpr("'r' as run_id", "id as n", "concat('k', id % 4) as kind", "cast(id as string) as s")
     facts, attrs = fa.project(rows, ["n", "s"], run_id="run_id", fact_id="n", kind="kind", subject="s", confidence="1", extractor="'t'", source_locator="'l'")
     laid = fa.write_facts(facts, attrs, "plan_test", 4)
@@ -52,16 +53,17 @@ def test_a_kind_is_read_from_its_folder_and_gathered_without_a_shuffle(spark):
     assert sorted(map(str, out.collect())) == sorted(map(str, fa.kind_view(facts, attrs, "k2", {"n": "int", "s": "str"}).collect()))
     whole = fa.reassemble(*laid)
     assert "Exchange" not in plan_of(whole) and whole.count() == 400
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     for t in ("plan_test_facts", "plan_test_attributes"):
         spark.sql(f"DROP TABLE {t}")
 
 
 def test_a_sample_holds_few_values_of_a_large_group(spark):
-    rows = spark.range(10_000_000).selectExpr("'g' as g", "concat('v', id) as v")
+    rows = spark.range(10_000_000).selectExpr("concat('g', id % 1) as g", "concat('v', id) as v")
     out = q.bounded_samples(rows, ["g"], "v", 3)
     text = plan_of(out)
     assert "WindowGroupLimit" in text and "collect_set" not in text
-    assert text.index("WindowGroupLimit") < text.index("Exchange hashpartitioning(g#") or "WindowGroupLimit [g#" in text
+    assert text.count("WindowGroupLimit") == 2  # once before the shuffle by group, once after it
     few = q.bounded_samples(rows.limit(50_000), ["g"], "v", 3).first()
     assert few.sample == "v0, v1, v10 (+49997 more)" and few.n_values == 50_000
 
