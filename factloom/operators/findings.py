@@ -46,20 +46,55 @@ def folded(collisions: DataFrame, semantic: DataFrame) -> DataFrame:
     return kept.select("finding_id", "path", "evidence").unionByName(rest.select("finding_id", "path", F.array_sort("evidence").alias("evidence")))
 
 
-def caveated(findings: DataFrame, scripted: DataFrame, partial: bool) -> DataFrame:
-    """Findings about objects that a script changes at run time (object or namespace in scripted):
-    at most note, confidence at most 0.7 of itself and 0.7, tagged; with partial coverage or any
-    script the others are at most warn."""
-    ids = scripted.select(F.col("object")).where("object is not null").distinct().withColumn("_o", F.lit(True))
-    names = scripted.select(F.col("namespace")).where("namespace is not null").distinct().withColumn("_n", F.lit(True))
-    df = findings.join(ids, "object", "left").join(names, "namespace", "left")
-    hit = F.coalesce("_o", "_n", F.lit(False))
-    cap = F.lit(partial or not scripted.isEmpty())
-    rank = F.when(hit, F.least(_rank(), F.lit(1))).when(cap, F.least(_rank(), F.lit(2))).otherwise(_rank())
-    return df.select(
-        "finding_id", "object", "namespace", severity_name(rank).alias("severity"),
-        F.when(hit, F.least(F.col("confidence") * 0.7, F.lit(0.7))).otherwise(F.col("confidence")).alias("confidence"),
-        hit.alias("runtime_caveat"),
+#: Which facts say that a script changes a recipe or a loot table, what families of
+#: findings they bear on, and which layers' cut scans leave that open.
+RECIPE_SCRIPTS, LOOT_SCRIPTS = ("runtime_removed_recipe", "runtime_script_modifies_recipe"), ("runtime_removed_loot_table",)
+RECIPE_FAMILIES = ("recipe-output-override", "recipe-type-override", "recipe-ingredient-override", "recipe-condition-override")
+LOOT_FAMILIES = ("loot-table-output-override",)
+SCRIPT_LAYERS = ("script", "resource", "resource-dynamics", "data-semantics")
+SCRIPTED = " A script changes this object as it loads, so that the static conflict may never show; lowered, and kept for audit."
+
+
+def object_id(path: Column) -> Column:
+    """namespace:name of a document below data or assets, its registry folder and extension left out."""
+    return F.when(path.rlike(r"^(data|assets)/[^/]+/[^/]+/.+"), F.regexp_replace(path, r"^(?:data|assets)/([^/]+)/[^/]+/(.+?)(?:\.[^./]+)?$", "$1:$2"))
+
+
+def caveated(findings: DataFrame, facts: DataFrame) -> DataFrame:
+    """findings with runtime_coverage, what is known of scripts that could change what they are about,
+    and lowered where that matters. A finding about an object, or a namespace, that a script names is
+    at most a note, its confidence at most 0.7 of itself and 0.7, tagged and explained. Other findings
+    about a static state of resources are at most warnings while anything changes resources at run
+    time, or scripts were read in part. findings: (finding_id, category, family, conclusion, severity,
+    confidence, affects, tags, explanation); facts: (kind, subject, layer, complete)."""
+    kind = F.col("kind")
+    some = lambda c: F.coalesce(F.max(c), F.lit(False))
+    known = facts.agg(
+        some((kind == "scan_truncated") & F.col("layer").isin(*SCRIPT_LAYERS) | (kind == "script_discovery_coverage") & ~F.col("complete")).alias("_partial"),
+        some(kind.isin(*RECIPE_SCRIPTS, *LOOT_SCRIPTS, "mixin_runtime_resource_mutation")).alias("_mutated"), some(kind == "script_discovery_coverage").alias("_read"),
+    )
+    named = facts.where(kind.isin(*RECIPE_SCRIPTS, *LOOT_SCRIPTS)).select(F.when(kind.isin(*LOOT_SCRIPTS), "loot").otherwise("recipe").alias("_of"), F.col("subject").alias("_name")).distinct()
+    path = F.get("affects", F.lit(0))
+    rows = findings.crossJoin(F.broadcast(known))  # one row
+    rows = rows.withColumns({
+        "_for": F.when(F.col("family").isin(*RECIPE_FAMILIES), "recipe").when(F.col("family").isin(*LOOT_FAMILIES), "loot"),
+        "_id": object_id(path), "_ns": F.when(path.rlike(r"^(data|assets)/[^/]+/"), F.split(path, "/")[1]),
+    })
+    for name, column in (("_by_id", "_id"), ("_by_ns", "_ns")):
+        hit = named.select(F.col("_of").alias("_for"), F.col("_name").alias(column), F.lit(True).alias(name))
+        rows = rows.join(hit, ["_for", column], "left")
+    scripted = F.coalesce("_by_id", "_by_ns", F.lit(False))
+    of_resource = F.col("category") == "resource"
+    label = F.when(scripted, "exact-target-modified").when(of_resource, F.when(F.col("_partial"), "coverage-partial").when(F.col("_mutated"), "mutator-present").when(F.col("_read"), "no-mutator-evidence").otherwise("unavailable"))
+    open_ = of_resource & (F.col("conclusion") == "static-resource-state") & (F.col("_partial") | F.col("_mutated"))
+    rank = F.when(scripted, F.least(_rank(), F.lit(1))).when(open_, F.least(_rank(), F.lit(2))).otherwise(_rank())
+    own = F.coalesce("explanation", F.lit(""))
+    return rows.select(
+        *[c for c in findings.columns if c not in ("severity", "confidence", "tags", "explanation")], severity_name(rank).alias("severity"),
+        F.when(scripted, F.least(F.col("confidence") * 0.7, F.lit(0.7))).otherwise(F.col("confidence")).alias("confidence"),
+        F.when(scripted, F.array_union("tags", F.array(F.lit("runtime-script-caveat")))).otherwise(F.col("tags")).alias("tags"),
+        F.when(scripted & ~F.contains(own, F.lit(SCRIPTED)), F.concat(own, F.lit(SCRIPTED))).otherwise(own).alias("explanation"),
+        label.alias("runtime_coverage"), F.when(scripted | (rank < _rank()), "downgraded").otherwise("asserted").alias("disposition"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.model import severity_name, severity_rank
+from factloom.operators.facts import kind_view
 
 
 def window_hours(text: str) -> int:
@@ -72,3 +73,28 @@ def save_run(tables: dict[str, DataFrame], path: str) -> None:
     """Each table's rows of the runs it holds replace those stored; the runs table comes last."""
     for name in sorted(tables, key=lambda n: n == "runs"):
         tables[name].write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{path}/{name}")
+
+
+def conflict_rows(facts: DataFrame, attrs: DataFrame) -> DataFrame:
+    """(run_id, fact_id, path, class, domain, writers, reason) of collisions that have a class and
+    aren't identical."""
+    rows = kind_view(facts, attrs, "resource_collision", {k: "str" for k in ("class", "domain", "writers", "reason")})
+    return rows.where("class <> '' and class <> 'identical'").select("run_id", "fact_id", F.col("subject").alias("path"), "class", "domain", "writers", "reason")
+
+
+def signal_rows(facts: DataFrame, attrs: DataFrame) -> DataFrame:
+    """(run_id, fact_id, signal, line_no, excerpt) of the signals of logs."""
+    rows = kind_view(facts, attrs, "log_signal", {"line": "int", "excerpt": "str"})
+    return rows.select("run_id", "fact_id", F.col("subject").alias("signal"), F.col("line").alias("line_no"), "excerpt")
+
+
+def overlap_rows(facts: DataFrame, attrs: DataFrame) -> DataFrame:
+    """(run_id, fact_id, target, mods, operations, hot_path) of overlaps."""
+    rows = kind_view(facts, attrs, "mixin_overlap", {"mods": "str", "operations": "str", "hot_path": "bool"})
+    return rows.select("run_id", "fact_id", F.col("subject").alias("target"), "mods", "operations", F.coalesce("hot_path", F.lit(False)).alias("hot_path"))
+
+
+def overwrite_rows(facts: DataFrame, attrs: DataFrame) -> DataFrame:
+    """(run_id, fact_id, mod_id, target, hot_path) of overwrites."""
+    rows = kind_view(facts, attrs, "high_risk_overwrite", {"target": "str", "hot_path": "bool"})
+    return rows.select("run_id", "fact_id", F.col("subject").alias("mod_id"), "target", F.coalesce("hot_path", F.lit(False)).alias("hot_path"))

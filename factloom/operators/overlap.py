@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,30 @@ def pairs(sites: DataFrame, keys: list[str], differ: list[str] = (), least: str
     return a.join(b, on).select(*(F.col(f"a.{k}") for k in keys), F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
+def pair_classes(sites: DataFrame, keys: list[str], differ: list[str] = ()) -> DataFrame:
+    """(keys, mod, differ, n): the sites of a group that no conflict can tell apart, counted. A hot
+    group has one row for each class and not for each pair; its pairs are those of unlike classes."""
+    known = sites
+    for c in ["mod", *differ]:
+        known = known.where(F.col(c).isNotNull())
+    return known.groupBy(*keys, "mod", *differ).agg(F.count(F.lit(1)).alias("n"))
+
+
+def pair_counts(classes: DataFrame, keys: list[str], differ: list[str] = ()) -> DataFrame:
+    """(keys, n_sites, n_classes, n_pairs) of groups that have a pair: how many pairs() would give,
+    from its classes by inclusion and exclusion. All pairs of a group, less those that agree in some
+    column, plus those that agree in two, and so on."""
+    columns, terms = ["mod", *differ], None
+    for size in range(len(columns) + 1):
+        for same in combinations(columns, size):
+            of = classes.groupBy(*keys, *same).agg(F.sum("n").alias("n"))
+            term = of.select(*keys, (F.lit((-1) ** size) * F.expr("n * (n - 1) div 2")).alias("term"))
+            terms = term if terms is None else terms.unionByName(term)
+    pairs_ = terms.groupBy(*keys).agg(F.sum("term").alias("n_pairs")).where("n_pairs > 0")
+    size_ = classes.groupBy(*keys).agg(F.sum("n").alias("n_sites"), F.count(F.lit(1)).alias("n_classes"))
+    return size_.join(pairs_, keys).select(*keys, "n_sites", "n_classes", "n_pairs")
+
+
 def composition(sites: DataFrame) -> DataFrame:
     """sites: (id, target, site, kind, priority, side). What comes of all patches of one site."""
     n = lambda k: F.count(F.when(F.col("kind") == k, 1))

@@ -166,16 +166,20 @@ def longest_prefix(items: DataFrame, owners: DataFrame, item: str, prefix: str,
 
 
 def graded_match(left: DataFrame, right: DataFrame, tiers: list[tuple[str, list[tuple[str, str]]]], left_id: str, right_id: str) -> DataFrame:
-    """Pairs under the best tier of equal columns that they meet in."""
-    met = None
-    for i, (name, on) in enumerate(tiers):
-        a, b = left.alias("a"), right.alias("b")
-        one = a.join(b, [F.col(f"a.{x}") == F.col(f"b.{y}") for x, y in on]).select(
-            F.col(f"a.{left_id}").alias("left_id"), F.col(f"b.{right_id}").alias("right_id"),
-            F.lit(i).alias("tier"), F.lit(name).alias("quality"),
-        )
-        met = one if met is None else met.unionByName(one)
-    return met.groupBy("left_id", "right_id").agg(F.min_by("quality", "tier").alias("quality"))
+    """Pairs under the best tier of equal columns that they meet in. Each row is keyed once for each
+    tier, by its number and the columns' values with their lengths, so one join serves all tiers."""
+
+    def keyed(df: DataFrame, side: int, name: str, as_: str) -> DataFrame:
+        keys = []
+        for i, (_, on) in enumerate(tiers):
+            values = [F.col(pair[side]).cast("string") for pair in on]
+            text = F.concat(F.lit(f"{i}"), *[F.concat(F.lit("|"), F.length(x).cast("string"), F.lit(":"), x) for x in values])
+            keys.append(F.when(text.isNotNull(), F.struct(F.lit(i).alias("tier"), text.alias("key"))))
+        return df.select(F.col(name).alias(as_), F.explode(F.array_compact(F.array(*keys))).alias("k")).select(as_, "k.tier", "k.key")
+
+    met = keyed(left, 0, left_id, "left_id").join(keyed(right, 1, right_id, "right_id"), ["tier", "key"])
+    best = met.groupBy("left_id", "right_id").agg(F.min("tier").alias("tier"))
+    return best.select("left_id", "right_id", F.element_at(F.array(*[F.lit(n) for n, _ in tiers]), F.col("tier") + 1).alias("quality"))
 
 
 def first_per(df: DataFrame, keys: list[str], *order) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from factloom.model import value
@@ -203,13 +204,26 @@ def pack_evidence(rules: list[Rule], facts: DataFrame, findings: DataFrame) -> D
     return own.unionByName(more.select("finding_id", "fact_id", F.lit("conflicts_with").alias("relation"), F.lit(0.8).alias("weight"))).distinct()
 
 
-def trace(rules: list[Rule], facts: DataFrame, findings: DataFrame) -> DataFrame:
-    """(rule_id, n_in, n_out): facts of a rule's kinds and findings it made."""
-    spark = facts.sparkSession
-    kinds = spark.createDataFrame([(r.id, k) for r in rules for k in r.inputs], "rule_id string, kind string")
-    n_in = kinds.join(facts.groupBy("kind").agg(F.count(F.lit(1)).alias("n")), "kind", "left").groupBy("rule_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_in"))
-    n_out = findings.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_out"))
-    return n_in.join(n_out, "rule_id", "left").select("rule_id", "n_in", F.coalesce("n_out", F.lit(0)).alias("n_out"))
+def traced_pack(rules: list[Rule], facts: DataFrame) -> tuple[DataFrame, Callable[[], list[tuple[str, int, int]]]]:
+    """run_pack(), counted as it runs: the findings, and what, after an action on them, tells (rule_id,
+    n_in, n_out) of each rule, its kinds' facts and its findings. The pass over all facts counts
+    kinds, what comes out is counted by rule, and no fact is read for the trace alone."""
+    kinds = sorted({k for r in rules for k in r.inputs})
+    seen, made = Observation(), Observation()
+    plain = [r for r in rules if r.kind == "fact"]
+    # Counted before the rules' own filters, in the branch that reads the facts once.
+    counted = facts.observe(seen, *[F.count_if(F.col("kind") == k).alias(f"n{i}") for i, k in enumerate(kinds)])
+    out = evaluate_facts(plain or [Rule("none", "fact", tuple(kinds), "info", "false")], counted)
+    for r in rules:
+        if r.kind != "fact":
+            out = out.unionByName(evaluate(r, facts))
+    out = legacy_capped(out).observe(made, *[F.count_if(F.col("rule_id") == r.id).alias(f"n{i}") for i, r in enumerate(rules)])
+
+    def told() -> list[tuple[str, int, int]]:
+        n = {k: seen.get[f"n{i}"] for i, k in enumerate(kinds)}
+        return [(r.id, sum(n[k] for k in set(r.inputs)), made.get[f"n{i}"]) for i, r in enumerate(rules)]
+
+    return out, told
 
 
 _COLLISION, _CONFLICT = "resource_collision", "resource-conflict:{attr:class}:{subject}"

@@ -91,10 +91,11 @@ def d9_loose_and_tight(spark, sf):
 USES = "SELECT DISTINCT 'm' || CAST(l_suppkey AS STRING) AS id, 'm' || CAST(l_partkey * 3 % 997 AS STRING) AS dep FROM lineitem"
 
 
-@plan(f"SELECT id, dep FROM ({DECLARED}) d WHERE mandatory AND relation = 'requires' AND dep IN (SELECT id FROM ({MODS}) m) AND (id, dep) NOT IN (SELECT id, dep FROM ({IMPLICIT}) i) AND (id, dep) NOT IN (SELECT id, dep FROM ({USES}) u)")
+@plan(f"SELECT id, dep, truncated FROM ({DECLARED}) d, (SELECT false AS truncated) w WHERE mandatory AND relation = 'requires' AND dep IN (SELECT id FROM ({MODS}) m) AND (id, dep) NOT IN (SELECT id, dep FROM ({IMPLICIT}) i) AND (id, dep) NOT IN (SELECT id, dep FROM ({USES}) u)")
 def d10_unused(spark, sf):
     e, m, i, u = v(spark, sf, DECLARED, MODS, IMPLICIT, USES)
-    return d.unused(e, m, i, u, False)
+    each = [d.unused(e, m, i, u, cut).withColumn("truncated", F.lit(cut)) for cut in (False, True)]
+    return each[0].unionByName(each[1])
 
 
 REFS = """SELECT 'w' || CAST(l_suppkey % 20 AS STRING) AS writer, 'ns' || CAST(l_partkey % 23 AS STRING) AS namespace, l_linestatus = 'O' AS required, l_returnflag = 'R' AS hard, l_tax > 0.05 AS conditional,
@@ -158,6 +159,15 @@ def d17_environment(spark, sf):
     return d.environment(v(spark, sf, VOTES))
 
 
+DIVIDED = f"SELECT artifact, CASE WHEN artifact = 'a3' THEN 'two' ELSE loader END AS loader, CASE WHEN artifact IN ('a1', 'a2') THEN '1.9' ELSE '1.' || CAST(length(artifact) AS STRING) END AS version FROM ({VOTES}) v WHERE artifact IN ('a1', 'a2', 'a3', 'a4', 'a5')"
+
+
+@plan(f"WITH v AS ({DIVIDED}), n AS (SELECT version, count(DISTINCT artifact) AS c FROM v GROUP BY version), m AS (SELECT * FROM n WHERE c = (SELECT max(c) FROM n)) SELECT (SELECT CASE WHEN count(DISTINCT loader) = 1 THEN max(loader) END FROM v) AS loader, CASE WHEN count(*) = 1 AND max(c) >= 2 THEN max(version) END AS version FROM m")
+def d17_divided(spark, sf):
+    """Votes that disagree on the loader, and agree on a version by most."""
+    return d.environment(v(spark, sf, DIVIDED))
+
+
 BUMPS = "SELECT DISTINCT 'm' || CAST(s_suppkey AS STRING) AS dep, '1.1.0' AS old, '2.0.0' AS new FROM supplier"
 
 
@@ -266,6 +276,23 @@ def _pairs(name, keys, differ):
         return o.pairs(sites(spark, sf), list(keys), list(differ))
 
 
+#: Sites under ids of their own.
+SINGLE = f"SELECT id, {', '.join(f'min({c}) AS {c}' for c in ('mod', 'target', 'method', 'site', 'priority', 'descriptor'))} FROM ({SITES}) s GROUP BY id"
+
+
+def _pair_counts(name, keys, differ):
+    by, same = ", ".join(keys), " AND ".join(f"a.{k} = b.{k}" for k in keys)
+    unlike = " AND ".join(f"a.{c} <> b.{c}" for c in ["mod", *differ])
+
+    @plan(f"""WITH s AS ({SINGLE}), p AS (SELECT {", ".join("a." + k for k in keys)}, count(*) AS n_pairs FROM s a JOIN s b ON {same} AND a.id < b.id AND {unlike} GROUP BY ALL),
+  n AS (SELECT {by}, count(*) AS n_sites, count(DISTINCT {" || '/' || ".join(["mod", *(f"CAST({c} AS STRING)" for c in differ)])}) AS n_classes FROM s GROUP BY ALL) SELECT {by}, n_sites, n_classes, n_pairs FROM n JOIN p USING ({by})""", name)
+    def query(spark, sf):
+        return o.pair_counts(o.pair_classes(v(spark, sf, SINGLE), list(keys), list(differ)), list(keys), list(differ))
+
+
+_pair_counts("o3_pair_counts", ("target", "method", "site"), ())
+_pair_counts("o4_pair_counts", ("target", "method"), ("priority",))
+_pair_counts("o5_pair_counts", ("target", "method"), ("descriptor",))
 _pairs("o3_same_call_pairs", ("target", "method", "site"), ())
 _pairs("o4_priority_pairs", ("target", "method"), ("priority",))
 _pairs("o5_signature_pairs", ("target", "method"), ("descriptor",))
@@ -420,10 +447,17 @@ def p8_hot_methods_in_excerpts(spark, sf):
     return p.hot_methods_in_excerpts(*v(spark, sf, METHODS, EXCERPTS))
 
 
-@plan("SELECT event_type AS topic, count(*) AS n FROM events GROUP BY 1 HAVING count(*) >= 3")
+@plan("""WITH c AS (SELECT user_id % 2 AS run, event_type AS topic, count(*) AS n FROM events GROUP BY 1, 2), p AS (SELECT DISTINCT user_id % 2 AS run FROM events WHERE event_type = 'purchase' AND user_id % 2 = 1)
+  SELECT run, topic, n FROM c WHERE n >= 3 AND run NOT IN (SELECT run FROM p)""")
 def p9_fallback_hints(spark, sf):
-    rows = v(spark, sf, "SELECT event_type AS topic, user_id FROM events")
-    return p.fallback_hints(rows.where("topic = 'no-profile'"), rows.groupBy("topic").agg(F.count(F.lit(1)).alias("n")))
+    """Of two runs one has profile rows, so that only the other one gives hints."""
+    rows = v(spark, sf, "SELECT event_type AS topic, user_id % 2 AS run FROM events")
+    each = []
+    for run in (0, 1):
+        own = rows.where(F.col("run") == run)
+        hints = p.fallback_hints(own.where("topic = 'purchase' and run = 1"), own.groupBy("topic").agg(F.count(F.lit(1)).alias("n")))
+        each.append(hints.select(F.lit(run).cast("long").alias("run"), "topic", "n"))
+    return each[0].unionByName(each[1])
 
 
 PROFILE = "SELECT event_id AS id, CASE WHEN event_type = 'purchase' THEN 'cpu' ELSE 'tick_spike' END AS kind, value * 2 AS number FROM events"

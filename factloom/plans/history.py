@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factloom.model import view
 from factloom.operators import history as h
 from factloom.plans.base import Plans
+from factloom.plans.rules import FACTS
 
 plan = Plans()
 
@@ -109,14 +110,35 @@ def h13_mismatch_per_run(spark, sf):
     return o.join(e, "o_orderdate").where("o_orderstatus <> status").select("o_orderkey", "o_orderstatus", "status")
 
 
-@plan("SELECT o_orderkey, o_orderpriority AS class FROM orders WHERE o_orderpriority <> '5-LOW'")
+#: Facts of the rule plans' kinds, as long tables.
+STORED = f"SELECT 'r' || CAST(fact_id % 3 AS STRING) AS run_id, fact_id, kind, subject, CASE WHEN fact_id % 29 = 0 THEN 'identical' ELSE class END AS class, domain, writers, status AS reason, trust_score AS line, detail AS excerpt, file AS mods, layer AS operations, CASE WHEN fact_id % 7 <> 0 THEN hot_path END AS hot_path, target FROM ({FACTS}) f"
+
+
+def stored_facts(spark, sf):
+    from factloom.operators.facts import project
+
+    names = ["class", "domain", "writers", "reason", "line", "excerpt", "mods", "operations", "hot_path", "target"]
+    return project(view(spark, sf, STORED), names, run_id="run_id", fact_id="fact_id", kind="kind", subject="subject", confidence="1", extractor="'orders'", source_locator="'orders'")
+
+
+@plan(f"SELECT run_id, fact_id, subject AS path, class, domain, writers, reason FROM ({STORED}) s WHERE kind = 'resource_collision' AND coalesce(class, '') NOT IN ('', 'identical')")
 def h14_conflict_rows(spark, sf):
-    return view(spark, sf, "SELECT o_orderkey, o_orderpriority AS class FROM orders").where("class <> '5-LOW'")
+    return h.conflict_rows(*stored_facts(spark, sf))
+
+
+@plan(f"SELECT run_id, fact_id, subject AS signal, CAST(line AS BIGINT) AS line_no, excerpt FROM ({STORED}) s WHERE kind = 'log_signal'")
+def h15_signal_rows(spark, sf):
+    return h.signal_rows(*stored_facts(spark, sf))
+
+
+@plan(f"SELECT run_id, fact_id, subject AS target, mods, operations, coalesce(hot_path, false) AS hot_path FROM ({STORED}) s WHERE kind = 'mixin_overlap'")
+def h15_overlap_rows(spark, sf):
+    return h.overlap_rows(*stored_facts(spark, sf))
 
 
-@plan("SELECT o_orderkey, o_custkey, o_orderstatus = 'F' AS hot FROM orders WHERE o_orderstatus IN ('F', 'P')")
-def h15_projections(spark, sf):
-    return view(spark, sf, "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'P')").select("o_orderkey", "o_custkey", (F.col("o_orderstatus") == "F").alias("hot"))
+@plan(f"SELECT run_id, fact_id, subject AS mod_id, target, coalesce(hot_path, false) AS hot_path FROM ({STORED}) s WHERE kind = 'high_risk_overwrite'")
+def h15_overwrite_rows(spark, sf):
+    return h.overwrite_rows(*stored_facts(spark, sf))
 
 
 ADHOC = f"SELECT f.category, count(DISTINCT a.component) AS n FROM ({FINDINGS}) f JOIN ({AFFECTS}) a ON f.run_id = a.run_id AND f.finding_id = a.finding_id GROUP BY f.category"

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from factloom.model import view
 from factloom.operators import findings as fi
 from factloom.operators import graph as g
+from factloom.operators import logs as lg
 from factloom.operators import rules as ru
+from factloom.plans import logs
 from factloom.plans.base import Plans
 from factloom.plans.relational import SEVERE
 
@@ -156,17 +158,22 @@ def f9_default_confidence(spark, sf):
     return facts(spark, sf).where("kind = 'coremod'").select("fact_id", ru.default_confidence(category).cast("double").alias("confidence"))
 
 
-@plan(f"""WITH f AS ({FACTS}) SELECT 'unsigned-jar' AS rule_id, count(*) AS n_in, count(*) FILTER (WHERE status = 'unsigned') AS n_out FROM f WHERE kind = 'signature_status'
-  UNION ALL SELECT 'forge-coremod-present', count(*), count(*) FROM f WHERE kind = 'coremod'""")
+@plan(f"""WITH f AS ({FACTS}), r AS (SELECT rule_id, count(*) AS n_out FROM ({" UNION ALL ".join(_sql_of(r) for r in ru.CORE)}) x GROUP BY rule_id),
+  k AS ({" UNION ALL ".join(f"SELECT '{r.id}' AS rule_id, count(*) AS n_in FROM f WHERE kind IN ({', '.join(chr(39) + k + chr(39) for k in r.inputs)})" for r in ru.CORE)}) SELECT rule_id, n_in, coalesce(n_out, 0) AS n_out FROM k LEFT JOIN r USING (rule_id)""")
 def f11_trace(spark, sf):
-    rules, f = [_by["unsigned-jar"], _by["forge-coremod-present"]], facts(spark, sf)
-    return ru.trace(rules, f, ru.run_pack(rules, f))
+    """The whole pack's counts, from the run that makes its findings."""
+    found, told = ru.traced_pack(ru.CORE, facts(spark, sf))
+    found.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame(told(), "rule_id string, n_in long, n_out long")
 
 
-@plan(f"WITH f AS ({FACTS}) SELECT CAST(fact_id AS STRING) AS id, 'log-oom' AS rule_id FROM f WHERE kind = 'log_signal' AND detail = 'oom'")
+@plan(logs.WHOLE + f", x AS (SELECT ordinal, {logs._SIG} AS signal FROM g) SELECT 'log-' || signal AS rule_id, CASE signal {' '.join(f'WHEN {chr(39)}{n}{chr(39)} THEN {chr(39)}{sev}{chr(39)}' for n, sev, _ in lg.SIGNALS)} END AS severity, ordinal AS fact_id FROM x WHERE signal IN ({', '.join(chr(39) + n + chr(39) for n, _, _ in lg.SIGNALS)})")
 def f13_signal_rules(spark, sf):
-    out = ru.run_pack(ru.signal_rules([("oom", "error"), ("port", "warn")]), facts(spark, sf))
-    return out.select(F.col("evidence")[0].cast("string").alias("id"), "rule_id")
+    """A rule for each known signal, over the signals of the logs' events."""
+    text = F.col("text")
+    signals = logs.whole_events(spark, sf).select(F.col("ordinal").alias("fact_id"), F.lit("log_signal").alias("kind"), F.col("source").alias("subject"), lg.signal(text, F.size(lg.chain(text)) > 0).alias("detail"))
+    out = ru.run_pack(ru.signal_rules([(name, severity) for name, severity, _ in lg.SIGNALS]), signals)
+    return out.select("rule_id", "severity", F.col("evidence")[0].alias("fact_id"))
 
 
 @plan(f"""WITH f AS ({FACTS}), m AS (SELECT 'mixed-loaders' AS rule_id, string_agg(DISTINCT loader, ', ' ORDER BY loader) AS loaders FROM f
@@ -224,14 +231,37 @@ def f16_semantic_override(spark, sf):
     return out.select("finding_id", "path", F.size("evidence").alias("n"))
 
 
-OBJECTS = f"SELECT fact_id AS finding_id, path AS object, 'ns' || CAST(fact_id % 9 AS STRING) AS namespace, CASE WHEN fact_id % 2 = 0 THEN 'error' ELSE 'info' END AS severity, CAST(0.9 AS DOUBLE) AS confidence FROM ({FACTS}) f WHERE kind = 'resource_collision'"
+STATIC = """SELECT o_orderkey AS finding_id, CASE o_custkey % 4 WHEN 0 THEN 'metadata' ELSE 'resource' END AS category, CASE o_orderkey % 4 WHEN 0 THEN 'recipe-output-override' WHEN 1 THEN 'loot-table-output-override' WHEN 2 THEN 'recipe-type-override' ELSE 'other' END AS family,
+  CASE WHEN o_custkey % 3 = 0 THEN 'generic' ELSE 'static-resource-state' END AS conclusion, CASE o_orderstatus WHEN 'F' THEN 'error' WHEN 'O' THEN 'warn' ELSE 'info' END AS severity, CAST(0.5 + 0.1 * (o_custkey % 6) AS DOUBLE) AS confidence, 'why' AS explanation,
+  CASE o_custkey % 9 WHEN 0 THEN 'pack.mcmeta' ELSE 'data/ns' || CAST(o_custkey % 13 AS STRING) || CASE WHEN o_orderkey % 4 = 1 THEN '/loot_tables/' ELSE '/recipes/' END || 'a/b' || CAST(o_orderkey % 17 AS STRING) || '.json' END AS path FROM orders"""
+MUTATORS = """SELECT CASE s_suppkey % 5 WHEN 0 THEN 'runtime_removed_recipe' WHEN 1 THEN 'runtime_script_modifies_recipe' WHEN 2 THEN 'runtime_removed_loot_table' WHEN 3 THEN 'mixin_runtime_resource_mutation' ELSE 'mod' END AS kind,
+  CASE WHEN s_suppkey % 20 = 5 THEN 'ns4' ELSE 'ns' || CAST(s_suppkey % 13 AS STRING) || ':a/b' || CAST(s_suppkey % 17 AS STRING) END AS subject, CAST(NULL AS STRING) AS layer, CAST(NULL AS BOOLEAN) AS complete FROM supplier
+  UNION ALL SELECT 'script_discovery_coverage', 'scripts', NULL, r_regionkey < 4 FROM region UNION ALL SELECT 'scan_truncated', 'x', CASE r_regionkey WHEN 0 THEN 'script' ELSE 'code' END, NULL FROM region"""
+#: What of the facts each run has: all, no cut scan of scripts, no mutator either, nothing.
+RUNS = {
+    "coverage-partial": "true", "mutator-present": "coalesce(layer, '') <> 'script' AND coalesce(complete, true)",
+    "no-mutator-evidence": "kind = 'script_discovery_coverage' AND complete", "unavailable": "kind = 'mod'",
+}
+_SCRIPTED = "(family LIKE 'recipe-%' AND (split_part(path, '/', 2) || ':' || regexp_extract(path, '^data/[^/]+/[^/]+/(.+)\\.json$', 1) IN (SELECT subject FROM m WHERE kind IN ('runtime_removed_recipe', 'runtime_script_modifies_recipe')) OR split_part(path, '/', 2) IN (SELECT subject FROM m WHERE kind IN ('runtime_removed_recipe', 'runtime_script_modifies_recipe')))) OR (family LIKE 'loot-%' AND (split_part(path, '/', 2) || ':' || regexp_extract(path, '^data/[^/]+/[^/]+/(.+)\\.json$', 1) IN (SELECT subject FROM m WHERE kind = 'runtime_removed_loot_table') OR split_part(path, '/', 2) IN (SELECT subject FROM m WHERE kind = 'runtime_removed_loot_table')))"
 
 
-@plan(f"""SELECT finding_id, object, namespace, CASE WHEN object = 'data/4.json' OR namespace = 'ns2' THEN (CASE severity WHEN 'error' THEN 'note' ELSE severity END) WHEN severity = 'error' THEN 'warn' ELSE severity END AS severity,
-  CASE WHEN object = 'data/4.json' OR namespace = 'ns2' THEN least(confidence * 0.7, 0.7) ELSE confidence END AS confidence, object = 'data/4.json' OR namespace = 'ns2' AS runtime_caveat FROM ({OBJECTS}) o""")
+def _caveat(run: str, where: str) -> str:
+    lowers = "true" if run in ("coverage-partial", "mutator-present") else "false"
+    return f"""SELECT '{run}' AS run, finding_id, CASE WHEN hit THEN (CASE WHEN severity IN ('error', 'warn') THEN 'note' ELSE severity END) WHEN lowered AND severity = 'error' THEN 'warn' ELSE severity END AS severity, CASE WHEN hit THEN least(confidence * 0.7, 0.7) ELSE confidence END AS confidence,
+  CASE WHEN hit THEN 'x,runtime-script-caveat' ELSE 'x' END AS tags, CASE WHEN hit THEN 'why{fi.SCRIPTED}' ELSE 'why' END AS explanation, CASE WHEN hit THEN 'exact-target-modified' WHEN category = 'resource' THEN '{run}' END AS runtime_coverage,
+  CASE WHEN hit OR (lowered AND severity = 'error') THEN 'downgraded' ELSE 'asserted' END AS disposition
+  FROM (WITH m AS (SELECT * FROM ({MUTATORS}) z WHERE {where}) SELECT *, {_SCRIPTED} AS hit, {lowers} AND category = 'resource' AND conclusion = 'static-resource-state' AS lowered FROM ({STATIC}) s) y"""
+
+
+@plan(" UNION ALL ".join(_caveat(*r) for r in RUNS.items()))
 def f17_runtime_caveat(spark, sf):
-    scripted = spark.createDataFrame([("data/4.json", None), (None, "ns2")], "object string, namespace string")
-    return fi.caveated(view(spark, sf, OBJECTS), scripted, False)
+    rows = view(spark, sf, STATIC).select("*", F.array("path").alias("affects"), F.array(F.lit("x")).alias("tags"))
+    facts_, out = view(spark, sf, MUTATORS), None
+    for run, where in RUNS.items():
+        one = fi.caveated(rows, facts_.where(where)).withColumn("tags", F.array_join("tags", ","))
+        one = one.select(F.lit(run).alias("run"), "finding_id", "severity", "confidence", "tags", "explanation", "runtime_coverage", "disposition")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @plan("""WITH w AS (SELECT l_orderkey, string_agg(DISTINCT CAST(l_suppkey % 7 AS STRING), '+' ORDER BY CAST(l_suppkey % 7 AS STRING)) AS writer_key FROM lineitem GROUP BY l_orderkey)
