@@ -1,3 +1,10 @@
+import math
+import random
+import re
+
+import numpy as np
+from pyspark.sql import functions as F
+
 from factloom.llm import language
 
 SF = "/root/testdata/sf0.01"
@@ -45,3 +52,64 @@ def test_a_language_outside_the_smallest_hashes_has_a_model(spark):
     rows = docs.where("doc_id < 20 or lang = 'xx'").selectExpr("doc_id as id", "text", "cast(null as string) as declared", "source as host")
     got = {r.id: r for r in language.identify(rows, language.train(docs, 100)).collect()}
     assert all(got[i].lang == "xx" and got[i].keep for i in (7, 1234, 2500)) and got[0].lang == "en"
+
+
+def plain_fusion(rows, langs, table):
+    """The fusion for each row by itself, from sums over all rows: (lang, posterior, text_lang, keep)."""
+    k, low = len(langs), lambda x: (x or "").lower()
+    soft, lls = [], []
+    for _, text, _, _ in rows:
+        b = bytes(x + 32 if 65 <= x <= 90 else 32 if x < 33 else x for x in (text or "").encode())
+        total = [0.0] * k
+        for i in range(len(b) - 2):
+            code = (b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761 % 2**32 >> 32 - language.BITS
+            total = [t + float(table[code][j]) for j, t in enumerate(total)]
+        ll = [max(language.TEMPER * (t - max(total)), -language.LIMIT) for t in total]
+        lls.append(ll)
+        soft.append([math.exp(x) / sum(map(math.exp, ll)) for x in ll])
+    said = [i for i, r in enumerate(rows) if (r[1] or "").strip()]
+    column = lambda ids: [math.fsum(soft[i][j] for i in ids) for j in range(k)]
+    suffix = lambda h: (re.findall(r"\.([a-z0-9-]+)$", h) or [""])[0]
+    parent = lambda h: (re.findall(r"[^.]+\.[^.]+$", h) or [""])[0]
+    host = [low(r[3]) for r in rows]
+    every = column(said)
+    even = [(n + 1) / (sum(every) + k) for n in every[:-1]]
+    overall = [p / sum(even) * (1 - language.UNKNOWN_PRIOR) for p in even] + [language.UNKNOWN_PRIOR]
+    blend = lambda n, prior, m: [(x + m * p) / (sum(n) + m) for x, p in zip(n, prior, strict=True)]
+
+    def given(value_of, value):
+        values = {value_of(i) for i in said} - {""}
+        if value not in values:
+            return [0.0] * k
+        own, total = column([i for i in said if value_of(i) == value]), column([i for i in said if value_of(i)])
+        return [math.log((n + language.SMOOTH_VALUE) / (t + language.SMOOTH_VALUE * (len(values) + 1))) for n, t in zip(own, total, strict=True)]
+
+    for i, r in enumerate(rows):
+        prior = overall
+        if host[i] in {host[j] for j in said}:
+            above = overall
+            if parent(host[i]):
+                above = blend(column([j for j in said if parent(host[j]) == parent(host[i])]), overall, language.SMOOTH_PARENT)
+            prior = blend(column([j for j in said if host[j] == host[i]]), above, language.SMOOTH_HOST)
+        d, s = given(lambda j: low(rows[j][2]), low(r[2])), given(lambda j: suffix(host[j]), suffix(host[i]))
+        v = [a + math.log(b) + x + y for a, b, x, y in zip(lls[i], prior, d, s, strict=True)]
+        best = v.index(max(v))
+        posterior = 1 / math.fsum(math.exp(x - max(v)) for x in v)
+        text = langs[lls[i].index(max(lls[i]))] if i in said else None
+        yield r[0], langs[best], posterior, text, i in said and langs[best] != language.UNKNOWN and posterior >= language.ACCEPT
+
+
+def test_fusion_is_the_plain_one(spark):
+    rng = random.Random(3)
+    langs = ["aa", "bb", "cc", language.UNKNOWN]
+    table = np.random.default_rng(5).normal(-11, 1.5, (1 << language.BITS, 4)).astype(np.float32)
+    hosts = [None, "", "x.example.aa", "y.example.aa", "z.EXAMPLE.aa", "a.b.other.bb", "other.bb", "lone", "odd.c_c"]
+    texts = [None, "", " \t", "ab", "The tree", "Éa ÖÖ über", "long text " * 20, "abc", "xyz xyz"]
+    rows = [(i, rng.choice(texts) if i % 3 else "w" + str(i) * rng.randint(1, 5), rng.choice([None, "", "aa", "BB", "xx"]), rng.choice(hosts)) for i in range(120)]
+    rows += [rows[5], rows[6]]
+    df = spark.createDataFrame(rows, "id long, text string, declared string, host string").repartition(4)
+    got = sorted((r.id, r.lang, r.posterior, r.text_lang, r.keep) for r in language.identify(df, (langs, table)).select("id", "lang", "posterior", F.coalesce("text_lang", F.lit("-")).alias("text_lang"), "keep").collect())
+    want = sorted((a, b, c, d or "-", e) for a, b, c, d, e in plain_fusion(rows, langs, table))
+    assert len({w[1] for w in want}) > 2
+    for g, w in zip(got, want, strict=True):
+        assert (g[0], g[1], g[3], g[4]) == (w[0], w[1], w[3], w[4]) and abs(g[2] - w[2]) < 1e-6
