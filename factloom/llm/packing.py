@@ -168,7 +168,8 @@ def pack(
         seq, off = best_fit(pdf["length"].to_numpy(), window)
         return pdf.drop(columns="grp").assign(sequence_id=seq * groups + int(key[0]), offset=off)
 
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    # Dealt by the piece's place too: a document that comes a million times is in all groups.
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("grp").applyInPandas(
         packed,
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,"

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import packing
 from factloom.llm.queries import tokenizer_path
@@ -63,3 +64,10 @@ def test_best_fit_is_best_fit():
 
 def test_empty_table(empty):
     assert packing.pack(empty, PATH).count() == 0
+
+
+def test_one_repeated_id_is_dealt_over_all_groups(spark):
+    rows = spark.range(12_000).selectExpr("if(id % 3 = 0, null, 7L) as doc_id", "'a b' as text")
+    out = packing.pack(rows, tokenizer_path("word_bpe_49k.json"), group_pieces=3_000)
+    groups = {r.g: r.n for r in out.groupBy((F.col("sequence_id") % 4).alias("g")).agg(F.count("*").alias("n")).collect()}
+    assert len(groups) == 4 and max(groups.values()) < 4_000 and sum(groups.values()) == 12_000
