@@ -117,15 +117,18 @@ def ftrl(rows, bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = TRAIN_ROWS) -> np.ndarray:
     """Weights learnt from at most max_rows labelled documents, those of the smallest hash of
-    doc_id. Null labels are left out; each row of a repeated label counts; without any label the
-    weights are zero. One task trains; its input is bounded by max_rows."""
+    doc_id. Null labels are left out; each row of a repeated label counts, with one text, the smallest,
+    of a repeated document; without any label the weights are zero. One task trains; its input is bounded by max_rows."""
     import pandas as pd
 
     rank = F.xxhash64("doc_id", F.lit(3))
     sample = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     sample = sample.select("doc_id", F.col(label).cast("int").alias("label"), rank.alias("rank"))
     sample = sample.orderBy("rank", "doc_id", "label").limit(max_rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("rank", "label", "text")
+    # One text for each sampled document, however often its id comes, so that the task's input is bounded.
+    asked = F.broadcast(sample.select("doc_id").distinct())
+    texts = docs.select("doc_id", "text").join(asked, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = texts.join(F.broadcast(sample), "doc_id").select("rank", "label", "text")
     rows = texts.mapInArrow(_featured, "rank long, label int, indices array<long>, values array<float>")
 
     def fit(pdf):

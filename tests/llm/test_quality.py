@@ -57,3 +57,11 @@ def test_updates_follow_the_formula():
     got = quality.ftrl(rows, bits=2, epochs=1)
     want = [0 if abs(a) <= quality.L1 else -(a - np.sign(a) * quality.L1) / ((quality.BETA + b**0.5) / quality.ALPHA + quality.L2) for a, b in zip(z, n)]
     assert np.allclose(got, want)
+
+
+def test_a_repeated_document_trains_as_one(spark):
+    rows = [(i, f"good words {i}" if i % 2 else f"%%% bad {i} %%%") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1)], "doc_id long, quality int")
+    hot = docs.unionByName(spark.range(5000).selectExpr("3L as doc_id", "'good words 3' as text")).unionByName(spark.range(50).selectExpr("cast(null as long) as doc_id", "'x' as text"))
+    assert (quality.train(docs, labels) == quality.train(hot.repartition(5), labels)).all()
