@@ -11,16 +11,31 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_lock_digest_streams_sorted_hashes(spark):
-    rows = [(i % 3 or None, str(i), f"v{i % 5}", "f") for i in range(30_000)]
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def merkle(lines):
+    """Counted digests by ranges of their first four digits, those by two, those in one."""
+    nodes = [(h[:4], f"{h}:{n}") for h, n in Counter(map(sha, lines)).items()]
+    for width in (2, 0):
+        ranges = {}
+        for r, d in nodes:
+            ranges.setdefault(r, []).append(d)
+        nodes = [(r[:width], f"{r}={sha(''.join(sorted(ds)))}") for r, ds in ranges.items()]
+    return sha("".join(sorted(d for _, d in nodes)))
+
+
+def test_lock_digest_is_made_from_ranges_of_hashes(spark):
+    rows = [(i % 3 or None, str(i % 25_000), f"v{i % 5}", "f") for i in range(30_000)]
     df = spark.createDataFrame(rows, "k int, id string, version string, file string").repartition(7)
     out = t.lock_digest(df, ["k"])
-    assert "collect" not in plan_of(out)
     lines = {}
     for k, *parts in rows:
-        lines.setdefault(k, []).append(hashlib.sha256("\x1f".join(parts).encode()).hexdigest())
-    want = {k: hashlib.sha256("".join(sorted(v)).encode()).hexdigest() for k, v in lines.items()}
-    assert {r.k: r.digest for r in out.collect()} == want
+        lines.setdefault(k, []).append("\x1f".join(parts))
+    assert {r.k: r.digest for r in out.collect()} == {k: merkle(v) for k, v in lines.items()}
+    gathered = [x for x in plan_of(out).split("\n") if "collect_list" in x]
+    assert len(gathered) == 3 and sum("_range" in x.split("]")[0] for x in gathered) == 2  # the last has at most 256 rows
 
 
 def test_clusters_and_advice_give_members_as_rows(spark):
