@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators.graph import checkpointed
 from factloom.operators.query import bounded_samples, dealt_join
 from factloom.operators.versions import shape, with_in_range
 
@@ -63,10 +64,23 @@ def version_findings(declared: DataFrame, providers: DataFrame) -> DataFrame:
 
 
 def undisclosed(implicit: DataFrame, declared: DataFrame, providers: DataFrame) -> DataFrame:
-    """Implicit edges to something present that isn't declared, under any id of its provider."""
-    ids = declared.join(providers.select(F.col("id").alias("dep"), "provider"), "dep").join(providers.select("provider", F.col("id").alias("other")), "provider")
-    known = declared.select("id", "dep").unionByName(ids.select("id", F.col("other").alias("dep"))).distinct()
-    return implicit.join(providers.select(F.col("id").alias("dep")).distinct(), "dep", "left_semi").join(known, ["id", "dep"], "left_anti").select("id", "dep").distinct()
+    """Implicit edges to something present that isn't declared, under any id of its provider. Whether
+    one of a dep's other ids is among those that an id declares is asked from the smaller of the two
+    sets, so an id with many providers isn't spread over all that declare it."""
+    asked = checkpointed(declared.select("id", "dep").distinct())
+    present = providers.select(F.col("id").alias("dep")).distinct()
+    left = checkpointed(implicit.select("id", "dep").distinct().join(present, "dep", "left_semi").join(asked, ["id", "dep"], "left_anti"))
+    needed = left.select("dep").distinct()
+    mine = providers.select(F.col("id").alias("dep"), "provider").distinct()
+    other = providers.select("provider", F.col("id").alias("other")).distinct().join(asked.select(F.col("dep").alias("other")).distinct(), "other", "left_semi")
+    ids = checkpointed(mine.join(needed, "dep", "left_semi").join(other, "provider").where("dep <> other").select("dep", "other").distinct())
+    n_ids = ids.groupBy("dep").agg(F.count(F.lit(1)).alias("_ids"))
+    n_asked = asked.groupBy("id").agg(F.count(F.lit(1)).alias("_asked"))
+    doubtful = checkpointed(left.join(n_ids, "dep").join(n_asked, "id"))
+    by_ids = doubtful.where("_ids <= _asked").join(ids, "dep").select("id", "dep", "other")
+    by_asked = doubtful.where("_ids > _asked").join(asked.withColumnRenamed("dep", "other"), "id").select("id", "dep", "other")
+    known = by_ids.join(asked.withColumnRenamed("dep", "other"), ["id", "other"], "left_semi").unionByName(by_asked.join(ids, ["dep", "other"], "left_semi"))
+    return left.join(known.select("id", "dep").distinct(), ["id", "dep"], "left_anti")
 
 
 def range_shapes(declared: DataFrame) -> DataFrame:
