@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators.graph import checkpointed
+
 
 def overlaps(sites: DataFrame) -> DataFrame:
     """sites: (id, mod, target, method, operation, side, hot). Targets of two mods or more; a
@@ -27,9 +29,11 @@ def overwrites(classes: DataFrame, effects: DataFrame) -> DataFrame:
 def pairs(sites: DataFrame, keys: list[str], differ: list[str] = (), least: str | None = None) -> DataFrame:
     """Pairs a < b of different mods' sites under equal keys, where the columns in differ do.
     Groups in which those are all equal never meet themselves."""
+    sites = sites.select("id", *keys, *(c for c in ["mod", *differ] if c not in keys))
+    unlike = F.lit(True)
     for c in ["mod", *differ]:
-        ok = sites.groupBy(*keys).agg((F.min(c) != F.max(c)).alias("_ok")).where("_ok").drop("_ok")
-        sites = sites.join(ok, keys, "left_semi")
+        unlike = unlike & (F.min(c) != F.max(c))
+    sites = sites.join(sites.groupBy(*keys).agg(unlike.alias("_ok")).where("_ok").drop("_ok"), keys, "left_semi")
     a, b = sites.alias("a"), sites.alias("b")
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a.id") < F.col("b.id")]
     on += [F.col(f"a.{c}") != F.col(f"b.{c}") for c in ["mod", *differ]]
@@ -50,6 +54,7 @@ def pair_counts(classes: DataFrame, keys: list[str], differ: list[str] = ()) ->
     from its classes by inclusion and exclusion. All pairs of a group, less those that agree in some
     column, plus those that agree in two, and so on."""
     columns, terms = ["mod", *differ], None
+    classes = checkpointed(classes)  # read once for each term
     for size in range(len(columns) + 1):
         for same in combinations(columns, size):
             of = classes.groupBy(*keys, *same).agg(F.sum("n").alias("n"))

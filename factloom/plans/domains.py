@@ -279,6 +279,13 @@ def _pairs(name, keys, differ):
 SINGLE = f"SELECT id, {', '.join(f'min({c}) AS {c}' for c in ('mod', 'target', 'method', 'site', 'priority', 'descriptor'))} FROM ({SITES}) s GROUP BY id"
 
 
+def single(spark, sf):
+    """SINGLE, grouped after rows are dealt by id: the least of a text is found by sorting, of a task's
+    share of ids and not of a whole input split, where few ids come twice."""
+    cols = ("mod", "target", "method", "site", "priority", "descriptor")
+    return sites(spark, sf).select("id", *cols).repartition("id").groupBy("id").agg(*[F.min(c).alias(c) for c in cols])
+
+
 def _pair_counts(name, keys, differ):
     by, same = ", ".join(keys), " AND ".join(f"a.{k} = b.{k}" for k in keys)
     unlike = " AND ".join(f"a.{c} <> b.{c}" for c in ["mod", *differ])
@@ -286,7 +293,7 @@ def _pair_counts(name, keys, differ):
     @plan(f"""WITH s AS ({SINGLE}), p AS (SELECT {", ".join("a." + k for k in keys)}, count(*) AS n_pairs FROM s a JOIN s b ON {same} AND a.id < b.id AND {unlike} GROUP BY ALL),
   n AS (SELECT {by}, count(*) AS n_sites, count(DISTINCT {" || '/' || ".join(["mod", *(f"CAST({c} AS STRING)" for c in differ)])}) AS n_classes FROM s GROUP BY ALL) SELECT {by}, n_sites, n_classes, n_pairs FROM n JOIN p USING ({by})""", name)
     def query(spark, sf):
-        return o.pair_counts(o.pair_classes(v(spark, sf, SINGLE), list(keys), list(differ)), list(keys), list(differ))
+        return o.pair_counts(o.pair_classes(single(spark, sf), list(keys), list(differ)), list(keys), list(differ))
 
 
 _pair_counts("o3_pair_counts", ("target", "method", "site"), ())
