@@ -6,9 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.operators.graph import checkpointed
 from factloom.operators.query import bounded_samples
 
 
+def _several(column: str) -> Column:
+    """Whether a group has two values or more: counting different ones would copy its rows for each
+    column counted."""
+    return F.coalesce(F.min(column) < F.max(column), F.lit(False))
+
+
 def collisions(writes: DataFrame) -> DataFrame:
     """writes: (path, writer, content). Paths of two writes or more, their writers, and whether
     all contents are equal."""
@@ -74,17 +81,17 @@ def key_union(entries: DataFrame, conflict: str, shown: int = 6) -> DataFrame:
     """entries: (path, writer, object boolean, key, value), one for each key, or one with a null
     key for a document that is no object. Disjoint or equal keys are safe; the first conflicting
     keys are listed."""
-    kinds = entries.groupBy("path").agg(F.bool_and("object").alias("_o"))
-    per = entries.where("key is not null").groupBy("path", "key").agg(F.countDistinct("value").alias("_v"))
-    bad = bounded_samples(per.where("_v > 1"), ["path"], "key", shown, "conflicts").withColumnRenamed("n_values", "n_conflicts")
+    per = checkpointed(entries.groupBy("path", "key").agg(F.bool_and("object").alias("_o"), _several("value").alias("_v")))
+    kinds = per.groupBy("path").agg(F.bool_and("_o").alias("_o"))
+    bad = bounded_samples(per.where("_v and key is not null"), ["path"], "key", shown, "conflicts").withColumnRenamed("n_values", "n_conflicts")
     cls = F.when(~F.col("_o"), "json-merge-candidate").when(F.col("n_conflicts") > 0, conflict).otherwise("safe-json-object-merge")
     return kinds.join(bad, "path", "left").select("path", cls.alias("class"), F.coalesce("n_conflicts", F.lit(0)).alias("n_conflicts"), "conflicts")
 
 
 def key_relation(entries: DataFrame) -> DataFrame:
     """disjoint, shared equal or shared conflicting keys for each path."""
-    per = entries.groupBy("path", "key").agg(F.countDistinct("writer").alias("_w"), F.countDistinct("value").alias("_v"))
-    n = per.groupBy("path").agg(F.count(F.when(F.col("_w") > 1, 1)).alias("shared"), F.count(F.when(F.col("_v") > 1, 1)).alias("conflicting"))
+    per = entries.groupBy("path", "key").agg(_several("writer").alias("_w"), _several("value").alias("_v"))
+    n = per.groupBy("path").agg(F.count_if("_w").alias("shared"), F.count_if("_v").alias("conflicting"))
     return n.select("path", F.when(F.col("conflicting") > 0, "conflicting").when(F.col("shared") > 0, "shared-equal").otherwise("disjoint").alias("relation"), "conflicting")
 
 
