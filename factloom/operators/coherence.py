@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.graph import checkpointed
-from factloom.operators.runtime import field, joined
+from factloom.operators.runtime import field, hexed, joined
 from factloom.operators.trust import set_digest
 
 #: How much an environment's loader is worth by where it was read, 40 for any other.
@@ -312,15 +312,14 @@ def identities(findings: DataFrame, evidence: DataFrame, facts: DataFrame, insta
     place = F.struct("locator", F.coalesce("line", F.lit(0)).alias("line"), F.coalesce("inner", blank).alias("inner"))
     by = cited.groupBy("finding_id").agg(F.array_sort(F.array_distinct(about)).alias("_about"), F.array_sort(F.collect_set(place)).alias("_places"))
     rows = rows.join(entities, "finding_id", "left").join(by, "finding_id", "left")
-    fact = lambda x: F.concat(field("fact-kind", x["kind"]), field("fact-subject", x["subject"]), F.when(x["key"] != "", field(x["key"], x["value"])).otherwise(blank.cast("binary")))
-    none = blank.cast("binary")
+    fact = lambda x: F.concat(hexed("fact-kind", x["kind"]), hexed("fact-subject", x["subject"]), F.when(x["key"] != "", hexed(x["key"], x["value"])).otherwise(blank))
     semantic = F.concat(
-        blank.cast("binary"), field("kind", F.col("conclusion")), F.when(generic, field("condition-family", F.col("rule_id"))).otherwise(none),
-        F.coalesce(joined(F.transform("_entities", lambda x: field(x["tag"], x["v"]))), none),
-        F.when(~generic | (F.size("affects") == 0), F.coalesce(joined(F.transform("_about", fact)), none)).otherwise(none),
+        hexed("kind", F.col("conclusion")), F.when(generic, hexed("condition-family", F.col("rule_id"))).otherwise(blank),
+        F.coalesce(joined(F.transform("_entities", lambda x: hexed(x["tag"], x["v"]))), blank),
+        F.when(~generic | (F.size("affects") == 0), F.coalesce(joined(F.transform("_about", fact)), blank)).otherwise(blank),
     )
-    rows = rows.withColumn("semantic_id", F.concat_ws(":", F.lit("finding"), F.replace("conclusion", F.lit("-"), F.lit("")), F.substring(F.sha2(semantic, 256), 1, 24)))
+    rows = rows.withColumn("semantic_id", F.concat_ws(":", F.lit("finding"), F.replace("conclusion", F.lit("-"), F.lit("")), F.substring(F.sha2(F.unhex(semantic), 256), 1, 24)))
     rows = rows.crossJoin(F.broadcast(input_identity(checksums)))  # one row
-    stands = lambda x: F.concat(field("source", x["locator"]), field("line", x["line"]), field("inner", x["inner"]))
-    occurrence = F.concat(field("semantic", F.col("semantic_id")), field("input", F.col("digest")), F.coalesce(joined(F.transform("_places", stands)), none))
-    return rows.select("finding_id", "semantic_id", F.concat(F.lit("finding-occurrence:"), F.sha2(occurrence, 256)).alias("occurrence_id"))
+    stands = lambda x: F.concat(hexed("source", x["locator"]), hexed("line", x["line"]), hexed("inner", x["inner"]))
+    occurrence = F.concat(hexed("semantic", F.col("semantic_id")), hexed("input", F.col("digest")), F.coalesce(joined(F.transform("_places", stands)), blank))
+    return rows.select("finding_id", "semantic_id", F.concat(F.lit("finding-occurrence:"), F.sha2(F.unhex(occurrence), 256)).alias("occurrence_id"))

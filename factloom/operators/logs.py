@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.operators.graph import checkpointed
+
 #: Signals, how bad each is, and the pattern that an event's text has.
 SIGNALS = (
     ("MixinApplyError", "error", r"(?i)(InvalidMixinException|Mixin apply failed|mixin transformation .* failed)"),
@@ -95,11 +97,17 @@ def scanned(rows: DataFrame, order: list[str], level: Column, after_nothing: boo
     begin; _goes_on continues one, and _thrown one whose level is ERROR or FATAL.
 
     A log is no window: ranges of its lines are scanned alone, leaving open what only earlier ranges
-    can tell; a row for each range says what it hands on; those rows are scanned, and what comes in
-    is put into the ranges."""
-    rows = rows.withColumn("_range", F.expr(f"line_no div {range_lines}"))
+    can tell; a row for each range, its last, says what it hands on; those rows are scanned, and what
+    comes in is put into the ranges. The ranges' own rows are stored, so they are made and sorted once.
+    rows may have _n_lines, how many lines their log has: one of no more than a range's is one range,
+    however its lines are numbered."""
+    by_number = F.expr(f"line_no div {range_lines}")
+    rows = rows.withColumn("_range", F.when(F.col("_n_lines") <= range_lines, 0).otherwise(by_number) if "_n_lines" in rows.columns else by_number)
+    # So many parts as the session asks for: lines take little room and much work, and few would be made by their size.
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "_range")
     here = W.partitionBy("source", "_range").orderBy(*order)
-    rows = rows.withColumn("_after", F.lag("_blank").over(here))  # null: an earlier range tells
+    so_far = here.rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({"_after": F.lag("_blank").over(here), "_end": F.lead("line_no").over(here).isNull()})  # _after null: an earlier range tells
     plain = ~F.col("_header") & ~F.col("_goes_on") & ~F.col("_thrown")
     rows = rows.withColumn("_sure", ~F.col("_blank") & (F.col("_header") | plain | F.coalesce("_after", F.lit(False))))
     rows = rows.withColumn("_open", F.col("_after").isNull() & ~F.col("_sure") & ~F.col("_blank"))
@@ -108,30 +116,36 @@ def scanned(rows: DataFrame, order: list[str], level: Column, after_nothing: boo
     thrown = F.col("_thrown") & ~F.col("_sure")
     rows = rows.withColumn("_starts", F.col("_sure") | (thrown & F.coalesce(~F.col("_near").isin("ERROR", "FATAL"), F.lit(False))))
     rows = rows.withColumn("_pending", thrown & F.col("_near").isNull())  # starts one unless the level that comes in fails
-    at = F.struct(*order)
-    sums = rows.groupBy("source", "_range").agg(
-        F.max_by("_blank", at).alias("blank"), F.max_by("_level", F.when(F.col("_level").isNotNull(), at)).alias("level"), F.max("_open").alias("open"),
-        F.sum(F.col("_starts").cast("int")).alias("n"), F.sum((F.col("_pending") & ~F.col("_open")).cast("int")).alias("waiting"), F.max(F.col("_pending") & F.col("_open")).alias("first"),
+    count = lambda c: F.coalesce(F.count_if(c).over(so_far), F.lit(0))
+    rows = rows.withColumns({
+        "_n": F.sum(F.col("_starts").cast("int")).over(so_far), "_waiting": count(F.col("_pending") & ~F.col("_open")), "_first": count(F.col("_pending") & F.col("_open")), "_opened": count(F.col("_open")),
+    })
+    rows = checkpointed(rows.drop("_after", "_sure", "_goes_on", "_header", "_thrown", "_n_lines"))
+    sums = rows.where("_end").select(
+        "source", "_range", F.col("_blank").alias("blank"), F.coalesce("_level", "_near").alias("level"), (F.col("_opened") > 0).alias("open"),
+        F.coalesce("_n", F.lit(0)).alias("n"), F.col("_waiting").alias("waiting"), F.col("_first").alias("first"),
     )
     ranges = W.partitionBy("source").orderBy("_range")
     before = ranges.rowsBetween(W.unboundedPreceding, -1)
     sums = sums.withColumn("_starts_first", F.col("open") & F.coalesce(F.lag("blank").over(ranges), F.lit(after_nothing)))
     sums = sums.withColumn("_handed", F.coalesce("level", F.when(F.col("_starts_first"), "")))
     sums = sums.withColumn("_came_fails", F.coalesce(F.last("_handed", ignorenulls=True).over(before).isin("ERROR", "FATAL"), F.lit(False)))
-    waiting = F.when(F.col("_starts_first"), F.col("waiting") + 1).when(F.col("_came_fails"), 0).otherwise(F.col("waiting") + F.col("first").cast("int"))
+    waiting = F.when(F.col("_starts_first"), F.col("waiting") + 1).when(F.col("_came_fails"), 0).otherwise(F.col("waiting") + F.col("first"))
     sums = sums.withColumn("_before", F.coalesce(F.sum(F.col("n") + waiting).over(before), F.lit(0)))
     rows = rows.join(sums.select("source", "_range", "_starts_first", "_came_fails", "_before"), ["source", "_range"])
     first = F.col("_open") & F.col("_starts_first")
     rows = rows.withColumn("is_start", F.col("_starts") | first | (F.col("_pending") & (F.col("_starts_first") | ~F.col("_came_fails"))))
     rows = rows.withColumn("level", F.when(first, "").otherwise(F.col("_level")))
-    rows = rows.withColumn("event", F.col("_before") + F.sum(F.col("is_start").cast("int")).over(here.rowsBetween(W.unboundedPreceding, 0)))
-    return rows.drop("_range", "_after", "_sure", "_open", "_level", "_near", "_starts", "_pending", "_starts_first", "_came_fails", "_before")
+    more = F.when(F.col("_starts_first"), F.col("_waiting") + F.col("_opened")).when(F.col("_came_fails"), 0).otherwise(F.col("_waiting") + F.col("_first"))
+    rows = rows.withColumn("event", F.col("_before") + F.col("_n") + more)
+    return rows.drop("_range", "_end", "_open", "_level", "_near", "_starts", "_pending", "_n", "_waiting", "_first", "_opened", "_starts_first", "_came_fails", "_before")
 
 
-def nearest_before(rows: DataFrame, order: list[str], value: Column, name: str, range_lines: int = RANGE_LINES) -> DataFrame:
+def nearest_before(rows: DataFrame, order: list[str], value: Column, name: str, range_lines: int = RANGE_LINES, number: str = "line_no") -> DataFrame:
     """rows of logs with the value of the nearest earlier row of the log that has one, as an as-of
-    join would give it: within ranges of lines, and from the last range that has one."""
-    rows = rows.withColumn("_v", value).withColumn("_range", F.expr(f"line_no div {range_lines}"))
+    join would give it: within ranges of the rows' numbers, which go by the order, and from the last
+    range that has one."""
+    rows = rows.withColumn("_v", value).withColumn("_range", F.expr(f"{number} div {range_lines}"))
     ends = rows.groupBy("source", "_range").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_end"))
     before = W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     ends = ends.select("source", "_range", F.last("_end", ignorenulls=True).over(before).alias("_came"))
@@ -147,7 +161,7 @@ def assembled(lines: DataFrame, range_lines: int = RANGE_LINES) -> DataFrame:
     text = F.col("text")
     rows = lines.withColumns({"_header": text.rlike(HEADER), "_goes_on": text.rlike(CONTINUED), "_thrown": text.rlike(EXCEPTION), "_blank": F.trim("text") == ""})
     rows = scanned(rows, ["line_no"], F.regexp_extract("text", HEADER, 1), False, range_lines)
-    return rows.drop("_blank", "_header", "_goes_on", "_thrown")
+    return rows.drop("_blank")
 
 
 #: Signals in the order in which one is taken: by rank, of equal ranks the later one.

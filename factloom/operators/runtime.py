@@ -7,6 +7,9 @@ begins, so that it gives the rows that the same trace in many lines gives.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,16 +39,17 @@ MESSAGE_CHARS = 1000
 
 
 def fragments(lines: DataFrame) -> DataFrame:
-    """(source, line_no, fragment, text) from (source, line_no, text): lines cut before frames and
-    causes, in logs that name an exception or error at all."""
+    """(source, line_no, fragment, text, _n_lines) from (source, line_no, text): lines cut before
+    frames and causes, in logs that name an exception or error at all, and how many lines a log has."""
     named = F.contains("text", F.lit("Exception")) | F.contains("text", F.lit("Error"))
-    spoilt = lines.groupBy("source").agg(F.max(named).alias("named"))
+    spoilt = lines.groupBy("source").agg(F.max(named).alias("named"), F.count(F.lit(1)).alias("_n_lines"))
     cut = F.split(F.regexp_replace("text", FLATTENED, "\u0001$1"), "\u0001")
-    some = F.filter(cut, lambda x: F.trim(F.regexp_replace(x, r"\s", " ")) != "")
-    whole = F.array(F.col("text"))
-    parts = F.when(F.col("named") & (F.size(some) > 0), some).otherwise(whole)
-    rows = lines.join(spoilt, "source").select("source", "line_no", F.posexplode(parts).alias("fragment", "text"))
-    return rows.withColumn("text", F.regexp_replace("text", r"\s+$", ""))
+    # Most lines have nothing to cut; what is cut is made once.
+    some = F.when(F.col("named") & (F.col("text").rlike(FLATTENED) | F.contains("text", F.lit("\u0001"))), F.filter(cut, lambda x: x.rlike(r"\S")))
+    rows = lines.join(spoilt, "source").select("source", "line_no", "text", "_n_lines", F.posexplode_outer(some).alias("_i", "_part"))
+    return rows.select(
+        "source", "line_no", F.coalesce("_i", F.lit(0)).alias("fragment"), F.regexp_replace(F.coalesce("_part", "text"), r"\s+$", "").alias("text"), "_n_lines"
+    )
 
 
 def numbered(lines: DataFrame, range_lines: int = logs.RANGE_LINES) -> DataFrame:
@@ -54,9 +58,10 @@ def numbered(lines: DataFrame, range_lines: int = logs.RANGE_LINES) -> DataFrame
     fragments continue one, an exception's name only after a header of ERROR or FATAL. All else, and
     whatever follows a blank one, starts an event."""
     rows = fragments(lines).withColumn("_t", F.regexp_replace("text", r"^\s+", ""))
-    rows = rows.withColumns({"_blank": F.col("_t") == "", "_header": F.col("_t").rlike(STANDARD), "_goes_on": F.col("_t").rlike(CONTINUES) | F.col("text").rlike(r"^\s")})
+    rows = rows.withColumns({"_blank": F.col("_t") == "", "_header": F.startswith("_t", F.lit("[")) & F.col("_t").rlike(STANDARD), "_goes_on": F.col("_t").rlike(CONTINUES) | F.col("text").rlike(r"^\s")})
     rows = rows.withColumn("_thrown", F.col("_t").rlike(HEADER_ONLY) & ~F.col("_header") & ~F.col("_goes_on"))
-    rows = logs.scanned(rows, ["line_no", "fragment"], F.regexp_extract("_t", STANDARD, 3), True, range_lines)
+    level = F.regexp_extract(F.regexp_replace("text", r"^\s+", ""), STANDARD, 3)  # of headers alone
+    rows = logs.scanned(rows.drop("_t"), ["line_no", "fragment"], level, True, range_lines)
     return rows.where("not _blank").select("source", "line_no", "fragment", "text", "is_start", "event")
 
 
@@ -64,7 +69,12 @@ def parsed(rows: DataFrame) -> DataFrame:
     """rows with what their line x is in a trace: its kind, whether it throws, what it throws, and a
     frame's module, class, method, file, line and whose code it is."""
     x = F.col("x")
-    rows = rows.withColumns({"_ca": x.rlike(CAUSED), "_th": x.rlike(THROWN), "_su": x.rlike(SUPPRESSED), "_body": F.regexp_extract(x, AT, 1)})
+    # What a pattern needs is looked for before it is tried.
+    has = lambda *words: reduce(or_, [F.contains(x, F.lit(w)) for w in words])
+    rows = rows.withColumns({
+        "_ca": has("Caused by:") & x.rlike(CAUSED), "_th": has("Exception", "Error", "Throwable") & x.rlike(THROWN), "_su": has("Suppressed:") & x.rlike(SUPPRESSED),
+        "_body": F.when(has("at"), F.regexp_extract(x, AT, 1)).otherwise(""),
+    })
     kind = F.when(F.col("_body") != "", "frame").when(x.rlike(MORE), "more").when(F.col("_ca"), "cause").when(F.col("_su"), "suppressed").otherwise("other")
     part = lambda i: F.when(F.col("_ca"), F.regexp_extract(x, CAUSED, i)).when(F.col("_th"), F.regexp_extract(x, THROWN, i)).when(F.col("_su"), F.regexp_extract(x, SUPPRESSED, i))
     rows = rows.withColumns({
@@ -131,17 +141,22 @@ def events(lines: DataFrame, range_lines: int = logs.RANGE_LINES) -> DataFrame:
     return chained(rows)
 
 
-def field(tag: Column | str, value: Column) -> Column:
-    """A tagged field as bytes: the tag's length in four, the tag, the value's in eight, the value."""
+def hexed(tag: Column | str, value: Column) -> Column:
+    """A tagged field in hex: the tag's length in four bytes, the tag, the value's in eight, the value."""
     tag = F.lit(tag) if isinstance(tag, str) else tag
-    size = lambda c, width: F.unhex(F.lpad(F.hex(F.octet_length(c).cast("long")), width, "0"))
+    size = lambda c, width: F.lpad(F.hex(F.octet_length(c).cast("long")), width, "0")
     value = F.coalesce(value.cast("string"), F.lit(""))
-    return F.concat(size(tag, 8), tag.cast("binary"), size(value, 16), value.cast("binary"))
+    return F.concat(size(tag, 8), F.hex(tag), size(value, 16), F.hex(value))
+
+
+def field(tag: Column | str, value: Column) -> Column:
+    """A tagged field as bytes."""
+    return F.unhex(hexed(tag, value))
 
 
 def joined(parts: Column) -> Column:
-    """Bytes of an array of bytes."""
-    return F.unhex(F.array_join(F.transform(parts, F.hex), ""))
+    """An array of hex as one."""
+    return F.array_join(parts, "")
 
 
 def _name(*parts) -> Column:
@@ -151,27 +166,27 @@ def _name(*parts) -> Column:
 def semantic_fingerprint() -> Column:
     """Of an event: its trace in full, or its level, logger and lines."""
     frame = lambda n, f, i: F.concat(*[
-        field(_name("throwable", n["index"], "frame", i, name), f[key]) for name, key in (("class", "class"), ("method", "method"), ("source", "file"), ("line", "line"))
+        hexed(_name("throwable", n["index"], "frame", i, name), f[key]) for name, key in (("class", "class"), ("method", "method"), ("source", "file"), ("line", "line"))
     ])
     node = lambda n: F.concat(
-        field(_name("throwable", n["index"], "type"), n["type"]), field(_name("throwable", n["index"], "message"), n["message"]),
-        field(_name("throwable", n["index"], "cause"), F.when(n["cause"] >= 0, n["cause"])), field(_name("throwable", n["index"], "suppressed"), n["suppressed"]),
+        hexed(_name("throwable", n["index"], "type"), n["type"]), hexed(_name("throwable", n["index"], "message"), n["message"]),
+        hexed(_name("throwable", n["index"], "cause"), F.when(n["cause"] >= 0, n["cause"])), hexed(_name("throwable", n["index"], "suppressed"), n["suppressed"]),
         joined(F.transform(n["frames"], lambda f, i: frame(n, f, i))),
     )
-    lines = joined(F.transform("continuation", lambda x, i: field(_name("continuation", i), x)))
-    plain = F.concat(field("level", F.col("level")), field("logger", F.col("logger")), field("message", F.col("message")), lines)
+    lines = joined(F.transform("continuation", lambda x, i: hexed(_name("continuation", i), x)))
+    plain = F.concat(hexed("level", F.col("level")), hexed("logger", F.col("logger")), hexed("message", F.col("message")), lines)
     body = F.when(F.size("chain") > 0, joined(F.transform("chain", node))).otherwise(plain)
-    return F.sha2(F.concat(field("schema", F.lit("runtime-semantic-v1")), body), 256)
+    return F.sha2(F.unhex(F.concat(hexed("schema", F.lit("runtime-semantic-v1")), body)), 256)
 
 
 def fuzzy_fingerprint() -> Column:
     """Of an event: the deepest throwable's simple name, its message without numbers, and its frames'
     classes and methods; or the event's own message without numbers."""
-    frames = joined(F.transform(F.col("deepest")["frames"], lambda f, i: F.concat(field(_name("frame", i, "class"), f["class"]), field(_name("frame", i, "method"), f["method"]))))
+    frames = joined(F.transform(F.col("deepest")["frames"], lambda f, i: F.concat(hexed(_name("frame", i, "class"), f["class"]), hexed(_name("frame", i, "method"), f["method"]))))
     family = F.substring_index(F.col("deepest")["type"], ".", -1)
-    thrown = F.concat(field("exception-family", family), field("normalized-message", logs.normalised(F.coalesce(F.col("deepest")["message"], F.lit("")))), frames)
-    plain = field("message", logs.normalised(F.col("message")))
-    return F.sha2(F.concat(field("schema", F.lit("runtime-fuzzy-v1")), F.when(F.size("chain") > 0, thrown).otherwise(plain)), 256)
+    thrown = F.concat(hexed("exception-family", family), hexed("normalized-message", logs.normalised(F.coalesce(F.col("deepest")["message"], F.lit("")))), frames)
+    plain = hexed("message", logs.normalised(F.col("message")))
+    return F.sha2(F.unhex(F.concat(hexed("schema", F.lit("runtime-fuzzy-v1")), F.when(F.size("chain") > 0, thrown).otherwise(plain))), 256)
 
 
 def _says(text: Column, markers: tuple[str, ...]) -> Column:
@@ -275,7 +290,7 @@ def incidents(rows: DataFrame, frames: DataFrame, range_lines: int = logs.RANGE_
     n_background how many such events all logs have. The cause is that of the first occurrence with
     a trace. rows: described events; frames: stack_frames of them."""
     known = interesting(rows).withColumn("_anchor", F.col("terminality").isin(*TERMINAL))
-    near = logs.nearest_before(known, ["line_no", "fragment"], F.when(~F.col("_anchor"), F.col("occurrence_id")), "background_before", range_lines)
+    near = logs.nearest_before(known, ["line_no", "fragment"], F.when(~F.col("_anchor"), F.col("occurrence_id")), "background_before", range_lines, "event")
     at = F.struct("source", "line_no", "fragment")
     traced = F.col("deepest").isNotNull()
     groups = near.where("_anchor").groupBy(F.col("fuzzy_fingerprint").alias("fuzzy")).agg(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from factloom.model import view
 from factloom.operators import runtime as rt
+from factloom.operators.graph import checkpointed
 from factloom.plans.base import Plans
 
 plan = Plans()
@@ -165,5 +166,5 @@ def l5_fuzzy_fingerprint(spark, sf):
     coalesce(contributors, '') AS contributors, bb AS background_before, (SELECT count(*) FROM an WHERE NOT anchor) AS n_background
   FROM rk LEFT JOIN ca USING (fuzzy_fingerprint) LEFT JOIN sg USING (source, event) WHERE r = 1""")
 def l13_incidents(spark, sf):
-    rows = events(spark, sf)
+    rows = checkpointed(rt.interesting(events(spark, sf)))  # read thrice
     return rt.incidents(rows, rt.stack_frames(rows, spark.sql(OWNERS)))

@@ -119,3 +119,13 @@ def test_incident_with_shared_frames_only_is_ambiguous(spark):
     rows = described(spark, a=text)
     one = rt.incidents(rows, rt.stack_frames(rows, owners)).first()
     assert (one.caller, one.callee, one.ambiguous, one.rationale) == (None, "com.api.Keys.isDown", True, "runtime frame ownership is shared by api,other")
+
+
+def test_lines_are_cut_and_scanned_once_and_a_short_log_is_one_range(spark):
+    """Numbers far apart make no ranges of a line each; what follows reads the stored rows."""
+    lines = spark.range(40).selectExpr("'s' as source", "id * 1000000 as line_no", "if(id % 4 = 0, '[1] [m/ERROR]: x', '\\tat a.b.C.d(E.java:1)') as text")
+    rows = rt.numbered(lines)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Relation [") == 2
+    assert len({r._range for r in spark.read.parquet(rows.inputFiles()[0].rsplit("/", 1)[0]).collect()}) == 1
+    assert max(r.event for r in rows.collect()) == 10
