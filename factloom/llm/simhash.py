@@ -110,12 +110,17 @@ def _links(bit_max: int):
         for m in np.unique(size[size > 1]).tolist():
             at = cut[size == m]
             if m <= 32:
+                # A link joins two parts of its bucket, so there is one fewer than members at most.
+                part = np.tile(np.arange(m), (len(at), 1))
                 for i in range(m):
                     for j in range(i + 1, m):
                         x, y = fps[at + i], fps[at + j]
-                        ok = np.bitwise_count(x ^ y) <= bit_max
-                        a.append(x[ok])
-                        b.append(y[ok])
+                        ok = np.flatnonzero((np.bitwise_count(x ^ y) <= bit_max) & (part[:, i] != part[:, j]))
+                        if len(ok):
+                            a.append(x[ok])
+                            b.append(y[ok])
+                            own = part[ok]
+                            part[ok] = np.where(own == own[:, j : j + 1], own[:, i : i + 1], own)
             else:
                 for s in at.tolist():
                     own = fps[s : s + m]

@@ -91,3 +91,22 @@ def test_similar_joins_all_that_near_duplicates_joins(docs):
     one = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, 5, 5).collect()}
     more = {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
     assert set(more) == set(one) and all(more[d] == more[c] for d, c in one.items())
+
+
+def test_a_small_bucket_gives_a_forest_of_its_links():
+    """As many links as join what pairs join, in buckets of up to 32 too."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    keys, fps = [], []
+    for key in range(60):
+        centres = [rng.getrandbits(63) for _ in range(rng.randint(1, 3))]
+        own = {rng.choice(centres) ^ (1 << rng.randrange(60)) ^ (1 << rng.randrange(60)) for _ in range(rng.randint(2, 32))}
+        keys += [key] * len(own)
+        fps += sorted(own)
+    batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fps, pa.int64())], names=["key", "fp"])
+    made = [r for out in simhash._links(4)([batch]) for r in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    groups = {k: [f for q, f in zip(keys, fps, strict=True) if q == k] for k in set(keys)}
+    pairs = [(x, y) for g in groups.values() for x, y in combinations(g, 2) if (x ^ y).bit_count() <= 4]
+    assert closed(fps, made) == closed(fps, pairs)
+    assert len(made) < len(fps) < len(pairs)
