@@ -39,8 +39,10 @@ THRESHOLD = 50
 FLUSH = 1_500_000
 #: A mapper also sends its rows when the texts that they come from have so many bytes.
 HELD_BYTES = 1 << 25
+#: Held rows are settled and sent by runs of about so many.
+SENT = 1 << 16
 #: Rows whose bytes are compared at a time.
-COMPARED = 1 << 16
+COMPARED = 1 << 14
 #: Whole copies of one text beyond this number are marked without a shuffle by their digest.
 HOT_COPIES = 1_000
 #: Digests that so many documents have are broadcast up to this number.
@@ -150,11 +152,27 @@ def _by_rank(rank, doc):
     return order, rank, doc, at, np.minimum.reduceat(doc, at)[group], np.maximum.reduceat(doc, at)[group]
 
 
-def _shown(ranks, docs):
-    """Rows that tell which ranks more than one document has. A rank of two documents here is
-    settled for both: their rows go under keys of their own, and one of them is shown under the
-    rank for other mappers' rows."""
-    rank, doc = np.concatenate(ranks), np.concatenate(docs)
+def _dealt(parts):
+    """Held parts, each the columns of some rows with their ranks first, as runs of about SENT rows.
+    All rows of a rank are in one run, so that no more than a run is sorted, and sent, at a time."""
+    n = 1
+    while n * SENT < sum(len(p[0]) for p in parts):
+        n *= 2
+    for i in range(n):
+        own = [np.flatnonzero(p[0] & np.uint64(n - 1) == i) for p in parts]
+        if any(map(len, own)):
+            yield tuple(np.concatenate([c[at] for c, at in zip(col, own, strict=True)]) for col in zip(*parts, strict=True))
+
+
+def _shown(parts):
+    """Rows that tell which ranks more than one document has, from parts of (rank, document)."""
+    for rank, doc in _dealt(parts):
+        yield from _shown_run(rank, doc)
+
+
+def _shown_run(rank, doc):
+    """A rank of two documents here is settled for both: their rows go under keys of their own, and
+    one of them is shown under the rank for other mappers' rows."""
     order = np.argsort(rank)
     rank, doc = rank[order], doc[order]
     new = np.r_[True, rank[1:] != rank[:-1]]
@@ -177,7 +195,7 @@ def _first_rows(threshold: int):
 
     def run(batches):
         powers, first = _Powers(), lengths(threshold)[0]
-        ranks, docs, held = [], [], 0
+        parts, held = [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, offsets, data in text_chunks(batch.column(1), 1 << 18):
@@ -185,30 +203,28 @@ def _first_rows(threshold: int):
                 hit = np.zeros(r.n + 1, bool)
                 hit[r.samples()] = True
                 where = np.flatnonzero(hit)
-                ranks.append(r.at(first, where))
-                docs.append(ids[i + r.doc(where)])
+                parts.append((r.at(first, where), ids[i + r.doc(where)]))
                 held += len(where)
                 if held > FLUSH:
-                    yield from _shown(ranks, docs)
-                    ranks, docs, held = [], [], 0
+                    yield from _shown(parts)
+                    parts, held = [], 0
         if held:
-            yield from _shown(ranks, docs)
+            yield from _shown(parts)
 
     return run
 
 
 def _third_rows(batches):
     """Rows for the third sort, from (doc_id, rank)."""
-    ranks, docs, held = [], [], 0
+    parts, held = [], 0
     for batch in batches:
-        docs.append(batch.column(0).to_numpy())
-        ranks.append(batch.column(1).to_numpy().view(np.uint64))
+        parts.append((batch.column(1).to_numpy().view(np.uint64), batch.column(0).to_numpy()))
         held += batch.num_rows
         if held > FLUSH:
-            yield from _shown(ranks, docs)
-            ranks, docs, held = [], [], 0
+            yield from _shown(parts)
+            parts, held = [], 0
     if held:
-        yield from _shown(ranks, docs)
+        yield from _shown(parts)
 
 
 def _whole_groups(batches):
@@ -341,7 +357,8 @@ class _Rows:
 
     def add(self, data, low, size, *cols):
         """cols: rank, document, place and others; the bytes of a row are size bytes from low."""
-        self.parts.append((*cols, low + self.bytes, size))
+        rank, doc, place, *more = cols
+        self.parts.append((rank, doc, place.astype(np.int32), *more, (low + self.bytes).astype(np.uint32), size.astype(np.int32)))
         self.texts.append(np.array(data))
         self.rows += len(low)
         self.bytes += len(data)
@@ -350,16 +367,20 @@ class _Rows:
         return self.rows > FLUSH or self.bytes > HELD_BYTES
 
     def sent(self):
-        """The batch of rows to send."""
-        import pyarrow as pa
+        """The batches of rows to send."""
+        parts, data = self.parts, np.concatenate(self.texts)
+        self.__init__(self.width)
+        for run in _dealt(parts):
+            yield self._batch(data, *run)
 
-        rank, doc, place, *more, low, size = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        data, span = np.concatenate(self.texts), np.arange(self.width)
+    def _batch(self, data, rank, doc, place, *more):
+        *more, low, size = more
+        span = np.arange(self.width)
 
         def text(rows):
             """Bytes of some rows, filled up with zeros, and how many there are."""
             n = size[rows][:, None]
-            out = data[np.minimum(low[rows][:, None] + span, len(data) - 1)]
+            out = data[np.minimum(low[rows].astype(np.int64)[:, None] + span, len(data) - 1)]
             out[span >= n] = 0
             return np.concatenate([out, n.astype("<u4").view(np.uint8)], 1)
 
@@ -368,7 +389,6 @@ class _Rows:
         for i in range(0, len(open_), COMPARED):
             rows = open_[i : i + COMPARED]
             check[rows] = _checked(text(order[rows]))
-        self.__init__(self.width)
         return _sort_rows(key, doc, kind, place, check.view(np.int64), *(m[order].view(np.int64) for m in more))
 
 
@@ -388,9 +408,9 @@ def _second_rows(threshold: int):
             if len(at):
                 rows.add(r.data, low, high - low + ((at - low) << 16), mixed(rank), ids[index], at - r.offsets[index], r.at(first, at))
             if rows.full():
-                yield rows.sent()
+                yield from rows.sent()
         if rows.rows:
-            yield rows.sent()
+            yield from rows.sent()
 
     return run
 
@@ -415,9 +435,9 @@ def _fourth_rows(threshold: int):
             if len(at):
                 rows.add(r.data, at, np.full(len(at), threshold), r.pairs(at), ids[index], at - r.offsets[index])
             if rows.full():
-                yield rows.sent()
+                yield from rows.sent()
         if rows.rows:
-            yield rows.sent()
+            yield from rows.sent()
 
     return run
 

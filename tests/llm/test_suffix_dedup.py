@@ -1,6 +1,8 @@
 import hashlib
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -83,3 +85,22 @@ def test_mapper_settles_equal_bytes():
     got = {(int(x), int(k)) for x, k in zip(d, kind)}
     assert got == {(3, suffix_dedup.SETTLED), (1, suffix_dedup.OPEN), (4, suffix_dedup.OPEN)}
     assert (at[kind == suffix_dedup.OPEN] & suffix_dedup.MANY).all()
+
+
+def test_a_mapper_holds_little_for_each_row():
+    """Every start is a row here: what is held and sorted at a time is far below the rows sent."""
+    rng = np.random.default_rng(9)
+    texts = ["".join(map(chr, rng.integers(97, 123, 2_000))) for _ in range(250)]
+    first = suffix_dedup.lengths(50)[0]
+    ranks = []
+    for text in texts:
+        r = suffix_dedup.Ranks(np.array([0, len(text)]), np.frombuffer(text.encode(), np.uint8), suffix_dedup._Powers(), 50)
+        ranks.append(r.at(first, np.unique(r.samples())).view(np.int64))
+    names = ["doc_id", "text", "ranks"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(250)), pa.array(texts), pa.array(ranks, pa.list_(pa.int64()))], names=names)
+    tracemalloc.start()
+    sent = [out.num_rows for out in suffix_dedup._fourth_rows(50)(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sent) == 250 * 1_951 and max(sent) < 2 * suffix_dedup.SENT
+    assert peak < 150 * sum(sent)
