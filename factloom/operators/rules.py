@@ -226,6 +226,37 @@ def traced_pack(rules: list[Rule], facts: DataFrame) -> tuple[DataFrame, Callabl
     return out, told
 
 
+def _counted(rule: Rule, facts: DataFrame) -> DataFrame:
+    """One row (n): how many findings evaluate() gives. Pairs are counted from the different values
+    that the condition reads on either side, and never listed."""
+    if rule.kind not in ("join", "correlation"):
+        return evaluate(rule, facts).agg(F.count(F.lit(1)).alias("n"))
+    cond = re.sub(r"\b([ab])\.(\w+)", r"\1_\2", rule.where)
+    read = {s: sorted(set(re.findall(rf"\b{s}\.(\w+)", rule.where))) for s in "ab"}
+    side = lambda s, kinds: facts.where(F.col("kind").isin(*kinds)).select(*(F.col(c).alias(f"{s}_{c}") for c in facts.columns))
+    each = lambda s, df: df.groupBy(*(f"{s}_{c}" for c in read[s])).agg(F.count(F.lit(1)).alias(f"n_{s}"))
+    a, b = side("a", rule.inputs[:1]), each("b", side("b", rule.inputs[1:]))
+    b = F.broadcast(b) if b.limit(FEW + 1).count() <= FEW else b
+    if rule.kind == "correlation":
+        return a.join(b, F.expr(cond), "left_semi").distinct().agg(F.count(F.lit(1)).alias("n"))
+    met = each("a", a).join(b, F.expr(cond))
+    return met.agg(F.coalesce(F.sum(F.col("n_a") * F.col("n_b")), F.lit(0)).alias("n"))
+
+
+def counted_pack(rules: list[Rule], facts: DataFrame) -> DataFrame:
+    """(rule_id, n_in, n_out) of each rule, its kinds' facts and its findings, as traced_pack() tells
+    them, without making the findings: their pairs may grow with the square of the facts."""
+    kinds = sorted({k for r in rules for k in r.inputs})
+    hits = [F.count_if(F.col("kind").isin(*r.inputs) & F.expr(r.where)).alias(f"r{i}") for i, r in enumerate(rules) if r.kind == "fact"]
+    out = facts.agg(*[F.count_if(F.col("kind") == k).alias(f"n{i}") for i, k in enumerate(kinds)], *hits)
+    for i, r in enumerate(rules):
+        if r.kind != "fact":
+            out = out.crossJoin(F.broadcast(_counted(r, facts).withColumnRenamed("n", f"r{i}")))
+    n_in = lambda r: sum((F.col(f"n{kinds.index(k)}") for k in set(r.inputs)), F.lit(0).cast("long"))
+    told = [F.struct(F.lit(r.id).alias("rule_id"), n_in(r).alias("n_in"), F.col(f"r{i}").alias("n_out")) for i, r in enumerate(rules)]
+    return out.select(F.inline(F.array(*told)))
+
+
 _COLLISION, _CONFLICT = "resource_collision", "resource-conflict:{attr:class}:{subject}"
 _LOADERS = "('fabric', 'quilt', 'forge', 'neoforge')"
 _CAPABLE = ("uses_process_spawn", "uses_unsafe", "uses_dynamic_class_definition", "uses_script_engine")
