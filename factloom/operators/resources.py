@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -144,13 +147,18 @@ def collision_class(identical: Column, dom: Column, tag: Column, union: Column,
 
 def semantic_diffs(parsed: DataFrame, aspects: list[str]) -> DataFrame:
     """parsed: (path, writer, semantic_hash, aspects). Paths of two writers whose hashes differ,
-    with the first aspect that does."""
-    n = {a: F.countDistinct(a).alias(f"_{a}") for a in aspects}
-    g = parsed.groupBy("path").agg(F.countDistinct("writer").alias("writers"), F.countDistinct("semantic_hash").alias("_h"), *n.values())
+    with the first aspect that does. Two values differ if one of two 64-bit hashes does: least and
+    greatest numbers are kept in hash tables, and strings would be sorted or copied for each column."""
+    columns = [*aspects, "semantic_hash"]
+    hashed = {f"_{i}{c}": F.when(F.col(c).isNotNull(), F.xxhash64(c, F.lit(i))) for c in columns for i in (0, 1)}
+    rows = parsed.select("path", "writer", *(h.alias(n) for n, h in hashed.items()))
+    per = rows.groupBy("path", "writer").agg(*(f(n).alias(f"{f.__name__}{n}") for n in hashed for f in (F.min, F.max)))
+    g = per.groupBy("path").agg(F.count("writer").alias("writers"), *(f(f"{f.__name__}{n}").alias(f"{f.__name__}{n}") for n in hashed for f in (F.min, F.max)))
+    several = lambda c: reduce(or_, (F.coalesce(F.col(f"min_{i}{c}") < F.col(f"max_{i}{c}"), F.lit(False)) for i in (0, 1)))
     kind = F.lit("other")
     for a in reversed(aspects):
-        kind = F.when(F.col(f"_{a}") > 1, a).otherwise(kind)
-    return g.where("writers >= 2 and _h >= 2").select("path", "writers", kind.alias("kind"))
+        kind = F.when(several(a), a).otherwise(kind)
+    return g.where((F.col("writers") >= 2) & several("semantic_hash")).select("path", "writers", kind.alias("kind"))
 
 
 def divergence(elements: DataFrame) -> DataFrame:

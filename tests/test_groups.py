@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 from factloom.operators import findings as fi
+from factloom.operators import resources as r
 from factloom.operators import trust as t
 
 
@@ -46,3 +47,13 @@ def test_clusters_and_advice_give_members_as_rows(spark):
     fixes = spark.createDataFrame([("1", "x", "y", "z", [1, 2]), ("1", "x", "y", "z", [2]), ("2", "x", "y", "z", None)], "finding_id string, action string, target string, text string, evidence array<int>")
     assert "collect" not in plan_of(fi.recommendations(fixes)) and fi.recommendations(fixes).first().n == 2
     assert Counter((r.finding_id, r.evidence) for r in fi.recommended(fixes).collect()) == Counter([("1", 1), ("1", 2), ("2", None)])
+
+
+def test_semantic_diffs_copy_no_row_for_a_column(spark):
+    rows = [("a", "w1", "h1", "x", None), ("a", "w2", "h2", "x", "1"), ("b", "w1", "h1", "x", "1"), ("b", "w2", "h2", "y", "2"), ("c", "w1", "h1", "x", "1"), ("c", "w1", "h2", "y", "1")]
+    rows += [("d", "w1", "h1", "x", "1"), ("d", "w2", "h1", "x", "2"), ("e", "w1", None, "x", "1"), ("e", "w2", "h1", "y", "1"), ("f", None, "h1", "x", "1"), ("f", "w1", "h1", "x", "1"), ("f", "w2", "h2", "x", "2")]
+    parsed = spark.createDataFrame(rows, "path string, writer string, semantic_hash string, flag string, value string")
+    out = r.semantic_diffs(parsed, ["flag", "value"])
+    assert sorted(map(tuple, out.collect())) == [("a", 2, "other"), ("b", 2, "flag"), ("f", 2, "value")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "SortAggregate" not in plan
