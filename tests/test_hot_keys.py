@@ -1,6 +1,7 @@
 """Keys of many rows: what a hot key costs, and that the rows stay right."""
 
 from collections import Counter
+from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,3 +104,17 @@ def test_pairs_check_a_group_once(spark):
     assert plan_of(out).count("LeftSemi") == 2  # once for each side
     classes = o.pair_classes(rows, ["target"], ["priority"])
     assert "id % 5" not in plan_of(o.pair_counts(classes, ["target"], ["priority"]))
+
+
+@pytest.mark.parametrize("few", [1000, 0])
+def test_graded_pairs_match_brute_force_and_cost_no_sets(spark, monkeypatch, few):
+    monkeypatch.setattr(dealt_join, "__defaults__", (few, 8))
+    row = lambda i, m: (i * 7 % m, (None, "p", "q", "pp")[i * i % 11 % 4], i * 5 % 13 % 3, (None, 1, 2)[i * 3 % 17 % 3])
+    left, right = [row(i, 25) for i in range(60)], [row(i, 20) for i in range(50)]
+    on, best = {"a": (1, 2), "b": (1,), "c": (3,)}, {}
+    for x, y in product(left, right):
+        best.setdefault((x[0], y[0]), set()).update(n for n, cols in on.items() if all(x[k] is not None and x[k] == y[k] for k in cols))
+    tables = [spark.createDataFrame(rows, f"{n} long, x string, y long, z long") for rows, n in ((left, "l"), (right, "r"))]
+    out = graded_match(*tables, [("a", [("x", "x"), ("y", "y")]), ("b", [("x", "x")]), ("c", [("z", "z")])], "l", "r")
+    assert sorted(map(tuple, out.collect())) == sorted((a, b, min(q)) for (a, b), q in best.items() if q)
+    assert "inline(" in plan_of(out) and "array_intersect" not in plan_of(out)
