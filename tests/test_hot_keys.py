@@ -118,3 +118,21 @@ def test_graded_pairs_match_brute_force_and_cost_no_sets(spark, monkeypatch, few
     out = graded_match(*tables, [("a", [("x", "x"), ("y", "y")]), ("b", [("x", "x")]), ("c", [("z", "z")])], "l", "r")
     assert sorted(map(tuple, out.collect())) == sorted((a, b, min(q)) for (a, b), q in best.items() if q)
     assert "inline(" in plan_of(out) and "array_intersect" not in plan_of(out)
+
+
+def _declared_and_providers(spark):
+    declared = spark.createDataFrame([(f"m{i}", ("alias", "p1", "absent")[i % 3], ">=1.2.0" if i % 2 else None, "semver", ("requires", "breaks", "discourages", "other")[i // 2 % 4], i % 5 > 0) for i in range(120)],
+        "id string, dep string, range string, dialect string, relation string, mandatory boolean")
+    providers = spark.createDataFrame([("alias", f"p{i}", ("1.0.0", "2.0.0", None)[i % 3]) for i in range(30)] + [("p1", "p1", "1.0.0")], "id string, provider string, version string")
+    return declared, providers
+
+
+def test_rows_without_a_finding_go_before_duplicates_are_sought(spark):
+    declared, providers = _declared_and_providers(spark)
+    twice = declared.unionByName(declared).distinct()
+    every = sorted(map(str, d.version_findings(declared, providers).collect()))
+    out = d.version_findings(twice, providers)
+    assert sorted(map(str, out.collect())) == every
+    assert "Aggregate" in plan_of(out).split("Join LeftSemi")[0]  # below declared's distinct
+    some = d.version_findings(twice, providers, d.KINDS[1:])
+    assert sorted(map(str, some.collect())) == [x for x in every if "kind='wrong" not in x] and len(every) > some.count() > 0
