@@ -1,5 +1,6 @@
 """Keys of many rows: what a hot key costs, and that the rows stay right."""
 
+import re
 from collections import Counter
 from itertools import product
 
@@ -136,3 +137,11 @@ def test_rows_without_a_finding_go_before_duplicates_are_sought(spark):
     assert "Aggregate" in plan_of(out).split("Join LeftSemi")[0]  # below declared's distinct
     some = d.version_findings(twice, providers, d.KINDS[1:])
     assert sorted(map(str, some.collect())) == [x for x in every if "kind='wrong" not in x] and len(every) > some.count() > 0
+
+
+def test_a_pair_carries_its_provider_alone(spark):
+    declared, providers = _declared_and_providers(spark)
+    out = d.met_versions(declared, providers)
+    assert re.search(r"Generate inline\(.*\[provider#\d+, via_alias#\d+\]", plan_of(out))
+    want = Counter((x.id, y.id, y.version) for x in declared.collect() for y in providers.collect() if x.dep == y.id)
+    assert Counter((x.id, x.dep, x.version) for x in out.collect()) == want
