@@ -145,3 +145,14 @@ def test_a_pair_carries_its_provider_alone(spark):
     assert re.search(r"Generate inline\(.*\[provider#\d+, via_alias#\d+\]", plan_of(out))
     want = Counter((x.id, y.id, y.version) for x in declared.collect() for y in providers.collect() if x.dep == y.id)
     assert Counter((x.id, x.dep, x.version) for x in out.collect()) == want
+
+
+def test_findings_by_alias_ask_of_aliases_only(spark, monkeypatch):
+    declared, providers = _declared_and_providers(spark)
+    every = sorted(map(str, d.version_findings(declared, providers).collect()))
+    kept, keep = [], d.checkpointed
+    monkeypatch.setattr(d, "checkpointed", lambda df: (kept.append(back := keep(df)), back)[1])
+    for by_alias in (True, False):
+        out = sorted(map(str, d.version_findings(declared, providers, via_alias=by_alias).collect()))
+        assert out and out == [x for x in every if f"via_alias={by_alias}" in x]
+        assert {x._dep for x in kept[-1].collect()} == {"alias" if by_alias else "p1"}
